@@ -18,6 +18,25 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stillframe.llm.fingerprints import fingerprints
+
+    return fingerprints(documents(spark, sf_dir))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stillframe.llm.simhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), width=3, most=3)
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stillframe.llm.quality import fit, judge
+
+    docs = documents(spark, sf_dir)
+    return judge(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stillframe.llm.packing import pack
 
@@ -32,6 +51,19 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stillframe.llm.secrets import scan
+
+    docs = documents(spark, sf_dir)
+    return scan(docs, owner=F.col("source"), repository=F.concat_ws("/", "source", "lang"))
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stillframe.llm.pii import detect
+
+    return detect(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
