@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,21 +13,35 @@ from pyspark.sql import functions as F
 BLANKS = b" \t\n\x0b\x0c\r"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in the shared checkpoint folder and cut its lineage.
-
-    The folder is the cluster's ``spark.checkpoint.dir``; only where none is set
-    (tests on one machine) a temporary one is made.
-    """
-    spark = df.sparkSession
+def _ensure_folder(spark: SparkSession) -> None:
+    """The folder is the cluster's ``spark.checkpoint.dir``; only where none is set (tests
+    on one machine) a temporary one is made."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(
             spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stillframe-cp-")
         )
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` once in the shared checkpoint folder and cut its lineage."""
+    _ensure_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the shared checkpoint folder, for tables that are read again."""
+    _ensure_folder(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4()}"
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished passes now: they go when the driver
+    collects the garbage of their plans, which it otherwise puts off."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

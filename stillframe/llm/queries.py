@@ -18,6 +18,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stillframe.llm.lm_score import score
+
+    return score(documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string")) % 5 == 1)
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stillframe.llm.fingerprints import fingerprints
 
@@ -58,6 +64,18 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(docs, owner=F.col("source"), repository=F.concat_ws("/", "source", "lang"))
 
 
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stillframe.llm.materialise import materialise
+
+    return materialise(documents(spark, sf_dir), tokenizer_path(BYTE_BPE), key=20_260_101, length=1024, end_id=0)
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stillframe.llm.viterbi import round_trip
+
+    return round_trip(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stillframe.llm.pii import detect
 

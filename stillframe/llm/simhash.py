@@ -4,7 +4,8 @@ A fingerprint has 64 bits; two link at 3 or fewer differing bits.  Then one half
 32 bits differs in at most one bit (t = 1).  In a half, the anchors are the words of
 a covering code: a perfect Hamming code on 31 bits, times the free last bit, so every
 half lies within R = 1 of an anchor.  A fingerprint's home is that anchor; it is also
-sent to every anchor within R + t = 2 of it (17 at most).  Of a linked pair, each one
+sent to every anchor within R + t = 2 of it (17 at most).  Up to 7 bits are covered in
+the same way by quarters of 16 bits (9 anchors each).  Of a linked pair, each one
 so reaches the other's home, and fingerprints are compared per anchor only.
 
 Copies are merged before the search: it works on distinct fingerprints.  Within an
@@ -14,7 +15,8 @@ has fewer edges than the anchor has fingerprints and the same components.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 from itertools import accumulate, repeat
 
 import numpy as np
@@ -68,126 +70,163 @@ def with_fingerprints(df: DataFrame, columns: list[str], text: str = "text", wid
     return plain.mapInArrow(run, schema)
 
 
-def _syndromes() -> list[np.ndarray]:
-    """For each byte of a half, the xor of the positions (1 to 31) of its set bits."""
-    return [
-        np.array([np.bitwise_xor.reduce([8 * k + b + 1 for b in range(8) if v >> b & 1 and 8 * k + b < 31] or [0]) for v in range(256)], dtype=np.uint32)
-        for k in range(4)
+@cache
+def _code(width: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The covering code on blocks of ``width`` bits (a power of two): a Hamming code on all
+    but the last bit.  Gives, for each byte of a block, the xor of the positions of its
+    set bits; and, for each syndrome s, the patterns of at most two bits that have it
+    (zeros repeat for s = 0)."""
+    tables = [
+        np.array([np.bitwise_xor.reduce([8 * k + b + 1 for b in range(8) if v >> b & 1 and 8 * k + b < width - 1] or [0]) for v in range(256)], dtype=np.uint32)
+        for k in range(width // 8)
     ]
+    masks = np.zeros((width, width // 2), dtype=np.uint32)
+    for s in range(1, width):
+        pairs = [(i, i ^ s) for i in range(1, width) if i < i ^ s]
+        masks[s] = [1 << (s - 1), *(1 << (i - 1) | 1 << (j - 1) for i, j in pairs)]
+    return tables, masks
 
 
-def _masks() -> np.ndarray:
-    """Row s: the patterns of at most two bits whose syndrome is s (zeros repeat for s = 0)."""
-    rows = np.zeros((32, 16), dtype=np.uint32)
-    for s in range(1, 32):
-        pairs = [(i, i ^ s) for i in range(1, 32) if i < i ^ s]
-        rows[s] = [1 << (s - 1), *(1 << (i - 1) | 1 << (j - 1) for i, j in pairs)]
-    return rows
-
-
-SYNDROMES, MASKS = _syndromes(), _masks()
-
-
-def anchors(fps: np.ndarray, homes_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, is home, fingerprint) rows of unsigned fingerprints, both halves."""
+def anchors(fps: np.ndarray, homes_only: bool = False, blocks: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, is home, row of ``fps``) of unsigned fingerprints, for every block."""
     keys, home, who = [], [], []
-    for half in (0, 1):
-        v = ((fps >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    width = 64 // blocks
+    tables, masks = _code(width)
+    rows = np.arange(len(fps))
+    for block in range(blocks):
+        v = ((fps >> np.uint64(width * block)) & np.uint64((1 << width) - 1)).astype(np.uint32)
         s = np.zeros(len(v), dtype=np.uint32)
-        for k in range(4):
-            s ^= SYNDROMES[k][(v >> np.uint32(8 * k)) & np.uint32(255)]
-        own = v ^ MASKS[s, 0]
-        tag = np.int64(half) << np.int64(32)
+        for k, table in enumerate(tables):
+            s ^= table[(v >> np.uint32(8 * k)) & np.uint32(255)]
+        own = v ^ masks[s, 0]
+        tag = np.int64(block) << np.int64(32)
         keys.append(own.astype(np.int64) | tag)
         home.append(np.ones(len(v), dtype=bool))
-        who.append(fps)
+        who.append(rows)
         if homes_only:
             continue
         off = np.flatnonzero(s)
-        near = v[off, None] ^ MASKS[s[off], 1:]
-        keys += [near.ravel().astype(np.int64) | tag, (own ^ np.uint32(1 << 31)).astype(np.int64) | tag]
+        near = v[off, None] ^ masks[s[off], 1:]
+        keys += [near.ravel().astype(np.int64) | tag, (own ^ np.uint32(1 << (width - 1))).astype(np.int64) | tag]
         home += [np.zeros(near.size, dtype=bool), np.zeros(len(v), dtype=bool)]
-        who += [np.repeat(fps[off], 15), fps]
+        who += [np.repeat(rows[off], near.shape[1]), rows]
     return np.concatenate(keys), np.concatenate(home), np.concatenate(who)
 
 
-def _anchor_rows(distinct: DataFrame, homes_only: bool) -> DataFrame:
+def _anchor_rows(nodes: DataFrame, homes_only: bool, blocks: int) -> DataFrame:
+    """nodes: _fp, and for verified links node and sketch."""
+    more = [c for c in ("node", "sketch") if c in nodes.columns]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             for at in range(0, len(fps), 20_000):
-                key, home, who = anchors(fps[at : at + 20_000], homes_only)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(home), pa.array(who.view(np.int64))], names=["anchor", "home", "_fp"])
+                part = batch.slice(at, 20_000)
+                key, home, who = anchors(fps[at : at + 20_000], homes_only, blocks)
+                take = pa.array(who)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(home), *(part.column(i).take(take) for i in range(part.num_columns))], names=["anchor", "home", "_fp", *more])
 
-    return distinct.select("_fp").mapInArrow(run, "anchor long, home boolean, _fp long")
+    schema = "anchor long, home boolean, _fp long" + "".join({"node": ", node long", "sketch": ", sketch binary"}[c] for c in more)
+    return nodes.select("_fp", *more).mapInArrow(run, schema)
 
 
-def forest(fps: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """A spanning forest of the links among distinct fingerprints.
+Test = Callable[[int, np.ndarray], np.ndarray]
 
-    A breadth-first walk compares each reached fingerprint with the ones not reached
-    yet, so in a dense group the set that remains shrinks at once.
+
+def forest(n: int, test: Test) -> Iterator[tuple[int, np.ndarray]]:
+    """A spanning forest of the links among rows 0 .. n - 1 as (row, rows found from it).
+
+    ``test(i, rest)`` says which of the rows ``rest`` link to row i.  A breadth-first walk
+    compares each reached row with the ones not reached yet, so in a dense group the set
+    that remains shrinks at once.
     """
-    out = []
-    rest, frontier = fps[1:], [fps[0]]
+    rest, frontier = np.arange(1, n), [0]
     while len(rest):
         if not frontier:
-            frontier, rest = [rest[0]], rest[1:]
+            frontier, rest = [int(rest[0])], rest[1:]
             continue
         u = frontier.pop()
-        near = np.bitwise_count(rest ^ u) <= most
+        near = test(u, rest)
         if near.any():
             found = rest[near]
-            out.append((np.full(len(found), u), found))
+            yield u, found
             rest = rest[~near]
-            frontier.extend(found)
-    return out
+            frontier.extend(found.tolist())
 
 
-def compare(key: np.ndarray, home: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Forest edges within each key that has a home and more than one fingerprint."""
-    order = np.lexsort((fps, key))
-    key, home, fps = key[order], home[order], fps[order]
+def compare(key: np.ndarray, home: np.ndarray, fps: np.ndarray, most: int, node: np.ndarray | None = None, sketch: np.ndarray | None = None, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Forest edges within each key that has a home and more than one row; edges are of
+    fingerprints, or of ``node`` where that is given, with sketches at least ``least`` alike."""
+    ident = fps if node is None else node
+    order = np.lexsort((ident, key))
+    key, home, fps, ident = key[order], home[order], fps[order], ident[order]
+    sketch = None if sketch is None else sketch[order]
+    left, right = [np.zeros(0, dtype=ident.dtype)], [np.zeros(0, dtype=ident.dtype)]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.array([], dtype=int)
     last = np.r_[first[1:], len(key)]
-    use = (np.add.reduceat(home.astype(np.int64), first) > 0) & (last - first > 1) if len(first) else np.array([], dtype=bool)
-    first, last = first[use], last[use]
-    two = last - first == 2
-    a, b = fps[first[two]], fps[first[two] + 1]
-    near = (np.bitwise_count(a ^ b) <= most) & (a != b)
-    left, right = [a[near]], [b[near]]
-    for i, j in zip(first[~two], last[~two]):
-        for u, v in forest(np.unique(fps[i:j]), most):
-            left.append(u)
-            right.append(v)
+    if len(first):
+        use = (np.add.reduceat(home.astype(np.int64), first) > 0) & (last - first > 1)
+        first, last = first[use], last[use]
+    for i, j in zip(first, last):
+        rows = i + np.flatnonzero(np.r_[True, ident[i + 1 : j] != ident[i : j - 1]])
+        if len(rows) < 2:
+            continue
+        f = fps[rows]
+        if sketch is None and len(f) <= 4096:
+            homes = np.unique(np.searchsorted(f, fps[i:j][home[i:j]])) if node is None else np.arange(len(f))
+            near = np.bitwise_count(f[homes, None] ^ f[None, :]) <= most
+            n_links = int(near.sum()) - len(homes)
+            if not n_links:
+                continue
+            if n_links <= 4 * len(f):
+                a, b = np.nonzero(near)
+                a = homes[a]
+                left.append(ident[rows[a[a != b]]])
+                right.append(ident[rows[b[a != b]]])
+                continue
+        sk = None if sketch is None else sketch[rows]
+
+        def test(u: int, rest: np.ndarray, f=f, sk=sk) -> np.ndarray:
+            near = np.bitwise_count(f[rest] ^ f[u]) <= most
+            if sk is not None and near.any():
+                near[near] = (sk[rest[near]] == sk[u]).mean(axis=1) >= least
+            return near
+
+        for u, v in forest(len(f), test):
+            left.append(np.full(len(v), ident[rows[u]]))
+            right.append(ident[rows[v]])
     return np.concatenate(left), np.concatenate(right)
 
 
-def links(distinct: DataFrame, rows: int, most: int = 3, heavy: int = HEAVY) -> DataFrame:
-    """Edges (a, b) over distinct fingerprints with the components of all links.
+def links(nodes: DataFrame, rows: int, most: int = 3, heavy: int = HEAVY, least: float | None = None) -> DataFrame:
+    """Edges (a, b) over distinct fingerprints with the components of all links; with
+    ``least`` over nodes (columns node, _fp, sketch) whose sketches are that much alike.
 
     ``rows``: how many there are.  Anchors with more than ``heavy`` homes are dealt
     over a grid: a cell holds one part of the homes and one part of the visitors, and
     every part meets every other, so nothing is dropped and no task gets a whole group.
     """
-    if most > 3:
-        raise ValueError("the two-half covering holds for 3 or fewer bits")
-    spark = distinct.sparkSession
-    dealt = _anchor_rows(distinct, False).withColumns({"i": F.lit(0), "j": F.lit(0)})
+    if not 0 <= most <= 7:
+        raise ValueError("two blocks cover up to 3 bits, four blocks up to 7")
+    blocks = 2 if most <= 3 else 4
+    spark = nodes.sparkSession
+    dealt = _anchor_rows(nodes, False, blocks).withColumns({"i": F.lit(0), "j": F.lit(0)})
     hot = checkpoint(
-        _anchor_rows(distinct, True).groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > heavy)
+        _anchor_rows(nodes.select("_fp"), True, blocks).groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > heavy)
         .select("anchor", F.ceil(F.col("n") / heavy).cast("int").alias("parts"))
     )
     if not hot.isEmpty():
-        wide = _anchor_rows(distinct, False).join(hot, "anchor", "left")
+        wide = _anchor_rows(nodes, False, blocks).join(hot, "anchor", "left")
         part = F.pmod(F.xxhash64("_fp"), F.col("parts")).cast("int")
         every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-        cold = wide.where("parts is null").select("anchor", "home", "_fp", F.lit(0).alias("i"), F.lit(0).alias("j"))
+        own = [c for c in wide.columns if c not in ("home", "parts")]
+        cold = wide.where("parts is null").select(*own, "home", F.lit(0).alias("i"), F.lit(0).alias("j"))
         split = wide.where("parts is not null")
-        as_home = split.where("home").select("anchor", "home", "_fp", part.alias("i"), every.alias("j"))
-        as_visitor = split.select("anchor", F.lit(False).alias("home"), "_fp", every.alias("i"), part.alias("j"))
+        as_home = split.where("home").select(*own, "home", part.alias("i"), every.alias("j"))
+        as_visitor = split.select(*own, F.lit(False).alias("home"), every.alias("i"), part.alias("j"))
         dealt = cold.unionByName(as_home).unionByName(as_visitor)
-    tasks = max(shuffle_parts(spark), -(-34 * rows // ROWS_PER_TASK))
+    per_row = blocks * (64 // blocks // 2 + 1)
+    tasks = max(shuffle_parts(spark), -(-per_row * rows // (ROWS_PER_TASK if least is None else ROWS_PER_TASK // 8)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
@@ -197,7 +236,12 @@ def links(distinct: DataFrame, rows: int, most: int = 3, heavy: int = HEAVY) ->
         del got
         anchor, home, fps, i, j = (table.column(n).to_numpy() for n in ("anchor", "home", "_fp", "i", "j"))
         cell = anchor if not i.any() and not j.any() else np.unique(np.stack([anchor, i.astype(np.int64), j.astype(np.int64)]), axis=1, return_inverse=True)[1].ravel()
-        a, b = compare(cell, home, fps.astype(np.int64).view(np.uint64), most)
+        node = sketch = None
+        if least is not None:
+            node = table.column("node").to_numpy()
+            data = table.column("sketch").combine_chunks()
+            sketch = np.frombuffer(b"".join(data.to_pylist()), dtype=np.uint8).reshape(len(node), -1)
+        a, b = compare(cell, home, fps.astype(np.int64).view(np.uint64), most, node, sketch, least or 0.0)
         if len(a):
             pairs = np.unique(np.stack([a.view(np.int64), b.view(np.int64)], axis=1), axis=0)
             for at in range(0, len(pairs), 1 << 16):
@@ -272,17 +316,102 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     )
 
 
-def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, most: int = 3) -> DataFrame:
-    """The rows of ``df`` with one document of each component: the one of the smallest
-    id (null ids last), then of the smallest row hash.  Repeated rows count once."""
+#: Min-hashes of a sketch, one byte each.
+SKETCH = 256
+#: Similarity of word shingles from which near copies link.  The share of equal sketch
+#: bytes has a standard error of 0.025 there, and pairs within one of it link too.
+SIMILAR = 0.8
+#: Differing bits up to which ``keep_one`` looks for candidates.
+CANDIDATE_BITS = 7
+
+
+def content_fingerprint(words: list[bytes]) -> int:
+    """SimHash of a text's distinct words of more than four bytes (all, if none is): edits
+    change this set least, and texts apart share few of them."""
+    import xxhash
+
+    chosen = {w for w in words if len(w) > 4} or set(words)
+    if not chosen:
+        return 0
+    h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in chosen), dtype="<u8", count=len(chosen))
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+
+
+def sketch(words: list[bytes], width: int) -> bytes:
+    """A byte of each of ``SKETCH`` min-hashes over the distinct shingles of ``width`` words
+    (fewer words: one shingle)."""
+    import xxhash
+
+    n = max(1, len(words) - width + 1)
+    joined = {b" ".join(words[i : i + width]) for i in range(n)}
+    h = np.fromiter(map(xxhash.xxh64_intdigest, joined), dtype=np.uint64, count=len(joined))
+    mul, add = _MULTIPLIERS
+    low = np.full(SKETCH, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(h), 2048):
+        low = np.minimum(low, (h[at : at + 2048, None] * mul[None, :] + add[None, :]).min(axis=0))
+    return (low >> np.uint64(24)).astype(np.uint8).tobytes()
+
+
+def _multipliers() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(20_260_101)
+    odd = rng.integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return odd, rng.integers(0, 1 << 63, SKETCH, dtype=np.uint64)
+
+
+_MULTIPLIERS = _multipliers()
+
+
+def with_sketches(df: DataFrame, columns: list[str], text: str, width: int) -> DataFrame:
+    """``columns`` of ``df``, _fp (content fingerprint), sketch and node (a hash of both)."""
+    plain = df.select(*columns, text_or_empty(text).alias("_text"))
+    schema = plain.drop("_text").schema.add("_fp", "long").add("sketch", "binary").add("node", "long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1)
+            fps, sketches = [], []
+            for i in range(len(texts)):
+                words = texts[i].as_py().encode().lower().split()
+                fps.append(content_fingerprint(words))
+                sketches.append(sketch(words, width))
+            signed = np.array(fps, dtype=np.uint64).view(np.int64)
+            nodes = np.array([xxhash.xxh64_intdigest(s, f) for f, s in zip(fps, sketches)], dtype=np.uint64).view(np.int64)
+            cols = [batch.column(i) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(signed), pa.array(sketches, pa.binary()), pa.array(nodes)], names=[*columns, "_fp", "sketch", "node"])
+
+    return plain.mapInArrow(run, schema)
+
+
+def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similar: float = SIMILAR, bits: int = CANDIDATE_BITS, heavy: int = HEAVY) -> DataFrame:
+    """The rows of ``df`` with one document of each group of near copies: the one of the
+    smallest id (null ids last), then of the smallest row hash.
+
+    Documents link if their sets of ``width``-word shingles are ``similar`` or more, as
+    their sketches tell, and a group is what links connect.  Candidates come from
+    SimHash: content fingerprints that differ in at most ``bits`` bits, found by anchors;
+    only documents that have such a neighbour are compared by sketches.  Null texts
+    count as empty; texts without words are one group; repeated rows count once.
+    """
     plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))  # own names cannot clash
     ids, texts = (F.col(f"c{df.columns.index(n)}") for n in (doc_id, text))
     keyed = plain.select("*", *row_key(*(F.col(c) for c in plain.columns)))
-    fps = checkpoint(with_fingerprints(keyed.select(ids.alias("_id"), texts.alias("_t"), "_k1", "_k2"), ["_id", "_k1", "_k2"], text="_t", width=width))
-    grouped = classes(fps, "_id", most)
+    marks = checkpoint(with_sketches(keyed.select(ids.alias("_id"), texts.alias("_t"), "_k1", "_k2"), ["_id", "_k1", "_k2"], "_t", width))
+    nodes = checkpoint(marks.groupBy("node").agg(F.min("_fp").alias("_fp"), F.min("sketch").alias("sketch")))
+    distinct = checkpoint(nodes.groupBy("_fp").agg(F.count("*").alias("n")))
+    near = components(links(distinct.select("_fp"), distinct.count(), bits, heavy)).select(F.col("node").alias("_fp"))
+    several = distinct.where("n > 1").select("_fp")
+    chosen = checkpoint(nodes.join(near.unionByName(several).distinct(), "_fp", "left_semi"))
+    share = (similar - 0.025) * 255 / 256 + 1 / 256
+    roots = components(links(chosen, chosen.count(), bits, heavy, least=share))
+    grouped = marks.select("_id", "_k1", "_k2", "node").join(roots, "node", "left").withColumn("_group", F.coalesce("root", "node"))
     best = F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("id"), F.col("_k1").alias("k1"), F.col("_k2").alias("k2")))
     win = grouped.groupBy("_group").agg(best.alias("w")).select(F.col("w.k1").alias("_k1"), F.col("w.k2").alias("_k2"))
-    times = fps.groupBy("_k1", "_k2").agg(F.count("*").alias("_times"))
+    times = marks.groupBy("_k1", "_k2").agg(F.count("*").alias("_times"))
     met = keyed.join(win.join(times, ["_k1", "_k2"]), ["_k1", "_k2"])
     single = met.where(F.col("_times") == 1)
     repeated = met.where(F.col("_times") > 1).dropDuplicates(["_k1", "_k2"])

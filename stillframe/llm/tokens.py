@@ -116,6 +116,17 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def vocabulary_size(path: str) -> int:
+    if path.endswith(".model"):
+        import sentencepiece
+
+        return sentencepiece.SentencePieceProcessor(model_file=path).vocab_size()
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    ids = [*spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens") or [])]
+    return max(ids) + 1
+
+
 def by_bytes(column, most: int = 4 << 20) -> Iterator[tuple[int, list[str]]]:
     """Runs of rows of an Arrow string column, each of about ``most`` bytes: (first row,
     texts, nulls as empty).  A single longer text is a run of its own."""

@@ -46,14 +46,30 @@ def test_simhash_empty(docs):
     assert keep_one(docs.limit(0)).columns == docs.columns
 
 
+def similar(a, b, width=5):
+    x, y = ({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in (brute.WORD.findall(brute.lower(t or "")) for t in (a, b)))
+    return len(x & y) / len(x | y)
+
+
 def test_keep_one(docs, rows):
+    """Groups lie between those at a similarity of 0.85 and those at 0.7."""
     from stillframe.llm.simhash import keep_one
 
-    fps = [brute.simhash(r[1], 5) for r in rows]
-    pairs = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3]
-    groups = len(set(brute.roots(len(fps), pairs)))
-    kept = keep_one(docs, width=5).select("doc_id").collect()
-    assert len(kept) == groups
+    kept = keep_one(docs, heavy=4)
+    assert kept.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert all(n == 1 for n in got.values())
+    texts = [r[1] for r in rows]
+    pairs = [(i, j, similar(texts[i], texts[j])) for i in range(len(rows)) for j in range(i)]
+    strong = brute.roots(len(rows), [(i, j) for i, j, s in pairs if s >= 0.85])
+    weak = brute.roots(len(rows), [(i, j) for i, j, s in pairs if s >= 0.7])
+    for groups, most in ((strong, 1), (weak, None)):
+        by = defaultdict(list)
+        for r, g in zip(rows, groups):
+            by[g].append(r[:2])
+        for ids in by.values():
+            n = sum(got[i] for i in set(ids))
+            assert n >= 1 if most is None else n <= most
 
 
 def test_quality(docs, rows):
