@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stillframe.llm.common import checkpoint, row_key, shuffle_parts, text_or_empty
+from stillframe.llm.common import checkpoint, release, row_key, shuffle_parts, text_or_empty
 
 #: White space that the compatibility form leaves, besides the pattern's own class.
 _SPACE = "[\\s\\x1c-\\x1f\\u0085\\u1680\\u180e\\u2028\\u2029]+"
@@ -114,6 +114,8 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", dige
         a1.alias("own1"), a2.alias("own2"), b1.alias("edit1"), b2.alias("edit2"), "next1", "next2",
     ))
 
+    del both
+    release(df.sparkSession)  # the second pass need not stand beside the first one's shuffles
     entries = rows.select("doc_id", F.explode(F.array(F.struct(F.col("own1").alias("h1"), F.col("own2").alias("h2")), F.struct(F.col("edit1").alias("h1"), F.col("edit2").alias("h2")))).alias("h")).select("doc_id", "h.*")
     shared = entries.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
     again = entries.join(shared, ["h1", "h2"], "left_semi").select(F.col("doc_id").alias("_id")).distinct()

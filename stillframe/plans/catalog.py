@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stillframe.operators import acceptance, consensus, geometry, imaging, merge, perframe, predict, ranking, tracking  # noqa: F401  they register
+from stillframe.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
