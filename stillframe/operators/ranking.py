@@ -63,7 +63,8 @@ def top11(spark, sf_dir):
     return strongest(v, "frame_id", "f", 44, ["x", "y", "z"]).groupBy("frame_id").agg(F.sum("f").alias("f"))
 
 
-BY_EV = Window.partitionBy("run_id").orderBy("ev")
+def by_ev():
+    return Window.partitionBy("run_id").orderBy("ev")
 
 
 def stream_rows(spark, sf_dir) -> DataFrame:
@@ -74,23 +75,23 @@ def stream_rows(spark, sf_dir) -> DataFrame:
 def win02(spark, sf_dir):
     """Share of an outcome among the last 200 frames of a run."""
     hit = F.when(F.col("outcome") == "purchase", 1.0).otherwise(0.0)
-    return stream_rows(spark, sf_dir).select("ev", F.round(F.avg(hit).over(BY_EV.rowsBetween(-199, 0)), 6).alias("share"))
+    return stream_rows(spark, sf_dir).select("ev", F.round(F.avg(hit).over(by_ev().rowsBetween(-199, 0)), 6).alias("share"))
 
 
 @query("win03_hit_rate", "select ev, round(greatest(avg(cast(hit as double)) over (partition by run_id order by ev rows between 255 preceding and current row), 0.02), 6) as rate from frame_stream", "frame_stream")
 def win03(spark, sf_dir):
-    return stream_rows(spark, sf_dir).select("ev", F.round(F.greatest(F.avg(F.col("hit").cast("double")).over(BY_EV.rowsBetween(-255, 0)), F.lit(0.02)), 6).alias("rate"))
+    return stream_rows(spark, sf_dir).select("ev", F.round(F.greatest(F.avg(F.col("hit").cast("double")).over(by_ev().rowsBetween(-255, 0)), F.lit(0.02)), 6).alias("rate"))
 
 
 @query("win04_ordinals", "select ev, row_number() over (partition by run_id order by ev) - 1 as arrival, cast(sum(hit) over (partition by run_id order by ev) as bigint) as accepted from frame_stream", "frame_stream")
 def win04(spark, sf_dir):
-    return stream_rows(spark, sf_dir).select("ev", (F.row_number().over(BY_EV) - 1).cast("long").alias("arrival"), F.sum("hit").over(BY_EV.rowsBetween(Window.unboundedPreceding, 0)).cast("long").alias("accepted"))
+    return stream_rows(spark, sf_dir).select("ev", (F.row_number().over(by_ev()) - 1).cast("long").alias("arrival"), F.sum("hit").over(by_ev().rowsBetween(Window.unboundedPreceding, 0)).cast("long").alias("accepted"))
 
 
 @query("win07_changes", "select ev, outcome from (select *, lag(outcome) over (partition by run_id order by ev) as before from frame_stream) where before is null or before <> outcome", "frame_stream")
 def win07(spark, sf_dir):
     """Events at which the outcome changes."""
-    s = stream_rows(spark, sf_dir).withColumn("before", F.lag("outcome").over(BY_EV))
+    s = stream_rows(spark, sf_dir).withColumn("before", F.lag("outcome").over(by_ev()))
     return s.where("before is null or before <> outcome").select("ev", "outcome")
 
 
@@ -105,7 +106,7 @@ def win08(spark, sf_dir):
 @query("win09_chunk_numbers", "select run_id, cast(chunk as bigint) as chunk, count(*) as n from (select run_id, sum(case when outcome = 'signup' then 1 else 0 end) over (partition by run_id order by ev) as chunk from frame_stream) group by run_id, chunk", "frame_stream")
 def win09(spark, sf_dir):
     """Rows between begin markers, by a running count of the markers."""
-    chunk = F.sum(F.when(F.col("outcome") == "signup", 1).otherwise(0)).over(BY_EV.rowsBetween(Window.unboundedPreceding, 0))
+    chunk = F.sum(F.when(F.col("outcome") == "signup", 1).otherwise(0)).over(by_ev().rowsBetween(Window.unboundedPreceding, 0))
     return stream_rows(spark, sf_dir).select("run_id", chunk.alias("chunk")).groupBy("run_id", "chunk").agg(F.count("*").alias("n"))
 
 
@@ -119,7 +120,7 @@ def win11(spark, sf_dir):
 @query("win12_streaks", "select run_id, max(n) as longest from (select run_id, g, count(*) as n from (select run_id, hit, sum(hit) over (partition by run_id order by ev) as g from frame_stream) where hit = 0 group by run_id, g) group by run_id", "frame_stream")
 def win12(spark, sf_dir):
     """Longest run of consecutive misses (gaps and islands)."""
-    g = F.sum("hit").over(BY_EV.rowsBetween(Window.unboundedPreceding, 0))
+    g = F.sum("hit").over(by_ev().rowsBetween(Window.unboundedPreceding, 0))
     s = stream_rows(spark, sf_dir).select("run_id", "hit", g.alias("g")).where("hit = 0").groupBy("run_id", "g").agg(F.count("*").alias("n"))
     return s.groupBy("run_id").agg(F.max("n").alias("longest"))
 
@@ -132,7 +133,7 @@ def win13(spark, sf_dir):
 @query("exp07_resolution_limit", "select run_id, max(ev) as last_ok from (select run_id, ev, min(case when n_peaks >= 2 then 1 else 0 end) over (partition by run_id order by ev) as ok from frame_stream) where ok = 1 group by run_id", "frame_stream")
 def exp07(spark, sf_dir):
     """Last shell before the first that fails: a running minimum of the test."""
-    ok = F.min(F.when(F.col("n_peaks") >= 2, 1).otherwise(0)).over(BY_EV.rowsBetween(Window.unboundedPreceding, 0))
+    ok = F.min(F.when(F.col("n_peaks") >= 2, 1).otherwise(0)).over(by_ev().rowsBetween(Window.unboundedPreceding, 0))
     return stream_rows(spark, sf_dir).select("run_id", "ev", ok.alias("ok")).where("ok = 1").groupBy("run_id").agg(F.max("ev").alias("last_ok"))
 
 
@@ -157,7 +158,7 @@ def join07(spark, sf_dir):
     select run_id, ev, 1000.0/(120*greatest(avg(cast(hit as double)) over (partition by run_id order by ev rows between 255 preceding and current row), 0.02)) - 8.7 as b from frame_stream)) group by run_id""", "frame_stream")
 def str14(spark, sf_dir):
     """Depth tier that the frame rate affords: budget = 1000 / (rate x hit) - overhead ms."""
-    rate = F.greatest(F.avg(F.col("hit").cast("double")).over(BY_EV.rowsBetween(-255, 0)), F.lit(0.02))
+    rate = F.greatest(F.avg(F.col("hit").cast("double")).over(by_ev().rowsBetween(-255, 0)), F.lit(0.02))
     b = 1000.0 / (120 * rate) - 8.7
     tier = F.when(b >= 0.94, 3).when(b >= 0.40, 2).when(b >= 0.27, 1).otherwise(0)
     return stream_rows(spark, sf_dir).select("run_id", tier.alias("tier")).groupBy("run_id").agg(F.max("tier").alias("deepest"), F.count_if(F.col("tier") >= 2).alias("deep"))
@@ -173,7 +174,7 @@ def str13(spark, sf_dir):
 @query("str22_reference_frames", "select run_id, count(*) as n from (select run_id, row_number() over (partition by run_id order by ev) as i from frame_stream) where i % 50 = 0 group by run_id", "frame_stream")
 def str22(spark, sf_dir):
     """Every fiftieth frame of a run as a reference."""
-    return stream_rows(spark, sf_dir).select("run_id", F.row_number().over(BY_EV).alias("i")).where("i % 50 = 0").groupBy("run_id").agg(F.count("*").alias("n"))
+    return stream_rows(spark, sf_dir).select("run_id", F.row_number().over(by_ev()).alias("i")).where("i % 50 = 0").groupBy("run_id").agg(F.count("*").alias("n"))
 
 
 @query("join14_triplets", "select x.frame_id, count(*) as n from cells x join cells y on x.frame_id = y.frame_id and x.hyp_id < y.hyp_id join cells z on z.frame_id = y.frame_id and y.hyp_id < z.hyp_id where abs(x.a*y.b*z.c) >= 0.1*(x.a+x.b)*(y.b+y.c)*z.c group by x.frame_id", "cells")

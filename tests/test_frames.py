@@ -50,7 +50,7 @@ def test_blind_finds_planted_cells():
     hits = 0
     for frame in range(6):
         q, *_ = synthetic.shot(frame, CELL)
-        got = X.blind(q, SMALL)
+        got = X.blind(q)
         hits += any(R.same(want, np.array(R.fingerprint(m))[None])[0] for m, _ in got)
         assert [s for _, s in got] == sorted((s for _, s in got), reverse=True)
     assert hits >= 4
@@ -136,8 +136,8 @@ def test_stream_round_trip(spark, tmp_path):
     from stillframe.sinks import text as sinks
     from stillframe.sources import text as sources
 
-    m = [50.0, 0, 0, 0, 60.0, 0, 0, 0, 70.0]
-    results = spark.createDataFrame([(0, "a.h5", 3, m), (1, "a.h5", 4, None), (2, "b.h5", 5, [1.0, 2, 3, 2, 4, 6, 3, 6, 9])], "serial long, image string, event long, m array<double>")
+    m = [50.0, 0.0, 0.0, 0.0, 60.0, 0.0, 0.0, 0.0, 70.0]
+    results = spark.createDataFrame([(0, "a.h5", 3, m), (1, "a.h5", 4, None), (2, "b.h5", 5, [1.0, 2.0, 3.0, 2.0, 4.0, 6.0, 3.0, 6.0, 9.0])], "serial long, image string, event long, m array<double>")
     refl = spark.createDataFrame([(0, 1, 2, 3, 10.0, 1.0, 5.0, 2.0, 7.5, 8.5, "p0"), (0, -1, 0, 3, 1.0, 1.0, 5.0, 2.0, 7.5, 8.5, "p0")], "serial long, h int, k int, l int, i double, sigma double, peak double, bg double, fs double, ss double, panel string")
     out = str(tmp_path / "s")
     sinks.write_ordered(sinks.stream_chunks(results, refl), out)
@@ -289,7 +289,8 @@ def test_gate_withdraws(spark):
 
     p = synthetic.shots(spark, 2, CELL)
     m = synthetic.shot(0, CELL)[3].ravel().tolist()
-    r = spark.createDataFrame([(0, m), (1, m)], "frame_id long, m array<double>")
+    wrong = np.diag([211.0, 307.0, 401.0]).ravel().tolist()
+    r = spark.createDataFrame([(0, m), (1, wrong)], "frame_id long, m array<double>")
     got = {x.frame_id: (x.m is None, x.withdrawn) for x in gate(r, p).collect()}
     assert got == {0: (False, False), 1: (True, True)}
 
