@@ -1,0 +1,82 @@
+"""Fourier, powder and refinement searches as queries on planted data."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+from stillframe.kernels import fourier, indexing, powder, refine
+from stillframe.kernels.reduction import fingerprint, same
+from stillframe.operators.perframe import CELL, Q, per_frame
+from stillframe.plans.registry import query
+from stillframe.sources import synthetic
+
+
+@query("krn16_fourier_search")
+def krn16(spark, sf_dir):
+    """Cells from the Fourier volume of planted frames."""
+    want = np.array(fingerprint(CELL))
+
+    def fn(_: int, rows: pd.DataFrame) -> pd.DataFrame:
+        q = rows[Q].to_numpy(float)
+        m = fourier.search(q)
+        f = None if m is None else fingerprint(m)
+        return pd.DataFrame({"found": [f is not None], "right": [f is not None and bool(same(want, np.array(f)[None])[0])], "n_matched": [indexing.matched(m, q)]})
+
+    return per_frame(synthetic.shots(spark, 8, CELL, n_peaks=90), fn, "found boolean, right boolean, n_matched int")
+
+
+@query("prj32_candidate_features")
+def prj32(spark, sf_dir):
+    """Features of the true axes of planted frames."""
+
+    def fn(frame: int, rows: pd.DataFrame) -> pd.DataFrame:
+        m = synthetic.shot(frame, CELL)[3]
+        return pd.DataFrame([{"axis": k} | {n: round(v, 5) for n, v in fourier.features(rows[Q].to_numpy(float), m[:, k]).items()} for k in range(3)])
+
+    return per_frame(synthetic.shots(spark, 4, CELL), fn, "axis int, fringe double, inliers double, median_miss double, length double, sharpness double, at_double double, at_half double")
+
+
+@query("krn22_refine_shape")
+def krn22(spark, sf_dir):
+    """Perturbed bases of planted frames refined under the tetragonal shape."""
+
+    def fn(frame: int, rows: pd.DataFrame) -> pd.DataFrame:
+        m = synthetic.shot(frame, CELL)[3]
+        start = m @ (np.eye(3) + np.random.default_rng([5, frame]).normal(scale=2e-3, size=(3, 3)))
+        q = rows[Q].to_numpy(float)
+        got = refine.refine(start, q, "tetragonal")
+        return pd.DataFrame({"before": [indexing.matched(start, q, 0.05)], "after": [indexing.matched(got, q, 0.05)], "in_shape": [refine.deviation("tetragonal", got)[0] < 1e-9], "a_error": [abs(float(np.linalg.norm(got[:, 0])) - 79.0)]})
+
+    return per_frame(synthetic.shots(spark, 8, CELL), fn, "before int, after int, in_shape boolean, a_error double").withColumn("a_error", F.round("a_error", 3))
+
+
+@query("krn29_powder")
+def krn29(spark, sf_dir):
+    """Cells from planted line positions, one pattern a frame."""
+    cells = {0: ("cubic", (5.43,) * 3), 1: ("tetragonal", (4.6, 4.6, 2.96)), 2: ("orthorhombic", (4.9, 7.9, 5.7)), 3: ("hexagonal", (4.9, 4.9, 5.4))}
+
+    def fn(frame: int, _: pd.DataFrame) -> pd.DataFrame:
+        system, lengths = cells[frame]
+        g = powder.indices(6)
+        metric = np.array(lengths) ** -2.0
+        t = powder.SYSTEMS[system](*g.T)
+        p = {"cubic": metric[:1], "tetragonal": metric[[0, 2]], "orthorhombic": metric, "hexagonal": np.array([4 / 3 * metric[0], metric[2]])}[system]
+        lines = np.unique(np.round(t @ p, 9))[:20]
+        got = powder.index_lines(lines)
+        return pd.DataFrame({"planted": [system], "best": [got[0][1]], "m20": [round(got[0][0], 1)], "volume_ratio": [round(float(np.prod(got[0][2]) / np.prod(lengths)), 4)]})
+
+    return per_frame(spark.range(4).select(F.col("id").alias("frame_id")), fn, "planted string, best string, m20 double, volume_ratio double")
+
+
+@query("krn30_profile_peaks")
+def krn30(spark, sf_dir):
+    """Prominent maxima of the radial profile of the test image."""
+    from stillframe.operators.imaging import agg21
+
+    def fn(_: int, rows: pd.DataFrame) -> pd.DataFrame:
+        r = rows.sort_values("bin")
+        return pd.DataFrame({"at": powder.profile_peaks(r["bin"].to_numpy(float), r["mean"].to_numpy(float))})
+
+    return per_frame(agg21(spark, sf_dir).withColumn("frame_id", F.lit(0).cast("long")), fn, "at double")

@@ -304,3 +304,32 @@ def test_partiality_and_negative_intensities(spark):
     s = {r.frame: r.scale for r in frame_scale(m).collect()}
     assert s[1] is not None and s[2] is None and s[3] is None
     assert merge_sums(m, "mmm", F.lit(0)).agg(F.sum("n")).first()[0] == 10
+
+
+def test_fourier_search_and_refinement():
+    from stillframe.kernels import fourier, refine
+
+    want = np.array(R.fingerprint(CELL))
+    for frame_id in range(3):
+        q = synthetic.shot(frame_id, CELL, n_peaks=90)[0]
+        m = fourier.search(q)
+        assert m is not None and R.same(want, np.array(R.fingerprint(m))[None])[0]
+    assert fourier.search(np.zeros((3, 3))) is None
+    q, m = synthetic.shot(1, CELL)[0], synthetic.shot(1, CELL)[3]
+    start = m @ (np.eye(3) + np.random.default_rng(1).normal(scale=2e-3, size=(3, 3)))
+    got = refine.refine(start, q, "tetragonal")
+    assert refine.deviation("tetragonal", got)[0] < 1e-9 and X.matched(got, q, 0.05) > X.matched(start, q, 0.05)
+    assert abs(np.linalg.norm(got[:, 0]) - 79) < 0.1 and abs(np.linalg.norm(got[:, 2]) - 38) < 0.1
+
+
+def test_powder():
+    from stillframe.kernels import powder
+
+    lengths = (4.6, 4.6, 2.96)
+    g = powder.indices(6)
+    lines = np.unique(np.round(powder.SYSTEMS["tetragonal"](*g.T) @ np.array(lengths)[[0, 2]] ** -2.0, 9))[:20]
+    best = powder.index_lines(lines)[0]
+    assert best[1] == "tetragonal" and np.allclose(best[2], lengths, rtol=1e-4) and best[0] > 100
+    x = np.arange(200.0)
+    y = 0.1 * x + 50 * np.exp(-((x - 60) ** 2) / 20) + 30 * np.exp(-((x - 140) ** 2) / 20)
+    assert np.allclose(powder.profile_peaks(x, y), [60, 140], atol=1)
