@@ -23,7 +23,7 @@ SPACE = "▁"
 #: What an unknown character's score lies below the least piece score (fixed value).
 UNKNOWN_PENALTY = 10.0
 #: Segments whose ids a worker remembers, at most.
-MEMO = 200_000
+MEMO = 600_000
 #: Positions without a certain boundary after which paths are followed back to find one.
 LOOK_BACK = 256
 
@@ -138,8 +138,12 @@ class Codec:
     """Encodes and decodes texts; equal segments are searched once while remembered."""
 
     def __init__(self, path: str):
-        self.v = Vocabulary(path)
+        self.v = v = Vocabulary(path)
         self.memo: dict[str, bytes] = {}
+        raw = {i: bytes([b]) for b, i in v.bytes.items()}
+        #: What each id stands for; unknown and control ids for nothing.
+        self.table = [raw.get(i, v.model.id_to_piece(i).encode() if i in v.scores else b"") for i in range(v.model.vocab_size())]
+        self.leads = v.normalize("a").startswith(SPACE)
 
     def _segment(self, s: str) -> bytes:
         got = self.memo.get(s)
@@ -167,22 +171,19 @@ class Codec:
             out.append(blanks)
         return out
 
+    def encode_form(self, form: str) -> bytes:
+        """Ids of a normal form as little-endian unsigned 32-bit integers."""
+        return b"".join(map(self._segment, self.segments(form)))
+
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self._segment, self.segments(self.v.normalize(text)))) if text else b""
+        return self.encode_form(self.v.normalize(text)) if text else b""
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: byte pieces joined and read as UTF-8, blanks restored, the
         leading one taken off."""
-        model, raw = self.v.model, {i: b for b, i in self.v.bytes.items()}
-        out = bytearray()
-        for i in np.frombuffer(ids, "<u4").tolist():
-            if i in raw:
-                out.append(raw[i])
-            elif i != self.v.unknown:
-                out += model.id_to_piece(i).encode()
+        out = b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
         text = out.decode(errors="replace").replace(SPACE, " ")
-        return text[1:] if text.startswith(" ") and self.v.normalize("a").startswith(SPACE) else text
+        return text[1:] if self.leads and text.startswith(" ") else text
 
 
 _CODECS: dict[str, Codec] = {}
@@ -231,11 +232,12 @@ def round_trip(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "te
             for first, texts in tokens.by_bytes(batch.column(1)):
                 rows = []
                 for t in texts:
-                    ids = c.encode(t)
-                    lost = ids and int((np.frombuffer(ids, "<u4") == c.v.unknown).sum())
-                    form = c.v.normalize(t).replace(SPACE, " ") if t else ""
+                    form = c.v.normalize(t) if t else ""
+                    ids = c.encode_form(form)
+                    lost = int((np.frombuffer(ids, "<u4") == c.v.unknown).sum())
+                    plain_form = form.replace(SPACE, " ")
                     again = c.decode(ids)
-                    rows.append((len(t), len(ids) >> 2, int(lost or 0), zlib.crc32(ids), again in (form, form[1:] if form.startswith(" ") else form)))
+                    rows.append((len(t), len(ids) >> 2, lost, zlib.crc32(ids), again in (plain_form, plain_form[1:] if plain_form.startswith(" ") else plain_form)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), *(pa.array(x) for x in zip(*rows))], names=names)
 
     plain = df.select(F.col(f"`{doc_id}`").alias("doc_id"), text_or_empty(F.col(f"`{text}`")).alias("text"))
