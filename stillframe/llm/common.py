@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,9 +38,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished passes now: they go when the driver
-    collects the garbage of their plans, which it otherwise puts off."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    collects the garbage of their plans, which it otherwise puts off.  The second round
+    finds what the first one's messages from Python let go."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def shuffle_parts(spark: SparkSession) -> int:
