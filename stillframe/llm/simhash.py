@@ -318,36 +318,28 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 
 #: Min-hashes of a sketch, one byte each.
 SKETCH = 256
-#: Similarity of word shingles from which near copies link.  The share of equal sketch
-#: bytes has a standard error of 0.025 there, and pairs within one of it link too.
+#: Similarity of word shingles from which near copies link.
 SIMILAR = 0.8
-#: Differing bits up to which ``keep_one`` looks for candidates.
-CANDIDATE_BITS = 7
+#: Bands of min-hashes miss a pair of exactly the wanted similarity with this chance at most
+#: (1.6e-9 at 0.8), one above it more seldom.
+MISS = 1e-8
+#: By how much a sketch may fall short of the wanted similarity: its standard error.
+SLACK = 0.025
+#: Documents of one band value beyond which the comparison is split into a grid of tasks.
+HEAVY_BAND = 2048
 
 
-def content_fingerprint(words: list[bytes]) -> int:
-    """SimHash of a text's distinct words of more than four bytes (all, if none is): edits
-    change this set least, and texts apart share few of them."""
-    import xxhash
-
-    chosen = {w for w in words if len(w) > 4} or set(words)
-    if not chosen:
-        return 0
-    h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in chosen), dtype="<u8", count=len(chosen))
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(h), 1 << 16):
-        ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
-
-
-def sketch(words: list[bytes], width: int) -> bytes:
-    """A byte of each of ``SKETCH`` min-hashes over the distinct shingles of ``width`` words
-    (fewer words: one shingle)."""
+def shingles(words: list[bytes], width: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of ``width`` words (fewer words: one shingle)."""
     import xxhash
 
     n = max(1, len(words) - width + 1)
     joined = {b" ".join(words[i : i + width]) for i in range(n)}
-    h = np.fromiter(map(xxhash.xxh64_intdigest, joined), dtype=np.uint64, count=len(joined))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, joined), dtype="<u8", count=len(joined)))
+
+
+def sketch(h: np.ndarray) -> bytes:
+    """A byte of each of ``SKETCH`` min-hashes over a set of hashes."""
     mul, add = _MULTIPLIERS
     low = np.full(SKETCH, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(h), 2048):
@@ -365,49 +357,130 @@ _MULTIPLIERS = _multipliers()
 
 
 def with_sketches(df: DataFrame, columns: list[str], text: str, width: int) -> DataFrame:
-    """``columns`` of ``df``, _fp (content fingerprint), sketch and node (a hash of both)."""
+    """``columns`` of ``df``, sketch and node (a hash of the shingle set)."""
     plain = df.select(*columns, text_or_empty(text).alias("_text"))
-    schema = plain.drop("_text").schema.add("_fp", "long").add("sketch", "binary").add("node", "long")
+    schema = plain.drop("_text").schema.add("sketch", "binary").add("node", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
-            fps, sketches = [], []
-            for i in range(len(texts)):
-                words = texts[i].as_py().encode().lower().split()
-                fps.append(content_fingerprint(words))
-                sketches.append(sketch(words, width))
-            signed = np.array(fps, dtype=np.uint64).view(np.int64)
-            nodes = np.array([xxhash.xxh64_intdigest(s, f) for f, s in zip(fps, sketches)], dtype=np.uint64).view(np.int64)
+            sets = (shingles(texts[i].as_py().encode().lower().split(), width) for i in range(len(texts)))
+            made = [(sketch(h), xxhash.xxh64_intdigest(h.tobytes())) for h in sets]
+            nodes = np.array([n for _, n in made], dtype=np.uint64).view(np.int64)
             cols = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(signed), pa.array(sketches, pa.binary()), pa.array(nodes)], names=[*columns, "_fp", "sketch", "node"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([s for s, _ in made], pa.binary()), pa.array(nodes)], names=[*columns, "sketch", "node"])
 
     return plain.mapInArrow(run, schema)
 
 
-def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similar: float = SIMILAR, bits: int = CANDIDATE_BITS, heavy: int = HEAVY) -> DataFrame:
+def band_width(similar: float) -> int:
+    """Min-hashes of a band: as many as miss a pair of that similarity with a chance below
+    ``MISS`` when all bands of a sketch are looked at (one, if none does)."""
+    return max((r for r in range(1, 7) if (1 - similar**r) ** (SKETCH // r) < MISS), default=1)
+
+
+def _band_rows(nodes: DataFrame, wide: int) -> DataFrame:
+    """(band, node): a value for each band of the sketches, which holds the band's number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = SKETCH // wide
+        for batch in batches:
+            for at in range(0, len(batch), 10_000):
+                part = batch.slice(at, 10_000)
+                sk = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)[:, : n * wide].reshape(-1, n, wide)
+                key = np.broadcast_to(np.arange(n, dtype=np.int64) << 48, sk.shape[:2]).copy()
+                for k in range(wide):
+                    key |= sk[:, :, k].astype(np.int64) << (8 * k)
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), n))], names=["band", "node"])
+
+    return nodes.select("node", "sketch").mapInArrow(run, "band long, node long")
+
+
+def _grid(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``parts``, each dealt to cells (i, j) so that any two of its group meet in one."""
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    cells = rows.withColumns({"p": part, "q": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))})
+    return cells.withColumns({"i": F.least("p", "q"), "j": F.greatest("p", "q")}).drop("p", "q", "parts")
+
+
+def _cells(batches: Iterator[pa.RecordBatch], key: str) -> tuple[pa.Table, list[np.ndarray]] | None:
+    """The table of a task and the rows of each of its cells, a node once."""
+    got = list(batches)
+    if not got:
+        return None
+    table = pa.Table.from_batches(got)
+    cols = [table.column(n).to_numpy() for n in ("node", "j", "i", key)]
+    order = np.lexsort(cols)
+    node, *where = (c[order] for c in cols)
+    new = np.r_[True, np.any([w[1:] != w[:-1] for w in where], axis=0)] if len(order) else np.zeros(0, dtype=bool)
+    once = new | np.r_[True, node[1:] != node[:-1]] if len(order) else new
+    return table, np.split(order[once], np.flatnonzero(new[once])[1:])
+
+
+def _edges(node: np.ndarray, left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    if left:
+        pairs = np.unique(np.sort(np.stack([node[np.concatenate(left)], node[np.concatenate(right)]], axis=1), axis=1), axis=0)
+        for at in range(0, len(pairs), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[at : at + (1 << 16), k].copy()) for k in (0, 1)], names=["a", "b"])
+
+
+def sketch_links(nodes: DataFrame, similar: float, heavy: int = HEAVY_BAND) -> DataFrame:
+    """Edges (a, b) over ``nodes`` (node, sketch) whose components hold both nodes of every
+    pair that is ``similar``, as the sketches of those that agree in a band tell."""
+    spark = nodes.sparkSession
+    wide = band_width(similar)
+    least = (similar - SLACK) * 255 / 256 + 1 / 256
+    bands = _band_rows(nodes, wide)
+    several = checkpoint(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
+    rows = several.agg(F.sum(F.col("n") * F.ceil(F.col("n") / heavy))).first()[0] or 0
+    met = bands.join(several.select("band", F.ceil(F.col("n") / heavy).cast("int").alias("parts")), "band")
+    dealt = _grid(met.join(nodes.select("node", "sketch"), "node"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (got := _cells(batches, "band")) is None:
+            return
+        table, cells = got
+        node = table.column("node").to_numpy()
+        sk = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(node), SKETCH)
+        left, right, small = [], [], {}
+        for c in cells:
+            if len(c) <= 8:
+                small.setdefault(len(c), []).append(c)
+                continue
+            for u, v in forest(len(c), lambda u, rest, c=c: (sk[c[rest]] == sk[c[u]]).mean(axis=1) >= least):
+                left.append(np.full(len(v), c[u]))
+                right.append(c[v])
+        for n, group in small.items():
+            if n > 1:
+                a, b = (np.stack(group)[:, k].ravel() for k in np.triu_indices(n, 1))
+                one = np.unique(np.stack([node[a], node[b]], axis=1), axis=0, return_index=True)[1]
+                for at in range(0, len(one), 1 << 16):
+                    x, y = a[one[at : at + (1 << 16)]], b[one[at : at + (1 << 16)]]
+                    near = (sk[x] == sk[y]).mean(axis=1) >= least
+                    left.append(x[near])
+                    right.append(y[near])
+        yield from _edges(node, left, right)
+
+    tasks = max(shuffle_parts(spark), -(-rows // (ROWS_PER_TASK // 8)))
+    return dealt.repartition(tasks, "band", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similar: float = SIMILAR, heavy: int | None = None) -> DataFrame:
     """The rows of ``df`` with one document of each group of near copies: the one of the
     smallest id (null ids last), then of the smallest row hash.
 
     Documents link if their sets of ``width``-word shingles are ``similar`` or more, as
-    their sketches tell, and a group is what links connect.  Candidates come from
-    SimHash: content fingerprints that differ in at most ``bits`` bits, found by anchors;
-    only documents that have such a neighbour are compared by sketches.  Null texts
-    count as empty; texts without words are one group; repeated rows count once.
+    their sketches tell, and a group is what links connect.  Candidates are those that
+    agree in a band of min-hashes.  Null texts count as empty; texts without words are one group; repeated rows count once.
     """
     plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))  # own names cannot clash
     ids, texts = (F.col(f"c{df.columns.index(n)}") for n in (doc_id, text))
     keyed = plain.select("*", *row_key(*(F.col(c) for c in plain.columns)))
     marks = checkpoint(with_sketches(keyed.select(ids.alias("_id"), texts.alias("_t"), "_k1", "_k2"), ["_id", "_k1", "_k2"], "_t", width))
-    nodes = checkpoint(marks.groupBy("node").agg(F.min("_fp").alias("_fp"), F.min("sketch").alias("sketch")))
-    distinct = checkpoint(nodes.groupBy("_fp").agg(F.count("*").alias("n")))
-    near = components(links(distinct.select("_fp"), distinct.count(), bits, heavy)).select(F.col("node").alias("_fp"))
-    several = distinct.where("n > 1").select("_fp")
-    chosen = checkpoint(nodes.join(near.unionByName(several).distinct(), "_fp", "left_semi"))
-    share = (similar - 0.025) * 255 / 256 + 1 / 256
-    roots = components(links(chosen, chosen.count(), bits, heavy, least=share))
+    nodes = checkpoint(marks.groupBy("node").agg(F.min("sketch").alias("sketch"), F.min(F.struct("_k1", "_k2")).alias("row")))
+    roots = components(sketch_links(nodes, similar, heavy or HEAVY_BAND))
     grouped = marks.select("_id", "_k1", "_k2", "node").join(roots, "node", "left").withColumn("_group", F.coalesce("root", "node"))
     best = F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("id"), F.col("_k1").alias("k1"), F.col("_k2").alias("k2")))
     win = grouped.groupBy("_group").agg(best.alias("w")).select(F.col("w.k1").alias("_k1"), F.col("w.k2").alias("_k2"))
