@@ -323,10 +323,11 @@ SIMILAR = 0.8
 #: Bands of min-hashes miss a pair of exactly the wanted similarity with this chance at most
 #: (1.6e-9 at 0.8), one above it more seldom.
 MISS = 1e-8
-#: By how much a sketch may fall short of the wanted similarity: its standard error.
-SLACK = 0.025
-#: Documents of one band value beyond which the comparison is split into a grid of tasks.
-HEAVY_BAND = 2048
+#: Standard errors by which a sketch may fall short of the wanted similarity.
+SLACK = 8
+#: Documents of one band value, and of one group of alike sketches, beyond which the
+#: comparison is split into a grid of tasks; bytes of shingle sets for the latter.
+HEAVY_BAND, HEAVY_SETS, SET_BYTES = 2048, 512, 8 << 20
 
 
 def shingles(words: list[bytes], width: int) -> np.ndarray:
@@ -428,10 +429,11 @@ def _edges(node: np.ndarray, left: list[np.ndarray], right: list[np.ndarray]) ->
 
 def sketch_links(nodes: DataFrame, similar: float, heavy: int = HEAVY_BAND) -> DataFrame:
     """Edges (a, b) over ``nodes`` (node, sketch) whose components hold both nodes of every
-    pair that is ``similar``, as the sketches of those that agree in a band tell."""
+    pair that is ``similar``: those that agree in a band and whose sketches are as alike
+    as ``SLACK`` standard errors below it."""
     spark = nodes.sparkSession
     wide = band_width(similar)
-    least = (similar - SLACK) * 255 / 256 + 1 / 256
+    least = similar - SLACK * (similar * (1 - similar) / SKETCH) ** 0.5
     bands = _band_rows(nodes, wide)
     several = checkpoint(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
     rows = several.agg(F.sum(F.col("n") * F.ceil(F.col("n") / heavy))).first()[0] or 0
@@ -467,20 +469,79 @@ def sketch_links(nodes: DataFrame, similar: float, heavy: int = HEAVY_BAND) -> D
     return dealt.repartition(tasks, "band", "i", "j").mapInArrow(run, "a long, b long")
 
 
+def set_links(sets: DataFrame, similar: float, heavy: int = HEAVY_SETS) -> DataFrame:
+    """Edges (a, b) with the components of all pairs of one ``root`` whose shingle sets have a
+    Jaccard similarity of ``similar`` or more; sets: node, root, set (materialised)."""
+    spark = sets.sparkSession
+    size = F.greatest(F.countDistinct("node") / heavy, F.sum(F.length("set")) / SET_BYTES)
+    groups = checkpoint(sets.groupBy("root").agg(F.ceil(size).cast("int").alias("parts"), F.sum(F.length("set")).alias("bytes")))
+    n_bytes = groups.agg(F.sum(F.col("bytes") * F.col("parts"))).first()[0] or 0
+    dealt = _grid(sets.join(groups.select("root", "parts"), "root"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (got := _cells(batches, "root")) is None:
+            return
+        table, cells = got
+        node = table.column("node").to_numpy()
+        data = table.column("set")
+        left, right = [], []
+        for c in cells:
+            if len(c) < 2:
+                continue
+            own = [np.frombuffer(data[int(k)].as_py(), dtype="<u8") for k in c]
+            sizes = np.array([len(x) for x in own])
+            first = np.r_[0, np.cumsum(sizes)[:-1]]
+            names, codes = np.unique(np.concatenate(own), return_inverse=True)
+            mark = np.zeros(len(names), dtype=np.int32)
+
+            def test(u: int, rest: np.ndarray) -> np.ndarray:
+                mine = codes[first[u] : first[u] + sizes[u]]
+                mark[mine] = 1
+                both = np.add.reduceat(mark[codes], first)[rest]
+                mark[mine] = 0
+                return both / (sizes[u] + sizes[rest] - both) >= similar
+
+            for u, v in forest(len(c), test):
+                left.append(np.full(len(v), c[u]))
+                right.append(c[v])
+        yield from _edges(node, left, right)
+
+    tasks = max(shuffle_parts(spark), -(-n_bytes // (2 * SET_BYTES)))
+    return dealt.repartition(tasks, "root", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def with_sets(df: DataFrame, columns: list[str], text: str, width: int) -> DataFrame:
+    """``columns`` of ``df`` and set: the hashes of the text's shingles."""
+    plain = df.select(*columns, text_or_empty(text).alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1)
+            sets = [shingles(texts[i].as_py().encode().lower().split(), width).tobytes() for i in range(len(texts))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(sets, pa.binary())], names=[*columns, "set"])
+
+    return plain.mapInArrow(run, plain.drop("_text").schema.add("set", "binary"))
+
+
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similar: float = SIMILAR, heavy: int | None = None) -> DataFrame:
     """The rows of ``df`` with one document of each group of near copies: the one of the
     smallest id (null ids last), then of the smallest row hash.
 
-    Documents link if their sets of ``width``-word shingles are ``similar`` or more, as
-    their sketches tell, and a group is what links connect.  Candidates are those that
-    agree in a band of min-hashes.  Null texts count as empty; texts without words are one group; repeated rows count once.
+    Documents link if the Jaccard similarity of their sets of ``width``-word shingles (as
+    64-bit hashes) is ``similar`` or more, and a group is what links connect.  Sketches
+    only say which documents may link: those that agree in a band of min-hashes, with
+    slack; within what these connect, the sets themselves are compared.  Null texts
+    count as empty; texts without words are one group; repeated rows count once.
     """
     plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))  # own names cannot clash
     ids, texts = (F.col(f"c{df.columns.index(n)}") for n in (doc_id, text))
     keyed = plain.select("*", *row_key(*(F.col(c) for c in plain.columns)))
     marks = checkpoint(with_sketches(keyed.select(ids.alias("_id"), texts.alias("_t"), "_k1", "_k2"), ["_id", "_k1", "_k2"], "_t", width))
     nodes = checkpoint(marks.groupBy("node").agg(F.min("sketch").alias("sketch"), F.min(F.struct("_k1", "_k2")).alias("row")))
-    roots = components(sketch_links(nodes, similar, heavy or HEAVY_BAND))
+    may = components(sketch_links(nodes, similar, heavy or HEAVY_BAND))
+    rows = nodes.join(may, "node").select("node", "root", F.col("row._k1").alias("_k1"), F.col("row._k2").alias("_k2"))
+    sets = checkpoint(with_sets(keyed.select("_k1", "_k2", texts.alias("_t")).join(rows, ["_k1", "_k2"]), ["node", "root"], "_t", width))
+    roots = components(set_links(sets, similar, heavy or HEAVY_SETS))
     grouped = marks.select("_id", "_k1", "_k2", "node").join(roots, "node", "left").withColumn("_group", F.coalesce("root", "node"))
     best = F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("id"), F.col("_k1").alias("k1"), F.col("_k2").alias("k2")))
     win = grouped.groupBy("_group").agg(best.alias("w")).select(F.col("w.k1").alias("_k1"), F.col("w.k2").alias("_k2"))
