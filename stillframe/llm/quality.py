@@ -132,19 +132,22 @@ def _covers(rule: list, x: np.ndarray, names: list[str]) -> np.ndarray:
     return ok
 
 
-def learn_rules(x: np.ndarray, bad: np.ndarray, names: list[str], fold: np.ndarray, most_rules: int = 24, most_conditions: int = 4, precision: float = 0.97, least: int = 5, cuts: int = 64) -> list[Rule]:
+def learn_rules(x: np.ndarray, bad: np.ndarray, names: list[str], fold: np.ndarray, most_rules: int = 24, most_conditions: int = 4, precision: float = 0.97, least: int = 5) -> list[Rule]:
     """Sequential covering: an ordered list of conjunctions that cover the ``bad`` rows.
 
     A rule is grown on the rows of ``fold`` by the condition of the largest FOIL gain
     until it covers bad rows only or nothing gains; then its last conditions are pruned
     while that does not lower (p + 1) / (p + n + 2) on the other rows.  It stays if at
     least ``least`` bad rows and a share of ``precision`` are right on either part;
-    what it covers is removed and the next rule is grown.
+    what it covers is removed and the next rule is grown.  Else the bad rows it grew on are
+    set aside, so that other kinds of bad rows get their rules.  All edges are tried.
     """
     rules: list[Rule] = []
     left = np.ones(len(x), dtype=bool)
+    given_up = np.zeros(len(x), dtype=bool)
+    order = [np.argsort(x[:, k], kind="stable") for k in range(x.shape[1])]
     while len(rules) < most_rules:
-        grow, prune = left & fold, left & ~fold
+        grow, prune = left & fold & ~given_up, left & ~fold & ~given_up
         if not (grow & bad).any():
             break
         rule: list[tuple[str, bool, float]] = []
@@ -153,27 +156,26 @@ def learn_rules(x: np.ndarray, bad: np.ndarray, names: list[str], fold: np.ndarr
             p0, n0 = (inside & bad).sum(), (inside & ~bad).sum()
             best = (0.0, None)
             for k, name in enumerate(names):
-                v = x[inside, k]
-                b = bad[inside]
-                order = np.argsort(v, kind="stable")
-                v, b = v[order], b[order]
+                o = order[k][inside[order[k]]]
+                v, up = x[o, k], np.cumsum(bad[o])
+                seen = np.arange(1, len(v) + 1)
                 edge = np.flatnonzero(v[1:] > v[:-1])
-                if len(edge) > cuts:
-                    edge = np.unique(np.r_[edge[np.linspace(0, len(edge) - 1, cuts).astype(int)], edge[np.flatnonzero(np.diff(b[edge].astype(int)))][:cuts]])
-                up = np.cumsum(b)
-                for e in edge:
-                    mid = float((v[e] + v[e + 1]) / 2)
-                    for lower, p, n in ((False, up[e], e + 1 - up[e]), (True, up[-1] - up[e], len(v) - e - 1 - up[-1] + up[e])):
-                        if p < least:
-                            continue
-                        gain = p * (np.log2(p / (p + n)) - np.log2(p0 / (p0 + n0)))
-                        if gain > best[0] + 1e-9:
-                            best = (gain, (name, lower, mid))
+                for lower, p, n in ((False, up[edge], seen[edge]), (True, up[-1] - up[edge], len(v) - seen[edge])):
+                    e = np.flatnonzero(p >= least)
+                    if not len(e):
+                        continue
+                    gain = p[e] * (np.log2(p[e] / n[e]) - np.log2(p0 / (p0 + n0)))
+                    top = int(np.argmax(gain))
+                    if gain[top] > best[0] + 1e-9:
+                        at = edge[e[top]]
+                        best = (gain[top], (name, lower, float((v[at] + v[at + 1]) / 2)))
             if best[1] is None:
                 break
             rule.append(best[1])
             inside &= _covers(rule[-1:], x, names)
 
+        grown = list(rule)
+
         def worth(r: list) -> float:
             hit = prune & _covers(r, x, names)
             return ((hit & bad).sum() + 1) / (hit.sum() + 2)
@@ -182,8 +184,11 @@ def learn_rules(x: np.ndarray, bad: np.ndarray, names: list[str], fold: np.ndarr
             rule.pop()
         hit = left & _covers(rule, x, names)
         right = [(hit & part & bad).sum() / max(1, (hit & part).sum()) for part in (fold, ~fold)]
-        if not rule or (hit & bad).sum() < least or right[0] < precision or ((hit & ~fold).any() and right[1] < precision):
+        if not rule:
             break
+        if (hit & bad).sum() < least or right[0] < precision or ((hit & ~fold).any() and right[1] < precision):
+            given_up |= left & bad & _covers(grown, x, names)
+            continue
         rules.append(Rule(tuple(rule), int(hit.sum()), int((hit & bad).sum())))
         left &= ~hit
     return rules
