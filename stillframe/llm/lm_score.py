@@ -1,19 +1,24 @@
-"""Language-model scores by a probabilistic suffix tree over words.
-
-Counts of all words come from the whole corpus.  Documents are dealt into chunks of a
-few MB; a chunk sends each of its distinct words once, with its count, to the word's
-bucket, and gets the corpus count back.  The tree's contexts (the last 1, 2, ... words)
-are those whose share of all tokens is at least ``p_min``; so there are at most
-1 / p_min of each length, and the tree, but not the word table, fits on the driver
-whatever the corpus size.  A context is kept where the words that follow it diverge
-from those after its longest kept suffix; its distribution is smoothed by that one's.
+"""Language-model scores by a probabilistic suffix tree over words, kept as tables.
+
+The tree's contexts are the last 1, 2, ... words of a text (and its start).  A context of
+one length is a state if it was seen twice or more in training and the words that follow
+it diverge from what its longest suffix foretells; only states are made longer, so the
+test ends the growth and the depth follows the data.  A state's distribution is smoothed
+by its suffix's, and a token is scored in the longest state before it.
+
+Nothing of the tree is on the driver.  Documents are tokenized once into chunks of a few
+MB of text.  Chunks ask for sums: each sends its distinct keys (words, then hashes of a
+context and the next word, then hashes of contexts) with its own numbers to the keys'
+buckets, which add up over all chunks and send the sums back to those that asked.  So a
+key that every chunk has is one entry per chunk, packed in columns of numbers, and no
+group of rows is longer than the number of chunks.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,20 +26,20 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stillframe.llm.common import checkpoint, shuffle_parts, text_or_empty
+from stillframe.llm.common import checkpoint, row_key, shuffle_parts, text_or_empty
 
 #: Text bytes of a chunk of documents.
-CHUNK_BYTES = 12 << 20
-#: Distinct words times chunks that one bucket counts, about.
-BUCKET_WORDS = 1_000_000
-#: A tree node's context and its explicit next words have at least this share of all tokens.
-P_MIN = 2e-5
-DEPTH = 3
-#: Pseudo-count of the suffix state's distribution.
+CHUNK_BYTES = 16 << 20
+#: Keys (words, grams or contexts, counted for each chunk) that one bucket adds up, about.
+BUCKET_KEYS = 2_000_000
+#: Weight of the suffix's distribution in a state's, in observations.
 KAPPA = 5.0
-#: Normal quantile of the divergence test (about one false state in a thousand), and the
-#: least divergence in nats.
-Z_TEST, LEAST_DIVERGENCE = 3.09, 0.005
+#: A state's own distribution must foretell its training words this many times better than its
+#: suffix's, the odds of a Dirichlet prior of that mean and weight KAPPA, which is a divergence
+#: test that holds for few observations too.
+ODDS = 1000.0
+#: Least training occurrences of a state.
+LEAST = 2
 
 
 @dataclass
@@ -68,14 +73,74 @@ def tokenize(texts: pa.Array) -> Tokens:
     return Tokens(words, codes, firsts.astype(np.int64), np.repeat(np.arange(n), per))
 
 
-def cells(words: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, bucket of each in that order): words by bucket, then by their bytes."""
-    import xxhash
+def pack(values: np.ndarray) -> bytes:
+    """Numbers as compressed planes of bytes; whole ones in the fewest bytes."""
+    a = np.ascontiguousarray(values)
+    if a.dtype.kind in "iu" and len(a):
+        a = a.astype(np.min_scalar_type(int(a.max())), copy=False) if a.min() >= 0 else a.astype(np.int64)
+    planes = a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b""
+    body = pa.compress(planes, codec="zstd", asbytes=True) if planes else b""
+    return np.array([len(a)], dtype="<i8").tobytes() + a.dtype.str.encode().ljust(4) + body
+
+
+def unpack(data: bytes) -> np.ndarray:
+    n, kind = int(np.frombuffer(data, "<i8", 1)[0]), np.dtype(data[8:12].decode().strip())
+    if not n:
+        return np.zeros(0, dtype=kind)
+    planes = pa.decompress(data[12:], decompressed_size=n * kind.itemsize, codec="zstd", asbytes=True)
+    return np.frombuffer(planes, np.uint8).reshape(kind.itemsize, n).T.copy().view(kind).ravel()
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    return pack(np.r_[keys[:1], np.diff(keys)].astype(np.uint64)) if len(keys) else pack(keys)
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data).astype(np.uint64), dtype=np.uint64)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that scatters them (splitmix64's last step)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
 
-    order = pc.sort_indices(words.cast(pa.binary())).to_numpy().astype(np.int64)
-    bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words.take(pa.array(order)).to_pylist()), dtype=np.int64, count=len(order))
-    by = np.argsort(bucket, kind="stable")
-    return order[by], bucket[by]
+_STEP, _START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x243F6A8885A308D3)
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the gamma function of positive numbers (Stirling's series from 8 on)."""
+    x = np.array(x, dtype=float)
+    less = np.zeros_like(x)
+    for _ in range(8):
+        low = x < 8
+        if not low.any():
+            break
+        less[low] += np.log(x[low])
+        x[low] += 1
+    return (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - less
+
+
+def evidence(n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """What a next word seen ``n`` times, foretold as ``p``, adds to the log odds of a state."""
+    seen = n > 0
+    out = np.zeros(len(n))
+    k = KAPPA * p[seen]
+    out[seen] = log_gamma(n[seen] + k) - log_gamma(k) - n[seen] * np.log(p[seen])
+    return out
+
+
+def log_odds(added: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Log odds of states with ``n`` occurrences from their next words' summed ``evidence``."""
+    return added - log_gamma(n + KAPPA) + log_gamma(np.full(len(n), KAPPA))
+
+
+def in_buckets(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, bucket of each in that order): keys by bucket, then by size."""
+    bucket = (keys % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((keys, bucket))
+    return order, bucket[order]
 
 
 def _runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -84,296 +149,305 @@ def _runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield int(values[a]), int(a), int(b)
 
 
-@dataclass
-class Tree:
-    """The suffix tree in the form that scores tokens; see ``build``."""
-
-    words: list[str]
-    grams: list[np.ndarray] = field(default_factory=list)
-    state_of: list[np.ndarray] = field(default_factory=list)
-    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
-    logs: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    rest: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    parent: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
-
-    @property
-    def base(self) -> int:
-        """Symbols: the frequent words, then one for the start of a text (or a rare word)."""
-        return len(self.words) + 1
-
-    def symbols(self, t: Tokens) -> np.ndarray:
-        """Each token's frequent word, or -1."""
-        own = pc.fill_null(pc.index_in(t.words, value_set=pa.array(self.words, pa.string())), -1).to_numpy(zero_copy_only=False)
-        return own.astype(np.int64)[t.codes]
-
-    def contexts(self, t: Tokens, f: np.ndarray, depth: int) -> list[np.ndarray]:
-        """For lengths 1 to ``depth``, each token's context as a number, or -1."""
-        first = np.zeros(len(f), dtype=bool)
-        first[t.firsts] = True
-        before = np.r_[-1, f[:-1]]
-        g = np.where(first, len(self.words), before)
-        out = [g]
-        for k in range(depth - 1):
-            old = np.r_[-1, g[:-1]]
-            ok = (old >= 0) & (before >= 0) & ~first
-            g = np.full(len(f), -1, dtype=np.int64)
-            g[ok] = find(self.grams[k], old[ok] * self.base + before[ok])
-            out.append(g)
-        return out
-
-    def score(self, t: Tokens, base_logs: np.ndarray) -> np.ndarray:
-        """log10 probability of each token in its longest suffix state."""
-        f = self.symbols(t)
-        state = np.full(len(f), -1, dtype=np.int64)
-        for g, states in zip(self.contexts(t, f, len(self.state_of)), self.state_of):
-            own = np.where(g >= 0, states[np.maximum(g, 0)], -1) if len(states) else np.full(len(f), -1)
-            state = np.where(own >= 0, own, state)
-        out = base_logs.astype(float).copy()
-        todo = np.flatnonzero(state >= 0)
-        now, extra = state[todo], np.zeros(len(todo))
-        while len(todo):
-            at = find(self.keys, np.where(f[todo] >= 0, now * self.base + f[todo], -1))
-            hit = at >= 0
-            out[todo[hit]] = extra[hit] + self.logs[at[hit]]
-            todo, now, extra = todo[~hit], now[~hit], extra[~hit]
-            extra = extra + self.rest[now]
-            now = self.parent[now]
-            end = now < 0
-            out[todo[end]] += extra[end]
-            todo, now, extra = todo[~end], now[~end], extra[~end]
-        return out
-
-
-def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Places of keys in a sorted table, -1 where missing."""
-    if not len(table):
-        return np.full(len(keys), -1, dtype=np.int64)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[at] == keys, at, -1)
-
-
-def chi_square_bound(df: int) -> float:
-    """Upper quantile of the chi-square distribution (Wilson and Hilferty's form)."""
-    return df * (1 - 2 / (9 * df) + Z_TEST * math.sqrt(2 / (9 * df))) ** 3
-
-
-def build(words: list[str], counts: dict[str, int], total: int, distinct: int, levels: list[tuple[np.ndarray, dict[int, int], dict[int, dict[int, int]]]]) -> Tree:
-    """The tree from per-length tables (codes of contexts, totals, explicit next counts).
-
-    Level k's code is (context of length k - 1) * base + last word; level 1's table has
-    every symbol.  A state's explicit next words have p = (n + kappa p') / (total +
-    kappa) with p' the longest kept suffix's; all others share the rest in proportion
-    to p', so each state's probabilities add up to 1.
-    """
-    base = len(words) + 1
-    norm = total + 0.5 * (distinct + 1)
-    root = [(counts[w] + 0.5) / norm for w in words]
-    names: list[dict[int, tuple]] = []
-    kept: dict[tuple, int] = {}
-    explicit: list[dict[int, float]] = []
-    rest: list[float] = []
-    parent: list[int] = []
-
-    def p(state: int, x: int) -> float:
-        share = 1.0
-        while state >= 0:
-            if x in explicit[state]:
-                return share * explicit[state][x]
-            share *= rest[state]
-            state = parent[state]
-        return share * root[x]
-
-    state_of = []
-    for k, (codes, totals, nexts) in enumerate(levels):
-        names.append({g: (int(c),) if k == 0 else (*names[k - 1][int(c) // base], int(c) % base) for g, c in enumerate(codes)})
-        states = np.full(len(codes), -1, dtype=np.int64)
-        for g in sorted(nexts):
-            context, n = names[k][g], totals[g]
-            up = next((kept[context[i:]] for i in range(1, len(context)) if context[i:] in kept), -1)
-            after = nexts[g]
-            old = {x: p(up, x) for x in after}
-            left, old_left = 1 - sum(after.values()) / n, 1 - sum(old.values())
-            if old_left <= 1e-9:
-                continue
-            d = sum(c / n * math.log(c / n / old[x]) for x, c in after.items())
-            d += left * math.log(left / old_left) if left > 0 else 0.0
-            if d < LEAST_DIVERGENCE or 2 * n * d <= chi_square_bound(len(after)):
-                continue
-            kept[context] = states[g] = len(explicit)
-            explicit.append({x: (c + KAPPA * old[x]) / (n + KAPPA) for x, c in after.items()})
-            rest.append((n * left + KAPPA * old_left) / (n + KAPPA) / old_left)
-            parent.append(up)
-        state_of.append(states)
-    flat = sorted((s * base + x, math.log10(q)) for s, e in enumerate(explicit) for x, q in e.items())
-    return Tree(
-        words, [codes for codes, _, _ in levels[1:]], state_of,
-        np.array([k for k, _ in flat], dtype=np.int64), np.array([q for _, q in flat]),
-        np.log10(np.maximum(np.array(rest), 1e-300)), np.array(parent, dtype=np.int64),
-    )
+#: What chunks and buckets send each other: kind 0 asks, 1 answers, 2 is a chunk's own state
+#: (level: context length); a, b, c are packed numbers or words.
+NOTE = "chunk long, kind int, level int, bucket long, a binary, b binary, c binary, total long, distinct long"
+_FIELDS = [(n, {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in NOTE.split(", "))]
+
+
+def notes(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(_FIELDS)], names=[n for n, _ in _FIELDS])
+
 
+def requests(chunk: int, level: int, buckets: int, keys: np.ndarray, *values: np.ndarray) -> list[tuple]:
+    """Notes that ask for the sums of ``values`` over all chunks, for distinct keys."""
+    order, bucket = in_buckets(keys, buckets)
+    keys, values = keys[order], [v[order] for v in values]
+    return [(chunk, 0, level, b, pack_sorted(keys[i:j]), *(pack(v[i:j]) for v in values), *[None] * (2 - len(values)), 0, 0) for b, i, j in _runs(bucket)]
 
-def _slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    sizes = np.cumsum(pc.binary_length(batch.column(batch.num_columns - 1)).to_numpy(zero_copy_only=False).astype(np.int64)) if len(batch) else []
-    at = 0
-    while at < len(batch):
-        stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, side="right")))
-        yield batch.slice(at, stop - at)
-        at = stop
 
+def _same_bytes(cells: list[bytes]) -> tuple[pa.Array, list[int]]:
+    """Words of all cells (each word ends in a newline) as one array, and the cells' sizes."""
+    data = b"".join(cells)
+    ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10).astype(np.int64)
+    n = [c.count(b"\n") for c in cells]
+    flat = np.frombuffer(data, np.uint8)
+    keep = flat[flat != 10].tobytes()
+    edge = np.r_[0, ends + 1] - np.arange(len(ends) + 1)
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(edge.astype(np.int64).tobytes()), pa.py_buffer(keep)]), n
 
-def next_counts(train: DataFrame, tree: Tree, depth: int, least: float) -> tuple[dict[int, int], dict[int, dict[int, int]]]:
-    """Totals of every context of length ``depth`` and its next words with ``least`` or more.
 
-    Counted over all training documents; map tasks add up first.  At most 1 / p_min
-    rows of either kind come back.
+def add_words(table: pa.Table) -> pa.Table:
+    """Corpus counts for the words of one bucket, exact by the words' bytes; the last row
+    has the bucket's sums."""
+    chunks, cells = table.column("chunk").to_pylist(), [pa.decompress(x[8:], decompressed_size=int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True) for x in table.column("a").to_pylist()]
+    words, sizes = _same_bytes(cells)
+    coded = pc.dictionary_encode(words)
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    n = np.concatenate([unpack(x).astype(np.int64) for x in table.column("b").to_pylist()])
+    sums = np.zeros(len(coded.dictionary), dtype=np.int64)
+    np.add.at(sums, codes, n)
+    each, edge, bucket = sums[codes], np.r_[0, np.cumsum(sizes)], table.column("bucket")[0].as_py()
+    rows = [(c, 1, 0, bucket, pack(each[i:j]), None, None, 0, 0) for c, i, j in zip(chunks, edge, edge[1:])]
+    return notes([*rows, (-1, 1, 0, bucket, None, None, None, int(sums.sum()), int((sums > 0).sum()))])
+
+
+def _summed(table: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Chunks, their edges, the group of each entry, firsts and sorted values of a bucket's notes.
+
+    Values of a key stand in the order of the chunks, so that sums of them do not depend
+    on the order in which notes come.
     """
-    base = tree.base
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, times, size = [], [], 0
-
-        def flush():
-            k, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.zeros(len(k), dtype=np.int64)
-            np.add.at(n, inverse, np.concatenate(times))
-            return pa.RecordBatch.from_arrays([pa.array(k // base), pa.array(k % base), pa.array(n)], names=["ctx", "nxt", "n"])
-
-        for batch in batches:
-            for part in _slices(batch):
-                t = tokenize(part.column(0))
-                f = tree.symbols(t)
-                g = tree.contexts(t, f, depth)[-1]
-                ok = g >= 0
-                k, n = np.unique(g[ok] * base + np.where(f[ok] >= 0, f[ok], base - 1), return_counts=True)
-                keys.append(k)
-                times.append(n)
-                size += len(k)
-                if size > 4_000_000:
-                    yield flush()
-                    keys, times, size = [], [], 0
-        if keys:
-            yield flush()
-
-    each = train.mapInArrow(run, "ctx long, nxt long, n long").groupBy("ctx", "nxt").agg(F.sum("n").alias("n"))
-    wanted = each.where((F.col("n") >= least) & (F.col("nxt") < base - 1)).unionByName(
-        each.groupBy("ctx").agg(F.sum("n").alias("n")).select("ctx", F.lit(-1).cast("long").alias("nxt"), "n")
-    )
-    totals: dict[int, int] = {}
-    nexts: dict[int, dict[int, int]] = {}
-    for r in wanted.collect():
-        if r["nxt"] < 0:
-            totals[r["ctx"]] = r["n"]
+    table = table.sort_by("chunk")
+    keys = [unpack_sorted(x) for x in table.column("a").to_pylist()]
+    values = [np.concatenate([unpack(x) for x in table.column(c).to_pylist()]) for c in ("b", "c") if table.column(c).null_count < len(keys)]
+    edge = np.r_[0, np.cumsum([len(k) for k in keys])]
+    flat = np.concatenate(keys)
+    del keys
+    order = np.argsort(flat, kind="stable")
+    flat = flat[order]
+    new = np.r_[True, flat[1:] != flat[:-1]]
+    group = np.empty(len(flat), dtype=np.int64)
+    group[order] = np.cumsum(new) - 1
+    return table.column("chunk").to_pylist(), edge, group, np.flatnonzero(new), [v[order] for v in values]
+
+
+def add_grams(table: pa.Table) -> pa.Table:
+    """Corpus counts of a bucket's grams, to every chunk that asked."""
+    chunks, edge, group, firsts, (n,) = _summed(table)
+    each = np.add.reduceat(n.astype(np.int64), firsts)[group]
+    level, bucket = table.column("level")[0].as_py(), table.column("bucket")[0].as_py()
+    return notes([(c, 1, level, bucket, pack(each[i:j]), None, None, 0, 0) for c, i, j in zip(chunks, edge, edge[1:])])
+
+
+def add_contexts(table: pa.Table) -> pa.Table:
+    """Training occurrences of a bucket's contexts that are states, zero for the others; the
+    last row has the number of states."""
+    chunks, edge, group, firsts, (n, added) = _summed(table)
+    n, added = np.add.reduceat(n.astype(np.int64), firsts), np.add.reduceat(added.astype(float), firsts)
+    state = (n >= LEAST) & (log_odds(added, n) > math.log(ODDS))
+    each = np.where(state, n, 0)[group]
+    level, bucket = table.column("level")[0].as_py(), table.column("bucket")[0].as_py()
+    rows = [(c, 1, level, bucket, pack(each[i:j]), None, None, 0, 0) for c, i, j in zip(chunks, edge, edge[1:])]
+    return notes([*rows, (-1, 1, level, bucket, None, None, None, int(state.sum()), 0)])
+
+
+class Chunk:
+    """A chunk's tokens and what its notes say, at one context length."""
+
+    def __init__(self, own: pa.Table, told: pa.Table, total: int, distinct: int, starts: int, buckets: int):
+        self.row = own.to_pylist()[0]
+        self.told = told.sort_by("bucket").to_pylist()
+        self.codes, self.hashes = unpack(self.row["codes"]).astype(np.int64), unpack(self.row["hashes"]).astype(np.uint64)
+        sizes = unpack(self.row["sizes"]).astype(np.int64)
+        self.firsts = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)
+        self.text_of = np.repeat(np.arange(len(sizes)), sizes)
+        self.train = ~unpack(self.row["held"]).astype(bool)[self.text_of]
+        self.buckets = buckets
+        self.starts = starts
+        self.counts = np.zeros(len(self.hashes), dtype=np.int64)
+        self.counts[in_buckets(self.hashes, buckets)[0]] = self.answers(0)
+        self.base = (self.counts + 0.5) / (total + 0.5 * (distinct + 1))
+
+    def answers(self, level: int) -> np.ndarray:
+        got = [unpack(r["a"]).astype(np.int64) for r in self.told if r["kind"] == 1 and r["level"] == level]
+        return np.concatenate(got) if got else np.zeros(0, dtype=np.int64)
+
+    def contexts(self, at: np.ndarray, level: int) -> np.ndarray:
+        """Hashes of the ``level`` words before each token (the start counts as one)."""
+        first = self.firsts[self.text_of[at]]
+        h = np.full(len(at), np.uint64(level), dtype=np.uint64)
+        for k in range(1, level + 1):
+            inside = at - k >= first
+            h = mix(h * _STEP + np.where(inside, self.hashes[self.codes[np.maximum(at - k, 0)]], _START))
+        return h
+
+    def grams(self, at: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        return mix(mix(contexts) + self.hashes[self.codes[at]])
+
+    def alive(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens, their probability so far, sums of the logarithms of the others by text):
+        tokens whose context of this length may be a state."""
+        n = len(self.firsts)
+        if level == 1:
+            p = self.base[self.codes]
+            before = np.r_[0, self.counts[self.codes[:-1]]]
+            before[self.firsts] = self.starts
+            at = np.flatnonzero(before >= LEAST)
+            out = np.ones(len(p), dtype=bool)
+            out[at] = False
+            return at, p[at], np.bincount(self.text_of[out], np.log10(p[out]), n)
+        mine = next(r for r in self.told if r["kind"] == 2)
+        if level == 2:
+            at, p, sums = self.alive(1)
         else:
-            nexts.setdefault(r["ctx"], {})[r["nxt"]] = r["n"]
-    return totals, nexts
-
-
-def fit_tree(train: DataFrame, frequent: list[tuple[str, int]], total: int, distinct: int, depth: int = DEPTH, p_min: float = P_MIN) -> Tree:
-    """Grows the tree by one context length per pass over the training texts."""
-    words = [w for w, _ in frequent]
-    tree = Tree(words)
-    if not words:
-        return tree
-    levels = []
-    codes = np.arange(len(words) + 1, dtype=np.int64)
-    end = words.index("") if "" in words else -1
-    for k in range(1, depth + 1):
-        totals, nexts = next_counts(train, tree, k, p_min * total)
-        levels.append((codes, totals, nexts))
-        codes = np.array(sorted(g * tree.base + x for g, after in nexts.items() for x in after if x != end), dtype=np.int64)
-        if k == depth or not len(codes):
-            break
-        tree.grams.append(codes)
-    return build(words, dict(frequent), total, distinct, levels)
-
+            at, p, sums = np.cumsum(unpack(mine["a"]).astype(np.int64)), unpack(mine["c"]).astype(float), np.frombuffer(mine["d"])
+        seen = unpack(mine["b"]).astype(np.int64)
+        keys, which = np.unique(self.contexts(at, level - 1), return_inverse=True)
+        times = np.zeros(len(keys), dtype=np.int64)
+        times[in_buckets(keys, self.buckets)[0]] = self.answers(level - 1)
+        times = times[which]
+        state = times > 0
+        p = np.where(state, (seen + KAPPA * p) / (times + KAPPA), p)
+        more = state & (at - level >= self.firsts[self.text_of[at]] - 1)
+        return at[more], p[more], sums + np.bincount(self.text_of[at[~more]], np.log10(p[~more]), n)
+
+    def ask_grams(self, level: int) -> list[tuple]:
+        at, _, _ = self.alive(level)
+        keys, which = np.unique(self.grams(at, self.contexts(at, level)), return_inverse=True)
+        return requests(self.row["chunk"], level, self.buckets, keys, np.bincount(which[self.train[at]], minlength=len(keys)))
+
+    def ask_contexts(self, level: int, answered: np.ndarray) -> list[tuple]:
+        """Notes that ask for contexts, and the state: tokens, counts of their grams and, beyond
+        the first length (where words have them), probabilities and sums."""
+        at, p, sums = self.alive(level)
+        contexts = self.contexts(at, level)
+        keys, some, which = np.unique(self.grams(at, contexts), return_index=True, return_inverse=True)
+        n = np.zeros(len(keys), dtype=np.int64)
+        n[in_buckets(keys, self.buckets)[0]] = answered
+        each = (evidence(n, p[some]) / np.maximum(n, 1))[which]
+        seen, train = n[which], self.train[at]
+        keys, which = np.unique(contexts, return_inverse=True)
+        times = np.bincount(which[train], minlength=len(keys))
+        added = np.bincount(which[train], each[train], len(keys)).astype(np.float32)
+        own = (self.row["chunk"], 2, level, 0, pack(np.diff(at, prepend=0)) if level > 1 else None, pack(seen), pack(p.astype(np.float32)) if level > 1 else None, 0, 0, sums.tobytes())
+        return [own, *((*r, None) for r in requests(self.row["chunk"], level, self.buckets, keys, times, added))]
+
+    def scores(self, level: int) -> np.ndarray:
+        """Sums by text when no token has a longer state."""
+        at, p, sums = self.alive(level)
+        return sums + np.bincount(self.text_of[at], np.log10(p), len(self.firsts))
+
+
+def _words_asked(t: Tokens, held: np.ndarray, chunk: int, buckets: int) -> tuple[dict, list[tuple]]:
+    """A chunk's tokens, packed, and its notes that ask for words."""
+    import xxhash
 
-def score(df: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, p_min: float = P_MIN, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    often = np.argsort(-np.bincount(t.codes, minlength=len(t.words)), kind="stable")
+    rank = np.empty(len(often), dtype=np.int64)
+    rank[often] = np.arange(len(often))
+    words = t.words.take(pa.array(often)).to_pylist()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+    codes = rank[t.codes]
+    n = np.bincount(codes[~held[t.text_of]], minlength=len(words))
+    order, bucket = in_buckets(hashes, buckets)
+    rows = []
+    for b, i, j in _runs(bucket):
+        data = "".join(words[k] + "\n" for k in order[i:j]).encode()
+        rows.append((chunk, 0, 0, b, len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True), pack(n[order[i:j]]), None, 0, 0))
+    sizes = np.diff(np.r_[t.firsts, len(codes)])
+    return {"codes": pack(codes), "hashes": pack(hashes), "sizes": pack(sizes), "held": pack(held.astype(np.uint8))}, rows
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Runs of rows of about ``most`` text bytes (column text); a longer text is its own."""
+    held, size = [], 0
+    for batch in batches:
+        sizes = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = 0
+        for i, n in enumerate(sizes):
+            if size and size + n > most:
+                held.append(batch.slice(at, i - at))
+                yield pa.Table.from_batches(held)
+                held, size, at = [], 0, i
+            size += int(n)
+        if at < len(batch):
+            held.append(batch.slice(at))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def score(df: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Scores of every row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
     score (log10 probabilities of the whole text and its end), n_states of the tree.
 
     The model learns from rows whose ``held_out`` is not true.  Null texts are empty (the
-    end alone); rows may share ids; an empty table gives an empty one.  If nothing is
-    there to learn from, every token has the probability of an unknown one.
+    end alone); rows may share ids and repeated rows are scored each; an empty table
+    gives an empty one; other columns are not looked at.  If nothing is there to learn
+    from, every token has the probability of an unknown one.
+
+    Chunks are made of the rows of an input partition, sorted by hash, so that a task run
+    again makes the same ones; the tokens, the answers to words and each length's states
+    are checkpointed, so lost executors cost one step.
     """
+    spark = df.sparkSession
     docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), text_or_empty(F.col(f"`{text}`")).alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text").cast("long")), F.sum((~F.col("held")).cast("long"))).first()
-    n_bytes, n_train = size[0] or 0, size[1] or 0
-    chunks = max(1, -(-n_bytes // chunk_bytes))
-    buckets = max(shuffle_parts(df.sparkSession), chunks * 250_000 // BUCKET_WORDS)
-    docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
-
-    def send(table: pa.Table) -> pa.Table:
-        t = tokenize(table.column("text").combine_chunks())
-        held = table.column("held").to_numpy()
-        n = np.bincount(t.codes[~held[t.text_of]], minlength=len(t.words)).astype("<i8")
-        order, bucket = cells(t.words, buckets)
-        words = t.words.take(pa.array(order)).to_pylist()
-        n = n[order]
-        rows = [(b, "\n".join(words[i:j]).encode(), n[i:j].tobytes()) for b, i, j in _runs(bucket)]
-        chunk = table.column("chunk")[0].as_py()
-        return pa.table({"chunk": pa.array([chunk] * len(rows), pa.int32()), "bucket": pa.array([r[0] for r in rows], pa.int32()), "words": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
-
-    floor = max(1.0, p_min * n_train)
-
-    def count(table: pa.Table) -> pa.Table:
-        """Corpus counts for the words of one bucket; chunk -1 has the bucket's sums and
-        the words that may be frequent (each training text has a token at least)."""
-        lists = [w.as_py().split(b"\n") for w in table.column("words")]
-        edge = np.r_[0, np.cumsum([len(x) for x in lists])]
-        coded = pc.dictionary_encode(pa.array([w for x in lists for w in x], pa.binary()))
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        n = np.concatenate([np.frombuffer(c.as_py(), "<i8") for c in table.column("counts")])
-        sums = np.zeros(len(coded.dictionary), dtype="<i8")
-        np.add.at(sums, codes, n)
-        each = sums[codes]
-        often = np.flatnonzero(sums >= floor)
-        names = coded.dictionary.take(pa.array(often)).to_pylist()
-        bucket, m = table.column("bucket")[0].as_py(), len(lists)
-        return pa.table({
-            "chunk": pa.array([*table.column("chunk").to_pylist(), -1], pa.int32()), "bucket": pa.array([bucket] * (m + 1), pa.int32()),
-            "counts": pa.array([*(each[a:b].tobytes() for a, b in zip(edge, edge[1:])), sums[often].tobytes()], pa.binary()),
-            "words": pa.array([None] * m + [b"\n".join(names)], pa.binary()),
-            "n": pa.array([0] * m + [int(sums.sum())], pa.int64()), "v": pa.array([0] * m + [int((sums > 0).sum())], pa.int64()),
-        })
+    size = docs.agg(F.sum(F.octet_length("text").cast("long")), F.count_if(~F.col("held"))).first()
+    n_bytes, starts = size[0] or 0, size[1] or 0
+    parts = max(shuffle_parts(spark), -(-n_bytes // chunk_bytes))
+    #: About a word in seven bytes, half of the pairs of words distinct in a chunk.
+    buckets = max(shuffle_parts(spark), n_bytes // 14 // BUCKET_KEYS)
+    kind = df.schema[doc_id].dataType.simpleString()
 
-    sent = docs.groupBy("chunk").applyInArrow(send, "chunk int, bucket int, words binary, counts binary")
-    counted = checkpoint(sent.groupBy("bucket").applyInArrow(count, "chunk int, bucket int, counts binary, words binary, n long, v long"))
-    sums = counted.where("chunk < 0").agg(F.sum("n"), F.sum("v")).first()
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        first = TaskContext.get().partitionId() << 24
+        for k, table in enumerate(_chunks(batches, chunk_bytes)):
+            held = table.column("held").to_numpy()
+            packed, rows = _words_asked(tokenize(table.column("text").combine_chunks()), held, first + k, buckets)
+            asked = notes(rows)
+            n = len(rows) + 1
+            ids = table.column("doc_id").combine_chunks()
+            lists = pa.ListArray.from_arrays(pa.array([0, len(ids)] + [len(ids)] * (n - 1), pa.int32()), ids)
+            own = {c: pa.array([packed[c]] + [None] * len(rows), pa.binary()) for c in ("codes", "hashes", "sizes", "held")}
+            head = pa.array([first + k] * n, pa.int64())
+            more = [pa.concat_arrays([pa.nulls(1, f), asked.column(c).combine_chunks()]) for c, f in _FIELDS[1:]]
+            yield pa.RecordBatch.from_arrays([head, *more, lists, *own.values()], names=[*(c for c, _ in _FIELDS), "ids", *own])
+
+    placed = docs.withColumns(dict(zip(("_k1", "_k2"), row_key(F.col("doc_id"), F.col("text")))))
+    placed = placed.sortWithinPartitions("_k1", "_k2", "held").select("doc_id", "held", "text")
+    first = placed.mapInArrow(cut, f"{NOTE}, ids array<{kind}>, codes binary, hashes binary, sizes binary, held binary")
+    made = checkpoint(first.repartition(parts, "chunk"))
+    chunks = made.where("codes is not null").select("chunk", "ids", "codes", "hashes", "sizes", "held")
+    asked = made.where("codes is null").select(*(c for c, _ in _FIELDS))
+    counted = checkpoint(asked.groupBy("bucket").applyInArrow(add_words, NOTE))
+    sums = counted.where("chunk < 0").agg(F.sum("total"), F.sum("distinct")).first()
     total, distinct = sums[0] or 0, sums[1] or 0
 
-    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for names, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n = np.frombuffer(n, "<i8")
-                ok = np.flatnonzero(n >= p_min * total)
-                names = names.split(b"\n") if len(n) else []
-                yield pa.RecordBatch.from_arrays([pa.array([names[i].decode() for i in ok], pa.string()), pa.array(n[ok])], names=["word", "n"])
-
-    frequent = sorted((r["word"], r["n"]) for r in counted.where("chunk < 0").select("words", "counts").mapInArrow(often, "word string, n long").collect())
-    tree = fit_tree(docs.where("not held").select("text"), frequent, total, distinct, depth, p_min)
-    norm = total + 0.5 * (distinct + 1)
-
-    def rate(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        n_rows = left.num_rows
-        if not n_rows:
-            return pa.table({n: pa.array([], t) for n, t in (("doc_id", left.schema.field("doc_id").type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
-        t = tokenize(left.column("text").combine_chunks())
-        order, _ = cells(t.words, buckets)
-        got = sorted(zip(right.column("bucket").to_pylist(), right.column("counts").to_pylist()))
-        c = np.zeros(len(t.words), dtype=np.int64)
-        c[order] = np.frombuffer(b"".join(x for _, x in got), "<i8")
-        logs = np.log10((c + 0.5) / norm)[t.codes]
-        per_text = lambda x: np.add.reduceat(x, t.firsts)  # noqa: E731  each text has its end
+    def chunk_of(own: pa.Table, told: pa.Table) -> Chunk:
+        return Chunk(own, told, total, distinct, starts, buckets)
+
+    def step(told: DataFrame, work, schema: str) -> DataFrame:
+        """``work`` (the chunk's tokens and its notes) for every chunk."""
+        empty = pa.schema([(n, t) for n, t in _FIELDS] + ([("d", pa.binary())] if "d binary" in schema else [])).empty_table()
+        run = lambda key, own, note: work(own, note) if own.num_rows else empty
+        return chunks.groupBy("chunk").cogroup(told.where("chunk >= 0").groupBy("chunk")).applyInArrow(run, schema)
+
+    level, n_states, told = 1, 0, counted.withColumn("d", F.lit(None).cast("binary"))
+    while n_bytes:
+        def grams(own: pa.Table, told: pa.Table, level: int = level) -> pa.Table:
+            return notes(chunk_of(own, told).ask_grams(level))
+
+        def judged(own: pa.Table, told: pa.Table, level: int = level) -> pa.Table:
+            new = np.array([r == level and k == 1 for r, k in zip(told.column("level").to_pylist(), told.column("kind").to_pylist())], dtype=bool)
+            answered = told.filter(pa.array(new)).sort_by("bucket").column("a").to_pylist()
+            chunk = chunk_of(own, told.filter(pa.array(~new)))
+            rows = chunk.ask_contexts(level, np.concatenate([unpack(x).astype(np.int64) for x in answered]) if answered else np.zeros(0, dtype=np.int64))
+            return notes(rows).append_column("d", pa.array([r[-1] for r in rows], pa.binary()))
+
+        answers = step(told, grams, NOTE).groupBy("bucket").applyInArrow(add_grams, NOTE)
+        more = checkpoint(step(told.unionByName(answers, allowMissingColumns=True), judged, f"{NOTE}, d binary"))
+        states = checkpoint(more.where("kind = 0").drop("d").groupBy("bucket").applyInArrow(add_contexts, NOTE))
+        told = counted.unionByName(more.where("kind = 2"), allowMissingColumns=True).unionByName(states, allowMissingColumns=True)
+        found = states.where("chunk < 0").agg(F.sum("total")).first()[0] or 0
+        level += 1
+        n_states += found
+        if not found:
+            break
+
+    def rate(key, own: pa.Table, note: pa.Table) -> pa.Table:
+        if not own.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in (("doc_id", own.schema.field("ids").type.value_type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
+        c = chunk_of(own, note)
+        per_text = lambda x: np.add.reduceat(x, c.firsts)  # noqa: E731  each text has its end
         return pa.table({
-            "doc_id": left.column("doc_id"), "held_out": left.column("held"),
-            "n_tokens": pa.array(per_text(np.ones(len(t.codes), dtype=np.int64))),
-            "n_known": pa.array(per_text((c > 0)[t.codes].astype(np.int64))),
-            "base_score": pa.array(per_text(logs)), "score": pa.array(per_text(tree.score(t, logs))),
+            "doc_id": own.column("ids").combine_chunks().flatten(), "held_out": pa.array(unpack(c.row["held"]).astype(bool)),
+            "n_tokens": pa.array(per_text(np.ones(len(c.codes), dtype=np.int64))), "n_known": pa.array(per_text((c.counts > 0)[c.codes].astype(np.int64))),
+            "base_score": pa.array(per_text(np.log10(c.base)[c.codes])), "score": pa.array(c.scores(level)),
         })
 
-    answers = counted.where("chunk >= 0").select("chunk", "bucket", "counts")
-    kind = df.schema[doc_id].dataType.simpleString()
-    out = docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+    out = chunks.groupBy("chunk").cogroup(told.where("chunk >= 0").groupBy("chunk")).applyInArrow(
         rate, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", F.lit(len(tree.parent)).cast("long").alias("n_states"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", F.lit(n_states).cast("long").alias("n_states"))

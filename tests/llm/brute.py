@@ -145,3 +145,36 @@ def edited(docs):
         k = len(t) // 3
         out[d] = (t[: len(t) - k] + following[:k], following)
     return out
+
+
+def suffix_scores(texts, held, kappa=5.0, odds=1000.0):
+    """(log10 scores, number of states) of a suffix tree kept in dictionaries."""
+    from collections import Counter, defaultdict
+    from math import lgamma, log, log10
+
+    words = [[*WORD.findall(lower(t or "")), ""] for t in texts]
+    c = Counter(w for ws, h in zip(words, held) if not h for w in ws)
+    norm = sum(c.values()) + 0.5 * (len(c) + 1)
+    p = [[(c[w] + 0.5) / norm for w in ws] for ws in words]
+    alive = [(d, i) for d, ws in enumerate(words) for i in range(len(ws))]
+    states, depth = 0, 1
+    while alive:
+        context = {(d, i): tuple((["<start>"] + words[d][:i])[-depth:]) for d, i in alive}
+        follows, old = defaultdict(Counter), {}
+        for d, i in alive:
+            follows[context[d, i]][words[d][i]] += not held[d]
+            old[context[d, i], words[d][i]] = p[d][i]
+        kept = {}
+        for s, after in follows.items():
+            n = sum(after.values())
+            gain = sum(lgamma(k + kappa * old[s, w]) - lgamma(kappa * old[s, w]) - k * log(old[s, w]) for w, k in after.items() if k)
+            if n >= 2 and gain - lgamma(n + kappa) + lgamma(kappa) > log(odds):
+                kept[s] = n
+        states += len(kept)
+        alive = [(d, i) for d, i in alive if context[d, i] in kept]
+        for d, i in alive:
+            s = context[d, i]
+            p[d][i] = (follows[s][words[d][i]] + kappa * p[d][i]) / (kept[s] + kappa)
+        alive = [(d, i) for d, i in alive if i >= depth]
+        depth += 1
+    return [sum(map(log10, x)) for x in p], states

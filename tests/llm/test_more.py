@@ -40,7 +40,7 @@ def test_lm_base_scores(docs, rows):
     n, v = sum(c.values()), len(c)
     want = Counter((d, held(d), len(ws), sum(c[w] > 0 for w in ws), round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), 6)) for (d, _), ws in zip(rows, tokens))
     for chunk in (12 << 20, 50_000):
-        out = score(docs, F.crc32(F.col("doc_id").cast("string")) % 5 == 1, p_min=1e-3, chunk_bytes=chunk).collect()
+        out = score(docs, F.crc32(F.col("doc_id").cast("string")) % 5 == 1, chunk_bytes=chunk).collect()
         assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in out) == want
         assert {r.train_tokens for r in out} == {n} and all(r.score < 0 for r in out)
     assert score(docs.limit(0), F.lit(False)).count() == 0
@@ -48,49 +48,59 @@ def test_lm_base_scores(docs, rows):
     assert all(r.n_known == 0 and r.score == r.base_score for r in nothing)
 
 
-def test_lm_states_are_distributions_and_help(spark):
-    """On text with real dependence the tree keeps contexts, each state's probabilities add
-    up to one over the vocabulary, and held-out text scores better than the base."""
+def test_lm_states_by_brute_force(docs, rows):
+    """Scores equal those of a tree of plain dictionaries, for any cutting into chunks."""
+    from pyspark.sql import functions as F
+
+    from stillframe.llm.lm_score import score
+
+    want, states = brute.suffix_scores([t for _, t in rows], [held(d) for d, _ in rows])
+    for chunk in (12 << 20, 50_000):
+        out = score(docs, F.crc32(F.col("doc_id").cast("string")) % 5 == 1, chunk_bytes=chunk).collect()
+        assert {r.n_states for r in out} == {states} and states > 50
+        got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in out)
+        for g, w in zip(got, sorted((str(d), len(brute.WORD.findall(brute.lower(t or ""))) + 1, s) for (d, t), s in zip(rows, want))):
+            assert g[:2] == w[:2] and abs(g[2] - w[2]) <= 1e-5 * abs(w[2])
+
+
+def test_lm_helps_and_grows(spark):
+    """On text with real dependence held-out text scores far better than the base, and more
+    training text gives more states; each state's probabilities add up to one."""
     from pyspark.sql import functions as F
 
     from stillframe.llm import lm_score as M
 
     rng = np.random.default_rng(0)
-    words = [f"w{i}" for i in range(12)]
-    step = rng.dirichlet(np.full(12, 0.15), size=(12, 12))
+    words = [f"w{i}" for i in range(40)]
+    step = rng.dirichlet(np.full(40, 0.05), size=(40, 40))
 
     def text():
         a, b, out = 0, 0, []
         for _ in range(120):
-            a, b = b, rng.choice(12, p=step[a, b])
+            a, b = b, rng.choice(40, p=step[a, b])
             out.append(words[b])
         return " ".join(out)
 
     table = spark.createDataFrame([(i, text()) for i in range(300)], "doc_id long, text string")
-    out = M.score(table, F.col("doc_id") % 5 == 1, p_min=2e-4).where("held_out").agg(F.avg(F.col("score") / F.col("n_tokens")).alias("s"), F.avg(F.col("base_score") / F.col("n_tokens")).alias("b"), F.max("n_states").alias("n")).first()
-    assert out.n > 50 and out.s > out.b + 0.25
+    few, many = (M.score(table.where(F.col("doc_id") < n), F.col("doc_id") % 5 == 1) for n in (30, 300))
+    s = many.where("held_out").agg(F.avg(F.col("score") / F.col("n_tokens")).alias("s"), F.avg(F.col("base_score") / F.col("n_tokens")).alias("b")).first()
+    assert s.s > s.b + 0.25
+    assert many.first().n_states > 2 * few.first().n_states
 
-    train = table.where("doc_id % 5 <> 1").select("text")
-    c = Counter(w for r in train.collect() for w in [*r.text.split(), ""])
-    n, v = sum(c.values()), len(c)
-    tree = M.fit_tree(train, sorted(c.items()), n, v, p_min=2e-4)
-    root = {w: (k + 0.5) / (n + 0.5 * (v + 1)) for w, k in c.items()}
-    unknown = 0.5 / (n + 0.5 * (v + 1))
-    for s in range(len(tree.parent)):
-        total = 0.0
-        for w, x in [(w, tree.words.index(w)) for w in c] + [(None, -1)]:
-            p, at = 1.0, s
-            while at >= 0:
-                i = M.find(tree.keys, np.array([at * tree.base + x]))[0] if x >= 0 else -1
-                if i >= 0:
-                    p *= 10 ** tree.logs[i]
-                    break
-                p *= 10 ** tree.rest[at]
-                at = tree.parent[at]
-            if at < 0:
-                p *= root[w] if w is not None else unknown
-            total += p
-        assert abs(total - 1) < 1e-6
+    n, p = np.array([3.0, 1.0, 0.0, 0.0]), np.array([0.1, 0.2, 0.3, 0.4])
+    assert abs(((n + M.KAPPA * p) / (n.sum() + M.KAPPA)).sum() - 1) < 1e-12
+    x = np.array([1e-6, 0.3, 1.0, 2.5, 7.9, 30.0, 1e6])
+    assert np.allclose(M.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-9, atol=1e-9)
+
+
+def test_packed_numbers():
+    from stillframe.llm import lm_score as M
+
+    rng = np.random.default_rng(1)
+    for a in (np.zeros(0, np.int64), np.array([0]), rng.integers(0, 300, 999), rng.integers(-5, 5, 10), rng.random(7).astype(np.float32)):
+        assert (M.unpack(M.pack(a)) == a).all()
+    keys = np.unique(rng.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2))
+    assert (M.unpack_sorted(M.pack_sorted(keys)) == keys).all()
 
 
 def test_feistel_is_a_permutation():
