@@ -163,20 +163,84 @@ def join01(spark, sf_dir):
     return got.join(truth, "key").agg(F.count("*").alias("n"), F.round(F.sum(F.abs(F.col("mean") * 1000 - F.col("truth"))) / F.sum("truth"), 6).alias("r"), F.round(F.corr("mean", "truth"), 6).alias("cc"))
 
 
-OPS = ",".join(f"({i},{','.join(map(str, m))})" for i, m in enumerate(operators("m-3m")))
-
-
-@registered("prj16_unique_key", f"select key, count(*) as n from (select frame, max((o.a*h+o.b*k+o.c*l)::bigint*100000000 + (o.d*h+o.e*k+o.f*l)*10000 + o.g*h+o.p*k+o.q*l) as key from (select row_number() over () as rid, * from measurements) m, (values {OPS}) o(id,a,b,c,d,e,f,g,p,q) group by rid, frame) group by key")
-def prj16(spark, sf_dir):
-    return measured(spark, sf_dir).groupBy(unique_key(F.col("h"), F.col("k"), F.col("l"), "m-3m").alias("key")).agg(F.count("*").alias("n"))
+def _keys(*triples: str, half: bool = True) -> str:
+    """SQL: the largest key among equivalents, given as triples over h, k, l and i = -h-k;
+    ``half``: their opposites count too."""
+    out = []
+    for t in triples:
+        x, y, z = (f"({p.replace('i', '(-h-k)')})" for p in t.split())
+        key = f"({x}*100000000::bigint + {y}*10000 + {z})"
+        out += [key, f"-{key}"] if half else [key]
+    return f"greatest({', '.join(out)})"
+
+
+#: Keys from the equivalents that tables of point groups list, written without the generators.
+_TURNS, _FLIPS = ["h k l", "k i l", "i h l"], ["k h l", "h i l", "i k l"]
+
+
+def _down(triples: list[str]) -> list[str]:
+    return [t[:-1] + "-l" for t in triples]
+
+
+EQUIVALENTS = {
+    "-1": _keys("h k l"),
+    "2/m": _keys("h k l", "h -k l"),
+    "2/m_uaa": _keys("h k l", "-h k l"),
+    "2/m_uac": _keys("h k l", "h k -l"),
+    "mmm": "abs(h)*100000000::bigint + abs(k)*10000 + abs(l)",
+    "4/m": _keys("h k l", "h k -l", "k -h l", "k -h -l"),
+    "4/mmm": "greatest(abs(h), abs(k))*100000000::bigint + least(abs(h), abs(k))*10000 + abs(l)",
+    "-3": _keys(*_TURNS),
+    "-3m": _keys(*_TURNS, *_down(_FLIPS)),
+    "-31m": _keys(*_TURNS, *_FLIPS),
+    "6/m": _keys(*_TURNS, *_down(_TURNS)),
+    "6/mmm": _keys(*_TURNS, *_FLIPS, *_down(_TURNS), *_down(_FLIPS)),
+    "-3_R": _keys("h k l", "k l h", "l h k"),
+    "-3m_R": _keys("h k l", "k l h", "l h k", "k h l", "h l k", "l k h"),
+    "m-3": "greatest(" + ", ".join(f"abs({a})*100000000::bigint + abs({b})*10000 + abs({c})" for a, b, c in ("hkl", "klh", "lhk")) + ")",
+    "m-3m": "greatest(abs(h),abs(k),abs(l))*100000000::bigint + (abs(h)+abs(k)+abs(l)-greatest(abs(h),abs(k),abs(l))-least(abs(h),abs(k),abs(l)))*10000 + least(abs(h),abs(k),abs(l))",
+}
+
+
+def _register_keys() -> None:
+    def one(laue: str):
+        def f(spark, sf_dir):
+            """Measurements of each unique reflection of a class."""
+            key = unique_key(F.col("h"), F.col("k"), F.col("l"), laue)
+            return measured(spark, sf_dir).groupBy(key.alias("key")).agg(F.count("*").alias("n"))
 
+        return f
 
-@query("prj17_group_orders", "select * from (values ('-1',2),('2/m',4),('mmm',8),('4/m',8),('4/mmm',16),('-3',6),('-3m',12),('6/m',12),('6/mmm',24),('m-3',24),('m-3m',48)) t(laue, n)")
+    for laue, sql in EQUIVALENTS.items():
+        name = laue.replace("/", "").replace("-", "i")
+        registered(f"prj16_unique_key_{name}", f"select {sql} as key, count(*) as n from measurements group by 1")(one(laue))
+
+
+_register_keys()
+
+
+@query("prj17_group_orders", """with g as (select * from (values ('-1',0,0,0),('2/m',0,0,0),('mmm',0,0,0),('4/m',0,0,0),('4/mmm',0,0,0),('-3',1,0,0),('-3m',1,0,0),('6/m',1,0,0),('6/mmm',1,0,0),('m-3',0,1,0),('m-3m',0,1,0)) t(laue, hexagonal, cubic, x)),
+    m as (select a.v as a, b.v as b, c.v as c, d.v as d, e.v as e, f.v as f, p.v as p, q.v as q, r.v as r from (select unnest([-1,0,1]) as v) a, (select unnest([-1,0,1]) as v) b, (select unnest([-1,0,1]) as v) c, (select unnest([-1,0,1]) as v) d, (select unnest([-1,0,1]) as v) e, (select unnest([-1,0,1]) as v) f, (select unnest([-1,0,1]) as v) p, (select unnest([-1,0,1]) as v) q, (select unnest([-1,0,1]) as v) r),
+    cube as (select * from m where a*a+b*b+c*c = 1 and d*d+e*e+f*f = 1 and p*p+q*q+r*r = 1 and a*d+b*e+c*f = 0 and a*p+b*q+c*r = 0 and d*p+e*q+f*r = 0),
+    hexa as (select * from m where c=0 and f=0 and p=0 and q=0 and r*r=1 and a*a+a*d+d*d = 1 and b*b+b*e+e*e = 1 and 2*a*b+a*e+b*d+2*d*e = 1),
+    det as (select *, a*(e*r-f*q)-b*(d*r-f*p)+c*(d*q-e*p) as det, a+e+r as tr from cube)
+    select '-1' as laue, (select count(*) from cube where b=0 and c=0 and f=0 and a=e and e=r)::int as n
+    union all select '2/m', (select count(*) from cube where b=0 and c=0 and d=0 and f=0 and p=0 and q=0 and a=r)::int
+    union all select 'mmm', (select count(*) from cube where b=0 and c=0 and d=0 and f=0 and p=0 and q=0)::int
+    union all select '4/m', (select count(*) from cube where r*r=1 and a=e and b=-d)::int
+    union all select '4/mmm', (select count(*) from cube where r*r=1)::int
+    union all select '-3', (select count(*) from hexa where a*e-b*d = 1 and (a*a+b*b+d*d+e*e = 2 and a+e = 2 or a+e = -1) and r = 1)::int * 2
+    union all select '-3m', (select count(*) from hexa where (a*e-b*d)*r = 1 and (r = 1 and a+e in (2,-1) or r = -1 and (a = 1 and b = 0 or d = 0 and e = 1 or a = 0 and b = 1)))::int * 2
+    union all select '6/m', (select count(*) from hexa where a*e-b*d = 1)::int
+    union all select '6/mmm', (select count(*) from hexa)::int
+    union all select 'm-3', (select count(*) from cube where a*a=1 and e*e=1 and r*r=1 or b*b=1 and f*f=1 and p*p=1 or c*c=1 and d*d=1 and q*q=1)::int
+    union all select 'm-3m', (select count(*) from cube)::int""")
 def prj17(spark, sf_dir):
-    """Order of each class, counted from its closed operator table."""
-    from stillframe.functions.symmetry import GENERATORS
+    """Order of each class, counted from its closed operator table; the twin counts the
+    integer matrices that keep the metric and the class's axes."""
+    from stillframe.functions.symmetry import CLASSES
 
-    rows = [(name, *m) for name in GENERATORS for m in operators(name)]
+    rows = [(name, *m) for name in CLASSES for m in operators(name)]
     t = spark.createDataFrame(rows, "laue string, " + ", ".join(f"m{i} int" for i in range(9)))
     return t.distinct().groupBy("laue").agg(F.count("*").cast("int").alias("n"))
 

@@ -26,9 +26,42 @@ def test_hermite_forms():
 
 
 def test_group_closure():
+    from stillframe.functions.symmetry import CLASSES, operators
+
+    assert [len(operators(n)) for n in CLASSES] == [2, 4, 8, 8, 16, 6, 12, 12, 24, 24, 48]
+
+
+#: A cell of each setting's system: a, b, c and angles.
+METRICS = {
+    "-1": (31, 47, 59, 77, 83, 101), "2/m": (31, 47, 59, 90, 101, 90), "2/m_uaa": (31, 47, 59, 101, 90, 90), "2/m_uac": (31, 47, 59, 90, 90, 101),
+    "mmm": (31, 47, 59, 90, 90, 90), "4/m": (31, 31, 59, 90, 90, 90), "4/mmm": (31, 31, 59, 90, 90, 90),
+    **{n: (31, 31, 59, 90, 90, 120) for n in ("-3", "-3m", "-31m", "6/m", "6/mmm")}, "-3_R": (31, 31, 31, 77, 77, 77), "-3m_R": (31, 31, 31, 77, 77, 77),
+    "m-3": (31, 31, 31, 90, 90, 90), "m-3m": (31, 31, 31, 90, 90, 90),
+}
+
+
+def test_every_operator_keeps_its_reciprocal_metric():
+    """Equivalent reflections have the same length of q; else different ones would merge."""
     from stillframe.functions.symmetry import GENERATORS, operators
 
-    assert [len(operators(n)) for n in GENERATORS] == [2, 4, 8, 8, 16, 6, 12, 12, 24, 24, 48]
+    assert set(METRICS) == set(GENERATORS)
+    for name, (a, b, c, *angles) in METRICS.items():
+        x, y, z = np.cos(np.radians(angles))
+        g = np.linalg.inv(np.array([[a * a, a * b * z, a * c * y], [a * b * z, b * b, b * c * x], [a * c * y, b * c * x, c * c]]))
+        for m in operators(name):
+            m = np.reshape(m, (3, 3))
+            assert np.allclose(m.T @ g @ m, g, atol=1e-12), (name, m)
+
+
+def test_class_names():
+    from stillframe.functions import symmetry as S
+
+    assert S.holohedry("hexagonal", "H") == S.holohedry("hexagonal", "R") == S.class_name("-3m1") == "-3m" and S.holohedry("hexagonal") == "6/mmm"
+    assert [S.holohedry("Monoclinic", "P", x) for x in ("*", "a", "b", "c")] == ["2/m", "2/m_uaa", "2/m", "2/m_uac"] and S.holohedry(None) is None
+    assert S.is_subgroup("-3", "6/m") and S.is_subgroup("-3m", "6/mmm") and not S.is_subgroup("6/m", "-3m") and not S.is_subgroup("-3", "m-3") and S.is_subgroup("-3_R", "m-3")
+    for bad in (lambda: S.class_name("5/m"), lambda: S.holohedry("cubical"), lambda: S.holohedry("monoclinic", "P", "d")):
+        with pytest.raises(ValueError):
+            bad()
 
 
 def test_grouping_ignores_order_and_is_not_transitive():
