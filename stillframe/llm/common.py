@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,13 +15,14 @@ BLANKS = b" \t\n\x0b\x0c\r"
 
 
 def _ensure_folder(spark: SparkSession) -> None:
-    """The folder is the cluster's ``spark.checkpoint.dir``; only where none is set (tests
-    on one machine) a temporary one is made."""
+    """The folder is the cluster's ``spark.checkpoint.dir``.  Only on one machine (a local
+    master, as in tests) a temporary one is made where none is set."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stillframe-cp-")
-        )
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="stillframe-cp-"))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -36,14 +37,95 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4()}"
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished passes now: they go when the driver
-    collects the garbage of their plans, which it otherwise puts off.  The second round
-    finds what the first one's messages from Python let go."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
+class Files:
+    """Small binary files below a shared folder, for numbers that belong to one part of the
+    data and would only be shuffled to come back to it.
+
+    The folder's URI must be of a kind that Arrow opens (file, hdfs, s3, gs).  A file is
+    written under another name and moved, so a task that runs again, or twice, leaves
+    the same whole file.
+    """
+
+    def __init__(self, uri: str):
+        self.uri = uri.replace("file:///", "/").replace("file:/", "/") if uri.startswith("file:/") else uri
+
+    def _open(self):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.uri)
+
+    def put(self, name: str, data: bytes) -> None:
+        from pyarrow import fs
+
+        system, top = self._open()
+        at = f"{top}/{name}"
+        system.create_dir(at.rsplit("/", 1)[0], recursive=True)
+        part = f"{at}.{uuid.uuid4().hex}.part"
+        with system.open_output_stream(part) as f:
+            f.write(data)
+        try:
+            system.move(part, at)
+        except OSError:  # some systems do not replace files: then a task before this one wrote it
+            if system.get_file_info(at).type != fs.FileType.File:
+                raise
+            system.delete_file(part)
+
+    def get(self, name: str, start: int = 0, size: int | None = None) -> bytes:
+        system, top = self._open()
+        with system.open_input_file(f"{top}/{name}") as f:
+            f.seek(start)
+            return f.read(size)
+
+    def drop(self, name: str = "") -> None:
+        """Deletes a folder below this one, or this one."""
+        from pyarrow import fs
+
+        system, top = self._open()
+        at = f"{top}/{name}".rstrip("/")
+        if system.get_file_info(at).type == fs.FileType.Directory:
+            system.delete_dir(at)
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Numbers as compressed planes of bytes; whole ones in the fewest bytes."""
+    a = np.ascontiguousarray(values)
+    if a.dtype.kind in "iu" and len(a):
+        a = a.astype(np.min_scalar_type(int(a.max())), copy=False) if a.min() >= 0 else a.astype(np.int64)
+    planes = a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b""
+    body = pa.compress(planes, codec="zstd", asbytes=True) if planes else b""
+    return np.array([len(a)], dtype="<i8").tobytes() + a.dtype.str.encode().ljust(4) + body
+
+
+def unpack(data: bytes) -> np.ndarray:
+    n, kind = int(np.frombuffer(data, "<i8", 1)[0]), np.dtype(data[8:12].decode().strip())
+    if not n:
+        return np.zeros(0, dtype=kind)
+    planes = pa.decompress(data[12:], decompressed_size=n * kind.itemsize, codec="zstd", asbytes=True)
+    return np.frombuffer(planes, np.uint8).reshape(kind.itemsize, n).T.copy().view(kind).ravel()
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    return pack(np.r_[keys[:1], np.diff(keys)].astype(np.uint64)) if len(keys) else pack(keys)
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data).astype(np.uint64), dtype=np.uint64)
+
+
+def bundle(parts: dict[str, bytes]) -> bytes:
+    """Named byte strings as one; ``unbundle`` takes them apart."""
+    head = ";".join(f"{k}={len(v)}" for k, v in parts.items()).encode()
+    return len(head).to_bytes(8, "little") + head + b"".join(parts.values())
+
+
+def unbundle(data: bytes) -> dict[str, bytes]:
+    at = 8 + int.from_bytes(data[:8], "little")
+    out = {}
+    for part in data[8:at].decode().split(";") if at > 8 else []:
+        name, size = part.split("=")
+        out[name] = data[at : at + int(size)]
+        at += int(size)
+    return out
 
 
 def shuffle_parts(spark: SparkSession) -> int:

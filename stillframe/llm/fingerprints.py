@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stillframe.llm.common import checkpoint, release, row_key, shuffle_parts, text_or_empty
+from stillframe.llm.common import checkpoint, row_key, shuffle_parts, text_or_empty
 
 #: White space that the compatibility form leaves, besides the pattern's own class.
 _SPACE = "[\\s\\x1c-\\x1f\\u0085\\u1680\\u180e\\u2028\\u2029]+"
@@ -78,13 +78,14 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", dige
     """
     docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), text_or_empty(F.col(f"`{text}`")).alias("t"))
     docs = docs.select("doc_id", "t", *row_key(F.col("doc_id"), F.col("t")))
-    ids = docs.groupBy("doc_id").agg(F.max(F.length("t")).alias("most"), F.min("_k2").alias("_rep"), F.count("*").alias("rows"))
+    ids = docs.groupBy("doc_id").agg(F.max(F.length("t")).alias("most"), F.min(F.struct("_k2", "_k1")).alias("_rep"), F.count("*").alias("rows"))
     chain = checkpoint(successors(ids))
     repeated = not chain.where("rows > 1").isEmpty()
-    send = chain.select(
-        F.col("next_id").alias("_from"), F.col("doc_id").alias("_to"), F.floor(F.col("most") / 3).cast("int").alias("_take")
-    )
+    # who takes how much of each id's text, and of which of its rows
+    send = chain.select(F.col("next_id").alias("_from"), F.col("doc_id").alias("_to"), F.floor(F.col("most") / 3).cast("int").alias("_take"))
+    send = send.join(chain.select(F.col("doc_id").alias("_rid"), "_rep"), F.col("_from").eqNullSafe(F.col("_rid"))).select("_from", "_to", "_take", "_rep")
     rep = chain.select(F.col("doc_id").alias("_rid"), "_rep")
+    is_rep = F.struct("_k2", "_k1") == F.col("_rep")
 
     def edited(only: DataFrame | None) -> DataFrame:
         """doc_id, keys, own text, edited text and the next text's digest of the rows whose
@@ -93,9 +94,8 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", dige
         if only is not None:
             own = own.join(only, own["doc_id"].eqNullSafe(only["_id"]), "left_semi")
             ask = ask.join(only, ask["_to"].eqNullSafe(only["_id"]), "left_semi")
-        sent = docs.join(ask, docs["doc_id"].eqNullSafe(ask["_from"]))
-        if repeated:
-            sent = sent.join(rep, sent["doc_id"].eqNullSafe(rep["_rid"])).where(F.col("_k2") == F.col("_rep"))
+        # both joins take the same columns of ``docs``, so its texts are shuffled once for them
+        sent = docs.join(ask, docs["doc_id"].eqNullSafe(ask["_from"])).where(is_rep)
         sent = with_canonical(sent, {"_c": "t"})
         h1, h2 = digest(F.col("_c"))
         sent = sent.select("_to", F.substring("t", F.lit(1), F.col("_take")).alias("_head"), h1.alias("next1"), h2.alias("next2"))
@@ -114,8 +114,6 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", dige
         a1.alias("own1"), a2.alias("own2"), b1.alias("edit1"), b2.alias("edit2"), "next1", "next2",
     ))
 
-    del both
-    release(df.sparkSession)  # the second pass need not stand beside the first one's shuffles
     entries = rows.select("doc_id", F.explode(F.array(F.struct(F.col("own1").alias("h1"), F.col("own2").alias("h2")), F.struct(F.col("edit1").alias("h1"), F.col("edit2").alias("h2")))).alias("h")).select("doc_id", "h.*")
     shared = entries.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
     again = entries.join(shared, ["h1", "h2"], "left_semi").select(F.col("doc_id").alias("_id")).distinct()
@@ -136,7 +134,7 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", dige
         )
         tags = forms.join(numbered, ["h1", "h2", "form"]).select("doc_id", "_k1", "_k2", "kind", "number").distinct()
         tags = checkpoint(tags.groupBy("_k1", "_k2").agg(F.max(F.when(F.col("kind") == "own", F.col("number"))).alias("own_n"), F.max(F.when(F.col("kind") == "edit", F.col("number"))).alias("edit_n")))
-        heads = rows.select("doc_id", "_k1", "_k2").join(rep, F.col("doc_id").eqNullSafe(F.col("_rid"))).where(F.col("_k2") == F.col("_rep"))
+        heads = rows.select("doc_id", "_k1", "_k2").join(rep, F.col("doc_id").eqNullSafe(F.col("_rid"))).where(is_rep)
         heads = heads.join(tags, ["_k1", "_k2"]).select(F.col("doc_id").alias("_h"), F.col("own_n").alias("next_n")).distinct()
         out = rows.join(tags, ["_k1", "_k2"], "left").join(chain.select(F.col("doc_id").alias("_d"), "next_id"), F.col("doc_id").eqNullSafe(F.col("_d"))).join(heads, F.col("next_id").eqNullSafe(F.col("_h")), "left")
 

@@ -7,11 +7,12 @@ test ends the growth and the depth follows the data.  A state's distribution is
 by its suffix's, and a token is scored in the longest state before it.
 
 Nothing of the tree is on the driver.  Documents are tokenized once into chunks of a few
-MB of text.  Chunks ask for sums: each sends its distinct keys (words, then hashes of a
-context and the next word, then hashes of contexts) with its own numbers to the keys'
-buckets, which add up over all chunks and send the sums back to those that asked.  So a
-key that every chunk has is one entry per chunk, packed in columns of numbers, and no
-group of rows is longer than the number of chunks.
+MB of text, whose numbers are files in the shared folder.  Chunks ask for sums: each sends
+its distinct keys (words, then hashes of a context and the next word, then hashes of
+contexts) with its own numbers to the keys' buckets, which add up over all chunks and
+send the sums back to those that asked.  So a key that every chunk has is one entry per
+chunk, packed in columns of numbers, and no group of rows is longer than the number of
+chunks.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stillframe.llm.common import checkpoint, row_key, shuffle_parts, text_or_empty
+from stillframe.llm.common import Files, bundle, checkpoint, pack, pack_sorted, row_key, shared_folder, shuffle_parts, text_or_empty, unbundle, unpack, unpack_sorted
 
 #: Text bytes of a chunk of documents.
 CHUNK_BYTES = 16 << 20
@@ -73,32 +74,6 @@ def tokenize(texts: pa.Array) -> Tokens:
     return Tokens(words, codes, firsts.astype(np.int64), np.repeat(np.arange(n), per))
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Numbers as compressed planes of bytes; whole ones in the fewest bytes."""
-    a = np.ascontiguousarray(values)
-    if a.dtype.kind in "iu" and len(a):
-        a = a.astype(np.min_scalar_type(int(a.max())), copy=False) if a.min() >= 0 else a.astype(np.int64)
-    planes = a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b""
-    body = pa.compress(planes, codec="zstd", asbytes=True) if planes else b""
-    return np.array([len(a)], dtype="<i8").tobytes() + a.dtype.str.encode().ljust(4) + body
-
-
-def unpack(data: bytes) -> np.ndarray:
-    n, kind = int(np.frombuffer(data, "<i8", 1)[0]), np.dtype(data[8:12].decode().strip())
-    if not n:
-        return np.zeros(0, dtype=kind)
-    planes = pa.decompress(data[12:], decompressed_size=n * kind.itemsize, codec="zstd", asbytes=True)
-    return np.frombuffer(planes, np.uint8).reshape(kind.itemsize, n).T.copy().view(kind).ravel()
-
-
-def pack_sorted(keys: np.ndarray) -> bytes:
-    return pack(np.r_[keys[:1], np.diff(keys)].astype(np.uint64)) if len(keys) else pack(keys)
-
-
-def unpack_sorted(data: bytes) -> np.ndarray:
-    return np.cumsum(unpack(data).astype(np.uint64), dtype=np.uint64)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that scatters them (splitmix64's last step)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -124,10 +99,10 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
 
 def evidence(n: np.ndarray, p: np.ndarray) -> np.ndarray:
     """What a next word seen ``n`` times, foretold as ``p``, adds to the log odds of a state."""
-    seen = n > 0
-    out = np.zeros(len(n))
-    k = KAPPA * p[seen]
-    out[seen] = log_gamma(n[seen] + k) - log_gamma(k) - n[seen] * np.log(p[seen])
+    out = np.where(n > 0, math.log(KAPPA), 0.0)
+    often = np.flatnonzero(n > 1)
+    times, p = n[often], p[often].astype(float)
+    out[often] = log_gamma(times + KAPPA * p) - log_gamma(KAPPA * p) - times * np.log(p)
     return out
 
 
@@ -149,21 +124,22 @@ def _runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield int(values[a]), int(a), int(b)
 
 
-#: What chunks and buckets send each other: kind 0 asks, 1 answers, 2 is a chunk's own state
-#: (level: context length); a, b, c are packed numbers or words.
-NOTE = "chunk long, kind int, level int, bucket long, a binary, b binary, c binary, total long, distinct long"
-_FIELDS = [(n, {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in NOTE.split(", "))]
+#: What chunks and buckets send each other: keys or words with numbers, and the answers.
+NOTE = "chunk long, bucket long, a binary, b binary, c binary, total long, distinct long"
+_FIELDS = [(n, {"long": pa.int64(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in NOTE.split(", "))]
 
 
 def notes(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(_FIELDS)], names=[n for n, _ in _FIELDS])
 
 
-def requests(chunk: int, level: int, buckets: int, keys: np.ndarray, *values: np.ndarray) -> list[tuple]:
+def requests(chunk: int, buckets: int, keys: np.ndarray, *values: np.ndarray) -> pa.Table:
     """Notes that ask for the sums of ``values`` over all chunks, for distinct keys."""
     order, bucket = in_buckets(keys, buckets)
     keys, values = keys[order], [v[order] for v in values]
-    return [(chunk, 0, level, b, pack_sorted(keys[i:j]), *(pack(v[i:j]) for v in values), *[None] * (2 - len(values)), 0, 0) for b, i, j in _runs(bucket)]
+    # a chunk that has nothing to ask asks for nothing, so that it stays in the round
+    runs = list(_runs(bucket)) or [(0, 0, 0)]
+    return notes([(chunk, b, pack_sorted(keys[i:j]), *(pack(v[i:j]) for v in values), *[None] * (2 - len(values)), 0, 0) for b, i, j in runs])
 
 
 def _same_bytes(cells: list[bytes]) -> tuple[pa.Array, list[int]]:
@@ -188,8 +164,8 @@ def add_words(table: pa.Table) -> pa.Table:
     sums = np.zeros(len(coded.dictionary), dtype=np.int64)
     np.add.at(sums, codes, n)
     each, edge, bucket = sums[codes], np.r_[0, np.cumsum(sizes)], table.column("bucket")[0].as_py()
-    rows = [(c, 1, 0, bucket, pack(each[i:j]), None, None, 0, 0) for c, i, j in zip(chunks, edge, edge[1:])]
-    return notes([*rows, (-1, 1, 0, bucket, None, None, None, int(sums.sum()), int((sums > 0).sum()))])
+    rows = [(c, bucket, pack(each[i:j]), None, None, 0, 0) for c, i, j in zip(chunks, edge, edge[1:])]
+    return notes([*rows, (-1, bucket, None, None, None, int(sums.sum()), int((sums > 0).sum()))])
 
 
 def _summed(table: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -206,7 +182,7 @@ def _summed(table: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndar
     del keys
     order = np.argsort(flat, kind="stable")
     flat = flat[order]
-    new = np.r_[True, flat[1:] != flat[:-1]]
+    new = np.r_[True, flat[1:] != flat[:-1]][: len(flat)]
     group = np.empty(len(flat), dtype=np.int64)
     group[order] = np.cumsum(new) - 1
     return table.column("chunk").to_pylist(), edge, group, np.flatnonzero(new), [v[order] for v in values]
@@ -215,103 +191,150 @@ def _summed(table: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndar
 def add_grams(table: pa.Table) -> pa.Table:
     """Corpus counts of a bucket's grams, to every chunk that asked."""
     chunks, edge, group, firsts, (n,) = _summed(table)
-    each = np.add.reduceat(n.astype(np.int64), firsts)[group]
-    level, bucket = table.column("level")[0].as_py(), table.column("bucket")[0].as_py()
-    return notes([(c, 1, level, bucket, pack(each[i:j]), None, None, 0, 0) for c, i, j in zip(chunks, edge, edge[1:])])
+    each = (np.add.reduceat(n.astype(np.int64), firsts) if len(n) else n)[group]
+    bucket = table.column("bucket")[0].as_py()
+    return notes([(c, bucket, pack(each[i:j]), None, None, 0, 0) for c, i, j in zip(chunks, edge, edge[1:])])
 
 
 def add_contexts(table: pa.Table) -> pa.Table:
     """Training occurrences of a bucket's contexts that are states, zero for the others; the
     last row has the number of states."""
     chunks, edge, group, firsts, (n, added) = _summed(table)
-    n, added = np.add.reduceat(n.astype(np.int64), firsts), np.add.reduceat(added.astype(float), firsts)
+    if len(n):
+        n, added = np.add.reduceat(n.astype(np.int64), firsts), np.add.reduceat(added.astype(float), firsts)
     state = (n >= LEAST) & (log_odds(added, n) > math.log(ODDS))
     each = np.where(state, n, 0)[group]
-    level, bucket = table.column("level")[0].as_py(), table.column("bucket")[0].as_py()
-    rows = [(c, 1, level, bucket, pack(each[i:j]), None, None, 0, 0) for c, i, j in zip(chunks, edge, edge[1:])]
-    return notes([*rows, (-1, 1, level, bucket, None, None, None, int(state.sum()), 0)])
+    bucket = table.column("bucket")[0].as_py()
+    rows = [(c, bucket, pack(each[i:j]), None, None, 0, 0) for c, i, j in zip(chunks, edge, edge[1:])]
+    return notes([*rows, (-1, bucket, None, None, None, int(state.sum()), 0)])
+
+
+def answers(told: pa.Table, keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The answers for a chunk's keys, in their order; ``told`` has a note a bucket."""
+    out = np.zeros(len(keys), dtype=np.int64)
+    got = [unpack(x).astype(np.int64) for x in told.sort_by("bucket").column("a").to_pylist()]
+    if got:
+        out[in_buckets(keys, buckets)[0]] = np.concatenate(got)
+    return out
+
+
+@dataclass
+class Corpus:
+    """What all chunks share: the folder of their files, buckets, bits of the keys of grams and
+    contexts, training texts, and the sums of the words."""
+
+    files: Files
+    buckets: int
+    bits: int
+    starts: int
+    total: int = 0
+    distinct: int = 0
 
 
 class Chunk:
-    """A chunk's tokens and what its notes say, at one context length."""
+    """A chunk's tokens, counts and, at one context length, its tokens in question."""
 
-    def __init__(self, own: pa.Table, told: pa.Table, total: int, distinct: int, starts: int, buckets: int):
-        self.row = own.to_pylist()[0]
-        self.told = told.sort_by("bucket").to_pylist()
-        self.codes, self.hashes = unpack(self.row["codes"]).astype(np.int64), unpack(self.row["hashes"]).astype(np.uint64)
-        sizes = unpack(self.row["sizes"]).astype(np.int64)
+    def __init__(self, corpus: Corpus, number: int):
+        self.corpus, self.number = corpus, number
+        own = unbundle(corpus.files.get(f"tokens/{number}"))
+        self.codes, self.hashes = unpack(own["codes"]).astype(np.int64), unpack(own["hashes"]).astype(np.uint64)
+        sizes = unpack(own["sizes"]).astype(np.int64)
         self.firsts = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)
         self.text_of = np.repeat(np.arange(len(sizes)), sizes)
-        self.train = ~unpack(self.row["held"]).astype(bool)[self.text_of]
-        self.buckets = buckets
-        self.starts = starts
-        self.counts = np.zeros(len(self.hashes), dtype=np.int64)
-        self.counts[in_buckets(self.hashes, buckets)[0]] = self.answers(0)
-        self.base = (self.counts + 0.5) / (total + 0.5 * (distinct + 1))
-
-    def answers(self, level: int) -> np.ndarray:
-        got = [unpack(r["a"]).astype(np.int64) for r in self.told if r["kind"] == 1 and r["level"] == level]
-        return np.concatenate(got) if got else np.zeros(0, dtype=np.int64)
-
-    def contexts(self, at: np.ndarray, level: int) -> np.ndarray:
-        """Hashes of the ``level`` words before each token (the start counts as one)."""
+        self.held = unpack(own["held"]).astype(bool)
+        self.train = ~self.held[self.text_of]
+        self.ids = own["ids"]
+
+    def take(self, level: int, told: pa.Table) -> None:
+        """Takes the answers that come before contexts of length ``level`` are looked at: the
+        counts of the words, or the states of the length before."""
+        if level == 1:
+            self.corpus.files.put(f"counts/{self.number}", pack(answers(told, self.hashes, self.corpus.buckets)))
+        self.load()
+        if level > 1:
+            self.longer(level, told)
+
+    def load(self) -> None:
+        self.counts = unpack(self.corpus.files.get(f"counts/{self.number}")).astype(np.int64)
+        self.base = (self.counts + 0.5) / (self.corpus.total + 0.5 * (self.corpus.distinct + 1))
+
+    def contexts(self, at: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, which): distinct hashes of the ``level`` words before each token (the start
+        counts as one) and the one of each token."""
         first = self.firsts[self.text_of[at]]
+        if level == 1:  # as many as words
+            n = len(self.hashes)
+            before = np.where(at > first, self.codes[np.maximum(at - 1, 0)], n)
+            used = np.flatnonzero(np.bincount(before, minlength=n + 1))
+            place = np.zeros(n + 1, dtype=np.int64)
+            place[used] = np.arange(len(used))
+            return self._key(mix(_STEP + np.r_[self.hashes, _START][used])), place[before]
         h = np.full(len(at), np.uint64(level), dtype=np.uint64)
         for k in range(1, level + 1):
             inside = at - k >= first
             h = mix(h * _STEP + np.where(inside, self.hashes[self.codes[np.maximum(at - k, 0)]], _START))
-        return h
+        return np.unique(self._key(h), return_inverse=True)
 
-    def grams(self, at: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-        return mix(mix(contexts) + self.hashes[self.codes[at]])
+    def _key(self, h: np.ndarray) -> np.ndarray:
+        return h >> np.uint64(64 - self.corpus.bits)
 
-    def alive(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def grams(self, at: np.ndarray, keys: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Keys of each token with its context."""
+        return self._key(mix(mix(keys)[which] + self.hashes[self.codes[at]]))
+
+    def first(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(tokens, their probability so far, sums of the logarithms of the others by text):
-        tokens whose context of this length may be a state."""
-        n = len(self.firsts)
+        tokens whose context of one word may be a state."""
+        p = self.base[self.codes]
+        before = np.r_[0, self.counts[self.codes[:-1]]]
+        before[self.firsts] = self.corpus.starts
+        out = before < LEAST
+        return np.flatnonzero(~out), p[~out], np.bincount(self.text_of[out], np.log10(p[out]), len(self.firsts))
+
+    def alive(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``first`` for contexts of any length, from the chunk's file."""
         if level == 1:
-            p = self.base[self.codes]
-            before = np.r_[0, self.counts[self.codes[:-1]]]
-            before[self.firsts] = self.starts
-            at = np.flatnonzero(before >= LEAST)
-            out = np.ones(len(p), dtype=bool)
-            out[at] = False
-            return at, p[at], np.bincount(self.text_of[out], np.log10(p[out]), n)
-        mine = next(r for r in self.told if r["kind"] == 2)
-        if level == 2:
-            at, p, sums = self.alive(1)
-        else:
-            at, p, sums = np.cumsum(unpack(mine["a"]).astype(np.int64)), unpack(mine["c"]).astype(float), np.frombuffer(mine["d"])
-        seen = unpack(mine["b"]).astype(np.int64)
-        keys, which = np.unique(self.contexts(at, level - 1), return_inverse=True)
-        times = np.zeros(len(keys), dtype=np.int64)
-        times[in_buckets(keys, self.buckets)[0]] = self.answers(level - 1)
-        times = times[which]
+            return self.first()
+        own = unbundle(self.corpus.files.get(f"alive{level}/{self.number}"))
+        return np.cumsum(unpack(own["at"]).astype(np.int64)), unpack(own["p"]).astype(float), np.frombuffer(own["sums"])
+
+    def longer(self, level: int, told: pa.Table) -> None:
+        """The tokens whose context of length ``level`` - 1 is a state, with its probability."""
+        at, p, sums = self.alive(level - 1)
+        seen = unpack(self.corpus.files.get(f"seen{level - 1}/{self.number}")).astype(np.int64)
+        keys, which = self.contexts(at, level - 1)
+        times = answers(told, keys, self.corpus.buckets)[which]
         state = times > 0
         p = np.where(state, (seen + KAPPA * p) / (times + KAPPA), p)
         more = state & (at - level >= self.firsts[self.text_of[at]] - 1)
-        return at[more], p[more], sums + np.bincount(self.text_of[at[~more]], np.log10(p[~more]), n)
+        sums = sums + np.bincount(self.text_of[at[~more]], np.log10(p[~more]), len(self.firsts))
+        parts = {"at": pack(np.diff(at[more], prepend=0)), "p": pack(p[more].astype(np.float32)), "sums": sums.tobytes()}
+        self.corpus.files.put(f"alive{level}/{self.number}", bundle(parts))
 
-    def ask_grams(self, level: int) -> list[tuple]:
+    def ask_grams(self, level: int) -> pa.Table:
+        """Distinct grams of the tokens in question with their training counts."""
         at, _, _ = self.alive(level)
-        keys, which = np.unique(self.grams(at, self.contexts(at, level)), return_inverse=True)
-        return requests(self.row["chunk"], level, self.buckets, keys, np.bincount(which[self.train[at]], minlength=len(keys)))
-
-    def ask_contexts(self, level: int, answered: np.ndarray) -> list[tuple]:
-        """Notes that ask for contexts, and the state: tokens, counts of their grams and, beyond
-        the first length (where words have them), probabilities and sums."""
-        at, p, sums = self.alive(level)
-        contexts = self.contexts(at, level)
-        keys, some, which = np.unique(self.grams(at, contexts), return_index=True, return_inverse=True)
-        n = np.zeros(len(keys), dtype=np.int64)
-        n[in_buckets(keys, self.buckets)[0]] = answered
-        each = (evidence(n, p[some]) / np.maximum(n, 1))[which]
-        seen, train = n[which], self.train[at]
-        keys, which = np.unique(contexts, return_inverse=True)
-        times = np.bincount(which[train], minlength=len(keys))
-        added = np.bincount(which[train], each[train], len(keys)).astype(np.float32)
-        own = (self.row["chunk"], 2, level, 0, pack(np.diff(at, prepend=0)) if level > 1 else None, pack(seen), pack(p.astype(np.float32)) if level > 1 else None, 0, 0, sums.tobytes())
-        return [own, *((*r, None) for r in requests(self.row["chunk"], level, self.buckets, keys, times, added))]
+        both = np.sort(self.grams(at, *self.contexts(at, level)) << np.uint64(1) | self.train[at].astype(np.uint64))
+        keys = both >> np.uint64(1)
+        new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=np.int64)
+        n = np.add.reduceat((both & np.uint64(1)).astype(np.int64), new) if len(new) else np.zeros(0, dtype=np.int64)
+        return requests(self.number, self.corpus.buckets, keys[new], n)
+
+    def ask_contexts(self, level: int, told: pa.Table) -> pa.Table:
+        """Distinct contexts with their training counts and what their next words add to the
+        log odds; the counts of the tokens' grams are kept."""
+        at, p, _ = self.alive(level)
+        contexts, which = self.contexts(at, level)
+        keys, gram = np.unique(self.grams(at, contexts, which), return_inverse=True)
+        n = answers(told, keys, self.corpus.buckets)
+        foretold = np.zeros(len(keys))
+        foretold[gram] = p
+        each = (evidence(n, foretold) / np.maximum(n, 1))[gram]
+        self.corpus.files.put(f"seen{level}/{self.number}", pack(n[gram]))
+        train = self.train[at]
+        times = np.bincount(which[train], minlength=len(contexts))
+        added = np.bincount(which[train], each[train], len(contexts)).astype(np.float32)
+        return requests(self.number, self.corpus.buckets, contexts, times, added)
 
     def scores(self, level: int) -> np.ndarray:
         """Sums by text when no token has a longer state."""
@@ -319,24 +342,27 @@ class Chunk:
         return sums + np.bincount(self.text_of[at], np.log10(p), len(self.firsts))
 
 
-def _words_asked(t: Tokens, held: np.ndarray, chunk: int, buckets: int) -> tuple[dict, list[tuple]]:
-    """A chunk's tokens, packed, and its notes that ask for words."""
+def words_asked(files: Files, t: Tokens, held: np.ndarray, ids: bytes, chunk: int, buckets: int, bits: int) -> pa.Table:
+    """Writes a chunk's tokens and gives its notes that ask for words."""
     import xxhash
 
     often = np.argsort(-np.bincount(t.codes, minlength=len(t.words)), kind="stable")
     rank = np.empty(len(often), dtype=np.int64)
     rank[often] = np.arange(len(often))
-    words = t.words.take(pa.array(often)).to_pylist()
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+    words = t.words.take(pa.array(often))
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), dtype=np.uint64, count=len(words)) >> np.uint64(64 - bits)
     codes = rank[t.codes]
+    sizes = np.diff(np.r_[t.firsts, len(codes)])
+    files.put(f"tokens/{chunk}", bundle({"codes": pack(codes), "hashes": pack(hashes), "sizes": pack(sizes), "held": pack(held.astype(np.uint8)), "ids": ids}))
     n = np.bincount(codes[~held[t.text_of]], minlength=len(words))
     order, bucket = in_buckets(hashes, buckets)
+    runs = list(_runs(bucket))
+    lists = pa.ListArray.from_arrays(pa.array([0, *(j for _, _, j in runs)], pa.int32()), words.take(pa.array(order)))
     rows = []
-    for b, i, j in _runs(bucket):
-        data = "".join(words[k] + "\n" for k in order[i:j]).encode()
-        rows.append((chunk, 0, 0, b, len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True), pack(n[order[i:j]]), None, 0, 0))
-    sizes = np.diff(np.r_[t.firsts, len(codes)])
-    return {"codes": pack(codes), "hashes": pack(hashes), "sizes": pack(sizes), "held": pack(held.astype(np.uint8))}, rows
+    for (b, i, j), joined in zip(runs, pc.binary_join(lists, "\n").to_pylist()):
+        data = (joined + "\n").encode()
+        rows.append((chunk, b, len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True), pack(n[order[i:j]]), None, 0, 0))
+    return notes(rows)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
@@ -367,16 +393,20 @@ def score(df: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "
     from, every token has the probability of an unknown one.
 
     Chunks are made of the rows of an input partition, sorted by hash, so that a task run
-    again makes the same ones; the tokens, the answers to words and each length's states
-    are checkpointed, so lost executors cost one step.
+    again makes the same ones and writes the same files.  Answers to words and the states
+    of each length are checkpointed, as are the scores, so lost executors cost one step;
+    the files are deleted at the end.
     """
     spark = df.sparkSession
     docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), text_or_empty(F.col(f"`{text}`")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text").cast("long")), F.count_if(~F.col("held"))).first()
     n_bytes, starts = size[0] or 0, size[1] or 0
-    parts = max(shuffle_parts(spark), -(-n_bytes // chunk_bytes))
-    #: About a word in seven bytes, half of the pairs of words distinct in a chunk.
+    #: About a word in seven bytes, half of the pairs of words distinct in a chunk; a key is
+    #: another one's too with a chance of about one in a million.
     buckets = max(shuffle_parts(spark), n_bytes // 14 // BUCKET_KEYS)
+    bits = min(62, 40 if n_bytes < 1 << 20 else 20 + int(n_bytes // 8).bit_length())
+    files = Files(shared_folder(spark))
+    corpus = Corpus(files, buckets, bits, starts)
     kind = df.schema[doc_id].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,70 +414,56 @@ def score(df: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "
 
         first = TaskContext.get().partitionId() << 24
         for k, table in enumerate(_chunks(batches, chunk_bytes)):
-            held = table.column("held").to_numpy()
-            packed, rows = _words_asked(tokenize(table.column("text").combine_chunks()), held, first + k, buckets)
-            asked = notes(rows)
-            n = len(rows) + 1
-            ids = table.column("doc_id").combine_chunks()
-            lists = pa.ListArray.from_arrays(pa.array([0, len(ids)] + [len(ids)] * (n - 1), pa.int32()), ids)
-            own = {c: pa.array([packed[c]] + [None] * len(rows), pa.binary()) for c in ("codes", "hashes", "sizes", "held")}
-            head = pa.array([first + k] * n, pa.int64())
-            more = [pa.concat_arrays([pa.nulls(1, f), asked.column(c).combine_chunks()]) for c, f in _FIELDS[1:]]
-            yield pa.RecordBatch.from_arrays([head, *more, lists, *own.values()], names=[*(c for c, _ in _FIELDS), "ids", *own])
+            ids = pa.BufferOutputStream()
+            column = table.select(["doc_id"])
+            with pa.ipc.new_stream(ids, column.schema) as out:
+                out.write_table(column)
+            t = tokenize(table.column("text").combine_chunks())
+            yield from words_asked(files, t, table.column("held").to_numpy(), ids.getvalue().to_pybytes(), first + k, buckets, bits).to_batches()
 
     placed = docs.withColumns(dict(zip(("_k1", "_k2"), row_key(F.col("doc_id"), F.col("text")))))
     placed = placed.sortWithinPartitions("_k1", "_k2", "held").select("doc_id", "held", "text")
-    first = placed.mapInArrow(cut, f"{NOTE}, ids array<{kind}>, codes binary, hashes binary, sizes binary, held binary")
-    made = checkpoint(first.repartition(parts, "chunk"))
-    chunks = made.where("codes is not null").select("chunk", "ids", "codes", "hashes", "sizes", "held")
-    asked = made.where("codes is null").select(*(c for c, _ in _FIELDS))
-    counted = checkpoint(asked.groupBy("bucket").applyInArrow(add_words, NOTE))
-    sums = counted.where("chunk < 0").agg(F.sum("total"), F.sum("distinct")).first()
-    total, distinct = sums[0] or 0, sums[1] or 0
-
-    def chunk_of(own: pa.Table, told: pa.Table) -> Chunk:
-        return Chunk(own, told, total, distinct, starts, buckets)
-
-    def step(told: DataFrame, work, schema: str) -> DataFrame:
-        """``work`` (the chunk's tokens and its notes) for every chunk."""
-        empty = pa.schema([(n, t) for n, t in _FIELDS] + ([("d", pa.binary())] if "d binary" in schema else [])).empty_table()
-        run = lambda key, own, note: work(own, note) if own.num_rows else empty
-        return chunks.groupBy("chunk").cogroup(told.where("chunk >= 0").groupBy("chunk")).applyInArrow(run, schema)
-
-    level, n_states, told = 1, 0, counted.withColumn("d", F.lit(None).cast("binary"))
+    told = checkpoint(placed.mapInArrow(cut, NOTE).groupBy("bucket").applyInArrow(add_words, NOTE))
+    sums = told.where("chunk < 0").agg(F.sum("total"), F.sum("distinct")).first()
+    corpus.total, corpus.distinct = sums[0] or 0, sums[1] or 0
+
+    def asking(level: int):
+        def grams(key, note):
+            chunk = Chunk(corpus, key[0].as_py())
+            chunk.take(level, note)
+            return chunk.ask_grams(level)
+
+        def contexts(key, note):
+            chunk = Chunk(corpus, key[0].as_py())
+            chunk.load()
+            return chunk.ask_contexts(level, note)
+
+        return grams, contexts
+
+    level, n_states = 1, 0
     while n_bytes:
-        def grams(own: pa.Table, told: pa.Table, level: int = level) -> pa.Table:
-            return notes(chunk_of(own, told).ask_grams(level))
-
-        def judged(own: pa.Table, told: pa.Table, level: int = level) -> pa.Table:
-            new = np.array([r == level and k == 1 for r, k in zip(told.column("level").to_pylist(), told.column("kind").to_pylist())], dtype=bool)
-            answered = told.filter(pa.array(new)).sort_by("bucket").column("a").to_pylist()
-            chunk = chunk_of(own, told.filter(pa.array(~new)))
-            rows = chunk.ask_contexts(level, np.concatenate([unpack(x).astype(np.int64) for x in answered]) if answered else np.zeros(0, dtype=np.int64))
-            return notes(rows).append_column("d", pa.array([r[-1] for r in rows], pa.binary()))
-
-        answers = step(told, grams, NOTE).groupBy("bucket").applyInArrow(add_grams, NOTE)
-        more = checkpoint(step(told.unionByName(answers, allowMissingColumns=True), judged, f"{NOTE}, d binary"))
-        states = checkpoint(more.where("kind = 0").drop("d").groupBy("bucket").applyInArrow(add_contexts, NOTE))
-        told = counted.unionByName(more.where("kind = 2"), allowMissingColumns=True).unionByName(states, allowMissingColumns=True)
-        found = states.where("chunk < 0").agg(F.sum("total")).first()[0] or 0
-        level += 1
+        grams, contexts = asking(level)
+        asked = told.where("chunk >= 0").groupBy("chunk").applyInArrow(grams, NOTE)
+        counted = asked.groupBy("bucket").applyInArrow(add_grams, NOTE)
+        judges = counted.groupBy("chunk").applyInArrow(contexts, NOTE)
+        told = checkpoint(judges.groupBy("bucket").applyInArrow(add_contexts, NOTE))
+        found = told.where("chunk < 0").agg(F.sum("total")).first()[0] or 0
         n_states += found
+        level += 1
         if not found:
             break
 
-    def rate(key, own: pa.Table, note: pa.Table) -> pa.Table:
-        if not own.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in (("doc_id", own.schema.field("ids").type.value_type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
-        c = chunk_of(own, note)
+    def rate(key, note):
+        c = Chunk(corpus, key[0].as_py())
+        c.take(level, note)
         per_text = lambda x: np.add.reduceat(x, c.firsts)  # noqa: E731  each text has its end
         return pa.table({
-            "doc_id": own.column("ids").combine_chunks().flatten(), "held_out": pa.array(unpack(c.row["held"]).astype(bool)),
+            "doc_id": pa.ipc.open_stream(c.ids).read_all().column("doc_id"), "held_out": pa.array(c.held),
             "n_tokens": pa.array(per_text(np.ones(len(c.codes), dtype=np.int64))), "n_known": pa.array(per_text((c.counts > 0)[c.codes].astype(np.int64))),
             "base_score": pa.array(per_text(np.log10(c.base)[c.codes])), "score": pa.array(c.scores(level)),
         })
 
-    out = chunks.groupBy("chunk").cogroup(told.where("chunk >= 0").groupBy("chunk")).applyInArrow(
-        rate, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    )
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", F.lit(n_states).cast("long").alias("n_states"))
+    out = told.where("chunk >= 0").groupBy("chunk").applyInArrow(rate, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = checkpoint(out)
+    files.drop()
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(corpus.total).cast("long").alias("train_tokens"), "base_score", "score", F.lit(n_states).cast("long").alias("n_states"))

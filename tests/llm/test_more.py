@@ -94,13 +94,14 @@ def test_lm_helps_and_grows(spark):
 
 
 def test_packed_numbers():
-    from stillframe.llm import lm_score as M
+    from stillframe.llm import common as M
 
     rng = np.random.default_rng(1)
     for a in (np.zeros(0, np.int64), np.array([0]), rng.integers(0, 300, 999), rng.integers(-5, 5, 10), rng.random(7).astype(np.float32)):
         assert (M.unpack(M.pack(a)) == a).all()
     keys = np.unique(rng.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2))
     assert (M.unpack_sorted(M.pack_sorted(keys)) == keys).all()
+    assert M.unbundle(M.bundle({"a": b"xy", "b": b""})) == {"a": b"xy", "b": b""}
 
 
 def test_feistel_is_a_permutation():
