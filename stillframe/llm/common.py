@@ -31,10 +31,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder, for tables that are read again."""
+def shared_folder(spark: SparkSession, name: str | None = None) -> str:
+    """A new folder below the shared checkpoint folder, for tables that are read again; or the
+    one of that name, beside those of the sessions."""
     _ensure_folder(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4()}"
+    own = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{own}/{uuid.uuid4()}" if name is None else f"{own.rstrip('/').rsplit('/', 1)[0]}/{name}"
 
 
 class Files:

@@ -1,13 +1,16 @@
 """Training-order materialisation of token sequences.
 
-Documents become one stream of ids per task, cut into sequences of fixed length.  A
-keyed Feistel permutation gives every sequence a global slot; slots are dealt by ranges
-into shards of fixed stride, so a reader finds slot s at byte
-(s - first_slot) * stride of shard s // per_shard and can go on from any slot.
+All documents, in the order of their rows' hashes, are one stream of ids, cut into
+sequences of fixed length; so what is in a sequence depends on the rows alone, not on
+how tasks or files hold them.  A keyed Feistel permutation gives every sequence a global
+slot.  Slots are dealt by ranges into shards: files of raw ids of fixed stride, in which
+slot s starts at byte (s - first_slot) * stride of shard s // per_shard, so a reader
+goes on from any slot with one seek.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,9 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stillframe.llm import tokens
-from stillframe.llm.common import checkpoint, shuffle_parts, text_or_empty
+from stillframe.llm.common import Files, checkpoint, pack, row_key, shared_folder, shuffle_parts, text_or_empty, unpack
 
 ROUNDS = 4
+#: Documents of one range of the order, about.
+RANGE_ROWS = 1_000_000
 
 
 def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -51,129 +56,213 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def sequences(df: DataFrame, path: str, length: int = 1024, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Sequences of ``length`` ids from all documents (null text: empty), an ``end_id``
-    behind each: ids (little-endian unsigned 16 or 32 bits), n_ids, first_doc and
-    first_start (the document of the first id and its place there).  Only a task's last
-    sequence is shorter; it is filled up with ``end_id``.  A map-only plan."""
-    wide = tokens.vocabulary_size(path) > 1 << 16
-    kind = "<u4" if wide else "<u2"
+def encoded(df: DataFrame, path: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, _k1, _k2 (hashes of the row), n and ids (packed) of every document: its ids
+    (null text: none) and ``end_id`` behind them.  Map-only."""
+    kind = df.schema[doc_id].dataType.simpleString()
+    names = ["doc_id", "_k1", "_k2", "n", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(path)
-        held: list[np.ndarray] = []
-        origin: list[tuple] = []  # (doc, start there, ids) of what is held
-        size = 0
-        names = ["ids", "n_ids", "first_doc", "first_start"]
-        types = [pa.binary(), pa.int32(), pa.int64(), pa.int64()]
-
-        def cut(last: bool) -> pa.RecordBatch:
-            nonlocal held, origin, size
-            data = np.concatenate(held) if held else np.zeros(0, dtype=kind)
-            edge = np.cumsum([0, *(n for _, _, n in origin)])
-            count = -(-size // length) if last else size // length
-            rows = []
-            for i in range(count):
-                part = data[i * length : (i + 1) * length]
-                k = int(np.searchsorted(edge, i * length, side="right")) - 1
-                full = part if len(part) == length else np.r_[part, np.full(length - len(part), end_id, dtype=kind)].astype(kind)
-                rows.append((full.tobytes(), len(part), origin[k][0], origin[k][1] + i * length - int(edge[k])))
-            done = min(size, count * length)
-            k = int(np.searchsorted(edge, done, side="right")) - 1
-            rest = [] if done == size else [(origin[k][0], origin[k][1] + done - int(edge[k]), int(edge[k + 1]) - done), *origin[k + 1 :]]
-            held, origin, size = ([data[done:].copy()] if done < size else []), rest, size - done
-            cols = list(zip(*rows)) or [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
-
+        end = np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for first, texts in tokens.by_bytes(batch.column(1)):
-                for i, text_ in enumerate(texts):
-                    x = np.r_[np.frombuffer(enc.encode(text_), "<u4"), np.uint32(end_id)].astype(kind)
-                    held.append(x)
-                    origin.append((ids[first + i], 0, len(x)))
-                    size += len(x)
-                yield cut(False)
-        if size:
-            yield cut(True)
-
-    plain = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_or_empty(F.col(f"`{text}`")).alias("text"))
-    return plain.mapInArrow(run, "ids binary, n_ids int, first_doc long, first_start long")
-
-
-def shards(rows: DataFrame, key: int, stride: int, per_shard: int = 4096) -> DataFrame:
-    """Shards of ``per_shard`` slots from a table of sequences (ids: ``stride`` bytes each).
-
-    Sequences are numbered by their place in the checkpointed table (a count per
-    partition, no shuffle), permuted under ``key`` and dealt to the task that owns the
-    slot's range.  Returns shard, first_slot, n_slots, stride, payload (n_slots * stride
-    bytes), and per slot n_ids, first_doc, first_start.  No sequences: no shards.
+            for first, texts in tokens.by_bytes(batch.column(3)):
+                ids = [np.frombuffer(enc.encode(t) + end, "<u4") for t in texts]
+                own = [batch.column(i).slice(first, len(texts)) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([len(x) for x in ids], pa.int64()), pa.array(map(pack, ids), pa.binary())], names=names)
+
+    plain = df.select(F.col(f"`{doc_id}`").alias("doc_id"), text_or_empty(F.col(f"`{text}`")).alias("text"))
+    return plain.select("doc_id", *row_key(F.col("doc_id"), F.col("text")), "text").mapInArrow(run, f"doc_id {kind}, _k1 long, _k2 long, n long, ids binary")
+
+
+def _part_and_place(at: pa.Array) -> tuple[int, np.ndarray]:
+    x = at.to_numpy(zero_copy_only=False).astype(np.int64)
+    return int(x[0] >> 33), x & ((1 << 33) - 1)
+
+
+def write_offsets(docs: DataFrame, files: Files, range_rows: int = RANGE_ROWS) -> int:
+    """Writes, for each partition of ``docs`` (materialised: _k1, _k2, n), where its documents
+    start in the stream; returns the stream's ids.
+
+    The order is that of (_k1, _k2); rows that agree in both are the same document.  Ranges
+    of _k1 are sorted apart, and only a count and a sum a range come to the driver.
     """
-    fixed = checkpoint(rows)
-    placed = fixed.withColumn("_at", F.monotonically_increasing_id())
-    sizes = placed.groupBy(F.shiftright("_at", 33).alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()  # a row per partition
-    starts, total = {}, 0
-    for r in sizes:
-        starts[r["p"]] = total
-        total += r["n"]
-    n_shards = -(-total // per_shard)
-    tasks = max(1, min(max(shuffle_parts(rows.sparkSession), n_shards // 4), n_shards))
-    low = (1 << 33) - 1
-
-    @F.arrow_udf("long")
-    def slot(at: pa.Array) -> pa.Array:
-        x = at.to_numpy(zero_copy_only=False).astype(np.int64)
-        parts, inverse = np.unique(x >> 33, return_inverse=True)
-        index = np.array([starts[int(p)] for p in parts], dtype=np.int64)[inverse] + (x & low)
-        return pa.array(permute(index, total, key))
-
-    dealt = placed.withColumn("slot", slot("_at")).drop("_at")
+    spark = docs.sparkSession
+    placed = docs.select("_k1", "_k2", "n", F.monotonically_increasing_id().alias("at"))
+    parts = placed.groupBy(F.shiftright("at", 33).alias("p")).agg(F.count("*").alias("rows")).collect()  # a row a partition
+    if not parts:
+        return 0
+    ranges = max(shuffle_parts(spark), sum(r["rows"] for r in parts) // range_rows)
+    high = F.shiftrightunsigned(F.col("_k1").bitwiseXOR(F.lit(-(1 << 63))), 33)
+    placed = placed.withColumn("owner", F.shiftright(high * F.lit(ranges).cast("long"), 31).cast("int"))
+    sums = {r["owner"]: r["n"] for r in placed.groupBy("owner").agg(F.sum("n").alias("n")).collect()}  # a row a range
+    starts = dict(zip(sorted(sums), np.r_[0, np.cumsum([sums[k] for k in sorted(sums)])].tolist()))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
+        for batch in batches:
+            n = batch.column(2).to_numpy().astype(np.int64)
+            if len(n):
+                now = starts[batch.column(0)[0].as_py()] if now is None else now
+                ends = now + np.cumsum(n)
+                now = int(ends[-1])
+                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(ends - n)], names=["at", "start"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if len(b)]
+        if got:
+            t = pa.Table.from_batches(got)
+            part, _ = _part_and_place(t.column("at").chunk(0))
+            files.put(f"offsets/{part}", t.column("start").to_numpy().astype("<i8").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([len(t)], pa.int64())], names=["rows"])
+
+    ordered = placed.repartitionById(ranges, "owner").sortWithinPartitions("_k1", "_k2", "at").select("owner", "at", "n")
+    numbered = ordered.mapInArrow(number, "at long, start long")
+    back = numbered.repartitionById(max(r["p"] for r in parts) + 1, F.shiftright("at", 33).cast("int")).sortWithinPartitions("at")
+    back.mapInArrow(write, "rows long").agg(F.sum("rows")).collect()
+    return sum(sums.values())
+
+
+def fragments(docs: DataFrame, files: Files, length: int, n_sequences: int, key: int) -> DataFrame:
+    """Each document's share in each sequence: slot, at (place in the sequence), ids (packed),
+    doc_id, start (place in the document)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, part = None, -1
+        for batch in batches:
+            if not len(batch):
+                continue
+            p, place = _part_and_place(batch.column(0))
+            if p != part:
+                part, starts = p, np.frombuffer(files.get(f"offsets/{p}"), "<i8")
+            who, sequence, at, first, ids = [], [], [], [], []
+            for i, (o, packed) in enumerate(zip(starts[place].tolist(), batch.column(2).to_pylist())):
+                x = unpack(packed)
+                done = 0
+                while done < len(x):
+                    inside = (o + done) % length
+                    take = min(length - inside, len(x) - done)
+                    who.append(i)
+                    sequence.append((o + done) // length)
+                    at.append(inside)
+                    first.append(done)
+                    ids.append(packed if take == len(x) else pack(x[done : done + take]))
+                    done += take
+            slot = permute(np.array(sequence, dtype=np.int64), n_sequences, key)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(slot), pa.array(at, pa.int32()), pa.array(ids, pa.binary()), batch.column(1).take(pa.array(who, pa.int64())), pa.array(first, pa.int64())],
+                names=["slot", "at", "ids", "doc_id", "start"],
+            )
+
+    placed = docs.select(F.monotonically_increasing_id().alias("_at"), "doc_id", "ids")
+    return placed.mapInArrow(run, f"slot long, at int, ids binary, doc_id {kind}, start long")
+
+
+MANIFEST = "shard long, file string, first_slot long, n_slots int, stride int, n_bytes long, crc32 long, n_ids array<int>"
+
+
+def shards(pieces: DataFrame, files: Files, n_sequences: int, length: int, width: int, end_id: int, per_shard: int = 4096) -> DataFrame:
+    """Writes shards of ``per_shard`` slots from ``fragments`` and gives a row a shard: its
+    number, file, first slot, slots, stride (``length`` ids of ``width`` bytes), bytes,
+    checksum, and for each slot its ids without padding, and the document and place in it of its
+    first id."""
+    n_shards = -(-n_sequences // per_shard)
+    tasks = max(1, min(max(shuffle_parts(pieces.sparkSession), n_shards // 4), n_shards))
     owner = F.floor(F.floor(F.col("slot") / per_shard) * tasks / max(1, n_shards)).cast("int")
-    ranges = dealt.repartitionById(tasks, owner).sortWithinPartitions("slot")
+    ranges = pieces.repartitionById(tasks, owner).sortWithinPartitions("slot", "at")
+    field = pieces.schema["doc_id"]
+    kind = "<u4" if width == 4 else "<u2"
+    stride = length * width
 
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["shard", "first_slot", "n_slots", "stride", "payload", "n_ids", "first_doc", "first_start"]
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = -1, []
 
         def out() -> pa.RecordBatch:
-            data = b"".join(h[0] for h in held)
-            if len(data) != stride * len(held):
-                raise ValueError("a sequence does not have the stride's length")
-            row = (now, now * per_shard, len(held), stride, data, [h[1] for h in held], [h[2] for h in held], [h[3] for h in held])
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=names)
+            t = pa.Table.from_batches(held)
+            slot, at = t.column("slot").to_numpy(), t.column("at").to_numpy()
+            first, n = now * per_shard, min(per_shard, n_sequences - now * per_shard)
+            data = np.full(n * length, end_id, dtype=kind)
+            used = np.zeros(n, dtype=np.int64)
+            for s, a, ids in zip((slot - first).tolist(), at.tolist(), t.column("ids").to_pylist()):
+                x = unpack(ids)
+                data[s * length + a : s * length + a + len(x)] = x
+                used[s] += len(x)
+            head = np.flatnonzero(at == 0)
+            if len(head) != n or (np.diff(slot[head]) != 1).any() or (used[slot[np.r_[head]] - first] < 1).any():
+                raise ValueError("a sequence of the shard has no first id")
+            raw = data.tobytes()
+            name = f"shard-{now:08d}.bin"
+            files.put(name, raw)
+            lists = [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), c) for c in (pa.array(used, pa.int32()), t.column("doc_id").combine_chunks().take(pa.array(head)), t.column("start").combine_chunks().take(pa.array(head)))]
+            plain = [pa.array([now]), pa.array([name]), pa.array([first]), pa.array([n], pa.int32()), pa.array([stride], pa.int32()), pa.array([len(raw)]), pa.array([zlib.crc32(raw)])]
+            return pa.RecordBatch.from_arrays([*plain, *lists], names=[*(x.split()[0] for x in MANIFEST.split(", ")), "first_doc", "first_start"])
 
         for batch in batches:
-            cols = [batch.column(n).to_pylist() for n in ("slot", "ids", "n_ids", "first_doc", "first_start")]
-            for s, *rest in zip(*cols):
-                if s // per_shard != now:
-                    if held:
-                        yield out()
-                    now, held = s // per_shard, []
-                held.append(rest)
+            which = batch.column(0).to_numpy() // per_shard
+            for a, b in zip(*(lambda e: (e, [*e[1:], len(which)]))(np.flatnonzero(np.r_[True, which[1:] != which[:-1]][: len(which)]).tolist())):
+                if which[a] != now and held:
+                    yield out()
+                    held = []
+                now = int(which[a])
+                held.append(batch.slice(a, b - a))
         if held:
             yield out()
 
-    return ranges.mapInArrow(assemble, "shard long, first_slot long, n_slots int, stride int, payload binary, n_ids array<int>, first_doc array<long>, first_start array<long>")
+    return ranges.mapInArrow(run, f"{MANIFEST}, first_doc array<{field.dataType.simpleString()}>, first_start array<long>")
 
 
-def materialise(df: DataFrame, path: str, key: int, length: int = 1024, end_id: int = 0, per_shard: int = 4096, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents to shards; see ``sequences`` and ``shards``.  Nulls count as empty texts,
-    repeated rows as further documents; an empty table gives no shards."""
-    stride = length * (4 if tokens.vocabulary_size(path) > 1 << 16 else 2)
-    return shards(sequences(df, path, length, end_id, doc_id, text), key, stride, per_shard)
+def materialise(df: DataFrame, path: str, key: int, length: int = 1024, end_id: int = 0, per_shard: int = 4096, doc_id: str = "doc_id", text: str = "text", folder: str | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Writes all documents as shards in the training order of ``key`` into ``folder`` and returns
+    the manifest, see ``shards``.  Without a folder they go to one beside the sessions' folders
+    in ``spark.checkpoint.dir``, named by the rows and options, and ``file`` starts with its name.
 
+    Nulls count as empty texts, repeated rows as further documents; an empty table gives no
+    shards; other columns are left out.  The same rows give the same files however they are
+    partitioned.  The stream's last sequence is filled up with ``end_id``.  The folder's URI must
+    be one that Arrow opens.
+    """
+    spark = df.sparkSession
+    width = 4 if tokens.vocabulary_size(path) > 1 << 16 else 2
+    work = Files(shared_folder(spark))
+    docs = checkpoint(encoded(df, path, end_id, doc_id, text))
+    name = ""
+    if folder is None:
+        rows = docs.agg(F.sum(F.col("_k1").cast("decimal(38,0)")), F.sum(F.col("_k2").cast("decimal(38,0)")), F.sum("n")).first()
+        name = f"training-order-{zlib.crc32(repr((tuple(map(str, rows)), key, length, end_id, per_shard)).encode()):08x}"
+        folder = shared_folder(spark, name)
+    total = write_offsets(docs, work, range_rows)
+    n = -(-total // length)
+    out = checkpoint(shards(fragments(docs, work, length, n, key), Files(folder), n, length, width, end_id, per_shard))
+    work.drop()
+    return out.withColumn("file", F.concat(F.lit(f"{name}/"), F.col("file"))) if name else out
+
+
+def read_from(folder: str, slot: int, n_slots: int, stride: int, width: int, per_shard: int = 4096, most: int = 256) -> Iterator[tuple[int, np.ndarray]]:
+    """(slot, ids) from ``slot`` on, in order, up to ``n_slots`` slots in all: one seek in the
+    shard that holds it, then runs of ``most`` slots, one file after the other."""
+    files = Files(folder)
+    kind = "<u4" if width == 4 else "<u2"
+    while slot < n_slots:
+        shard, inside = divmod(slot, per_shard)
+        take = min(most, per_shard - inside, n_slots - slot)
+        data = np.frombuffer(files.get(f"shard-{shard:08d}.bin", inside * stride, take * stride), kind).reshape(take, -1)
+        for i in range(take):
+            yield slot + i, data[i]
+        slot += take
+
+
+def read_shards(spark: SparkSession, manifest: DataFrame, folder: str, width: int, first: int = 0) -> DataFrame:
+    """(slot, ids) of all slots from ``first`` on; a task reads one shard, from its first wanted
+    slot, and no earlier shard is opened."""
+    files = Files(folder)
 
-def write_shards(table: DataFrame, path: str) -> None:
-    """Writes shards as uncompressed binary rows, in the order of their numbers."""
-    table.write.mode("overwrite").option("compression", "uncompressed").parquet(path)
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, start, n, stride in zip(*(c.to_pylist() for c in batch.columns)):
+                skip = max(0, first - start)
+                data = files.get(name, skip * stride, (n - skip) * stride)
+                yield pa.RecordBatch.from_arrays([pa.array(range(start + skip, start + n), pa.int64()), pa.array([data[i * stride : (i + 1) * stride] for i in range(n - skip)], pa.binary())], names=["slot", "ids"])
 
-def read_from(spark: SparkSession, path: str, slot: int, per_shard: int = 4096) -> DataFrame:
-    """(slot, ids) from ``slot`` on, in order: earlier shards are not read."""
-    ahead = spark.read.parquet(path).where(F.col("shard") >= slot // per_shard)
-    one = ahead.select("first_slot", "stride", "payload", F.explode(F.sequence(F.lit(0), F.col("n_slots") - 1)).alias("i"))
-    return (
-        one.select((F.col("first_slot") + F.col("i")).alias("slot"), F.substring("payload", F.col("i") * F.col("stride") + 1, F.col("stride")).alias("ids"))
-        .where(F.col("slot") >= slot).orderBy("slot")
-    )
+    wanted = manifest.where(F.col("first_slot") + F.col("n_slots") > first).select("file", "first_slot", "n_slots", "stride")
+    return wanted.mapInArrow(run, "slot long, ids binary")

@@ -120,40 +120,50 @@ def test_feistel_is_a_permutation():
 
 
 def test_training_order(spark, docs, rows, tmp_path):
+    """Files equal those of a stream made in plain Python, for any partitioning; a reader goes on
+    from any slot."""
     import public_tokenizers as P
+    from pyspark.sql import functions as F
     from tokenizers import Tokenizer
 
     from stillframe.llm import materialise as M
+    from stillframe.llm.common import row_key
 
     path = P.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    shards = M.materialise(docs, path, key=5, length=64, per_shard=32).cache()
-    got = shards.orderBy("shard").collect()
-    assert [r.shard for r in got] == list(range(len(got)))
-    assert all(r.n_slots == 32 and r.first_slot == 32 * r.shard for r in got[:-1])
-    ids = []
-    for r in got:
-        assert r.stride == 128 and len(r.payload) == r.stride * r.n_slots
-        x = np.frombuffer(bytes(r.payload), "<u2").reshape(r.n_slots, 64)
-        ids += [(d, s, tuple(x[i, :k])) for i, (d, s, k) in enumerate(zip(r.first_doc, r.first_start, r.n_ids))]
-    # every id of every document is there once
-    want = Counter()
-    by_doc = {}
-    for d, t in rows:
-        e = [*library.encode(t or "", add_special_tokens=False).ids, 0]
-        want.update(e)
-        by_doc.setdefault(d, []).append(e)
-    assert Counter(x for _, _, s in ids for x in s) == want
-    # each sequence goes on in its first document where it says
-    for d, start, s in ids:
-        assert any(list(s[: len(e) - start]) == e[start : start + len(s)] for e in by_doc[d])
-    M.write_shards(shards, str(tmp_path / "shards"))
-    total = sum(r.n_slots for r in got)
-    again = M.read_from(spark, str(tmp_path / "shards"), 40, per_shard=32).collect()
-    assert [r.slot for r in again] == list(range(40, total))
-    flat = b"".join(bytes(r.payload) for r in got)
-    assert all(bytes(r.ids) == flat[128 * r.slot : 128 * r.slot + 128] for r in again)
+    order = docs.select("doc_id", "text", *row_key(F.col("doc_id"), F.coalesce("text", F.lit("")))).collect()
+    stream, firsts = [], []
+    for r in sorted(order, key=lambda r: (r["_k1"], r["_k2"])):
+        ids = [*library.encode(r.text or "", add_special_tokens=False).ids, 0]
+        stream += ids
+        firsts += [(r.doc_id, i) for i in range(len(ids))]
+    n = -(-len(stream) // 64)
+    want = np.zeros((n, 64), "<u2")
+    slots = M.permute(np.arange(n), n, 5)
+    for j, s in enumerate(slots):
+        part = stream[64 * j : 64 * j + 64]
+        want[s, : len(part)] = part
+    files = None
+    for k, table in enumerate((docs, docs.repartition(1), docs.repartition(7, "text"))):
+        folder = str(tmp_path / f"shards{k}")
+        shards = M.materialise(table, path, key=5, length=64, per_shard=32, folder=folder, range_rows=50)
+        got = shards.orderBy("shard").collect()
+        assert [r.first_slot for r in got] == list(range(0, n, 32)) and sum(r.n_slots for r in got) == n
+        data = [open(f"{folder}/{r.file}", "rb").read() for r in got]
+        assert b"".join(data) == want.tobytes() and [zlib.crc32(d) for d in data] == [r.crc32 for r in got]
+        assert files in (None, data)
+        files = data
+        used = [x for r in got for x in r.n_ids]
+        assert sorted(used)[1:] == [64] * (n - 1) and sum(used) == len(stream)
+        where = [x for r in got for x in zip(r.first_doc, r.first_start)]
+        assert all(where[s] == firsts[64 * j] for j, s in enumerate(slots))
+    again = list(M.read_from(folder, 40, n, 128, 2, per_shard=32, most=7))
+    assert [s for s, _ in again] == list(range(40, n)) and all((x == want[s]).all() for s, x in again)
+    spread = M.read_shards(spark, shards, folder, 2, first=40).collect()
+    assert sorted((r.slot, bytes(r.ids)) for r in spread) == [(s, want[s].tobytes()) for s in range(40, n)]
     assert M.materialise(docs.limit(0), path, key=5).count() == 0
+    text_ids = M.materialise(docs.select(F.concat(F.lit("a.b/"), "doc_id").alias("doc id"), F.col("text").alias("the.text")), path, key=5, length=64, doc_id="doc id", text="the.text").collect()
+    assert all(r.file.startswith("training-order-") for r in text_ids) and {type(x) for r in text_ids for x in r.first_doc} <= {str, type(None)}
 
 
 def _field(number, kind, payload):
