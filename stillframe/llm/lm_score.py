@@ -307,6 +307,11 @@ class Chunk:
         state = times > 0
         p = np.where(state, (seen + KAPPA * p) / (times + KAPPA), p)
         more = state & (at - level >= self.firsts[self.text_of[at]] - 1)
+        # the longer context is the gram of the token before, where that was asked for; and if
+        # its first word is too rare to be asked about, so is the context
+        bound = np.full(len(self.codes), LEAST if level > 2 else 0)
+        bound[at] = seen
+        more &= bound[np.maximum(at - 1, 0)] >= LEAST
         sums = sums + np.bincount(self.text_of[at[~more]], np.log10(p[~more]), len(self.firsts))
         parts = {"at": pack(np.diff(at[more], prepend=0)), "p": pack(p[more].astype(np.float32)), "sums": sums.tobytes()}
         self.corpus.files.put(f"alive{level}/{self.number}", bundle(parts))
@@ -448,6 +453,8 @@ def score(df: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "
         judges = counted.groupBy("chunk").applyInArrow(contexts, NOTE)
         told = checkpoint(judges.groupBy("bucket").applyInArrow(add_contexts, NOTE))
         found = told.where("chunk < 0").agg(F.sum("total")).first()[0] or 0
+        for name in ("alive", "seen"):
+            files.drop(f"{name}{level - 1}")
         n_states += found
         level += 1
         if not found:

@@ -14,14 +14,15 @@ from pyspark.sql import types as T
 from stillframe.llm import tokens
 from stillframe.llm.common import checkpoint, shuffle_parts, text_or_empty
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def cut_pieces(df: DataFrame, path: str, room: int, end_id: int, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """Encodes every document (null text: empty), appends ``end_id`` and cuts the ids
     every ``room``; one row per piece.  Map-only."""
-    schema = PIECES + (", ids binary" if with_ids else "")
-    arrow = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")] + ([("ids", pa.binary())] if with_ids else []))
+    schema = f"doc_id {df.schema[doc_id].dataType.simpleString()}, {PIECES}" + (", ids binary" if with_ids else "")
+    types = [pa.int64()] * 4 + [pa.binary()] * with_ids
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(types) + 1]
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,11 +40,10 @@ def cut_pieces(df: DataFrame, path: str, room: int, end_id: int, doc_id: str = "
                         rows.append((*row, part) if with_ids else row)
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
-                    [ids_of.take(pa.array(cols[0], pa.int64()))] + [pa.array(c, f.type) for c, f in zip(cols[1:], list(arrow)[1:])],
-                    schema=arrow,
+                    [ids_of.take(pa.array(cols[0], pa.int64())), *(pa.array(c, t) for c, t in zip(cols[1:], types))], names=names
                 )
 
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).mapInArrow(cut, schema)
+    return df.select(F.col(f"`{doc_id}`").alias("doc_id"), text_or_empty(F.col(f"`{text}`")).alias("text")).mapInArrow(cut, schema)
 
 
 def shortest_pack_first(histogram: dict[int, int], room: int) -> list[tuple[int, list[int]]]:

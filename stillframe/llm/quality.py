@@ -203,15 +203,17 @@ def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     Learned from a bounded sample: ``sample`` labelled ids of the smallest hashes.  Ids
     with null or differing labels are left out; no labels or one class give no rules.
+    The list has at most ``most_rules`` rules of ``most_conditions`` conditions, see
+    ``learn_rules``.
     """
     spark = df.sparkSession
     chosen = (
-        labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id"))
-        .agg(F.min(label).alias("_low"), F.max(label).alias("_high")).where("_low = _high")
+        labels.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{label}`").cast("int").alias("_label")).where("_label is not null and _id is not null")
+        .groupBy("_id").agg(F.min("_label").alias("_low"), F.max("_label").alias("_high")).where("_low = _high")
         .orderBy(F.xxhash64("_id"), "_id").limit(sample).select("_id", "_low")
     )
-    picked = F.broadcast(spark.createDataFrame(chosen.collect(), "_id long, _low int"))  # `sample` rows of 12 bytes
-    texts = df.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(picked, "_id")
+    picked = F.broadcast(spark.createDataFrame(chosen.collect(), chosen.schema))  # `sample` rows
+    texts = df.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text")).join(picked, "_id")
     stats = with_statistics(texts, "_text", ["_id", "_low"]).where(~base_failed())
     values = features()
     rows = (
@@ -240,13 +242,14 @@ def judge(df: DataFrame, rules: list[Rule], doc_id: str = "doc_id", text: str =
     A null or empty text has no words and so fails the base rule.  Repeated rows are
     judged alike, each by itself.
     """
-    stats = with_statistics(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", ["doc_id"])
+    stats = with_statistics(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "text", ["doc_id"])
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return stats.select("doc_id", *(F.col(f"_q_{n}").alias(n) for n in names), base_failed().alias("base_failed"), verdict(rules).alias("kept"))
 
 
 def keep_good(df: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
-    """The rows of ``df`` that the rules keep, with its columns."""
+    """The rows of ``df`` that the rules keep, with its columns.  Null and empty texts fail the base
+    rule; repeated rows stay or go together; an empty table gives an empty one."""
     plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))  # own names cannot clash
     kept = with_statistics(plain, f"c{df.columns.index(text)}").where(verdict(rules))
     return kept.select(*plain.columns).toDF(*df.columns)

@@ -310,7 +310,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     fingerprints always share a component.  An empty table gives an empty one;
     columns other than ``doc_id`` and ``text`` are not looked at.
     """
-    fps = checkpoint(with_fingerprints(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ["doc_id"], width=width))
+    fps = checkpoint(with_fingerprints(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), ["doc_id"], width=width))
     return classes(fps, "doc_id", most, heavy).select(
         "doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,10 +33,8 @@ def token_count(path: str, text: str | Column = "text") -> Column:
         for column in batches:
             if isinstance(column, pa.ChunkedArray):
                 column = column.combine_chunks()
-            out: list[int] = []
-            for _, texts in tokens.by_bytes(column, BATCH_TEXT_BYTES):
-                out += map(enc.count, texts)
-            yield pa.array(out, pa.int64())
+            out = [enc.lengths(texts) for _, texts in tokens.by_bytes(column, BATCH_TEXT_BYTES)]
+            yield pa.array(np.concatenate(out) if out else [], pa.int64())
 
     return count(text_or_empty(text))
 
@@ -46,6 +45,5 @@ def with_token_counts(df: DataFrame, path: str, limit: int = 1024, text: str = "
     Columns of these names that ``df`` already has are replaced.  A map-only
     plan: no shuffle, one pass over the text.
     """
-    return df.withColumns(
-        {"n_bytes": F.octet_length(text_or_empty(text)).cast("long"), "n_tokens": token_count(path, text)}
-    ).withColumn("over_limit", F.col("n_tokens") > limit)
+    text = F.col(f"`{text}`")
+    return df.withColumns({"n_bytes": F.octet_length(text_or_empty(text)).cast("long"), "n_tokens": token_count(path, text)}).withColumn("over_limit", F.col("n_tokens") > limit)

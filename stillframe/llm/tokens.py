@@ -54,7 +54,8 @@ class Encoder:
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.ids = lambda text: model.encode(text)
+            self.ids = lambda text: _buffer(model.encode(text))
+            self.sizes = lambda texts: map(len, model.encode(texts))
             return
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -75,7 +76,8 @@ class Encoder:
             special = {t["content"]: t["id"] for t in added}
             core = tiktoken.Encoding("file", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens=special)
             allowed = set(special)
-            self.ids = lambda text: core._core_bpe.encode(text, allowed)
+            self.ids = lambda text: core._core_bpe.encode_to_tiktoken_buffer(text, allowed)
+            self.sizes = lambda texts: (memoryview(self.ids(x)).nbytes >> 2 for x in texts)
             self.cut = safe_parts
         else:
             from tokenizers import Tokenizer
@@ -83,7 +85,8 @@ class Encoder:
             library = Tokenizer.from_file(path)
             library.no_truncation()
             library.no_padding()
-            self.ids = lambda text: library.encode(text, add_special_tokens=False).ids
+            self.ids = lambda text: _buffer(library.encode(text, add_special_tokens=False).ids)
+            self.sizes = lambda texts: map(len, library.encode_batch_fast(texts, add_special_tokens=False))
 
     @staticmethod
     def _ranks(model: dict, special: set[str]) -> dict[bytes, int] | None:
@@ -100,10 +103,20 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        return b"".join(np.asarray(self.ids(x), dtype="<u4").tobytes() for x in self.cut(text)) if text else b""
+        return b"".join(map(self.ids, self.cut(text))) if text else b""
 
-    def count(self, text: str) -> int:
-        return sum(len(self.ids(x)) for x in self.cut(text)) if text else 0
+    def lengths(self, texts: list[str]) -> np.ndarray:
+        """Ids of each text: all safe parts of the texts are one batch, of which only the
+        lengths are looked at."""
+        parts = [(i, part) for i, text in enumerate(texts) if text for part in self.cut(text)]
+        out = np.zeros(len(texts), dtype=np.int64)
+        if parts:
+            np.add.at(out, [i for i, _ in parts], list(self.sizes([part for _, part in parts])))
+        return out
+
+
+def _buffer(ids: list[int]) -> bytes:
+    return np.asarray(ids, dtype="<u4").tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}

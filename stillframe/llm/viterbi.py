@@ -223,7 +223,8 @@ def decode(df: DataFrame, path: str, ids: str = "ids", keep: str = "doc_id") ->
 
 def round_trip(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes and decodes every row: doc_id, n_chars, n_ids, n_unknown, ids_crc32,
-    exact (the decoded text is the text's normal form)."""
+    exact (the decoded text is the text's normal form).  Null and empty texts have no ids and
+    are exact; repeated rows are rows of their own; an empty table gives an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)

@@ -97,6 +97,39 @@ def test_decision_list_learns_planted_rules():
     assert learn_rules(x, np.zeros(3000, dtype=bool), ["a", "b", "c"], rng.random(3000) < 0.66) == []
 
 
+def test_kept_row_by_row(spark):
+    """The verdict of every document by the learned rules in plain Python; both planted kinds of
+    junk that pass the base rule are rejected and clean text stays."""
+    from stillframe.llm.quality import COUNTS, fit, judge, statistics
+
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(2, 9)))
+    table, labels = [], []
+    for i in range(900):
+        words = [word() for _ in range(rng.integers(25, 80))]
+        if i % 9 == 0:
+            words = [w[:-1] + "#" for w in words]  # symbols
+        elif i % 9 == 1:
+            words = [str(int(rng.integers(1, 10**9)))[: len(w)] for w in words]  # numbers
+        table.append((i, " ".join(words)))
+        labels.append((i, int(i % 9 > 1)))
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    rules = fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert len(rules) >= 2
+
+    def kept(text):
+        c = dict(zip(COUNTS, map(float, statistics(text))))
+        per = lambda a, b: c[a] / max(c[b], 1.0)
+        v = {"words": c["n_words"], "mean_word_length": per("word_chars", "n_words"), "symbols_per_word": per("n_symbols", "n_words"), "dup_line_share": per("n_dup_lines", "n_lines"), "repeat_share": per("n_repeat_words", "n_words"), "words_per_line": per("n_words", "n_lines"), "distinct_share": per("n_distinct_words", "n_words"), "digits_per_char": per("n_digits", "word_chars"), "marks_per_word": per("n_marks", "n_words")}
+        if c["n_words"] < 20 or 100 * c["n_repeat_words"] > 30 * c["n_words"]:
+            return False
+        return not any(all(v[n] >= b if low else v[n] <= b for n, low, b in r.conditions) for r in rules)
+
+    got = {r.doc_id: r.kept for r in judge(docs, rules).collect()}
+    assert got == {i: kept(t) for i, t in table}
+    assert np.mean([got[i] == bool(y) for i, y in labels]) > 0.99
+
+
 def test_quality_fit_on_labels(spark, docs):
     from stillframe.llm.quality import fit, judge, keep_good
 
@@ -108,6 +141,10 @@ def test_quality_fit_on_labels(spark, docs):
     assert n.get((1, False), 0) <= 0.02 * sum(v for (q, _), v in n.items() if q == 1)
     assert n.get((0, False), 0) >= 0.9 * sum(v for (q, _), v in n.items() if q == 0)
     assert fit(docs, labels.limit(0)) == []
+    from pyspark.sql import functions as F
+
+    text_id = lambda d: d.withColumn("doc_id", F.concat(F.lit("x"), "doc_id"))
+    fit(text_id(docs), text_id(labels))
     assert keep_good(docs, rules).columns == docs.columns
 
 
@@ -141,7 +178,16 @@ def test_token_counts_and_packing(docs, rows):
             assert offset == at
             at += length
         assert at <= 1024
+    full = sum(length for p in packs.values() for _, length in p)
+    assert len(packs) * 1024 - full < 0.03 * full + 1024, "little padding"
     assert pack(docs.limit(0), path).count() == 0
+    from pyspark.sql import functions as F
+
+    named = docs.select(F.concat(F.lit("x"), "doc_id").alias("my.id"), F.col("text").alias("my text"))
+    again = pack(named, path, doc_id="my.id", text="my text").collect()
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in again) == Counter((None if d is None else f"x{d}", *k) for (d, *k, _), n in whole.items() for _ in range(n))
+    counts = with_token_counts(named, path, text="my text").collect()
+    assert sorted(r.n_tokens for r in counts) == sorted(w[2] for w, n in want.items() for _ in range(n))
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
