@@ -24,6 +24,10 @@ WIDER = [
     ("mixed", r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z0-9+/_=-]*[0-9])(?=[A-Za-z0-9+/_=-]*[a-z])(?=[A-Za-z0-9+/_=-]*[A-Z])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])"),
 ]
 
+#: A candidate is hot if it is found more than this often, or more than this share of all finds; so
+#: at most 1 / HOT_SHARE are, and no other one has more rows than that in a task of the join.
+HOT_ROWS, HOT_SHARE = 10_000, 1 / 20_000
+
 SPAN = "array<struct<start:int,order:int,end:int,kind:string,value:string>>"
 
 
@@ -75,7 +79,9 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: Colum
     null owners or repositories count as one unnamed owner or repository.
 
     One pass over the text: its candidates are checkpointed without it.  Counts are
-    pre-aggregated, so an example that a third of all rows hold is a few rows per task.
+    pre-aggregated, so an example that a third of all rows hold is a few rows per task;
+    its verdict goes back to its rows by a broadcast of the hot candidates, at most
+    1 / ``HOT_SHARE`` of them, and only the others are joined by a shuffle.
     """
     owner = F.lit(None).cast("string") if owner is None else owner.cast("string")
     repository = owner if repository is None else repository.cast("string")
@@ -93,10 +99,17 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: Colum
     owners = homes.select("_h1", "_h2", "_owner").distinct().groupBy("_h1", "_h2").agg(F.count("*").alias("owners"))
     repos = homes.groupBy("_h1", "_h2").agg(F.count("*").alias("repositories"))
     owned = (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)
-    counts = owners.join(repos, ["_h1", "_h2"]).select("_h1", "_h2", owned.alias("owned"))
+    finds = found.groupBy("_h1", "_h2").agg(F.count("*").alias("finds"))
+    counts = owners.join(repos, ["_h1", "_h2"]).join(finds, ["_h1", "_h2"]).select("_h1", "_h2", "finds", owned.alias("owned"))
+    counts = checkpoint(counts)
+    total = counts.agg(F.sum("finds")).first()[0] or 0
+    hot = F.col("finds") > max(HOT_ROWS, int(total * HOT_SHARE))
+    often = counts.where(hot).select("_h1", "_h2", F.col("owned").alias("_often"))
+    told = found.join(F.broadcast(often), ["_h1", "_h2"], "left")
+    apart = told.where("_often is null").drop("_often").join(counts.where(~hot).select("_h1", "_h2", "owned"), ["_h1", "_h2"])
+    judged = apart.unionByName(told.where("_often is not null").withColumnRenamed("_often", "owned"))
     per_row = (
-        found.join(counts, ["_h1", "_h2"])
-        .groupBy("_k1", "_k2")
+        judged.groupBy("_k1", "_k2")
         .agg(
             F.count_distinct(F.when(~F.col("owned"), F.col("_h1"))).alias("_shared"),
             F.collect_set(F.when(F.col("owned") & F.col("alive"), F.col("span"))).alias("_live"),
