@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from stillframe.llm.common import Files, bundle, checkpoint, pack, pack_sorted, row_key, shared_folder, shuffle_parts, text_or_empty, unbundle, unpack, unpack_sorted
 
 #: Text bytes of a chunk of documents.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Keys (words, grams or contexts, counted for each chunk) that one bucket adds up, about.
 BUCKET_KEYS = 2_000_000
 #: Weight of the suffix's distribution in a state's, in observations.
@@ -39,6 +39,9 @@ KAPPA = 5.0
 #: suffix's, the odds of a Dirichlet prior of that mean and weight KAPPA, which is a divergence
 #: test that holds for few observations too.
 ODDS = 1000.0
+#: ... and by this many nats an occurrence at least, so that ever weaker contexts do not become
+#: states only because more text makes them certain.
+DIVERGENCE = 0.5
 #: Least training occurrences of a state.
 LEAST = 2
 
@@ -202,7 +205,7 @@ def add_contexts(table: pa.Table) -> pa.Table:
     chunks, edge, group, firsts, (n, added) = _summed(table)
     if len(n):
         n, added = np.add.reduceat(n.astype(np.int64), firsts), np.add.reduceat(added.astype(float), firsts)
-    state = (n >= LEAST) & (log_odds(added, n) > math.log(ODDS))
+    state = (n >= LEAST) & (log_odds(added, n) > np.maximum(math.log(ODDS), DIVERGENCE * n))
     each = np.where(state, n, 0)[group]
     bucket = table.column("bucket")[0].as_py()
     rows = [(c, bucket, pack(each[i:j]), None, None, 0, 0) for c, i, j in zip(chunks, edge, edge[1:])]
@@ -237,10 +240,10 @@ class Chunk:
     def __init__(self, corpus: Corpus, number: int):
         self.corpus, self.number = corpus, number
         own = unbundle(corpus.files.get(f"tokens/{number}"))
-        self.codes, self.hashes = unpack(own["codes"]).astype(np.int64), unpack(own["hashes"]).astype(np.uint64)
+        self.codes, self.hashes = unpack(own["codes"]).astype(np.int32), unpack(own["hashes"]).astype(np.uint64)
         sizes = unpack(own["sizes"]).astype(np.int64)
         self.firsts = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)
-        self.text_of = np.repeat(np.arange(len(sizes)), sizes)
+        self.text_of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         self.held = unpack(own["held"]).astype(bool)
         self.train = ~self.held[self.text_of]
         self.ids = own["ids"]
@@ -409,6 +412,7 @@ def score(df: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "
     #: About a word in seven bytes, half of the pairs of words distinct in a chunk; a key is
     #: another one's too with a chance of about one in a million.
     buckets = max(shuffle_parts(spark), n_bytes // 14 // BUCKET_KEYS)
+    parts = max(shuffle_parts(spark), n_bytes // chunk_bytes)
     bits = min(62, 40 if n_bytes < 1 << 20 else 20 + int(n_bytes // 8).bit_length())
     files = Files(shared_folder(spark))
     corpus = Corpus(files, buckets, bits, starts)
@@ -445,13 +449,15 @@ def score(df: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "
 
         return grams, contexts
 
+    def each(rows: DataFrame, key: str, work, schema: str = NOTE) -> DataFrame:
+        # as many tasks as chunks: their notes are small but what they do with them is not
+        return rows.repartition(parts, key).groupBy(key).applyInArrow(work, schema)
+
     level, n_states = 1, 0
     while n_bytes:
         grams, contexts = asking(level)
-        asked = told.where("chunk >= 0").groupBy("chunk").applyInArrow(grams, NOTE)
-        counted = asked.groupBy("bucket").applyInArrow(add_grams, NOTE)
-        judges = counted.groupBy("chunk").applyInArrow(contexts, NOTE)
-        told = checkpoint(judges.groupBy("bucket").applyInArrow(add_contexts, NOTE))
+        counted = each(each(told.where("chunk >= 0"), "chunk", grams), "bucket", add_grams)
+        told = checkpoint(each(each(counted, "chunk", contexts), "bucket", add_contexts))
         found = told.where("chunk < 0").agg(F.sum("total")).first()[0] or 0
         for name in ("alive", "seen"):
             files.drop(f"{name}{level - 1}")
@@ -470,7 +476,6 @@ def score(df: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "
             "base_score": pa.array(per_text(np.log10(c.base)[c.codes])), "score": pa.array(c.scores(level)),
         })
 
-    out = told.where("chunk >= 0").groupBy("chunk").applyInArrow(rate, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    out = checkpoint(out)
+    out = checkpoint(each(told.where("chunk >= 0"), "chunk", rate, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"))
     files.drop()
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(corpus.total).cast("long").alias("train_tokens"), "base_score", "score", F.lit(n_states).cast("long").alias("n_states"))

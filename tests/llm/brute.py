@@ -147,7 +147,7 @@ def edited(docs):
     return out
 
 
-def suffix_scores(texts, held, kappa=5.0, odds=1000.0):
+def suffix_scores(texts, held, kappa=5.0, odds=1000.0, divergence=0.5):
     """(log10 scores, number of states) of a suffix tree kept in dictionaries."""
     from collections import Counter, defaultdict
     from math import lgamma, log, log10
@@ -168,7 +168,7 @@ def suffix_scores(texts, held, kappa=5.0, odds=1000.0):
         for s, after in follows.items():
             n = sum(after.values())
             gain = sum(lgamma(k + kappa * old[s, w]) - lgamma(kappa * old[s, w]) - k * log(old[s, w]) for w, k in after.items() if k)
-            if n >= 2 and gain - lgamma(n + kappa) + lgamma(kappa) > log(odds):
+            if n >= 2 and gain - lgamma(n + kappa) + lgamma(kappa) > max(log(odds), divergence * n):
                 kept[s] = n
         states += len(kept)
         alive = [(d, i) for d, i in alive if context[d, i] in kept]

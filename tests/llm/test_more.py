@@ -72,7 +72,7 @@ def test_lm_helps_and_grows(spark):
 
     rng = np.random.default_rng(0)
     words = [f"w{i}" for i in range(40)]
-    step = rng.dirichlet(np.full(40, 0.05), size=(40, 40))
+    step = (rng.dirichlet(np.full(40, 0.05), size=(1, 40)) + rng.dirichlet(np.full(40, 0.05), size=(40, 40))) / 2
 
     def text():
         a, b, out = 0, 0, []
