@@ -117,14 +117,6 @@ def prj28(spark, sf_dir):
     return spark.range(200).select(F.col("id").cast("int").alias("k"), F.round(L.wavelength_of_energy((8000 + F.col("id")).cast("double")), 9).alias("wavelength"))
 
 
-@query("prj24_pixel_q", "select cast(sqrt(q)*20 as int) as bin, count(*) as n from (select floor((sqrt(x*x+y*y+0.01)-0.1)*0+ (x*x+y*y)*1000)/10 as q from (select (fs-512)/cast(10000 as double) as x, (ss-512)/cast(10000 as double) as y from points)) group by 1 order by 1", "points")
-def prj24(spark, sf_dir):
-    """Histogram over a pixel's distance from the beam."""
-    x, y = (F.col("fs") - 512) / 10000.0, (F.col("ss") - 512) / 10000.0
-    q = F.floor((x * x + y * y) * 1000) / 10
-    return view(spark, sf_dir, "points").groupBy(F.rint(F.sqrt(q) * 20).cast("int").alias("bin")).agg(F.count("*").alias("n"))
-
-
 @query("agg32_geometry_step")
 def agg32(spark, sf_dir):
     """Pooled normal equations for a shift of the detector: sums of products in Spark, a

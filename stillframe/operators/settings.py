@@ -111,12 +111,6 @@ def prj34(spark, sf_dir):
     return x.groupBy("idx").agg(F.count("*").cast("int").alias("n"))
 
 
-@query("flt09_bad_regions", "select count(*) filter (not starts_with(p_name, 'b')) as kept, count(*) filter (starts_with(p_name, 'b')) as bad from part")
-def flt09(spark, sf_dir):
-    bad = F.startswith("p_name", F.lit("b"))
-    return table(spark, sf_dir, "part").agg(F.count_if(~bad).alias("kept"), F.count_if(bad).alias("bad"))
-
-
 @query("flt13_keep_measured", "select frame, count(*) as n, count(*) filter (i < 0) as negative from measurements where sigma > 0 and i <> 0 group by frame", "measurements")
 def flt13(spark, sf_dir):
     """Finite measurements with an error; negative ones stay, empty boxes go."""

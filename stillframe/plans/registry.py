@@ -65,7 +65,7 @@ VIEWS = {
         union all select 2, 0, 1023, 512, 1023, cast('-512.5' as double), cast('3.5' as double)
         union all select 3, 500, 520, 500, 520, cast('-10.5' as double), cast('-10.5' as double)""",
     "frame_stream": """
-        select cast(row_number() over (order by ts, event_id) - 1 as bigint) as ev, user_id as run_id, event_type as outcome,
+        select event_id as ev, user_id as run_id, event_type as outcome,
                cast(floor(value) as bigint) as n_peaks, case when floor(value) >= 6 then 1 else 0 end as hit
         from events""",
     "cells": """
