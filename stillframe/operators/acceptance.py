@@ -49,10 +49,10 @@ def flt01(spark, sf_dir):
     return p.groupBy("frame_id").agg(F.count("*").alias("n"))
 
 
-@query("flt02_min_peaks", "select frame_id, count(*) as n_peaks from planted_q where pk % 40 = frame_id % 40 group by frame_id having count(*) >= 6 order by frame_id limit 20", "planted_q")
+@query("flt02_min_peaks", "select frame_id, count(*) as n_peaks from planted_q group by frame_id having count(*) >= 600", "planted_q")
 def flt02(spark, sf_dir):
-    p = view(spark, sf_dir, "planted_q").where("pk % 40 = frame_id % 40")
-    return p.groupBy("frame_id").agg(F.count("*").alias("n_peaks")).where("n_peaks >= 6").orderBy("frame_id").limit(20)
+    """Frames with at least 600 peaks."""
+    return view(spark, sf_dir, "planted_q").groupBy("frame_id").agg(F.count("*").alias("n_peaks")).where("n_peaks >= 600")
 
 
 @query("flt05_strict_gate", f"select *, n_matched >= 10 and n_matched >= 0.25*n_peaks as passed from {COUNTS} c", "planted_q")
@@ -72,18 +72,6 @@ def flt06(spark, sf_dir):
     return c.groupBy("fits").agg(F.count("*").alias("n"), F.sum("n_matched").alias("matched"))
 
 
-@query("flt07_gate_pair", f"select frame_id, n_matched >= 10 and n_matched >= 0.25*n_peaks as strict_ok, exists_ref as same_ref from {COUNTS} c, (select true as exists_ref)", "planted_q")
-def flt07(spark, sf_dir):
-    """Two flags against a reference basis: the strict gate, and the same lattice."""
-    a = planted(spark, sf_dir)
-    c = match_counts(a, "m", ["frame_id", "m"])
-    m = lin3.matrix("m")
-    ref = [F.lit(x).cast("double") for x in (79, 0, 0, 0, 79, 0, 0, 0, 38)]
-    fp = fingerprint_orthogonal
-    same = L.same_lattice(*fp(m), *fp(ref))
-    return c.select("frame_id", L.strict(F.col("n_matched"), F.col("n_peaks")).alias("strict_ok"), same.alias("same_ref"))
-
-
 def fingerprint_orthogonal(m: lin3.Matrix):
     """Volume, sorted lengths and sorted |cosines| of a basis that is already reduced."""
     a, b, c = lin3.columns(m)
@@ -124,11 +112,11 @@ def accept(win: Column, runner: Column, pool: Column, least: int = 3, fraction:
 @query("flt19_consensus_accept", """select frame_id, win, runner, pool, win >= 3 and win >= 0.02*pool and (runner = 0 or win >= 1.5*runner) as accepted,
     array_to_string(list_filter([case when not win >= 3 then 'support' end, case when not win >= 0.02*pool then 'fraction' end, case when not (runner = 0 or win >= 1.5*runner) then 'lead' end], lambda x: x is not null), ',') as failed
     from (select frame_id, max(w) filter (r = 1) as win, coalesce(max(w) filter (r = 2), 0) as runner, sum(w)::bigint as pool from (
-      select frame_id, a, b, count(*) as w, row_number() over (partition by frame_id order by count(*) desc, a, b) as r from cells where hyp_id % 5 < 3 group by frame_id, a, b) group by frame_id)""", "cells")
+      select frame_id, a, b, count(*) as w, row_number() over (partition by frame_id order by count(*) desc, a, b) as r from cells group by frame_id, a, b) group by frame_id)""", "cells")
 def flt19(spark, sf_dir):
     from pyspark.sql import Window
 
-    g = view(spark, sf_dir, "cells").where("hyp_id % 5 < 3").groupBy("frame_id", "a", "b").agg(F.count("*").alias("w"))
+    g = view(spark, sf_dir, "cells").groupBy("frame_id", "a", "b").agg(F.count("*").alias("w"))
     g = g.withColumn("r", F.row_number().over(Window.partitionBy("frame_id").orderBy(F.desc("w"), "a", "b")))
     g = g.groupBy("frame_id").agg(F.max(F.when(F.col("r") == 1, F.col("w"))).alias("win"), F.coalesce(F.max(F.when(F.col("r") == 2, F.col("w"))), F.lit(0)).alias("runner"), F.sum("w").alias("pool"))
     tests = accept(F.col("win"), F.col("runner"), F.col("pool"))

@@ -115,14 +115,3 @@ def exp13(spark, sf_dir):
 @query("prj28_wavelength", "select cast(k as int) as k, round(12398.419843320026/(8000+k), 9) as wavelength from (select unnest(range(0, 200)) as k)")
 def prj28(spark, sf_dir):
     return spark.range(200).select(F.col("id").cast("int").alias("k"), F.round(L.wavelength_of_energy((8000 + F.col("id")).cast("double")), 9).alias("wavelength"))
-
-
-@query("agg32_geometry_step")
-def agg32(spark, sf_dir):
-    """Pooled normal equations for a shift of the detector: sums of products in Spark, a
-    two-by-two solve as expressions (Huber weights, 3 pixels)."""
-    p = view(spark, sf_dir, "points").select("frame", (F.col("fs") % 7 - 3.2).alias("rx"), (F.col("ss") % 5 - 2.1).alias("ry"))
-    r = F.sqrt(F.col("rx") ** 2 + F.col("ry") ** 2)
-    w = F.when(r <= 3, F.lit(1.0)).otherwise(F.try_divide(F.lit(3.0), r))
-    g = p.agg(F.sum(w).alias("n"), F.sum(w * F.col("rx")).alias("x"), F.sum(w * F.col("ry")).alias("y"))
-    return g.select(F.round(F.col("x") / (F.col("n") + 1e-9), 6).alias("dfs"), F.round(F.col("y") / (F.col("n") + 1e-9), 6).alias("dss"))

@@ -9,10 +9,10 @@ from stillframe.functions import lin3
 from stillframe.plans.registry import query, table, view
 
 
-@query("top01_triage", "select frame_id, n_peaks from (select frame_id, count(*) as n_peaks from planted_q where pk % 3 = 0 group by frame_id) where n_peaks >= 150 order by n_peaks desc, frame_id limit 32", "planted_q")
+@query("top01_triage", "select frame_id, n_peaks from (select frame_id, count(*) as n_peaks from planted_q group by frame_id) where n_peaks >= 150 order by n_peaks desc, frame_id limit 32", "planted_q")
 def top01(spark, sf_dir):
     """The 32 frames with the most peaks (a top-k report): TakeOrderedAndProject."""
-    p = view(spark, sf_dir, "planted_q").where("pk % 3 = 0").groupBy("frame_id").agg(F.count("*").alias("n_peaks"))
+    p = view(spark, sf_dir, "planted_q").groupBy("frame_id").agg(F.count("*").alias("n_peaks"))
     return p.where("n_peaks >= 150").orderBy(F.desc("n_peaks"), "frame_id").limit(32)
 
 
@@ -130,13 +130,6 @@ def win13(spark, sf_dir):
     return view(spark, sf_dir, "cells").select("hyp_id", F.rank().over(Window.partitionBy("frame_id").orderBy(F.desc("a"), "b")).alias("r"))
 
 
-@query("exp07_resolution_limit", "select run_id, max(ev) as last_ok from (select run_id, ev, min(case when n_peaks >= 2 then 1 else 0 end) over (partition by run_id order by ev) as ok from frame_stream) where ok = 1 group by run_id", "frame_stream")
-def exp07(spark, sf_dir):
-    """Last shell before the first that fails: a running minimum of the test."""
-    ok = F.min(F.when(F.col("n_peaks") >= 2, 1).otherwise(0)).over(by_ev().rowsBetween(Window.unboundedPreceding, 0))
-    return stream_rows(spark, sf_dir).select("run_id", "ev", ok.alias("ok")).where("ok = 1").groupBy("run_id").agg(F.max("ev").alias("last_ok"))
-
-
 EFFORT = [(0, 0), (100, 2), (185, 1), (700, 3)]
 
 
@@ -338,22 +331,15 @@ def exp09(spark, sf_dir):
     return stream_rows(spark, sf_dir).groupBy("run_id").agg(*(F.round(F.percentile("n_peaks", F.lit(p)), 6).alias(n) for p, n in ((0.9, "p90"), (0.5, "p50"))))
 
 
-@query("exp10_placement", "select host, device, count(*) as n from (select user_id % 7 as host, event_id % 3 as device from events where event_id < 200) group by host, device having count(*) > 1")
-def exp10(spark, sf_dir):
-    """Devices that more than one worker claims."""
-    e = table(spark, sf_dir, "events").where("event_id < 200")
-    return e.groupBy((F.col("user_id") % 7).alias("host"), (F.col("event_id") % 3).alias("device")).agg(F.count("*").alias("n")).where("n > 1")
-
-
 @query("agg33_run_stats", "select count(*) as n, cast(sum(hit) as bigint) as hits, round(avg(cast(n_peaks as double)), 6) as mean_peaks, count(distinct run_id) as runs from frame_stream", "frame_stream")
 def agg33(spark, sf_dir):
     return stream_rows(spark, sf_dir).agg(F.count("*").alias("n"), F.sum("hit").alias("hits"), F.round(F.avg(F.col("n_peaks").cast("double")), 6).alias("mean_peaks"), F.count_distinct("run_id").alias("runs"))
 
 
-@query("agg35_mcnemar", "with recursive n as (select count(*) filter (n_peaks % 2 = 0 and n_peaks % 3 <> 0 and ev < 60) as b, count(*) filter (n_peaks % 2 <> 0 and n_peaks % 3 = 0 and ev < 60) as c from frame_stream), t as (select 0 as k, pow(cast(0.5 as double), b+c) as p, b+c as m, least(b,c) as lo from n union all select k+1, p*(m-k)/(k+1), m, lo from t where k < lo) select max(m) as discordant, round(least(2*sum(p), 1), 6) as p from t", "frame_stream")
+@query("agg35_mcnemar", "with recursive n as (select count(*) filter (n_peaks % 2 = 0 and n_peaks % 3 <> 0) as b, count(*) filter (n_peaks % 2 <> 0 and n_peaks % 3 = 0) as c from frame_stream), t as (select 0 as k, pow(cast(0.5 as double), b+c) as p, b+c as m, least(b,c) as lo from n union all select k+1, p*(m-k)/(k+1), m, lo from t where k < lo) select max(m) as discordant, round(least(2*sum(p), 1), 6) as p from t", "frame_stream")
 def agg35(spark, sf_dir):
     """Exact test on discordant pairs: binomial terms generated as rows."""
-    s = stream_rows(spark, sf_dir).where("ev < 60")
+    s = stream_rows(spark, sf_dir)
     x, y = F.col("n_peaks") % 2 == 0, F.col("n_peaks") % 3 == 0
     n = s.agg(F.count_if(x & ~y).alias("b"), F.count_if(~x & y).alias("c")).withColumn("m", F.col("b") + F.col("c"))
     k = n.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.least("b", "c"))))

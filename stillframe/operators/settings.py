@@ -95,12 +95,6 @@ def prj29(spark, sf_dir):
     return x.groupBy("system").agg(F.count("*").alias("n"), F.round(F.sum("p1"), 4).alias("p1"), F.round(F.sum("p2"), 4).alias("p2"))
 
 
-@query("prj35_coverage_floor", "select cast(t as int) as t, round(pow(2*cast(t as double)/100, 3), 9) as by_chance from (select unnest(range(5, 25)) as t)")
-def prj35(spark, sf_dir):
-    """Share of random points within a tolerance of a lattice node: (2 tol)^3."""
-    return spark.range(5, 25).select(F.col("id").cast("int").alias("t"), F.round(F.pow(2 * F.col("id").cast("double") / 100, F.lit(3.0)), 9).alias("by_chance"))
-
-
 @query("prj34_hermite_forms", "select * from (values (1,1),(2,7),(3,13),(4,35),(5,31)) t(idx, n)")
 def prj34(spark, sf_dir):
     """Sublattices of each index: Hermite forms counted over a generated grid."""
@@ -134,26 +128,6 @@ def agg22(spark, sf_dir):
     return x.groupBy("frame", (F.floor("t") + F.col("o")).cast("double").alias("bin")).agg(F.round(F.sum(F.col("w") * F.col("adu")) / F.sum("w"), 6).alias("mean"), F.sum("w").alias("s")).where("s > 0.001").drop("s")
 
 
-@query("agg37_null_quantiles", "select band, round(quantile_cont(n, 0.95), 6) as floor_n from (select n_peaks // 20 as band, n_matched as n from (select frame_id, count(*) as n_peaks, count(*) filter (pk % 3 = 0) as n_matched from planted_q group by frame_id)) group by band", "planted_q")
-def agg37(spark, sf_dir):
-    """Upper quantile of chance matches by band of peak counts."""
-    c = view(spark, sf_dir, "planted_q").groupBy("frame_id").agg(F.count("*").alias("n_peaks"), F.count_if(F.col("pk") % 3 == 0).alias("n"))
-    return c.groupBy(F.floor(F.col("n_peaks") / 20).alias("band")).agg(F.round(F.percentile("n", F.lit(0.95)), 6).alias("floor_n"))
-
-
-@query("agg40_reference_quality", "select count(*) as n, round(avg(case when n_peaks > 40 then cast(1 as double) else 0 end), 6) as passed, round(avg(cast(n_peaks as double)), 6) as mean_z from frame_stream where ev % 50 = 0", "frame_stream")
-def agg40(spark, sf_dir):
-    s = view(spark, sf_dir, "frame_stream").where("ev % 50 = 0")
-    return s.agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("n_peaks") > 40, 1.0).otherwise(0.0)), 6).alias("passed"), F.round(F.avg(F.col("n_peaks").cast("double")), 6).alias("mean_z"))
-
-
-@query("top04_best_azimuths", "select frame_id, a, count(*) as n, round(sum(c), 4) as total from (select *, row_number() over (partition by frame_id, a order by c desc, hyp_id) as r from cells) where r <= 2 group by frame_id, a", "cells")
-def top04(spark, sf_dir):
-    """The best two of each anchor."""
-    w = Window.partitionBy("frame_id", "a").orderBy(F.desc("c"), "hyp_id")
-    return lengths(spark, sf_dir).withColumn("r", F.row_number().over(w)).where("r <= 2").groupBy("frame_id", "a").agg(F.count("*").alias("n"), F.round(F.sum("c"), 4).alias("total"))
-
-
 @query("top08_lowest_resolution", "select frame_id, count(*) as n, round(max(q), 6) as reach from (select frame_id, qx*qx+qy*qy+qz*qz as q, row_number() over (partition by frame_id order by qx*qx+qy*qy+qz*qz, pk, ok, ln) as r from planted_q) where r <= 100 group by frame_id", "planted_q")
 def top08(spark, sf_dir):
     """The 100 peaks of each frame nearest to the beam."""
@@ -162,14 +136,6 @@ def top08(spark, sf_dir):
     return p.withColumn("r", F.row_number().over(w)).where("r <= 100").groupBy("frame_id").agg(F.count("*").alias("n"), F.round(F.max("q"), 6).alias("reach"))
 
 
-@query("win06_vote_rate", "select ev, case when rate < 0.12 then 2 when rate < 0.30 then 1 else 0 end as extra_gap from (select ev, avg(cast(hit as double)*(ev % 3)/2) over (partition by run_id order by ev) as rate from frame_stream)", "frame_stream")
-def win06(spark, sf_dir):
-    """Lead that a leader must have beyond the least one, by its vote rate so far."""
-    w = Window.partitionBy("run_id").orderBy("ev").rowsBetween(Window.unboundedPreceding, 0)
-    rate = F.avg(F.col("hit").cast("double") * (F.col("ev") % 3) / 2).over(w)
-    return view(spark, sf_dir, "frame_stream").select("ev", F.when(rate < 0.12, 2).when(rate < 0.30, 1).otherwise(0).alias("extra_gap"))
-
-
 @query("join04_nearest_prediction", "select p.frame, count(*) as n, round(sum(d), 4) as total from (select p.frame, p.fs, p.ss, min(sqrt((p.fs-o.fs)*(p.fs-o.fs)+(p.ss-o.ss)*(p.ss-o.ss))) as d from (select distinct frame, fs, ss from points where ok % 5 = 0) p join (select distinct frame, fs, ss from points where ok % 5 <> 0) o on p.frame = o.frame group by p.frame, p.fs, p.ss) p where d <= 8 group by p.frame", "points")
 def join04(spark, sf_dir):
     """Nearest observed peak within 8 pixels of each prediction: cells of 8 pixels, the
@@ -218,12 +184,6 @@ def pip21(spark, sf_dir):
     return m.groupBy("frame_id").agg(F.count("*").alias("n"), F.round(F.sum(F.expr("xqx*xqx+xqy*xqy+xqz*xqz")), 5).alias("l1"), F.round(F.sum(F.expr("xqx*yqx+xqy*yqy+xqz*yqz")), 5).alias("dots"))
 
 
-@query("src14_shards", "select shard, count(*) as n, cast(sum(ev) as bigint) as total from (select ev % 7 as shard, ev from frame_stream) group by shard", "frame_stream")
-def src14(spark, sf_dir):
-    """Round-robin ownership of events."""
-    return view(spark, sf_dir, "frame_stream").groupBy((F.col("ev") % 7).alias("shard")).agg(F.count("*").alias("n"), F.sum("ev").alias("total"))
-
-
 @query("src15_pixel_coordinates", "select ord, cast((max_fs-min_fs+1)*(max_ss-min_ss+1) as bigint) as n, round((max_fs-min_fs+1)*(max_ss-min_ss+1)*(corner_x + (max_fs-min_fs)/2)/10000, 6) as x from panels", "panels")
 def src15(spark, sf_dir):
     """Coordinates of every pixel of every panel."""
@@ -232,32 +192,6 @@ def src15(spark, sf_dir):
     return rows.groupBy("ord").agg(F.count("*").alias("n"), F.round(F.sum((F.col("corner_x") + F.col("i")) / 10000), 6).alias("x"))
 
 
-@query("src16_ordered_replay", "select count(*) as n, cast(sum(i*ev) as bigint) as checksum from (select ev, row_number() over (order by (ev*31) % 1009, ev) as i from frame_stream where ev < 1000)", "frame_stream")
-def src16(spark, sf_dir):
-    """Replay order from a rank list that must name every frame once."""
-    s = view(spark, sf_dir, "frame_stream").where("ev < 1000").select("ev")
-    order = s.select("ev", F.row_number().over(Window.orderBy((F.col("ev") * 31) % 1009, "ev")).alias("i"))
-    joined = s.join(order, "ev", "left")
-    once = joined.select("ev", F.coalesce("i", F.raise_error(F.lit("a frame has no rank")).cast("int")).alias("i"))
-    return once.agg(F.count("*").alias("n"), F.sum(F.col("i") * F.col("ev")).cast("long").alias("checksum"))
-
-
-@query("src20_schedule")
-def src20(spark, sf_dir):
-    """Weighted interleave of two sources in scenes: an ordering table (position, species,
-    cursor) from a small script, keyed by its seed."""
-    rng = np.random.default_rng(11)
-    cursor = [0, 0]
-    rows = []
-    for length, weights in ((40, (1.0, 0.0)), (60, (0.5, 0.5)), (30, (0.0, 1.0))):
-        for s in rng.choice(2, size=length, p=weights):
-            rows.append((len(rows), int(s), cursor[s]))
-            cursor[s] += 1
-    order = spark.createDataFrame(rows, "position long, species int, cursor long")
-    pool = view(spark, sf_dir, "frame_stream").select((F.col("ev") % 2).cast("int").alias("species"), F.floor(F.col("ev") / 2).alias("cursor"), "n_peaks")
-    return order.join(pool, ["species", "cursor"]).select("position", "species", "cursor", "n_peaks")
-
-
 @query("set_signed_permutations", "select 24 as n")
 def signed_permutations(spark, sf_dir):
     """Proper signed permutations of the axes, counted from a generated table."""
@@ -271,12 +205,3 @@ def signed_permutations(spark, sf_dir):
     t = spark.createDataFrame(rows, ", ".join(f"m{i} int" for i in range(9)))
     d = lin3.det([F.col(f"m{i}") for i in range(9)])
     return t.where(d == 1).agg(F.count("*").cast("int").alias("n"))
-
-
-@query("flt21_cascade_accept", "select count(*) as n, count(*) filter (abs(a*b*c) >= 1 and abs(a-54)/((a+54)/2) <= 0.05 and hyp_id % 4 <> 0) as accepted from cells", "cells")
-def flt21(spark, sf_dir):
-    """Second-chance results: a real cell, of the known lattice's length, past the live gate."""
-    near = F.abs(F.col("a") - 54) / ((F.col("a") + 54) / 2) <= L.LENGTH_TOL
-    zero = F.lit(0.0)
-    ok = L.has_cell([F.col("a"), zero, zero, zero, F.col("b"), zero, zero, zero, F.col("c")]) & near & (F.col("hyp_id") % 4 != 0)
-    return lengths(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(ok).alias("accepted"))
