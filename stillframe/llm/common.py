@@ -92,9 +92,9 @@ def pack(values: np.ndarray) -> bytes:
     """Numbers as compressed planes of bytes; whole ones in the fewest bytes."""
     a = np.ascontiguousarray(values)
     if a.dtype.kind in "iu" and len(a):
-        a = a.astype(np.min_scalar_type(int(a.max())), copy=False) if a.min() >= 0 else a.astype(np.int64)
+        a = a.astype(np.result_type(np.min_scalar_type(int(a.min())), np.min_scalar_type(int(a.max()))), copy=False)
     planes = a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b""
-    body = pa.compress(planes, codec="zstd", asbytes=True) if planes else b""
+    body = pa.Codec("zstd", compression_level=3).compress(planes, asbytes=True) if planes else b""
     return np.array([len(a)], dtype="<i8").tobytes() + a.dtype.str.encode().ljust(4) + body
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from stillframe.llm.common import Files, bundle, checkpoint, pack, pack_sorted, row_key, shared_folder, shuffle_parts, text_or_empty, unbundle, unpack, unpack_sorted
 
 #: Text bytes of a chunk of documents.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 12 << 20
 #: Keys (words, grams or contexts, counted for each chunk) that one bucket adds up, about.
 BUCKET_KEYS = 2_000_000
 #: Weight of the suffix's distribution in a state's, in observations.
@@ -42,6 +42,9 @@ ODDS = 1000.0
 #: ... and by this many nats an occurrence at least, so that ever weaker contexts do not become
 #: states only because more text makes them certain.
 DIVERGENCE = 0.5
+#: Parts of a nat in which chunks say what they add to the log odds of a context: whole numbers, so
+#: that sums do not depend on their order.
+PARTS = 1024
 #: Least training occurrences of a state.
 LEAST = 2
 
@@ -172,12 +175,7 @@ def add_words(table: pa.Table) -> pa.Table:
 
 
 def _summed(table: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Chunks, their edges, the group of each entry, firsts and sorted values of a bucket's notes.
-
-    Values of a key stand in the order of the chunks, so that sums of them do not depend
-    on the order in which notes come.
-    """
-    table = table.sort_by("chunk")
+    """Chunks, their edges, the group of each entry, firsts and sorted values of a bucket's notes."""
     keys = [unpack_sorted(x) for x in table.column("a").to_pylist()]
     values = [np.concatenate([unpack(x) for x in table.column(c).to_pylist()]) for c in ("b", "c") if table.column(c).null_count < len(keys)]
     edge = np.r_[0, np.cumsum([len(k) for k in keys])]
@@ -204,7 +202,7 @@ def add_contexts(table: pa.Table) -> pa.Table:
     last row has the number of states."""
     chunks, edge, group, firsts, (n, added) = _summed(table)
     if len(n):
-        n, added = np.add.reduceat(n.astype(np.int64), firsts), np.add.reduceat(added.astype(float), firsts)
+        n, added = np.add.reduceat(n.astype(np.int64), firsts), np.add.reduceat(added.astype(np.int64), firsts) / PARTS
     state = (n >= LEAST) & (log_odds(added, n) > np.maximum(math.log(ODDS), DIVERGENCE * n))
     each = np.where(state, n, 0)[group]
     bucket = table.column("bucket")[0].as_py()
@@ -341,7 +339,7 @@ class Chunk:
         self.corpus.files.put(f"seen{level}/{self.number}", pack(n[gram]))
         train = self.train[at]
         times = np.bincount(which[train], minlength=len(contexts))
-        added = np.bincount(which[train], each[train], len(contexts)).astype(np.float32)
+        added = np.rint(PARTS * np.bincount(which[train], each[train], len(contexts))).astype(np.int64)
         return requests(self.number, self.corpus.buckets, contexts, times, added)
 
     def scores(self, level: int) -> np.ndarray:
@@ -410,10 +408,10 @@ def score(df: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "
     size = docs.agg(F.sum(F.octet_length("text").cast("long")), F.count_if(~F.col("held"))).first()
     n_bytes, starts = size[0] or 0, size[1] or 0
     #: About a word in seven bytes, half of the pairs of words distinct in a chunk; a key is
-    #: another one's too with a chance of about one in a million.
+    #: another one's too with a chance of about one in a million at most.
     buckets = max(shuffle_parts(spark), n_bytes // 14 // BUCKET_KEYS)
     parts = max(shuffle_parts(spark), n_bytes // chunk_bytes)
-    bits = min(62, 40 if n_bytes < 1 << 20 else 20 + int(n_bytes // 8).bit_length())
+    bits = min(62, max(52, 20 + int(n_bytes // 8).bit_length()))
     files = Files(shared_folder(spark))
     corpus = Corpus(files, buckets, bits, starts)
     kind = df.schema[doc_id].dataType.simpleString()
