@@ -62,20 +62,6 @@ def prj15(spark, sf_dir):
     return lengths(spark, sf_dir).groupBy("frame_id").agg(*(F.round(F.median(n), 6).alias(n) for n in "abc"))
 
 
-@query("prj21_band_weights")
-def prj21(spark, sf_dir):
-    """Band-pass weight (erf^2 edges) of vector lengths; erf by its series in an Arrow
-    function, as SQL has none."""
-    from math import erf
-
-    @F.pandas_udf("double")
-    def band(q: pd.Series) -> pd.Series:
-        return pd.Series([erf(x / 0.02) ** 2 * (1 - erf(max(0.0, x - 0.3) / 0.02) ** 2) for x in q])
-
-    n = lin3.norm([F.col(c) for c in ("qx", "qy", "qz")])
-    return view(spark, sf_dir, "planted_q").groupBy("frame_id").agg(F.round(F.sum(band(n)), 4).alias("weight"))
-
-
 @query("prj26_axis_convention", "select frame_id, round(sum(-qx), 6) as x, round(sum(qy), 6) as y, round(sum(-qz), 6) as z from planted_q group by frame_id", "planted_q")
 def prj26(spark, sf_dir):
     """Change of axis convention: a half turn about y."""
@@ -95,16 +81,6 @@ def prj29(spark, sf_dir):
     return x.groupBy("system").agg(F.count("*").alias("n"), F.round(F.sum("p1"), 4).alias("p1"), F.round(F.sum("p2"), 4).alias("p2"))
 
 
-@query("prj34_hermite_forms", "select * from (values (1,1),(2,7),(3,13),(4,35),(5,31)) t(idx, n)")
-def prj34(spark, sf_dir):
-    """Sublattices of each index: Hermite forms counted over a generated grid."""
-    i = spark.range(1, 6).select(F.col("id").cast("int").alias("idx"))
-    seq = lambda hi: F.explode(F.sequence(F.lit(1), hi))
-    x = i.withColumn("a", seq(F.col("idx"))).withColumn("d", seq(F.col("idx"))).where("idx % (a*d) = 0").withColumn("e", (F.col("idx") / (F.col("a") * F.col("d"))).cast("int"))
-    x = x.withColumn("b", seq(F.col("d"))).withColumn("c", seq(F.col("e"))).withColumn("f", seq(F.col("e")))
-    return x.groupBy("idx").agg(F.count("*").cast("int").alias("n"))
-
-
 @query("flt13_keep_measured", "select frame, count(*) as n, count(*) filter (i < 0) as negative from measurements where sigma > 0 and i <> 0 group by frame", "measurements")
 def flt13(spark, sf_dir):
     """Finite measurements with an error; negative ones stay, empty boxes go."""

@@ -1,17 +1,31 @@
-"""Checkpoints in the folder that the cluster shares."""
+"""Checkpoints and files in the folder that the cluster shares."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` materialised in ``spark.checkpoint.dir`` (a temporary folder where unset, as
-    in tests), without its lineage."""
-    spark = df.sparkSession
+def _ensure_folder(spark: SparkSession) -> None:
+    """``spark.checkpoint.dir``; only on one machine (a local master, as in tests) a temporary
+    folder where none is set."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stillframe-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="stillframe-"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below it."""
+    _ensure_folder(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4()}"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """``df`` materialised in the shared folder, without its lineage."""
+    _ensure_folder(df.sparkSession)
     return df.checkpoint(eager=True)
