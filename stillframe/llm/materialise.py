@@ -162,11 +162,12 @@ def fragments(docs: DataFrame, files: Files, length: int, n_sequences: int, key:
 MANIFEST = "shard long, file string, first_slot long, n_slots int, stride int, n_bytes long, crc32 long, n_ids array<int>"
 
 
-def shards(pieces: DataFrame, files: Files, n_sequences: int, length: int, width: int, end_id: int, per_shard: int = 4096) -> DataFrame:
-    """Writes shards of ``per_shard`` slots from ``fragments`` and gives a row a shard: its
-    number, file, first slot, slots, stride (``length`` ids of ``width`` bytes), bytes,
-    checksum, and for each slot its ids without padding, and the document and place in it of its
-    first id."""
+def shards(pieces: DataFrame, files: Files | None, n_sequences: int, length: int, width: int, end_id: int, per_shard: int = 4096) -> DataFrame:
+    """Shards of ``per_shard`` slots from ``fragments``, a row a shard: its number, file, first
+    slot, slots, stride (``length`` ids of ``width`` bytes), bytes, checksum, and for each slot its
+    ids without padding, and the document and place in it of its first id.  The bytes are written to
+    the file or, without ``files``, are the column payload.
+    """
     n_shards = -(-n_sequences // per_shard)
     tasks = max(1, min(max(shuffle_parts(pieces.sparkSession), n_shards // 4), n_shards))
     owner = F.floor(F.floor(F.col("slot") / per_shard) * tasks / max(1, n_shards)).cast("int")
@@ -193,10 +194,13 @@ def shards(pieces: DataFrame, files: Files, n_sequences: int, length: int, width
                 raise ValueError("a sequence of the shard has no first id")
             raw = data.tobytes()
             name = f"shard-{now:08d}.bin"
-            files.put(name, raw)
+            if files is not None:
+                files.put(name, raw)
             lists = [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), c) for c in (pa.array(used, pa.int32()), t.column("doc_id").combine_chunks().take(pa.array(head)), t.column("start").combine_chunks().take(pa.array(head)))]
             plain = [pa.array([now]), pa.array([name]), pa.array([first]), pa.array([n], pa.int32()), pa.array([stride], pa.int32()), pa.array([len(raw)]), pa.array([zlib.crc32(raw)])]
-            return pa.RecordBatch.from_arrays([*plain, *lists], names=[*(x.split()[0] for x in MANIFEST.split(", ")), "first_doc", "first_start"])
+            names = [*(x.split()[0] for x in MANIFEST.split(", ")), "first_doc", "first_start"]
+            body = [] if files is not None else [pa.array([raw], pa.binary())]
+            return pa.RecordBatch.from_arrays([*plain, *lists, *body], names=names + ["payload"] * len(body))
 
         for batch in batches:
             which = batch.column(0).to_numpy() // per_shard
@@ -209,16 +213,15 @@ def shards(pieces: DataFrame, files: Files, n_sequences: int, length: int, width
         if held:
             yield out()
 
-    return ranges.mapInArrow(run, f"{MANIFEST}, first_doc array<{field.dataType.simpleString()}>, first_start array<long>")
+    return ranges.mapInArrow(run, f"{MANIFEST}, first_doc array<{field.dataType.simpleString()}>, first_start array<long>" + ("" if files else ", payload binary"))
 
 
 def materialise(df: DataFrame, path: str, key: int, length: int = 1024, end_id: int = 0, per_shard: int = 4096, doc_id: str = "doc_id", text: str = "text", folder: str | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Writes all documents as shards in the training order of ``key`` into ``folder`` and returns
-    the manifest, see ``shards``.  Without a folder they go to one beside the sessions' folders
-    in ``spark.checkpoint.dir``, named by the rows and options, and ``file`` starts with its name.
+    """All documents as shards in the training order of ``key``, see ``shards``: files in ``folder``
+    and their manifest or, without a folder, rows that hold the bytes.
 
     Nulls count as empty texts, repeated rows as further documents; an empty table gives no
-    shards; other columns are left out.  The same rows give the same files however they are
+    shards; other columns are left out.  The same rows give the same bytes however they are
     partitioned.  The stream's last sequence is filled up with ``end_id``.  The folder's URI must
     be one that Arrow opens.
     """
@@ -226,16 +229,14 @@ def materialise(df: DataFrame, path: str, key: int, length: int = 1024, end_id:
     width = 4 if tokens.vocabulary_size(path) > 1 << 16 else 2
     work = Files(shared_folder(spark))
     docs = checkpoint(encoded(df, path, end_id, doc_id, text))
-    name = ""
-    if folder is None:
-        rows = docs.agg(F.sum(F.col("_k1").cast("decimal(38,0)")), F.sum(F.col("_k2").cast("decimal(38,0)")), F.sum("n")).first()
-        name = f"training-order-{zlib.crc32(repr((tuple(map(str, rows)), key, length, end_id, per_shard)).encode()):08x}"
-        folder = shared_folder(spark, name)
     total = write_offsets(docs, work, range_rows)
     n = -(-total // length)
-    out = checkpoint(shards(fragments(docs, work, length, n, key), Files(folder), n, length, width, end_id, per_shard))
-    work.drop()
-    return out.withColumn("file", F.concat(F.lit(f"{name}/"), F.col("file"))) if name else out
+    target = None if folder is None else Files(folder)
+    out = shards(fragments(docs, work, length, n, key), target, n, length, width, end_id, per_shard)
+    if target is not None:  # written now; without a folder the offsets are read when the rows are
+        out = checkpoint(out)
+        work.drop()
+    return out
 
 
 def read_from(folder: str, slot: int, n_slots: int, stride: int, width: int, per_shard: int = 4096, most: int = 256) -> Iterator[tuple[int, np.ndarray]]:
