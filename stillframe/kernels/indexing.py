@@ -114,17 +114,22 @@ def rank(ms: np.ndarray, q: np.ndarray, tol: float = 0.25) -> np.ndarray:
     return np.where((n < 8) | flat | (det < 1), -1e9, score)
 
 
+#: Sums of axes whose halves a centred cell has, single axes first.
+HALVES = np.array([c for n in (1, 2, 3) for c in np.ndindex(2, 2, 2) if sum(c) == n])
+
+
 def primitive(m: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Halves axes whose indices are all even, as long as the peaks stay explained."""
+    """Takes half of an axis, or of a sum of axes (a centring), as an axis where the indices of all
+    peaks along it are even, as long as the peaks stay explained."""
     for _ in range(3):
         h = np.rint(q @ m)
         ok = np.abs(q @ m - h).max(axis=1) < HKL_TOL
         before, changed = ok.sum(), False
-        for j in range(3):
-            x = h[ok, j]
+        for c in HALVES:
+            x = h[ok] @ c
             if (x != 0).sum() >= 5 and (x % 2 == 0).all():
                 half = m.copy()
-                half[:, j] /= 2
+                half[:, np.flatnonzero(c)[-1]] = m @ c / 2
                 half = anneal(half[None], q, 0.25, 0.85, 3, 0.05)[0]
                 if matched(half, q) >= 0.9 * before:
                     m, changed = half, True

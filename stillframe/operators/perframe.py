@@ -122,38 +122,11 @@ def _fingerprint(m: np.ndarray) -> list[float]:
 SMALL = X.Search(directions=300, lengths=tuple(range(30, 124, 6)), known_directions=1200, anchors=12, azimuths=120)
 
 
-@query("krn02_blind_nbest")
-def krn02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blind N-best on planted frames."""
-    return blind(synthetic.shots(spark, 16, CELL), SMALL).select("frame_id", "rank", F.round("score", 4).alias("score"), "n_matched", "error")
-
-
 @query("krn11_known_cell")
 def krn11(spark, sf_dir):
     return known(synthetic.shots(spark, 32, CELL), CELL, SMALL).select("frame_id", "n_peaks", "n_matched", "passed", "error")
 
 
-@query("krn27_escalate")
-def krn27(spark, sf_dir):
-    """Deep fits of planted and of scrambled frames under the chance control."""
-    real = escalated(synthetic.shots(spark, 6, CELL), CELL, 8, SMALL).withColumn("planted", F.lit(True))
-    fake = escalated(synthetic.shots(spark, 6, CELL, scrambled=True), CELL, 8, SMALL).withColumn("planted", F.lit(False))
-    return real.unionByName(fake).select("frame_id", "planted", F.col("m").isNotNull().alias("accepted"), "tried", "error")
-
-
-@query("krn28_alias_gate")
-def krn28(spark, sf_dir):
-    """Share of frames whose cell is tighter than its sub- and superlattices."""
-
-    def fn(frame: int, rows: pd.DataFrame) -> pd.DataFrame:
-        q = rows[Q].to_numpy(float)
-        m = synthetic.shot(frame, CELL)[3]
-        return pd.DataFrame({"own": [X.best_derivative(m, q, 2) == 0], "doubled": [X.best_derivative(m @ np.diag([2, 1, 1]), q, 2) == 0]})
-
-    v = per_frame(synthetic.shots(spark, 8, CELL), fn, "own boolean, doubled boolean")
-    return v.agg(F.count("*").alias("frames"), F.count_if("own").alias("confirmed"), F.count_if("doubled").alias("aliases_confirmed"))
-
-
 @query("krn23_find_peaks")
 def krn23(spark, sf_dir):
     """Peaks of the test image by local background, threshold and components."""

@@ -13,20 +13,6 @@ from stillframe.plans.registry import query
 from stillframe.sources import synthetic
 
 
-@query("krn16_fourier_search")
-def krn16(spark, sf_dir):
-    """Cells from the Fourier volume of planted frames."""
-    want = np.array(fingerprint(CELL))
-
-    def fn(_: int, rows: pd.DataFrame) -> pd.DataFrame:
-        q = rows[Q].to_numpy(float)
-        m = fourier.search(q)
-        f = None if m is None else fingerprint(m)
-        return pd.DataFrame({"found": [f is not None], "right": [f is not None and bool(same(want, np.array(f)[None])[0])], "n_matched": [indexing.matched(m, q)]})
-
-    return per_frame(synthetic.shots(spark, 8, CELL, n_peaks=90), fn, "found boolean, right boolean, n_matched int")
-
-
 @query("prj32_candidate_features")
 def prj32(spark, sf_dir):
     """Features of the true axes of planted frames."""
@@ -38,20 +24,6 @@ def prj32(spark, sf_dir):
     return per_frame(synthetic.shots(spark, 4, CELL), fn, "axis int, fringe double, inliers double, median_miss double, length double, sharpness double, at_double double, at_half double")
 
 
-@query("krn22_refine_shape")
-def krn22(spark, sf_dir):
-    """Perturbed bases of planted frames refined under the tetragonal shape."""
-
-    def fn(frame: int, rows: pd.DataFrame) -> pd.DataFrame:
-        m = synthetic.shot(frame, CELL)[3]
-        start = m @ (np.eye(3) + np.random.default_rng([5, frame]).normal(scale=2e-3, size=(3, 3)))
-        q = rows[Q].to_numpy(float)
-        got = refine.refine(start, q, "tetragonal")
-        return pd.DataFrame({"before": [indexing.matched(start, q, 0.05)], "after": [indexing.matched(got, q, 0.05)], "in_shape": [refine.deviation("tetragonal", got)[0] < 1e-9], "a_error": [abs(float(np.linalg.norm(got[:, 0])) - 79.0)]})
-
-    return per_frame(synthetic.shots(spark, 8, CELL), fn, "before int, after int, in_shape boolean, a_error double").withColumn("a_error", F.round("a_error", 3))
-
-
 @query("krn29_powder")
 def krn29(spark, sf_dir):
     """Cells from planted line positions, one pattern a frame."""
