@@ -37,6 +37,31 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4()}"
 
 
+#: Bits of a sketch of keys: buckets of 32,768 bits, so at most 16 MB however many keys there are.
+SKETCH_BITS = 1 << 27
+
+
+def key_sketch(keys: DataFrame, key: Column) -> DataFrame:
+    """(bucket, bits): a bit for each 64-bit key of a table, for ``maybe_in``.  It has at most
+    ``SKETCH_BITS`` / 32,768 rows of 4 KB."""
+    at = F.pmod(key, F.lit(SKETCH_BITS)) + 1
+    marked = keys.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("at"))
+    return marked.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
+
+
+def maybe_in(rows: DataFrame, key: Column, sketch: DataFrame) -> DataFrame:
+    """The rows whose key may be one of the sketch's: none that is, is lost; of others a share
+    goes that falls as the sketch fills.  No row is shuffled: the sketch is broadcast, 16 MB at
+    most."""
+    at = F.pmod(key, F.lit(SKETCH_BITS)) + 1
+    place = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    marks = F.broadcast(sketch.select(F.col("bucket").alias("_bucket"), F.col("bits").alias("_bits")))
+    met = rows.join(marks, F.bitmap_bucket_number(at) == F.col("_bucket"))
+    power = F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), (place % 8 + 1).cast("int"))
+    return met.where(byte.bitwiseAND(power) != 0).select(*rows.columns)
+
+
 class Files:
     """Small binary files below a shared folder, for numbers that belong to one part of the
     data and would only be shuffled to come back to it.

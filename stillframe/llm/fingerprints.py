@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stillframe.llm.common import checkpoint, row_key, shuffle_parts, text_or_empty
+from stillframe.llm.common import checkpoint, key_sketch, maybe_in, row_key, shuffle_parts, text_or_empty
 
 #: White space that the compatibility form leaves, besides the pattern's own class.
 _SPACE = "[\\s\\x1c-\\x1f\\u0085\\u1680\\u180e\\u2028\\u2029]+"
@@ -87,15 +87,11 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", dige
     rep = chain.select(F.col("doc_id").alias("_rid"), "_rep")
     is_rep = F.struct("_k2", "_k1") <= F.col("_rep")  # the least itself; no key of a join
 
-    def edited(only: DataFrame | None) -> DataFrame:
-        """doc_id, keys, own text, edited text and the next text's digest of the rows whose
-        id is in ``only`` (None: of all rows)."""
-        own, ask = docs, send
-        if only is not None:
-            own = own.join(only, own["doc_id"].eqNullSafe(only["_id"]), "left_semi")
-            ask = ask.join(only, ask["_to"].eqNullSafe(only["_id"]), "left_semi")
+    def edited(own: DataFrame, sender: DataFrame) -> DataFrame:
+        """doc_id, keys, own text, edited text and the next text's digest of the rows ``own``;
+        ``sender`` has the next documents.  Both may have more rows."""
         # both joins take the same columns of ``docs``, so its texts are shuffled once for them
-        sent = docs.join(ask, docs["doc_id"].eqNullSafe(ask["_from"])).where(is_rep)
+        sent = sender.join(send, sender["doc_id"].eqNullSafe(send["_from"])).where(is_rep)
         sent = with_canonical(sent, {"_c": "t"})
         h1, h2 = digest(F.col("_c"))
         sent = sent.select("_to", F.substring("t", F.lit(1), F.col("_take")).alias("_head"), h1.alias("next1"), h2.alias("next2"))
@@ -107,21 +103,26 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", dige
             "doc_id", "_k1", "_k2", "t", F.concat(F.substring("t", F.lit(1), n - k), F.substring("_head", F.lit(1), k)).alias("e"), "next1", "next2"
         )
 
-    both = with_canonical(edited(None), {"ct": "t", "ce": "e"})
+    both = with_canonical(edited(docs, docs), {"ct": "t", "ce": "e"})
     (a1, a2), (b1, b2) = digest(F.col("ct")), digest(F.col("ce"))
     rows = checkpoint(both.select(
         "doc_id", "_k1", "_k2", F.length("t").cast("long").alias("n_chars"), F.sha2("e", 256).alias("edited_sha256"),
         a1.alias("own1"), a2.alias("own2"), b1.alias("edit1"), b2.alias("edit2"), "next1", "next2",
     ))
 
-    entries = rows.select("doc_id", F.explode(F.array(F.struct(F.col("own1").alias("h1"), F.col("own2").alias("h2")), F.struct(F.col("edit1").alias("h1"), F.col("edit2").alias("h2")))).alias("h")).select("doc_id", "h.*")
-    shared = entries.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    again = entries.join(shared, ["h1", "h2"], "left_semi").select(F.col("doc_id").alias("_id")).distinct()
-    forms = with_canonical(edited(again), {"ct": "t", "ce": "e"}).select(
-        "doc_id", "_k1", "_k2", F.explode(F.array(F.struct(F.lit("own").alias("kind"), F.col("ct").alias("form")), F.struct(F.lit("edit").alias("kind"), F.col("ce").alias("form")))).alias("f")
-    ).select("doc_id", "_k1", "_k2", "f.*")
+    entries = rows.select(F.explode(F.array(F.struct(F.col("own1").alias("h1"), F.col("own2").alias("h2")), F.struct(F.col("edit1").alias("h1"), F.col("edit2").alias("h2")))).alias("h")).select("h.*")
+    shared = checkpoint(entries.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"))
+    # texts of buckets with several entries are read again and only these are shuffled: rows
+    # that share their own form, and rows that share their edited one with who comes next
+    own_again = rows.join(shared, (F.col("own1") == F.col("h1")) & (F.col("own2") == F.col("h2")), "left_semi").select("_k1")
+    edit_again = checkpoint(rows.join(shared, (F.col("edit1") == F.col("h1")) & (F.col("edit2") == F.col("h2")), "left_semi").select("doc_id", "_k1"))
+    next_ids = chain.join(edit_again.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("next_id")
+    own_forms = with_canonical(maybe_in(docs, F.col("_k1"), key_sketch(own_again, F.col("_k1"))), {"form": "t"}).select("doc_id", "_k1", "_k2", F.lit("own").alias("kind"), "form")
+    takers = maybe_in(docs, F.col("_k1"), key_sketch(edit_again, F.col("_k1")))
+    givers = maybe_in(docs, F.xxhash64(F.col("doc_id")), key_sketch(next_ids, F.xxhash64(F.col("next_id"))))
+    edit_forms = with_canonical(edited(takers, givers), {"form": "e"}).select("doc_id", "_k1", "_k2", F.lit("edit").alias("kind"), "form")
     f1, f2 = digest(F.col("form"))
-    forms = forms.select("doc_id", "_k1", "_k2", "kind", "form", f1.alias("h1"), f2.alias("h2"))
+    forms = own_forms.unionByName(edit_forms).select("doc_id", "_k1", "_k2", "kind", "form", f1.alias("h1"), f2.alias("h2"))
     # grouping by digest and bytes is the comparison; copies meet in the map tasks already
     distinct = forms.select("h1", "h2", "form").distinct().join(shared, ["h1", "h2"], "left_semi")
     clash = checkpoint(distinct.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"))

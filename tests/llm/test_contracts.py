@@ -402,6 +402,18 @@ def test_fingerprints(spark, docs, rows):
     assert fingerprints(docs.limit(0)).count() == 0
 
 
+def test_key_sketch_loses_nothing(spark):
+    from pyspark.sql import functions as F
+
+    from stillframe.llm.common import key_sketch, maybe_in
+
+    rows = spark.range(20_000).select("id", F.xxhash64("id").alias("k"))
+    kept = maybe_in(rows, F.col("k"), key_sketch(rows.where("id % 7 = 3"), F.col("k")))
+    ids = {r.id for r in kept.collect()}
+    assert {i for i in range(20_000) if i % 7 == 3} <= ids and len(ids) < 20_000 / 7 + 20 and kept.columns == rows.columns
+    assert maybe_in(rows, F.col("k"), key_sketch(rows.limit(0), F.col("k"))).count() == 0
+
+
 def test_fingerprints_survive_colliding_digests(spark):
     from pyspark.sql import functions as F
 
