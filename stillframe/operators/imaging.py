@@ -100,14 +100,6 @@ def prj31(spark, sf_dir):
     return view(spark, sf_dir, "image").where(raw.bitwiseAND(4) == 0).groupBy((F.col("ss") % 4).cast("int").alias("bank")).agg(F.round(F.sum(v), 4).alias("total"))
 
 
-@query("agg23_peak_stats", "select label, n_pix, round(mass, 4) as mass, round(cx, 6) as cx, round(cy, 6) as cy, seeded from (select label, count(*) as n_pix, sum(adu) as mass, sum(adu*fs)/sum(adu) as cx, sum(adu*ss)/sum(adu) as cy, max(adu) > 150 as seeded from (select *, cast(floor(ss/16)*4 + floor(fs/16) as bigint) as label from image where adu > 60) group by label) where n_pix between 1 and 200", "image")
-def agg23(spark, sf_dir):
-    """Peaks from labelled pixels: size, mass, centroid, and whether a seed is in it."""
-    p = view(spark, sf_dir, "image").where("adu > 60").withColumn("label", (F.floor(F.col("ss") / 16) * 4 + F.floor(F.col("fs") / 16)).cast("long"))
-    g = p.groupBy("label").agg(F.count("*").alias("n_pix"), F.sum("adu").alias("m"), (F.sum(F.col("adu") * F.col("fs")) / F.sum("adu")).alias("cx"), (F.sum(F.col("adu") * F.col("ss")) / F.sum("adu")).alias("cy"), (F.max("adu") > 150).alias("seeded"))
-    return g.where("n_pix between 1 and 200").select("label", "n_pix", F.round("m", 4).alias("mass"), F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), "seeded")
-
-
 @query("agg24_scatter_max", "select cast((ss*7+fs*3) % 50 as int) as slot, max(adu) as top, round(sum(adu), 4) as total from image group by 1", "image")
 def agg24(spark, sf_dir):
     slot = ((F.col("ss") * 7 + F.col("fs") * 3) % 50).cast("int")

@@ -127,18 +127,6 @@ def krn11(spark, sf_dir):
     return known(synthetic.shots(spark, 32, CELL), CELL, SMALL).select("frame_id", "n_peaks", "n_matched", "passed", "error")
 
 
-@query("krn23_find_peaks")
-def krn23(spark, sf_dir):
-    """Peaks of the test image by local background, threshold and components."""
-
-    def fn(_: int, rows: pd.DataFrame) -> pd.DataFrame:
-        image = rows.pivot(index="ss", columns="fs", values="adu").to_numpy(float)
-        return pd.DataFrame(P.find(image), columns=["fs", "ss", "mass", "snr", "n_pix"])
-
-    i = view(spark, sf_dir, "image").withColumn("frame_id", F.lit(0).cast("long"))
-    return per_frame(i, fn, "fs double, ss double, mass double, snr double, n_pix int").select("frame_id", F.round("fs", 4).alias("fs"), F.round("ss", 4).alias("ss"), F.round("mass", 3).alias("mass"), "n_pix", "error")
-
-
 @query("krn25_second_lattice")
 def krn25(spark, sf_dir):
     """A second crystal in the peaks that the first does not claim."""

@@ -94,16 +94,6 @@ def flt22(spark, sf_dir):
     return lengths(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(d <= 0.10).alias("near"))
 
 
-@query("agg22_radial_batch", "select frame, bin, round(sum(w*adu)/sum(w), 6) as mean from (select frame, floor(t)+o as bin, adu*(1+frame) as adu, case when o = 1 then t-floor(t) else 1-(t-floor(t)) end as w from (select adu, sqrt(cast((ss-32)*(ss-32)+(fs-32)*(fs-32) as double))/4 - cast(0.5 as double) as t from image) p, (select 0 as o union all select 1) o, (select unnest([0,1,2]) as frame) f) group by frame, bin having sum(w) > 0.001", "image")
-def agg22(spark, sf_dir):
-    """Profiles of several frames at once."""
-    i = view(spark, sf_dir, "image").withColumn("frame", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    t = F.sqrt(((F.col("ss") - 32) ** 2 + (F.col("fs") - 32) ** 2).cast("double")) / 4 - 0.5
-    x = i.select("frame", (F.col("adu") * (1 + F.col("frame"))).alias("adu"), t.alias("t"), F.explode(F.array(F.lit(0), F.lit(1))).alias("o"))
-    x = x.withColumn("w", F.when(F.col("o") == 1, F.col("t") - F.floor("t")).otherwise(1 - (F.col("t") - F.floor("t"))))
-    return x.groupBy("frame", (F.floor("t") + F.col("o")).cast("double").alias("bin")).agg(F.round(F.sum(F.col("w") * F.col("adu")) / F.sum("w"), 6).alias("mean"), F.sum("w").alias("s")).where("s > 0.001").drop("s")
-
-
 @query("top08_lowest_resolution", "select frame_id, count(*) as n, round(max(q), 6) as reach from (select frame_id, qx*qx+qy*qy+qz*qz as q, row_number() over (partition by frame_id order by qx*qx+qy*qy+qz*qz, pk, ok, ln) as r from planted_q) where r <= 100 group by frame_id", "planted_q")
 def top08(spark, sf_dir):
     """The 100 peaks of each frame nearest to the beam."""

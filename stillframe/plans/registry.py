@@ -76,6 +76,14 @@ VIEWS = {
         select vec_id as frame_id, label as species, j as peak_id, cast(embedding[3*j+1] as double) as qx,
                cast(embedding[3*j+2] as double) as qy, cast(embedding[3*j+3] as double) as qz
         from embeddings, unnest(range(0, 21)) as t(j)""",
+    "frame_images": """
+        select frame, ss, fs, cast(10 + ((7*ss + 13*fs + 5*frame) % 5)
+               + case when ss % 16 = 8 + frame % 3 and fs % 16 = 7 + frame % 2 then 150 + (frame*7 + ss) % 90
+                      when ss % 16 = 8 + frame % 3 and fs % 16 = 8 + frame % 2 then 70 + (frame*7 + ss) % 30 else 0 end as double) as adu
+        from (select s_suppkey as frame, cast(i // 64 as int) as ss, cast(i % 64 as int) as fs from supplier, range(0, 4096) as r(i)) g""",
+    "predictions": """
+        select s_suppkey as frame, cast(a as int) as h, cast(b as int) as k, 0 as l, cast(8 + s_suppkey % 3 + 16*a as int) as css, cast(7 + s_suppkey % 2 + 16*b as int) as cfs
+        from supplier, (select x.i as a, y.j as b from range(0, 5) as x(i), range(0, 5) as y(j)) t""",
     "image": """
         select ss, fs, cast(10 + ((7*ss + 13*fs) % 5) + case when ss % 16 = 8 and fs % 16 = 8 then 200 when ss % 16 = 8 and fs % 16 = 9 then 90 else 0 end as double) as adu
         from (select cast(i // 64 as int) as ss, cast(i % 64 as int) as fs from range(0, 4096) as r(i)) g""",
@@ -86,6 +94,8 @@ SPARK_VIEWS = VIEWS | {
         select vec_id as frame_id, label as species, j as peak_id, cast(element_at(embedding, 3*j+1) as double) as qx,
                cast(element_at(embedding, 3*j+2) as double) as qy, cast(element_at(embedding, 3*j+3) as double) as qz
         from embeddings lateral view explode(sequence(0, 20)) t as j""",
+    "frame_images": VIEWS["frame_images"].replace("i // 64", "floor(i / 64)").replace("range(0, 4096) as r(i)", "(select id as i from range(0, 4096)) r"),
+    "predictions": VIEWS["predictions"].replace("range(0, 5) as x(i), range(0, 5) as y(j)", "(select id as i from range(0, 5)) x, (select id as j from range(0, 5)) y"),
     "image": VIEWS["image"].replace("i // 64", "floor(i / 64)").replace("range(0, 4096) as r(i)", "(select id as i from range(0, 4096))"),
 }
 

@@ -21,6 +21,16 @@ def test_fingerprint_is_invariant():
     assert R.fingerprint(np.zeros((3, 3))) is None
 
 
+def test_many_fingerprints_equal_single_ones():
+    rng = np.random.default_rng(6)
+    ms = rng.normal(scale=40, size=(300, 3, 3))
+    ms[3], ms[5, 0, 0], ms[7] = 0, np.nan, np.diag([1.0, 1.0, 0.0])
+    many = R.fingerprints(ms)
+    for m, f in zip(ms, many):
+        one = R.fingerprint(m) if np.isfinite(m).all() else None
+        assert np.isnan(f).all() if one is None else np.allclose(f, one)
+
+
 def test_hermite_forms():
     assert [len(R.hermite_forms(i)) for i in (2, 3, 4)] == [7, 13, 35]
 
