@@ -120,38 +120,3 @@ def _fingerprint(m: np.ndarray) -> list[float]:
 
 
 SMALL = X.Search(directions=300, lengths=tuple(range(30, 124, 6)), known_directions=1200, anchors=12, azimuths=120)
-
-
-@query("krn11_known_cell")
-def krn11(spark, sf_dir):
-    return known(synthetic.shots(spark, 32, CELL), CELL, SMALL).select("frame_id", "n_peaks", "n_matched", "passed", "error")
-
-
-@query("krn25_second_lattice")
-def krn25(spark, sf_dir):
-    """A second crystal in the peaks that the first does not claim."""
-
-    def fn(frame: int, rows: pd.DataFrame) -> pd.DataFrame:
-        m1, m2 = (synthetic.shot(frame + k, CELL)[3] for k in (0, 1000))
-        q = np.r_[synthetic.shot(frame, CELL, spurious=0.0)[0], synthetic.shot(frame + 1000, CELL, spurious=0.0)[0]]
-        h = q @ m1
-        rest = q[np.abs(h - np.rint(h)).max(axis=1) >= L.HKL_TOL]
-        got = X.known(rest, CELL, SMALL)
-        turn = None if got is None else X.misorientation(m1, got)
-        return pd.DataFrame({"n_rest": [len(rest)], "found": [got is not None and X.passes(got, rest)], "apart": [turn is not None and turn >= 15.0 or X.misorientation(m1, m2) < 15.0]})
-
-    return per_frame(spark.range(6).select(F.col("id").alias("frame_id")), fn, "n_rest int, found boolean, apart boolean")
-
-
-@query("pip01_hybrid")
-def pip01(spark, sf_dir):
-    """The batch pipeline on planted frames with some lattice-free ones."""
-    peaks = synthetic.shots(spark, 12, CELL).unionByName(synthetic.shots(spark, 4, CELL, scrambled=True).withColumn("frame_id", F.col("frame_id") + 1000)).repartition(8, "frame_id")
-    out, _ = hybrid(peaks, c=SMALL)
-    return out.select("frame_id", "how", F.col("m").isNotNull().alias("indexed"), "withdrawn")
-
-
-@query("pip01_consensus")
-def pip01_consensus(spark, sf_dir):
-    _, decided = hybrid(synthetic.shots(spark, 12, CELL), voters=8, c=SMALL)
-    return decided.select("support", "runner_up", "pool", "accepted")
