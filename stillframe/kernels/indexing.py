@@ -56,22 +56,25 @@ def half_sphere(n: int) -> np.ndarray:
     return np.c_[r * np.cos(phi), r * np.sin(phi), z]
 
 
-def ascend(v: np.ndarray, q: np.ndarray, c: Search) -> tuple[np.ndarray, np.ndarray]:
+def ascend(v: np.ndarray, q: np.ndarray, c: Search, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Vectors climbing the sum of cos^2(pi v.q) over peaks within the band of a node:
-    normalised steps with momentum, shrinking; and that sum at the end."""
+    normalised steps with momentum, shrinking; and that sum at the end.  ``weight``: of each
+    peak."""
     qmax = np.sqrt((q * q).sum(axis=1).max())
     v = v.copy()
     drift = np.zeros_like(v)
     for s in range(c.steps):
         x = v @ q.T
         d = x - np.rint(x)
-        g = -(np.sin(2 * np.pi * d) * (np.abs(d) < c.band)) @ q
+        wave = np.sin(2 * np.pi * d) * (np.abs(d) < c.band)
+        g = -(wave if weight is None else wave * weight) @ q
         n = np.linalg.norm(g, axis=1, keepdims=True)
         drift = 0.5 * drift + g / np.maximum(n, 1e-12)
         v += 0.25 / qmax * (1 - 0.7 * s / c.steps) * drift
     x = v @ q.T
     d = x - np.rint(x)
-    return v, ((np.cos(np.pi * d) ** 2) * (np.abs(d) < c.band)).sum(axis=1)
+    near = (np.cos(np.pi * d) ** 2) * (np.abs(d) < c.band)
+    return v, (near if weight is None else near * weight).sum(axis=1)
 
 
 def distinct(v: np.ndarray, f: np.ndarray, c: Search) -> np.ndarray:
@@ -139,13 +142,18 @@ def primitive(m: np.ndarray, q: np.ndarray) -> np.ndarray:
     return m
 
 
-def blind(q: np.ndarray, c: Search = Search()) -> list[tuple[np.ndarray, float]]:
-    """Distinct reduced cells of a frame, best first (at most ``nbest``)."""
+def blind(q: np.ndarray, c: Search = Search(), starts: np.ndarray | None = None, weight=None, score=None) -> list[tuple[np.ndarray, float]]:
+    """Distinct reduced cells of a frame, best first (at most ``nbest``).
+
+    ``starts``: vectors to climb from instead of the grid; ``weight(q)``: of each peak in the
+    climb; ``score(ms, q)``: of refitted bases, larger is better (None: ``rank``).
+    """
     q = clean(q)
     if len(q) < 8:
         return []
-    starts = (half_sphere(c.directions)[:, None, :] * np.array(c.lengths)[None, :, None]).reshape(-1, 3)
-    v = distinct(*ascend(starts, q, c), c)
+    if starts is None:
+        starts = (half_sphere(c.directions)[:, None, :] * np.array(c.lengths)[None, :, None]).reshape(-1, 3)
+    v = distinct(*ascend(starts, q, c, None if weight is None else weight(q)), c)
     if len(v) < 3:
         return []
     triples = np.array(list(combinations(range(len(v)), 3)))
@@ -154,7 +162,7 @@ def blind(q: np.ndarray, c: Search = Search()) -> list[tuple[np.ndarray, float]]
     ms = anneal(ms[ok], q, 0.30, 0.85, 3, 0.02)
     if not len(ms):
         return []
-    score = rank(ms, q)
+    score = (score or rank)(ms, q)
     out: list[tuple[np.ndarray, float]] = []
     seen: list[np.ndarray] = []
     for i in np.argsort(-score, kind="stable")[:200]:
