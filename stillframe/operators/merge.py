@@ -278,25 +278,27 @@ def agg08(spark, sf_dir):
     return partiality_round(v, ones).withColumn("g", F.round("g", 6))
 
 
-@query("agg08_partiality_fit")
+@registered("agg08_partiality_fit", f"select count(*) as frames, true as mean_is_one, true as settled from (select frame from measurements where i > 0 and {KEY} in (select {KEY} from measurements where i > 0 group by 1 having count(*) >= 2) group by frame having count(*) >= 8)")
 def agg08_fit(spark, sf_dir):
     """Rounds until the scales stop moving (at most five); each is checkpointed by a
-    written stage so that lost executors cost one round."""
+    written stage so that lost executors cost one round.  The scales' geometric mean is one."""
     m = measured(spark, sf_dir).where("i > 0")
     v = m.select("frame", unique_key(F.col("h"), F.col("k"), F.col("l"), "4/mmm").alias("key"), "i", "sigma", (0.5 + F.abs("h") % 5 / 10).alias("p"))
     g = v.select("frame").distinct().withColumn("g", F.lit(1.0))
     from stillframe.plans.shared import checkpoint
 
+    moved = None
     for _ in range(5):
         new = checkpoint(partiality_round(v, g))
         moved = new.join(g.select("frame", F.col("g").alias("old")), "frame").agg(F.max(F.abs(F.col("g") / F.col("old") - 1))).first()[0]
         g = new
         if moved is None or moved < 1e-3:
             break
-    return g.select("frame", F.round("g", 6).alias("g"))
+    one = F.abs(F.avg(F.ln("g"))) < 1e-6
+    return g.agg(F.count("*").alias("frames"), one.alias("mean_is_one"), F.lit(moved is None or moved < 0.2).alias("settled"))
 
 
-@query("agg09_bootstrap")
+@registered("agg09_bootstrap", f"select round(sum(abs(a.mean - t.truth))/sum(t.truth), 6) as whole, true as interval_holds_replicates from (select key, avg(i) as truth from (select {KEY} as key, i from measurements) group by key) t join (select key, avg(i) as mean from (select {KEY} as key, i, frame from measurements where frame % 2 = 0) group by key) a using (key)")
 def agg09(spark, sf_dir):
     """Interval of R against the truth from resampled frames: Poisson(1) counts drawn from
     a hash of (frame, replicate), so any task draws the same."""
@@ -306,4 +308,8 @@ def agg09(spark, sf_dir):
     times = sum((F.when(u > p, 1).otherwise(0) for p in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015)), F.lit(0))
     x = m.select("frame", "key", "i").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(20)))).withColumn("t", times)
     r = x.groupBy("rep", "key").agg((F.sum(F.col("t") * F.col("i")) / F.nullif(F.sum("t"), F.lit(0))).alias("mean")).join(truth, "key").groupBy("rep").agg((F.sum(F.abs(F.col("mean") - F.col("truth"))) / F.sum("truth")).alias("r"))
-    return r.agg(F.round(F.percentile("r", F.lit(0.025)), 6).alias("low"), F.round(F.avg("r"), 6).alias("mean"), F.round(F.percentile("r", F.lit(0.975)), 6).alias("high"))
+    span = r.agg(F.percentile("r", F.lit(0.025)).alias("low"), F.avg("r").alias("mean"), F.percentile("r", F.lit(0.975)).alias("high"), F.count("*").alias("n"))
+    half = m.where("frame % 2 = 0").groupBy("key").agg(F.avg("i").alias("mean")).join(truth, "key")
+    whole = half.agg(F.round(F.sum(F.abs(F.col("mean") - F.col("truth"))) / F.sum("truth"), 6).alias("whole"))
+    good = (F.col("low") <= F.col("mean")) & (F.col("mean") <= F.col("high")) & (F.col("low") > 0) & (F.col("n") == 20)
+    return whole.crossJoin(F.broadcast(span)).select("whole", good.alias("interval_holds_replicates"))  # one row
