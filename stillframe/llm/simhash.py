@@ -287,20 +287,34 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
+#: A fingerprint is hot if more than this many rows have it, or more than this share of all rows; so
+#: at most 1 / HOT_SHARE are, and no other one has more rows than that in a task of the join.
+HOT_ROWS, HOT_SHARE = 10_000, 1 / 20_000
+
+
 def classes(fingerprints: DataFrame, doc_id: str, most: int = 3, heavy: int = HEAVY) -> DataFrame:
     """Adds ``component_id``: the smallest ``doc_id`` that links of the fingerprints
     (``_fp``) reach, itself included.  ``fingerprints`` must be materialised.  Null ids
     are never the smallest; a component of null ids alone has a null one.  ``_group``
-    names the component by its smallest fingerprint."""
-    distinct = checkpoint(fingerprints.groupBy("_fp").agg(F.min(doc_id).alias("_first")))
-    roots = components(links(distinct, distinct.count(), most, heavy))
+    names the component by its smallest fingerprint.
+
+    Fingerprints that a large share of the rows have (as that of empty texts) meet their rows
+    by a broadcast of at most 1 / ``HOT_SHARE`` of them, the others by a shuffle.
+    """
+    distinct = checkpoint(fingerprints.groupBy("_fp").agg(F.min(doc_id).alias("_first"), F.count("*").alias("_rows")))
+    size = distinct.agg(F.count("*").alias("n"), F.sum("_rows").alias("rows")).first()
+    roots = components(links(distinct.select("_fp", "_first"), size["n"], most, heavy))
     linked = roots.join(distinct, roots["node"] == distinct["_fp"]).select("node", "root", "_first")
     least = linked.groupBy("root").agg(F.min("_first").alias("_least"))
     named = linked.join(least, "root").select(F.col("node").alias("_fp"), "root", "_least")
-    table = distinct.join(named, "_fp", "left").select(
-        "_fp", F.coalesce("_least", "_first").alias("component_id"), F.coalesce("root", "_fp").alias("_group")
-    )
-    return fingerprints.join(table, "_fp")
+    table = checkpoint(distinct.join(named, "_fp", "left").select(
+        "_fp", "_rows", F.coalesce("_least", "_first").alias("component_id"), F.coalesce("root", "_fp").alias("_group")
+    ))
+    hot = F.col("_rows") > max(HOT_ROWS, int((size["rows"] or 0) * HOT_SHARE))
+    often = F.broadcast(table.where(hot).select("_fp", F.col("component_id").alias("_c"), F.col("_group").alias("_g"), F.lit(True).alias("_hot")))
+    told = fingerprints.join(often, "_fp", "left")
+    cold = told.where("_hot is null").drop("_c", "_g", "_hot").join(table.where(~hot).drop("_rows"), "_fp")
+    return cold.unionByName(told.where("_hot").drop("_hot").withColumnsRenamed({"_c": "component_id", "_g": "_group"}))
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, most: int = 3, heavy: int = HEAVY) -> DataFrame:

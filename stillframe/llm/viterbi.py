@@ -47,6 +47,9 @@ class Vocabulary:
         ranks = all(s <= 0 and s == int(s) for s in raw.values()) and len(set(raw.values())) > 1
         score = {i: -math.log(2.0 - s) if ranks else s for i, s in raw.items()}
         self.scores = score
+        #: Where the scores come from; ids found with scores from ranks are this operator's own
+        #: segmentation, not the library's for that file.
+        self.kind = "ranks" if ranks else "unigram"
         self.unknown = model.unk_id()
         self.unknown_score = min(score.values(), default=0.0) - UNKNOWN_PENALTY
         self.bytes = {b: i for b in range(256) for i in [model.piece_to_id(f"<0x{b:02X}>")] if i != self.unknown and model.is_byte(i)}
@@ -223,12 +226,13 @@ def decode(df: DataFrame, path: str, ids: str = "ids", keep: str = "doc_id") ->
 
 def round_trip(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes and decodes every row: doc_id, n_chars, n_ids, n_unknown, ids_crc32,
-    exact (the decoded text is the text's normal form).  Null and empty texts have no ids and
+    exact (the decoded text is the text's normal form), scores (``unigram``: ids are the library's;
+    ``ranks``: the file has no probabilities, ids are those of scores made from its ranks).  Null and empty texts have no ids and
     are exact; repeated rows are rows of their own; an empty table gives an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        names = ["doc_id", "n_chars", "n_ids", "n_unknown", "ids_crc32", "exact"]
+        names = ["doc_id", "n_chars", "n_ids", "n_unknown", "ids_crc32", "exact", "scores"]
         for batch in batches:
             for first, texts in tokens.by_bytes(batch.column(1)):
                 rows = []
@@ -238,8 +242,8 @@ def round_trip(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "te
                     lost = int((np.frombuffer(ids, "<u4") == c.v.unknown).sum())
                     plain_form = form.replace(SPACE, " ")
                     again = c.decode(ids)
-                    rows.append((len(t), len(ids) >> 2, lost, zlib.crc32(ids), again in (plain_form, plain_form[1:] if plain_form.startswith(" ") else plain_form)))
+                    rows.append((len(t), len(ids) >> 2, lost, zlib.crc32(ids), again in (plain_form, plain_form[1:] if plain_form.startswith(" ") else plain_form), c.v.kind))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), *(pa.array(x) for x in zip(*rows))], names=names)
 
     plain = df.select(F.col(f"`{doc_id}`").alias("doc_id"), text_or_empty(F.col(f"`{text}`")).alias("text"))
-    return plain.mapInArrow(run, f"doc_id {df.schema[doc_id].dataType.simpleString()}, n_chars long, n_ids long, n_unknown long, ids_crc32 long, exact boolean")
+    return plain.mapInArrow(run, f"doc_id {df.schema[doc_id].dataType.simpleString()}, n_chars long, n_ids long, n_unknown long, ids_crc32 long, exact boolean, scores string")

@@ -44,3 +44,22 @@ def test_keep_one_decides_by_the_sets(spark):
     texts += [" ".join(family[: 104 - k]) for k in range(30)]
     check(spark, texts)
     check(spark, texts, heavy=4)
+
+
+def test_keep_one_on_documents(spark):
+    """All test documents of one size against all pairs: the same rows stay."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    check(spark, [r.text or "" for r in sorted(table, key=lambda r: r.doc_id)])
+
+
+def test_hot_fingerprints(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from stillframe.llm import simhash as S
+
+    rows = [(i, None if i % 3 else "") for i in range(60)] + [(100 + i, f"some words of text {i % 7}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, S.near_duplicates(docs).collect()))
+    monkeypatch.setattr(S, "HOT_ROWS", 5)
+    assert sorted(map(tuple, S.near_duplicates(docs).collect())) == want
+    assert S.near_duplicates(docs.where(F.col("doc_id") < 60)).agg(F.max("component_id")).first()[0] == 0
