@@ -290,9 +290,14 @@ def test_boosted_trees_learn():
     held = rng.random(2000) < 0.3
     m = boost(x, y, list("abcd"), held)
     score = m.bias + sum(predict(t, x, list("abcd")) for t in m.trees)
+    p = 1 / (1 + np.exp(-(m.platt[0] * score + m.platt[1])))
     assert m.threshold is not None
-    assert (((score > 0) == y)[held]).mean() > 0.97
-    assert y[held & (score >= m.threshold)].mean() > 0.98
+    assert (((p > 0.5) == y)[held]).mean() > 0.97
+    assert y[held & (p >= m.threshold)].mean() > 0.98
+    # probabilities mean what they say: in each part of the scale as many are right
+    for low in (0.0, 0.5):
+        part = held & (p >= low) & (p < low + 0.5)
+        assert abs(p[part].mean() - y[part].mean()) < 0.05
 
 
 def test_secrets(docs, rows, spark):
