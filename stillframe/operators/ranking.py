@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stillframe.functions import lin3
 from stillframe.plans.registry import query, table, view
+from stillframe.plans.shared import checkpoint
 
 
 @query("top01_triage", "select frame_id, n_peaks from (select frame_id, count(*) as n_peaks from planted_q group by frame_id) where n_peaks >= 150 order by n_peaks desc, frame_id limit 32", "planted_q")
@@ -305,13 +306,24 @@ def join17(spark, sf_dir):
 def exp03(spark, sf_dir):
     """Re-pairing without fixed points: a cyclic shift of a dense numbering."""
     p = table(spark, sf_dir, "part").select("p_partkey")
-    i = p.withColumn("i", F.row_number().over(Window.orderBy("p_partkey")) - 1)
+    i = dense_numbers(p, "p_partkey", "i")
     n = F.broadcast(p.agg(F.count("*").alias("n")))  # one row
     a = i.crossJoin(n).withColumn("j", (F.col("i") + 7) % F.col("n"))
     b = i.select(F.col("i").alias("j"), F.col("i").alias("k"))
     return a.join(b, "j").agg(F.count("*").alias("n"), F.count_if(F.col("i") == F.col("k")).alias("fixed"))
 
 
+def dense_numbers(df: DataFrame, by: str, name: str) -> DataFrame:
+    """``df`` with the numbers 0, 1, ... in the order of ``by``: numbered within ranges, each moved by
+    the sizes of those before it (a row a range is all that is looked at together)."""
+    ranges = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = checkpoint(df.repartitionByRange(ranges, by).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    first = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(by)) - 1
+    return parts.withColumn(name, own).join(F.broadcast(first), "_part").withColumn(name, F.col(name) + F.col("_first")).drop("_part", "_first")
+
+
 @query("exp04_sorted_keys", "select run_id, count(*) as n, min(ev) as first_ev from frame_stream where hit = 1 group by run_id having count(*) >= 2", "frame_stream")
 def exp04(spark, sf_dir):
     return stream_rows(spark, sf_dir).where("hit = 1").groupBy("run_id").agg(F.count("*").alias("n"), F.min("ev").alias("first_ev")).where("n >= 2")

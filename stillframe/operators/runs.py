@@ -422,16 +422,16 @@ def agg32(spark, sf_dir):
     return n.select("frame", "n", F.round(a[0] - 1e-9, 2).alias("n00"), F.round(a[1], 3).alias("n01"), F.round(a[4] - 1e-9, 6).alias("n11"), F.round(b[0], 2).alias("b0"), F.round(b[1], 4).alias("b1"), F.round(b[2], 4).alias("b2"))
 
 
-@query("str21_live_geometry", f"with recursive f as (select frame, row_number() over (order by frame) as i, sum(wx) as a, sum(wx*rx) as b from (select *, case when abs(rx) <= 3 then 1 else 3/abs(rx) end as wx from {PAIRS}) group by frame), d as (select i, frame, a, b from f where i = 1 union all select f.i, f.frame, 0.9*d.a + f.a, 0.9*d.b + f.b from d join f on f.i = d.i + 1) select frame, round(b/a, 5) as shift from d", "points")
+@query("str21_live_geometry", f"with recursive f as (select frame % 4 as run, frame, row_number() over (partition by frame % 4 order by frame) as i, sum(wx) as a, sum(wx*rx) as b from (select *, case when abs(rx) <= 3 then 1 else 3/abs(rx) end as wx from {PAIRS}) group by frame), d as (select run, i, frame, a, b from f where i = 1 union all select f.run, f.i, f.frame, 0.9*d.a + f.a, 0.9*d.b + f.b from d join f on f.run = d.run and f.i = d.i + 1) select run, frame, round(b/a, 5) as shift from d", "points")
 def str21(spark, sf_dir):
-    """The shift along fs after each frame, older frames forgotten by a tenth each: decaying sums of
-    the frames' own normal equations (a row a frame), the last 400 frames in view."""
+    """The shift along fs after each frame of four runs, older frames forgotten by a tenth each: decaying
+    sums of the frames' own normal equations (a row a frame), the last 400 of the run in view."""
     p = geometry_pairs(spark, sf_dir)
-    n = normal_equations(p.withColumns({"gfs": F.col("fs"), "gss": F.col("ss")}), ["frame"]).select("frame", (F.col("a")[4] - 1e-9).alias("a"), F.col("b")[1].alias("b"))
-    run = Window.orderBy("frame").rowsBetween(-400, 0)  # a row a frame; 0.9^400 is below 1e-18
-    s = n.withColumn("past", F.collect_list(F.struct("a", "b")).over(run))
+    n = normal_equations(p.withColumns({"gfs": F.col("fs"), "gss": F.col("ss")}), ["frame"]).select((F.col("frame") % 4).alias("run"), "frame", (F.col("a")[4] - 1e-9).alias("a"), F.col("b")[1].alias("b"))
+    last = Window.partitionBy("run").orderBy("frame").rowsBetween(-400, 0)  # 0.9^400 is below 1e-18
+    s = n.withColumn("past", F.collect_list(F.struct("a", "b")).over(last))
     fold = lambda c: F.aggregate("past", F.lit(0.0), lambda x, y: x * 0.9 + y[c])
-    return s.select("frame", F.round(fold("b") / fold("a"), 5).alias("shift"))
+    return s.select("run", "frame", F.round(fold("b") / fold("a"), 5).alias("shift"))
 
 
 def build_schedule(sizes: dict[str, int], scenes: list[dict], seed: int = 0, exhausted: str = "skip") -> list[tuple[str, int]]:
