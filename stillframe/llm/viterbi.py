@@ -26,6 +26,8 @@ UNKNOWN_PENALTY = 10.0
 MEMO = 600_000
 #: Positions without a certain boundary after which paths are followed back to find one.
 LOOK_BACK = 256
+#: Characters that a run of ids has at least, unless the text ends: less is not worth a step.
+LEAST_RUN = 32
 
 
 class Vocabulary:
@@ -58,12 +60,13 @@ class Vocabulary:
         #: Whether blanks stand only in front of pieces, so that the place before a blank
         #: that follows another character is a boundary of every segmentation.
         self.splits = not any(SPACE in p.lstrip(SPACE) for p in pieces)
-        self.root: dict = {}
+        #: A trie: the next nodes by character, and the id and score of the piece that ends here.
+        self.root: list = [{}, None]
         for piece, i in pieces.items():
             node = self.root
             for c in piece:
-                node = node.setdefault(c, {})
-            node[None] = (i, score[i])
+                node = node[0].setdefault(c, [{}, None])
+            node[1] = (i, score[i])
 
     def normalize(self, text: str) -> str:
         """The library's normal form, blanks as their symbol, with the leading one."""
@@ -99,8 +102,10 @@ def stream(v: Vocabulary, text: str) -> Iterator[list[int]]:
         done = to
         return [x for ids in reversed(out) for x in ids]
 
+    root, longest, lost = v.root[0], v.longest, v.unknown_score
+    score_of = best.get
     for i in range(n):
-        if reach == i and i > done:
+        if reach == i and i - done >= LEAST_RUN:
             yield commit(i)
         elif i - done >= LOOK_BACK and (i - done) % LOOK_BACK == 0:
             ends = {e for e in range(i, reach + 1) if e in back}
@@ -112,23 +117,26 @@ def stream(v: Vocabulary, text: str) -> Iterator[list[int]]:
             if common > done:
                 yield commit(common)
         here = best[i]
-        node = v.root
+        nodes = root
         single = False
-        for j in range(i, min(n, i + v.longest)):
-            node = node.get(text[j])
+        end = i
+        for c in text[i : i + longest]:
+            end += 1
+            node = nodes.get(c)
             if node is None:
                 break
-            found = node.get(None)
+            nodes, found = node
             if found is not None:
-                end = j + 1
                 single = single or end == i + 1
                 s = here + found[1]
-                if end not in best or s > best[end]:
+                known = score_of(end)
+                if known is None or s > known:
                     best[end] = s
                     back[end] = (i, found[0])
-                    reach = max(reach, end)
+                    if end > reach:
+                        reach = end
         if not single:
-            s = here + v.unknown_score
+            s = here + lost
             if i + 1 not in best or s > best[i + 1]:
                 best[i + 1] = s
                 back[i + 1] = (i, -1)

@@ -252,12 +252,12 @@ def test_stream_commits_early_and_finds_the_best_path():
             self.scores = dict(enumerate(scores.values()))
             self.unknown, self.unknown_score, self.bytes = 99, -30.0, {}
             self.longest = max(map(len, scores))
-            self.root = {}
+            self.root = [{}, None]
             for i, (p, s) in enumerate(scores.items()):
                 node = self.root
                 for ch in p:
-                    node = node.setdefault(ch, {})
-                node[None] = (i, s)
+                    node = node[0].setdefault(ch, [{}, None])
+                node[1] = (i, s)
 
     pieces = {"a": -3.0, "b": -3.1, "ab": -4.0, "aba": -5.5, "bab": -5.2, "aa": -4.9, "abab": -7.7}
     v, names = Toy(pieces), list(pieces)
