@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stillframe.functions import lattice as L
@@ -10,22 +10,42 @@ from stillframe.functions import lin3
 from stillframe.plans.registry import query, view
 
 
-def with_panel(points: DataFrame, panels: DataFrame, outer: bool = False) -> DataFrame:
-    """Joins each point to the first panel (by ``ord``) whose rectangle holds its pixel.
-
-    A geometry has at most a few hundred panels, so it is collected with each row's test
-    as one expression: no nested-loop join and no shuffle of the points.
-    """
+def panel_rows(panels: DataFrame) -> list:
+    """The panels in their order; a geometry has at most a few hundred."""
     rows = panels.orderBy("ord").collect()
     if len(rows) > 4096:
         raise ValueError("a geometry has at most 4096 panels")
+    return rows
+
+
+def first_of(tests: list) -> Column:
+    """The place of the first test that holds, from one on; null if none does."""
+    out = F.lit(None).cast("int")
+    for i in range(len(tests), 0, -1):
+        out = F.when(tests[i - 1], F.lit(i)).otherwise(out)
+    return out
+
+
+def pick(values: list, kind: str, place: Column) -> Column:
+    """The value at a place (from one on) of a constant list; null for no place."""
+    return F.element_at(F.array(*(F.lit(v) for v in values)).cast(f"array<{kind}>"), place)
+
+
+def with_panel(points: DataFrame, panels: DataFrame, outer: bool = False) -> DataFrame:
+    """Each point with the columns of the first panel (by ``ord``) whose rectangle holds its pixel.
+
+    The few panels become one expression that gives a place in constant lists: no join and no
+    shuffle of the points.  Points off every panel go, or have nulls if ``outer``.
+    """
+    rows = panel_rows(panels)
+    if not rows:
+        return points.join(F.broadcast(panels), F.lit(False), "left" if outer else "inner")  # an empty table
     x, y = F.floor("fs"), F.floor("ss")
-    pick = F.lit(None).cast("int")
-    for r in reversed(rows):
-        inside = (x >= r["min_fs"]) & (x <= r["max_fs"]) & (y >= r["min_ss"]) & (y <= r["max_ss"])
-        pick = F.when(inside, F.lit(r["ord"])).otherwise(pick)
-    found = points.withColumn("ord", pick)
-    return found.join(F.broadcast(panels), "ord", "left" if outer else "inner")
+    inside = [x.between(r["min_fs"], r["max_fs"]) & y.between(r["min_ss"], r["max_ss"]) for r in rows]
+    found = points.withColumn("_place", first_of(inside))
+    if not outer:
+        found = found.where("_place is not null")
+    return found.withColumns({f.name: pick([r[f.name] for r in rows], f.dataType.simpleString(), F.col("_place")) for f in panels.schema}).drop("_place")
 
 
 def vectors(points: DataFrame, panels: DataFrame, clen: float, wavelength: float, outer: bool = False) -> DataFrame:
@@ -61,17 +81,19 @@ def prj02(spark, sf_dir):
 def project(q: DataFrame, panels: DataFrame, clen: float, wavelength: float) -> DataFrame:
     """Where forward rays meet a panel: the first that holds the pixel (axis-aligned
     panels); rays that miss all of them go."""
-    s = [wavelength * F.col("qx"), wavelength * F.col("qy"), wavelength * F.col("qz") + 1]
-    n = lin3.norm(s)
-    x, y, z = (c / n for c in s)
-    rays = q.withColumns({"_z": z, "_x": F.try_divide(x, z) * clen * 10000, "_y": F.try_divide(y, z) * clen * 10000}).where("_z > 1e-6")
-    rows = panels.orderBy("ord").collect()
-    pick = F.lit(None).cast("struct<ord:int,fs:double,ss:double>")
-    for r in reversed(rows):
-        fs, ss = F.col("_x") - r["corner_x"] + r["min_fs"], F.col("_y") - r["corner_y"] + r["min_ss"]
-        inside = (fs >= r["min_fs"]) & (fs < r["max_fs"] + 1) & (ss >= r["min_ss"]) & (ss < r["max_ss"] + 1)
-        pick = F.when(inside, F.struct(F.lit(r["ord"]).alias("ord"), fs.alias("fs"), ss.alias("ss"))).otherwise(pick)
-    return rays.withColumn("_p", pick).where("_p is not null").select(*q.columns, F.col("_p.ord").alias("ord"), F.col("_p.fs").alias("fs2"), F.col("_p.ss").alias("ss2"))
+    rows = panel_rows(panels)
+    # the ray's plane coordinates, the length of the ray cancels
+    z = wavelength * F.col("qz") + 1
+    scale = F.try_divide(F.lit(wavelength * clen * 10000), z)
+    # rows of one keep filters below from copying what makes the vectors
+    ray = F.struct((F.col("qx") * scale).alias("x"), (F.col("qy") * scale).alias("y"), z.alias("z"))
+    rays = q.withColumn("_ray", F.explode(F.array(ray))).where("_ray.z > 1e-6")
+    width = lambda r, a: r[f"max_{a}"] - r[f"min_{a}"] + 1
+    x, y = F.col("_ray.x"), F.col("_ray.y")
+    hit = [(x >= r["corner_x"]) & (x < r["corner_x"] + width(r, "fs")) & (y >= r["corner_y"]) & (y < r["corner_y"] + width(r, "ss")) for r in rows]
+    placed = rays.withColumn("_place", first_of(hit)).where("_place is not null")
+    shift = {n: pick([r[a] - r[b] for r in rows], "double", F.col("_place")) for n, a, b in (("_dx", "min_fs", "corner_x"), ("_dy", "min_ss", "corner_y"))}
+    return placed.withColumns(shift).select(*q.columns, pick([r["ord"] for r in rows], "int", F.col("_place")).alias("ord"), (x + F.col("_dx")).alias("fs2"), (y + F.col("_dy")).alias("ss2"))
 
 
 @query("prj03_project_q", f"select cast(ord as int) as ord, count(*) as n, round(sum(fs), 3) as fs, round(sum(ss), 3) as ss from (select n.ord, x-corner_x+min_fs as fs, y-corner_y+min_ss as ss, row_number() over (partition by rid order by n.ord) as r from (select row_number() over () as rid, 1.3*qx/(1.3*qz+1)*0.1*10000 as x, 1.3*qy/(1.3*qz+1)*0.1*10000 as y from {QSQL}) q join panels n on x-corner_x+min_fs >= min_fs and x-corner_x+min_fs < max_fs+1 and y-corner_y+min_ss >= min_ss and y-corner_y+min_ss < max_ss+1) where r = 1 group by ord", "points panels")
