@@ -59,15 +59,26 @@ def half_sphere(n: int) -> np.ndarray:
 def ascend(v: np.ndarray, q: np.ndarray, c: Search, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Vectors climbing the sum of cos^2(pi v.q) over peaks within the band of a node:
     normalised steps with momentum, shrinking; and that sum at the end.  ``weight``: of each
-    peak."""
+    peak.  Vectors climb in blocks whose numbers stay in the cache."""
     qmax = np.sqrt((q * q).sum(axis=1).max())
-    v = v.copy()
+    size = max(1, 60_000 // max(1, len(q)))
+    done = [_ascend(v[i : i + size], q, c, weight, qmax) for i in range(0, len(v), size)]
+    return np.concatenate([x for x, _ in done]) if done else v, np.concatenate([f for _, f in done]) if done else np.zeros(0)
+
+
+def _ascend(v: np.ndarray, q: np.ndarray, c: Search, weight: np.ndarray | None, qmax: float) -> tuple[np.ndarray, np.ndarray]:
+    v = v.astype(float).copy()
     drift = np.zeros_like(v)
     for s in range(c.steps):
-        x = v @ q.T
-        d = x - np.rint(x)
-        wave = np.sin(2 * np.pi * d) * (np.abs(d) < c.band)
-        g = -(wave if weight is None else wave * weight) @ q
+        d = v @ q.T
+        d -= np.rint(d)
+        near = np.abs(d) < c.band
+        d *= 2 * np.pi
+        wave = np.sin(d, out=d)
+        wave *= near
+        if weight is not None:
+            wave *= weight
+        g = -wave @ q
         n = np.linalg.norm(g, axis=1, keepdims=True)
         drift = 0.5 * drift + g / np.maximum(n, 1e-12)
         v += 0.25 / qmax * (1 - 0.7 * s / c.steps) * drift

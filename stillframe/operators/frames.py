@@ -151,12 +151,12 @@ def labelled(pixels: DataFrame, least: float, by: str = "frame") -> DataFrame:
     return per_frame(pixels.where(F.col("adu") > least).select(by, "ss", "fs", "adu"), fn, "ss int, fs int, adu double, label int", by)
 
 
-@query("agg23_peak_stats", "select frame, css, count(*) as n_pix, round(sum(adu), 3) as mass, round(sum(adu*fs)/sum(adu), 5) as cx, max(adu) > 150 as seeded from (select i.frame, p.css, p.cfs, i.fs, i.adu from frame_images i join predictions p on i.frame = p.frame and i.ss = p.css and i.fs between p.cfs and p.cfs + 1 where i.adu > 60) group by frame, css, cfs", "frame_images predictions")
+@query("agg23_peak_stats", "select frame, css, count(*) as n_pix, round(sum(adu), 3) as mass, round(sum(adu*fs)/sum(adu), 7) as cx, max(adu) > 150 as seeded from (select i.frame, p.css, p.cfs, i.fs, i.adu from frame_images i join predictions p on i.frame = p.frame and i.ss = p.css and i.fs between p.cfs and p.cfs + 1 where i.adu > 60) group by frame, css, cfs", "frame_images predictions")
 def agg23(spark, sf_dir):
     """Size, mass, centroid and seed of each connected component."""
     l = labelled(images(spark, sf_dir), 60.0)
     m = F.sum("adu")
-    g = l.groupBy("frame", "label").agg(F.min("ss").alias("css"), F.count("*").alias("n_pix"), F.round(m, 3).alias("mass"), F.round(F.sum(F.col("adu") * F.col("fs")) / m, 5).alias("cx"), (F.max("adu") > 150).alias("seeded"))
+    g = l.groupBy("frame", "label").agg(F.min("ss").alias("css"), F.count("*").alias("n_pix"), F.round(m, 3).alias("mass"), F.round(F.sum(F.col("adu") * F.col("fs")) / m, 7).alias("cx"), (F.max("adu") > 150).alias("seeded"))
     return g.where("n_pix between 1 and 200").drop("label")
 
 

@@ -38,7 +38,14 @@ def per_frame(df: DataFrame, fn: Callable[[int, pd.DataFrame], pd.DataFrame], sc
         out[key] = frame
         return out[[key, *names, "error"]]
 
-    return df.groupBy(key).applyInPandas(run, f"{key} long, {schema}, error string")
+    # frames are few bytes but much work: as many tasks as there are cores, not as bytes ask for
+    return df.repartition(tasks(df.sparkSession), key).groupBy(key).applyInPandas(run, f"{key} long, {schema}, error string")
+
+
+def tasks(spark: SparkSession) -> int:
+    """Two for each core, and one: another number than any shuffle before has, or the planner would take
+    that one's partitions and merge them by their few bytes."""
+    return 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism) + 1
 
 
 def blind(peaks: DataFrame, c: X.Search = X.Search()) -> DataFrame:

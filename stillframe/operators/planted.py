@@ -1,6 +1,6 @@
 """Per-frame searches over every frame of the planted table, against the lattice that was planted.
 
-Frames blur in eleven steps; in the first five (``frame_id % 11 < 5``) the lattice can be
+Frames blur in eleven steps; in the first four (``frame_id % 11 < 4``) the lattice can be
 found for certain, and there the twins expect it.  The searches see the 100 peaks of lowest
 resolution of each frame, as the finder would pass them on; matches are counted on all.
 """
@@ -19,7 +19,7 @@ from stillframe.functions import lattice as L
 from stillframe.functions import lin3
 from stillframe.kernels import fourier, indexing as X, orient as O, reduction as R, refine
 from stillframe.operators.acceptance import planted
-from stillframe.operators.perframe import Q, per_frame
+from stillframe.operators.perframe import Q, per_frame, tasks
 from stillframe.plans.registry import query, view
 
 CELL = np.diag([79.0, 79.0, 38.0])
@@ -27,7 +27,7 @@ WANT = np.array(R.fingerprint(CELL))
 #: Production efforts: blind, and a known cell's.
 BLIND = X.Search()
 KNOWN = X.Search(known_directions=1200, anchors=12, azimuths=120)
-CLEAN = 5
+CLEAN = 4
 LOW = 100
 
 FRAMES = "(select distinct frame_id from planted_q)"
@@ -107,7 +107,7 @@ def known_batches(frames: DataFrame, cell: np.ndarray, effort: X.Search = KNOWN,
                 out.append((frame, None, len(q), 0, f"{type(e).__name__}: {e}"))
         return pd.DataFrame(out, columns=["frame_id", "m", "n_peaks", "n_matched", "error"])
 
-    return frames.select("frame_id", *Q).join(n, "frame_id").groupBy("bucket", "batch").applyInPandas(run, "frame_id long, m array<double>, n_peaks long, n_matched long, error string")
+    return frames.select("frame_id", *Q).join(n, "frame_id").repartition(tasks(frames.sparkSession), "bucket", "batch").groupBy("bucket", "batch").applyInPandas(run, "frame_id long, m array<double>, n_peaks long, n_matched long, error string")
 
 
 def explains(found: DataFrame, spark, sf_dir, share: float = 0.8) -> DataFrame:
