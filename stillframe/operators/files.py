@@ -25,12 +25,15 @@ def kept(spark: SparkSession, blocks: DataFrame, header: str | None = None) -> s
     return path
 
 
-@query("src04_frame_blocks", "select frame_id, count(*) as n, round(sum(qx), 5) as qx, round(sum(qz), 5) as qz from planted_q group by frame_id", "planted_q")
+@query("src04_frame_blocks", "select frame_id, count(*) as n, true as same from planted_q group by frame_id", "planted_q")
 def src04(spark, sf_dir):
-    """Frames written as blocks of vectors and read again."""
+    """Frames written as blocks of vectors and read again: sums agree to the digits that are written."""
     p = view(spark, sf_dir, "planted_q").withColumn("peak_id", F.struct("pk", "ok", "ln"))
     back = source.read_frames(spark, kept(spark, sink.frame_blocks(p)))
-    return back.groupBy("frame_id").agg(F.count("*").alias("n"), F.round(F.sum("qx"), 5).alias("qx"), F.round(F.sum("qz"), 5).alias("qz"))
+    sums = lambda d, t: d.groupBy("frame_id").agg(F.count("*").alias(f"{t}n"), *(F.sum(c).alias(f"{t}{c}") for c in Q))
+    both = sums(back, "a").join(sums(p, "b"), "frame_id")
+    off = F.greatest(*(F.abs(F.col(f"a{c}") - F.col(f"b{c}")) for c in Q))
+    return both.select("frame_id", F.col("an").alias("n"), ((F.col("an") == F.col("bn")) & (off <= 1e-8 * F.col("bn"))).alias("same"))
 
 
 @query("snk06_frame_blocks", "select frame_id, 'FRAME ' || frame_id || ' ' || count(*) as head from planted_q group by frame_id", "planted_q")
@@ -147,18 +150,18 @@ def snk01(spark, sf_dir):
     return back.select(serial.alias("serial"), F.contains(body, F.lit("indexed_by = stillframe")).alias("indexed"), F.regexp_extract(body, r"(Cell parameters .*deg)", 1).alias("cell"), "image")
 
 
-@query("snk02_integrated_chunks", "select frame as serial, count(*) as n, cast(sum(h) as bigint) as h, round(sum(i), 0) as i from (select frame, h, k, l, cast(i as double)/100 as i from measurements where frame % 7 <> 0) group by frame", "measurements")
+@query("snk02_integrated_chunks", "select frame as serial, count(*) as n, cast(sum(h) as bigint) as h, round(sum(i), 2) as i from (select frame, h, k, l, floor(cast(i as double))/100 as i from measurements where frame % 7 <> 0) group by frame", "measurements")
 def snk02(spark, sf_dir):
     """Chunks with their reflections: the tables come back from the text."""
     m = view(spark, sf_dir, "measurements")
-    refl = m.select(F.col("frame").alias("serial"), "h", "k", "l", (F.col("i").cast("double") / 100).alias("i"), (F.col("sigma").cast("double") / 100).alias("sigma"), F.lit(1.0).alias("peak"), F.lit(0.0).alias("bg"), F.lit(2.5).alias("fs"), F.lit(3.5).alias("ss"), F.lit("q0").alias("panel"))
+    refl = m.select(F.col("frame").alias("serial"), "h", "k", "l", (F.floor(F.col("i").cast("double")) / 100).alias("i"), (F.col("sigma").cast("double") / 100).alias("sigma"), F.lit(1.0).alias("peak"), F.lit(0.0).alias("bg"), F.lit(2.5).alias("fs"), F.lit(3.5).alias("ss"), F.lit("q0").alias("panel"))
     back = source.read_chunks(spark, kept(spark, sink.stream_chunks(results(spark, sf_dir), refl), sink.HEADER))
     part = F.substring_index(F.substring_index("body", "fs/px  ss/px panel\n", -1), "\nEnd of reflections", 1)
     serial = F.regexp_extract("body", r"Image serial number: (\d+)", 1).cast("long") - 1
     rows = back.where(F.contains("body", F.lit("Reflections measured"))).select(serial.alias("serial"), F.explode(F.split(part, "\n")).alias("line"))
     x = F.split(F.trim("line"), r"\s+")
     rows = rows.select("serial", x[0].cast("long").alias("h"), x[3].cast("double").alias("i"))
-    return rows.groupBy("serial").agg(F.count("*").alias("n"), F.sum("h").alias("h"), F.round(F.sum("i"), 0).alias("i"))
+    return rows.groupBy("serial").agg(F.count("*").alias("n"), F.sum("h").alias("h"), F.round(F.sum("i"), 2).alias("i"))
 
 
 @query("snk05_solution_lines", f"select count(*) as n, count(*) filter (true) as with_code, round(sum(10*ct/79), 4) as a0 from {CHUNKS} where ok_", "planted_q")

@@ -304,7 +304,7 @@ def pip12(spark, sf_dir):
     return sure(of_frames(spark, sf_dir, fn, "near boolean"), "near")
 
 
-@query("prj30_rotation_of_frames", "select frame_id, true as right_angle, cast(null as varchar) as error from (select distinct frame_id from planted_q)", "planted_q")
+@query("prj30_rotation_of_frames", twin("right_angle"), "planted_q")
 def prj30(spark, sf_dir):
     """The rotation of each frame from its indexed peaks: the planted angle about the beam."""
     def fn(q, m, frame):
@@ -316,7 +316,7 @@ def prj30(spark, sf_dir):
         angle = np.degrees(np.arccos(np.clip((np.trace(r @ planted_r.T) - 1) / 2, -1, 1)))
         return {"right_angle": bool(angle < 2.5)}
 
-    return of_frames(spark, sf_dir, fn, "right_angle boolean")
+    return sure(of_frames(spark, sf_dir, fn, "right_angle boolean"), "right_angle")
 
 
 @query("prj33_misorientation", "select frame_id, round(least(t % 90, 90 - t % 90), 3) as degrees, cast(null as varchar) as error from (select frame_id, cast(frame_id % 180 as double) as t from (select distinct frame_id from planted_q))", "planted_q")
