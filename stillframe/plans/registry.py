@@ -29,7 +29,8 @@ def query(name: str, sql: str | None = None, views: str = "") -> Callable[[Query
             if ctes and sql.startswith(recursive):
                 ORACLES[name] = f"{recursive}{ctes}, {sql.removeprefix(recursive)}"
             else:
-                ORACLES[name] = f"with {ctes} {sql}" if ctes else sql
+                # a twin that starts with a comma goes on with common tables of its own
+                ORACLES[name] = f"with {ctes}{'' if sql.startswith(',') else ' '}{sql}" if ctes else sql
         return f
 
     return add
@@ -50,6 +51,23 @@ VIEWS = {
                            cast((l_partkey+l_orderkey) % 9 as int)-4 as l0,
                            (cast((l_partkey*7919 + l_orderkey*104729) % 1000 as double)-500)/500 as e
                     from lineitem) b) r""",
+    "run_peaks": """
+        select run_id, ev, kind, pk, ok, ln,
+               case when kind = 'blank' then cast(0 as double) when kind = 'junk' then cast('0.08' as double)*u else x end as qx,
+               case when kind = 'blank' then cast(0 as double) when kind = 'junk' then cast('0.08' as double)*v when kind = 'double' and (pk+ln) % 2 = 1 then cast('0.8' as double)*y - cast('0.6' as double)*z else y end as qy,
+               case when kind = 'blank' then cast(0 as double) when kind = 'junk' then cast('0.08' as double)*w when kind = 'double' and (pk+ln) % 2 = 1 then cast('0.6' as double)*y + cast('0.8' as double)*z else z end as qz
+        from (select *, h0/a*ct - k0/b*st + cast('0.0003' as double)*u as x, h0/a*st + k0/b*ct + cast('0.0003' as double)*v as y, l0/c + cast('0.0003' as double)*w as z
+              from (select *, (1-t*t)/(1+t*t) as ct, 2*t/(1+t*t) as st,
+                           cast(case kind when 'B' then 62 when 'C' then 55 else 79 end as double) as a,
+                           cast(case kind when 'B' then 71 when 'C' then 92 else 79 end as double) as b,
+                           cast(case kind when 'B' then 45 when 'C' then 64 else 38 end as double) as c
+                    from (select *, case when ev < 4 then 'B' when ev % 9 = 4 then 'blank' when ev % 9 = 7 then 'junk' when ev % 9 = 2 then 'double' when ev % 9 = 0 then 'B'
+                                         when ev % 9 = 6 and ev > 9 and ev < 30 then 'C' else 'A' end as kind
+                          from (select cast(floor(l_suppkey/5) as bigint) as run_id, cast((l_suppkey % 5)*7 + l_orderkey % 7 as bigint) as ev, l_partkey as pk, l_orderkey as ok, l_linenumber as ln,
+                                       cast((l_suppkey*3 + l_orderkey % 7) % 17 as double)/10 as t, cast(l_partkey % 13 as int)-6 as h0, cast(l_orderkey % 11 as int)-5 as k0, cast((l_partkey+l_orderkey) % 9 as int)-4 as l0,
+                                       (cast((l_partkey*7919 + l_orderkey*104729) % 1009 as double)-504)/504 as u, (cast((l_partkey*6007 + l_orderkey*15485 + l_linenumber*31) % 997 as double)-498)/498 as v,
+                                       (cast((l_partkey*3571 + l_orderkey*27644 + l_linenumber*77) % 1013 as double)-506)/506 as w
+                                from lineitem) r) k) g) p""",
     "measurements": """
         select l_suppkey as frame, cast(l_partkey % 13 as int)-6 as h, cast(l_orderkey % 11 as int)-5 as k, cast(l_linenumber as int)-4 as l,
                l_extendedprice - 200000*l_discount as i, 100*l_quantity + 1 as sigma

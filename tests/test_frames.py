@@ -282,26 +282,6 @@ def test_driver_state_survives_serialisation():
     assert ea == eb
 
 
-def test_stream_equals_replay(spark, tmp_path):
-    pytest.importorskip("google.protobuf")
-    from pyspark.sql import functions as F
-
-    from stillframe.streaming import driver as D
-
-    config = D.Config(batch=4, search=SMALL)
-    shots = synthetic.shots(spark, 8, CELL, parts=2)
-    peaks = shots.select(F.lit(1).cast("long").alias("run_id"), F.col("frame_id").alias("ev"), "qx", "qy", "qz").cache()
-    want = sorted(map(tuple, D.replay(peaks, config).collect()), key=repr)
-    frames = peaks.groupBy("run_id", "ev").agg(F.flatten(F.collect_list(F.array("qx", "qy", "qz"))).alias("q")).withColumn("last", F.col("ev") == 7)
-    frames.select("run_id", "ev", "last", "q").coalesce(1).write.parquet(str(tmp_path / "in"))
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    source = spark.readStream.schema("run_id long, ev long, last boolean, q array<double>").parquet(str(tmp_path / "in"))
-    q = D.track(source, config).writeStream.format("memory").queryName("tracked").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = sorted(map(tuple, spark.table("tracked").collect()), key=repr)
-    assert [r[:4] for r in got] == [r[:4] for r in want]
-
-
 def test_running_merge_equals_batch(spark, tmp_path):
     from stillframe.streaming.driver import running_merge
 
