@@ -67,25 +67,28 @@ def ascend(v: np.ndarray, q: np.ndarray, c: Search, weight: np.ndarray | None =
 
 
 def _ascend(v: np.ndarray, q: np.ndarray, c: Search, weight: np.ndarray | None, qmax: float) -> tuple[np.ndarray, np.ndarray]:
-    v = v.astype(float).copy()
+    """In single precision: what is found is refitted afterwards."""
+    v, q = v.astype(np.float32), q.astype(np.float32)
+    weight = None if weight is None else np.asarray(weight, dtype=np.float32)
     drift = np.zeros_like(v)
+    back, turn, least = np.ascontiguousarray(q.T), np.float32(2 * np.pi), np.float32(1e-12)
     for s in range(c.steps):
-        d = v @ q.T
+        d = v @ back
         d -= np.rint(d)
         near = np.abs(d) < c.band
-        d *= 2 * np.pi
+        d *= turn
         wave = np.sin(d, out=d)
         wave *= near
         if weight is not None:
             wave *= weight
         g = -wave @ q
         n = np.linalg.norm(g, axis=1, keepdims=True)
-        drift = 0.5 * drift + g / np.maximum(n, 1e-12)
-        v += 0.25 / qmax * (1 - 0.7 * s / c.steps) * drift
-    x = v @ q.T
+        drift = np.float32(0.5) * drift + g / np.maximum(n, least)
+        v += np.float32(0.25 / qmax * (1 - 0.7 * s / c.steps)) * drift
+    x = v @ back
     d = x - np.rint(x)
-    near = (np.cos(np.pi * d) ** 2) * (np.abs(d) < c.band)
-    return v, (near if weight is None else near * weight).sum(axis=1)
+    near = (np.cos(np.float32(np.pi) * d) ** 2) * (np.abs(d) < c.band)
+    return v.astype(float), (near if weight is None else near * weight).sum(axis=1, dtype=float)
 
 
 def distinct(v: np.ndarray, f: np.ndarray, c: Search) -> np.ndarray:
@@ -99,30 +102,49 @@ def distinct(v: np.ndarray, f: np.ndarray, c: Search) -> np.ndarray:
     return v[np.sort(first)[: c.keep]][: c.candidates]
 
 
+def indices(ms: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """(bases, 3, peaks): fractional indices of all peaks in all bases, as one product of matrices."""
+    return (ms.transpose(0, 2, 1).reshape(-1, 3) @ q.T).reshape(len(ms), 3, len(q))
+
+
+def inverse(a: np.ndarray) -> np.ndarray:
+    """Of many 3x3 matrices, by their cofactors."""
+    x, y, z = a[..., 0], a[..., 1], a[..., 2]
+    yz = np.cross(y, z)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.stack([yz, np.cross(z, x), np.cross(x, y)], axis=-2) / (x * yz).sum(axis=-1)[..., None, None]
+
+
 def anneal(ms: np.ndarray, q: np.ndarray, start: float, shrink: float, rounds: int, least: float) -> np.ndarray:
     """Least-squares refits of bases to their inliers under a closing tolerance."""
-    tol = start
-    eye = 1e-9 * np.eye(3)
-    for _ in range(rounds):
-        h = np.einsum("pi,mij->mpj", q, ms)
-        near = np.rint(h)
-        w = (np.abs(h - near).max(axis=2) < tol).astype(float)
-        a = np.einsum("mp,pi,pj->mij", w, q, q) + eye
-        b = np.einsum("mp,pi,mpj->mij", w, q, near)
-        new = np.linalg.solve(a, b)
-        ms = np.where((w.sum(axis=1) >= 6)[:, None, None] & np.isfinite(new).all(axis=(1, 2))[:, None, None], new, ms)
-        tol = max(shrink * tol, least)
-    return ms
+    products = (q[:, :, None] * q[:, None, :]).reshape(-1, 9)
+    size, out = max(1, 200_000 // max(1, len(q))), []
+    for at in range(0, len(ms), size):
+        m, tol = ms[at : at + size], start
+        for _ in range(rounds):
+            h = indices(m, q)
+            near = np.rint(h)
+            w = (np.abs(h - near).max(axis=1) < tol).astype(float)
+            a = (w @ products).reshape(-1, 3, 3) + 1e-9 * np.eye(3)
+            near *= w[:, None]
+            new = inverse(a) @ (near.reshape(-1, len(q)) @ q).reshape(-1, 3, 3).transpose(0, 2, 1)
+            m = np.where(((w.sum(axis=1) >= 6) & np.isfinite(new).all(axis=(1, 2)))[:, None, None], new, m)
+            tol = max(shrink * tol, least)
+        out.append(m)
+    return np.concatenate(out) if out else ms
 
 
 def rank(ms: np.ndarray, q: np.ndarray, tol: float = 0.25) -> np.ndarray:
     """Enough inliers first, then the smaller mean defect; hopeless and flat bases last."""
-    h = np.einsum("pi,mij->mpj", q, ms)
-    d = np.abs(h - np.rint(h)).max(axis=2)
-    hit = d < tol
-    n = hit.sum(axis=1)
-    mean = np.where(hit, d, 0).sum(axis=1) / np.maximum(n, 1)
-    score = 1000.0 * (n >= 0.30 * len(q)) - mean
+    n, mean, size = np.zeros(len(ms)), np.zeros(len(ms)), max(1, 200_000 // max(1, len(q)))
+    for at in range(0, len(ms), size):
+        h = indices(ms[at : at + size], q)
+        h -= np.rint(h)
+        d = np.abs(h, out=h).max(axis=1)
+        hit = d < tol
+        n[at : at + size] = hit.sum(axis=1)
+        mean[at : at + size] = np.where(hit, d, 0).sum(axis=1)
+    score = 1000.0 * (n >= 0.30 * len(q)) - mean / np.maximum(n, 1)
     det = np.abs(np.linalg.det(ms))
     flat = det < 0.1 * np.prod(np.linalg.norm(ms, axis=1), axis=1)
     return np.where((n < 8) | flat | (det < 1), -1e9, score)
@@ -191,60 +213,9 @@ def blind(q: np.ndarray, c: Search = Search(), starts: np.ndarray | None = None,
 def known(q: np.ndarray, cell: np.ndarray, c: Search = Search()) -> np.ndarray | None:
     """The best orientation of a known cell: its shortest axis over directions, the second
     over azimuths, the third from the metric (both hands), then closing refits."""
-    q = clean(q)
-    if len(q) < 6:
-        return None
-    order = np.argsort(np.linalg.norm(cell, axis=0), kind="stable")
-    a, b, d = (cell[:, k] for k in order)
-    la, lb = np.linalg.norm(a), np.linalg.norm(b)
-    cab, cad = a @ b / (la * lb), a @ d / la
-    u = half_sphere(c.known_directions)
-    x = la * (u @ q.T)
-    top = u[np.argsort(-np.cos(2 * np.pi * x).sum(axis=1), kind="stable")[: 4 * c.anchors]]
-    for _ in range(20):
-        y = la * (top @ q.T)
-        g = -np.sin(2 * np.pi * y) @ q
-        g -= (g * top).sum(axis=1, keepdims=True) * top
-        top = top + 0.004 * g / np.maximum(np.linalg.norm(g, axis=1, keepdims=True), 1e-12)
-        top /= np.linalg.norm(top, axis=1, keepdims=True)
-    f = np.cos(2 * np.pi * la * (top @ q.T)).sum(axis=1)
-    kept: list[np.ndarray] = []
-    for i in np.argsort(-f, kind="stable"):
-        if all(abs(top[i] @ k) < 0.9995 for k in kept):
-            kept.append(top[i])
-        if len(kept) == c.anchors:
-            break
-    found = []
-    phi = np.linspace(0, 2 * np.pi, c.azimuths, endpoint=False)
-    # the third axis in the frame of the first two, from the known cell itself
-    e1 = a / la
-    e2 = b - (b @ e1) * e1
-    e2 /= np.linalg.norm(e2)
-    e3 = np.cross(e1, e2)
-    d1, d2, d3 = cad, d @ e2, d @ e3
-    for k in kept:
-        side = np.cross(k, [1.0, 0, 0] if abs(k[0]) < 0.9 else [0, 1.0, 0])
-        side /= np.linalg.norm(side)
-        up = np.cross(k, side)
-        f2 = np.cos(phi)[:, None] * side + np.sin(phi)[:, None] * up
-        second = lb * (cab * k + np.sqrt(max(0.0, 1 - cab * cab)) * f2)
-        s = np.cos(2 * np.pi * (second @ q.T)).sum(axis=1)
-        for j in np.argsort(-s, kind="stable")[:8]:
-            f3 = np.cross(k, f2[j])
-            third = d1 * k + d2 * f2[j] + d3 * f3
-            m = np.empty((3, 3))
-            for slot, vec in zip(order, (la * k, second[j], third)):
-                m[:, slot] = vec
-            found.append(m)
-    ms = np.array(found)
-    h = np.einsum("pi,mij->mpj", q, ms)
-    first = (np.abs(h - np.rint(h)).max(axis=2) < 0.3).sum(axis=1)
-    ms = ms[np.argsort(-first, kind="stable")[: c.finalists]]
-    ms = anneal(ms, q, 0.30, 0.82, 20, 0.05)
-    fits = [(matched(m, q), i) for i, m in enumerate(ms) if (g := R.fingerprint(m)) is not None and R.same(np.array(g), np.array(R.fingerprint(cell))[None])[0]]
-    if not fits:
-        return None
-    return ms[max(fits, key=lambda t: (t[0], -t[1]))[1]]
+    from stillframe.kernels.batched import known_many  # it builds on this module
+
+    return known_many([clean(q)], cell, c)[0]
 
 
 def scramble(q: np.ndarray, rng: np.random.Generator) -> np.ndarray:

@@ -16,7 +16,7 @@ from stillframe.functions.symmetry import unique_key
 from stillframe.kernels import fourier, indexing as X, orient as O, powder, reduction as R, refine
 from stillframe.operators.acceptance import INDEXED, MISS, Q, planted
 from stillframe.operators.perframe import per_frame
-from stillframe.operators.planted import BLIND, CELL, CLEAN, FRAMES, KNOWN, SURE, known_batches, low_peaks, of_frames, same_cell, sure, twin
+from stillframe.operators.planted import BLIND, BLIND_EXPECTED, CELL, FRAMES, KNOWN, all_peaks, gated, judged, known_batches, of_frames, same_cell, sure, twin
 from stillframe.operators.reports import closest_setting, unimodular
 from stillframe.plans.registry import query, table, view
 from stillframe.sinks import text as sink
@@ -150,20 +150,20 @@ def seeded_blind(q: np.ndarray, effort: X.Search = BLIND, least: int = 3000) ->
     return X.blind(x, effort, starts=seeds)
 
 
-@query("krn10_seeded_blind", twin("solved"), "planted_q")
+@query("krn10_seeded_blind", twin("solved", BLIND_EXPECTED), "planted_q")
 def krn10(spark, sf_dir):
     """Sparse frames take the usual starts."""
-    return sure(of_frames(spark, sf_dir, lambda q, m, frame: {"solved": any(same_cell(b) for b, _ in seeded_blind(q))}, "solved boolean"), "solved")
+    return sure(of_frames(spark, sf_dir, lambda q, m, frame: {"solved": any(same_cell(b) for b, _ in seeded_blind(q))}, "solved boolean"), "solved", BLIND_EXPECTED)
 
 
-@query("krn03_weighted_blind", twin("solved"), "planted_q")
+@query("krn03_weighted_blind", twin("solved", BLIND_EXPECTED), "planted_q")
 def krn03(spark, sf_dir):
     """The blind search with low-resolution peaks weighted up and a stricter score."""
     def fn(q, m, frame):
         got = X.blind(q, BLIND, weight=lambda x: (w := np.linalg.norm(x, axis=1) ** -0.5) / w.mean(), score=lambda ms, x: X.rank(ms, x, 0.2))
         return {"solved": any(same_cell(b) for b, _ in got)}
 
-    return sure(of_frames(spark, sf_dir, fn, "solved boolean"), "solved")
+    return sure(of_frames(spark, sf_dir, fn, "solved boolean"), "solved", BLIND_EXPECTED)
 
 
 @query("krn29_powder", "select distinct a, b, true as explained, cast(null as varchar) as error from (select a, b from cells)", "cells")
@@ -318,18 +318,18 @@ def agg11(spark, sf_dir):
     return band_join(c, c, ["a", "b", "c"], tol, ok).groupBy(*(F.col(f"a.{n}").alias(n) for n in "abc")).agg(F.sum("b.w").alias("density"))
 
 
-@query("pip08_index_and_write", f"select frame_id as serial, {SURE} as sure, true as indexed from {FRAMES}", "planted_q")
+@query("pip08_index_and_write", f"select frame_id as serial, passed from ({gated({})}) g", "planted_q")
 def pip08(spark, sf_dir):
     """A run from end to end: frame blocks read, the known cell in batches, chunks written, and read."""
     from stillframe.operators.files import kept
 
-    p = low_peaks(spark, sf_dir).withColumn("peak_id", F.struct("qx", "qy", "qz"))
+    p = all_peaks(spark, sf_dir).withColumn("peak_id", F.struct("qx", "qy", "qz"))
     frames = source.read_frames(spark, kept(spark, sink.frame_blocks(p)))
     found = known_batches(frames, CELL).select(F.col("frame_id").alias("serial"), F.lit("run.h5").alias("image"), F.col("frame_id").alias("event"), F.when(L.strict(F.col("n_matched"), F.col("n_peaks")), F.col("m")).alias("m"))
     back = source.read_chunks(spark, kept(spark, sink.stream_chunks(found), sink.HEADER))
     serial = F.regexp_extract("body", r"Image serial number: (\d+)", 1).cast("long") - 1
-    clear = serial % 11 < CLEAN
-    return back.select(serial.alias("serial"), clear.alias("sure"), (F.contains("body", F.lit("--- Begin crystal")) | ~clear).alias("indexed"))
+    read = back.select(serial.alias("frame_id"), F.contains("body", F.lit("--- Begin crystal")).alias("passed"))
+    return judged(read, spark, sf_dir).withColumnRenamed("frame_id", "serial")
 
 
 @query("snk04_appended_chunks", f"select count(*) as n, count(distinct frame_id) as frames from {FRAMES}", "planted_q")
