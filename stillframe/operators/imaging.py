@@ -15,21 +15,25 @@ def box(refl: DataFrame, radius: int) -> DataFrame:
     return refl.select("*", (F.col("css") + F.col("dss")).alias("ss"), (F.col("cfs") + F.col("dfs")).alias("fs"), F.greatest(F.abs("dss"), F.abs("dfs")).alias("ring"))
 
 
+KEY = ["frame", "css", "cfs"]
+
+
 def spots(spark, sf_dir) -> DataFrame:
-    return view(spark, sf_dir, "image").where("ss % 16 = 8 and fs % 16 = 8").select(F.col("ss").alias("css"), F.col("fs").alias("cfs"))
+    """Boxes' centres on a grid of every frame."""
+    return view(spark, sf_dir, "frame_images").where("ss % 16 = 8 and fs % 16 = 8").select("frame", F.col("ss").alias("css"), F.col("fs").alias("cfs"))
 
 
-GATHER = "(select r.ss as css, r.fs as cfs, i.adu, greatest(abs(i.ss-r.ss), abs(i.fs-r.fs)) as ring from image r join image i on i.ss between r.ss-8 and r.ss+8 and i.fs between r.fs-8 and r.fs+8 where r.ss % 16 = 8 and r.fs % 16 = 8)"
+GATHER = "(select r.frame, r.ss as css, r.fs as cfs, i.adu, greatest(abs(i.ss-r.ss), abs(i.fs-r.fs)) as ring from frame_images r join frame_images i on i.frame = r.frame and i.ss between r.ss-8 and r.ss+8 and i.fs between r.fs-8 and r.fs+8 where r.ss % 16 = 8 and r.fs % 16 = 8)"
 
 
 def gathered(spark, sf_dir, radius: int = 8) -> DataFrame:
     """Range join of reflections and pixels as an equi join on exploded offsets."""
-    return box(spots(spark, sf_dir), radius).join(view(spark, sf_dir, "image"), ["ss", "fs"])
+    return box(spots(spark, sf_dir), radius).join(view(spark, sf_dir, "frame_images"), ["frame", "ss", "fs"])
 
 
-@query("join10_box_gather", f"select css, cfs, count(*) as n, round(sum(adu), 4) as total from {GATHER} group by css, cfs", "image")
+@query("join10_box_gather", f"select frame, css, cfs, count(*) as n, round(sum(adu), 4) as total from {GATHER} group by frame, css, cfs", "frame_images")
 def join10(spark, sf_dir):
-    return gathered(spark, sf_dir).groupBy("css", "cfs").agg(F.count("*").alias("n"), F.round(F.sum("adu"), 4).alias("total"))
+    return gathered(spark, sf_dir).groupBy(*KEY).agg(F.count("*").alias("n"), F.round(F.sum("adu"), 4).alias("total"))
 
 
 def clipped_mean(px: DataFrame, by: list[str], value: str, nsig: float = 5.0) -> DataFrame:
@@ -43,85 +47,87 @@ def clipped_mean(px: DataFrame, by: list[str], value: str, nsig: float = 5.0) ->
 
 
 ANNULUS = f"(select * from {GATHER} where ring > 5)"
-BG = f"(select css, cfs, avg(adu) as bg from (select g.*, m.med, m.mad from {ANNULUS} g join (select css, cfs, max(med) as med, median(abs(adu-med)) as mad from (select g.*, median(adu) over (partition by css, cfs) as med from {ANNULUS} g) group by css, cfs) m using (css, cfs)) where abs(adu-med) <= 5*greatest(1.4826*mad, sqrt(greatest(med,1))) group by css, cfs)"
+BG = f"(select frame, css, cfs, avg(adu) as bg from (select g.*, m.med, m.mad from {ANNULUS} g join (select frame, css, cfs, max(med) as med, median(abs(adu-med)) as mad from (select g.*, median(adu) over (partition by frame, css, cfs) as med from {ANNULUS} g) group by frame, css, cfs) m using (frame, css, cfs)) where abs(adu-med) <= 5*greatest(1.4826*mad, sqrt(greatest(med,1))) group by frame, css, cfs)"
 
 
-@query("agg18_clipmean", f"select css, cfs, round(bg, 6) as bg from {BG}", "image")
+@query("agg18_clipmean", f"select frame, css, cfs, round(bg, 6) as bg from {BG}", "frame_images")
 def agg18(spark, sf_dir):
-    return clipped_mean(gathered(spark, sf_dir).where("ring > 5"), ["css", "cfs"], "adu").withColumn("bg", F.round("bg", 6))
+    return clipped_mean(gathered(spark, sf_dir).where("ring > 5"), KEY, "adu").withColumn("bg", F.round("bg", 6))
 
 
-@query("agg19_box_integrate", f"select css, cfs, round(s - n*bg, 4) as i, round(sqrt(greatest(s + n*greatest(bg,0), 1)), 6) as sigma, peak from (select css, cfs, sum(adu) as s, count(*) as n, max(adu) as peak from {GATHER} where ring <= 3 group by css, cfs) b join {BG} g using (css, cfs)", "image")
+@query("agg19_box_integrate", f"select frame, css, cfs, round(s - n*bg, 4) as i, round(sqrt(greatest(s + n*greatest(bg,0), 1)), 6) as sigma, peak from (select frame, css, cfs, sum(adu) as s, count(*) as n, max(adu) as peak from {GATHER} where ring <= 3 group by frame, css, cfs) b join {BG} g using (frame, css, cfs)", "frame_images")
 def agg19(spark, sf_dir):
     """Background-subtracted sums over the inner box, with their error."""
     px = gathered(spark, sf_dir)
-    b = clipped_mean(px.where("ring > 5"), ["css", "cfs"], "adu")
-    s = px.where("ring <= 3").groupBy("css", "cfs").agg(F.sum("adu").alias("s"), F.count("*").alias("n"), F.max("adu").alias("peak"))
+    b = clipped_mean(px.where("ring > 5"), KEY, "adu")
+    s = px.where("ring <= 3").groupBy(*KEY).agg(F.sum("adu").alias("s"), F.count("*").alias("n"), F.max("adu").alias("peak"))
     i = F.col("s") - F.col("n") * F.col("bg")
     e = F.sqrt(F.greatest(F.col("s") + F.col("n") * F.greatest("bg", F.lit(0.0)), F.lit(1.0)))
-    return s.join(b, ["css", "cfs"]).select("css", "cfs", F.round(i, 4).alias("i"), F.round(e, 6).alias("sigma"), "peak")
+    return s.join(b, KEY).select(*KEY, F.round(i, 4).alias("i"), F.round(e, 6).alias("sigma"), "peak")
 
 
-TERMS = "(select floor(t) + o as bin, adu, case when o = 1 then t-floor(t) else 1-(t-floor(t)) end as w from (select adu, sqrt(cast((ss-32)*(ss-32)+(fs-32)*(fs-32) as double))/2 - cast(0.5 as double) as t from image) p, (select 0 as o union all select 1) o)"
+TERMS = "(select frame, floor(t) + o as bin, adu, case when o = 1 then t-floor(t) else 1-(t-floor(t)) end as w from (select frame, adu, sqrt(cast((ss-32)*(ss-32)+(fs-32)*(fs-32) as double))/2 - cast(0.5 as double) as t from frame_images) p, (select 0 as o union all select 1) o)"
 
 
-def radial(px: DataFrame, radius, step: float) -> DataFrame:
+def radial(px: DataFrame, radius, step: float, by: tuple[str, ...] = ()) -> DataFrame:
     """Profile with linear pixel splitting: two (bin, weight) rows a pixel, then one
     aggregation; also the error of the mean for counting statistics."""
     t = radius / step - 0.5
     o = F.explode(F.array(F.lit(0), F.lit(1)))
-    x = px.select("adu", t.alias("t"), o.alias("o")).withColumn("w", F.when(F.col("o") == 1, F.col("t") - F.floor("t")).otherwise(1 - (F.col("t") - F.floor("t"))))
+    x = px.select(*by, "adu", t.alias("t"), o.alias("o")).withColumn("w", F.when(F.col("o") == 1, F.col("t") - F.floor("t")).otherwise(1 - (F.col("t") - F.floor("t"))))
     den = F.sum("w")
-    return x.groupBy((F.floor("t") + F.col("o")).cast("long").alias("bin")).agg(F.try_divide(F.sum(F.col("w") * F.col("adu")), den).alias("mean"), F.try_divide(F.sqrt(F.sum(F.col("w") * F.col("w") * F.col("adu"))), den).alias("error"))
+    return x.groupBy(*by, (F.floor("t") + F.col("o")).cast("long").alias("bin")).agg(F.try_divide(F.sum(F.col("w") * F.col("adu")), den).alias("mean"), F.try_divide(F.sqrt(F.sum(F.col("w") * F.col("w") * F.col("adu"))), den).alias("error"))
 
 
-@query("agg21_radial_profile", f"select cast(bin as bigint) as bin, round(sum(w*adu)/sum(w), 6) as mean, round(sqrt(sum(w*w*adu))/sum(w), 6) as error from {TERMS} group by bin having sum(w) > 0.001", "image")
+@query("agg21_radial_profile", f"select frame, cast(bin as bigint) as bin, round(sum(w*adu)/sum(w), 6) as mean, round(sqrt(sum(w*w*adu))/sum(w), 6) as error from {TERMS} group by frame, bin having sum(w) > 0.001", "frame_images")
 def agg21(spark, sf_dir):
-    i = view(spark, sf_dir, "image")
+    """Each frame's profile about its middle."""
+    i = view(spark, sf_dir, "frame_images")
     r = F.sqrt(((F.col("ss") - 32) * (F.col("ss") - 32) + (F.col("fs") - 32) * (F.col("fs") - 32)).cast("double"))
-    return radial(i, r, 2.0).where("mean is not null").select("bin", F.round("mean", 6).alias("mean"), F.round("error", 6).alias("error"))
+    return radial(i, r, 2.0, ("frame",)).where("mean is not null").select("frame", "bin", F.round("mean", 6).alias("mean"), F.round("error", 6).alias("error"))
 
 
-@query("agg20_common_mode", "select ss, round(sum(adu - case when n > 10 and abs(m) < 100 then m else 0 end), 4) as total from (select *, median(adu) filter (adu < 100) over (partition by ss) as m, count(*) filter (adu < 100) over (partition by ss) as n from image) group by ss", "image")
+@query("agg20_common_mode", "select frame, ss, round(sum(adu - case when n > 10 and abs(m) < 100 then m else 0 end), 4) as total from (select *, median(adu) filter (adu < 100) over (partition by frame, ss) as m, count(*) filter (adu < 100) over (partition by frame, ss) as n from frame_images) group by frame, ss", "frame_images")
 def agg20(spark, sf_dir):
     """Masked exact median of each row taken off, unless too few pixels or too large."""
-    i = view(spark, sf_dir, "image")
+    i = view(spark, sf_dir, "frame_images")
     ok = F.when(F.col("adu") < 100, F.col("adu"))
-    m = i.groupBy("ss").agg(F.median(ok).alias("m"), F.count(ok).alias("n"))
+    m = i.groupBy("frame", "ss").agg(F.median(ok).alias("m"), F.count(ok).alias("n"))
     use = F.when((F.col("n") > 10) & (F.abs("m") < 100), F.col("m")).otherwise(0.0)
-    return i.join(m, "ss").groupBy("ss").agg(F.round(F.sum(F.col("adu") - use), 4).alias("total"))
+    return i.join(m, ["frame", "ss"]).groupBy("frame", "ss").agg(F.round(F.sum(F.col("adu") - use), 4).alias("total"))
 
 
-@query("prj31_calibrate", "select cast(ss % 4 as int) as bank, round(sum(case when raw & 1 = 1 then (raw - 3)*cast('0.5' as double) else cast(raw - 1 as double) end), 4) as total from (select ss, cast(adu as bigint) as raw from image) where raw & 4 = 0 group by 1", "image")
+@query("prj31_calibrate", "select frame, cast(ss % 4 as int) as bank, round(sum(case when raw & 1 = 1 then (raw - 3)*cast('0.5' as double) else cast(raw - 1 as double) end), 4) as total from (select frame, ss, cast(adu as bigint) as raw from frame_images) where raw & 4 = 0 group by 1, 2", "frame_images")
 def prj31(spark, sf_dir):
     """Gain by a bit of the raw value, pedestal, and a mask bit."""
     raw = F.col("adu").cast("long")
     v = F.when(raw.bitwiseAND(1) == 1, (raw - 3) * 0.5).otherwise((raw - 1).cast("double"))
-    return view(spark, sf_dir, "image").where(raw.bitwiseAND(4) == 0).groupBy((F.col("ss") % 4).cast("int").alias("bank")).agg(F.round(F.sum(v), 4).alias("total"))
+    return view(spark, sf_dir, "frame_images").where(raw.bitwiseAND(4) == 0).groupBy("frame", (F.col("ss") % 4).cast("int").alias("bank")).agg(F.round(F.sum(v), 4).alias("total"))
 
 
-@query("agg24_scatter_max", "select cast((ss*7+fs*3) % 50 as int) as slot, max(adu) as top, round(sum(adu), 4) as total from image group by 1", "image")
+@query("agg24_scatter_max", "select frame, cast((ss*7+fs*3) % 50 as int) as slot, max(adu) as top, round(sum(adu), 4) as total from frame_images group by 1, 2", "frame_images")
 def agg24(spark, sf_dir):
     slot = ((F.col("ss") * 7 + F.col("fs") * 3) % 50).cast("int")
-    return view(spark, sf_dir, "image").groupBy(slot.alias("slot")).agg(F.max("adu").alias("top"), F.round(F.sum("adu"), 4).alias("total"))
+    return view(spark, sf_dir, "frame_images").groupBy("frame", slot.alias("slot")).agg(F.max("adu").alias("top"), F.round(F.sum("adu"), 4).alias("total"))
 
 
-@query("agg25_first_index", "select adu, min(ss*64+fs) as first_at from image group by adu", "image")
+@query("agg25_first_index", "select frame, adu, min(ss*64+fs) as first_at from frame_images group by frame, adu", "frame_images")
 def agg25(spark, sf_dir):
-    return view(spark, sf_dir, "image").groupBy("adu").agg(F.min(F.col("ss") * 64 + F.col("fs")).alias("first_at"))
+    return view(spark, sf_dir, "frame_images").groupBy("frame", "adu").agg(F.min(F.col("ss") * 64 + F.col("fs")).alias("first_at"))
 
 
-@query("join18_bin_matrix", "select bin, round(sum(w*adu), 4) as total from image i join (select ss, fs, (ss+fs) // 8 as bin, cast(1 + (ss % 3) as double)/3 as w from image) m using (ss, fs) group by bin", "image")
+@query("join18_bin_matrix", "select frame, bin, round(sum(w*adu), 4) as total from frame_images i join (select distinct ss, fs, (ss+fs) // 8 as bin, cast(1 + (ss % 3) as double)/3 as w from frame_images) m using (ss, fs) group by frame, bin", "frame_images")
 def join18(spark, sf_dir):
     """Sparse matrix times image: an equi join on the pixel and a sum per bin."""
-    i = view(spark, sf_dir, "image")
-    m = i.select("ss", "fs", F.floor((F.col("ss") + F.col("fs")) / 8).cast("int").alias("bin"), ((1 + F.col("ss") % 3) / 3.0).alias("w"))
-    return i.join(m, ["ss", "fs"]).groupBy("bin").agg(F.round(F.sum(F.col("w") * F.col("adu")), 4).alias("total"))
+    i = view(spark, sf_dir, "frame_images")
+    # a row a pixel of the detector, which all frames share
+    m = i.select("ss", "fs").distinct().select("ss", "fs", F.floor((F.col("ss") + F.col("fs")) / 8).cast("int").alias("bin"), ((1 + F.col("ss") % 3) / 3.0).alias("w"))
+    return i.join(m, ["ss", "fs"]).groupBy("frame", "bin").agg(F.round(F.sum(F.col("w") * F.col("adu")), 4).alias("total"))
 
 
-@query("agg41_profile_corr", "select round(corr(a, b), 6) as r from (select bin, avg(adu) as a from (select cast((ss-32)*(ss-32)+(fs-32)*(fs-32) as bigint) // 40 as bin, adu from image where ss < 32) group by bin) x join (select bin, avg(adu) as b from (select cast((ss-32)*(ss-32)+(fs-32)*(fs-32) as bigint) // 40 as bin, adu from image where ss >= 32) group by bin) y using (bin)", "image")
+@query("agg41_profile_corr", "select frame, round(corr(a, b), 6) as r from (select frame, bin, avg(adu) as a from (select frame, cast((ss-32)*(ss-32)+(fs-32)*(fs-32) as bigint) // 40 as bin, adu from frame_images where ss < 32) group by frame, bin) x join (select frame, bin, avg(adu) as b from (select frame, cast((ss-32)*(ss-32)+(fs-32)*(fs-32) as bigint) // 40 as bin, adu from frame_images where ss >= 32) group by frame, bin) y using (frame, bin) group by frame", "frame_images")
 def agg41(spark, sf_dir):
     """Correlation of two half-image profiles over their common bins."""
-    i = view(spark, sf_dir, "image").withColumn("bin", F.floor(((F.col("ss") - 32) * (F.col("ss") - 32) + (F.col("fs") - 32) * (F.col("fs") - 32)) / 40))
-    a, b = (i.where(w).groupBy("bin").agg(F.avg("adu").alias(n)) for w, n in (("ss < 32", "a"), ("ss >= 32", "b")))
-    return a.join(b, "bin").agg(F.round(F.corr("a", "b"), 6).alias("r"))
+    i = view(spark, sf_dir, "frame_images").withColumn("bin", F.floor(((F.col("ss") - 32) * (F.col("ss") - 32) + (F.col("fs") - 32) * (F.col("fs") - 32)) / 40))
+    a, b = (i.where(w).groupBy("frame", "bin").agg(F.avg("adu").alias(n)) for w, n in (("ss < 32", "a"), ("ss >= 32", "b")))
+    return a.join(b, ["frame", "bin"]).groupBy("frame").agg(F.round(F.corr("a", "b"), 6).alias("r"))

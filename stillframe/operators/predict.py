@@ -25,44 +25,82 @@ def inside(g: DataFrame, a: float, b: float, c: float, qmax: float) -> DataFrame
     return g.withColumn("q", lin3.norm([F.col(n) for n in ("qx", "qy", "qz")])).where(F.col("q") <= qmax)
 
 
-POINTS = "(select h, k, l, h/cast(79 as double) as qx, k/cast(79 as double) as qy, l/cast(38 as double) as qz from (select unnest(range(-20,21)) as h) a, (select unnest(range(-20,21)) as k) b, (select unnest(range(-10,11)) as l) c where not (h=0 and k=0 and l=0))"
-NEAR = f"(select *, sqrt(qx*qx+qy*qy+qz*qz) as q from {POINTS} where sqrt(qx*qx+qy*qy+qz*qz) <= 0.25)"
+def reflections(bases: DataFrame, by: list[str], qmax: float) -> DataFrame:
+    """by, h, k, l, qx, qy, qz, q: the lattice points of each basis (m, row by row, axes in columns) within a
+    sphere.  Each basis spans its own box: an index is at most ``qmax`` times its axis."""
+    axes = lin3.columns(lin3.matrix("m"))
+    inverse = F.array(*lin3.inverse(lin3.matrix("m")))
+    # the inverse stands in a column of the few rows before they are exploded, and is not written out again
+    rows = bases.select(*by, inverse.alias("_inverse"), *(F.floor(qmax * lin3.norm(v)).cast("int").alias(f"_{n}") for n, v in zip("hkl", axes)))
+    for n in "hkl":
+        rows = rows.select("*", F.explode(F.sequence(-F.col(f"_{n}"), F.col(f"_{n}"))).alias(n)).drop(f"_{n}")
+    q = lin3.times([F.col(n).cast("double") for n in "hkl"], lin3.matrix("_inverse"))
+    at = rows.where("not (h = 0 and k = 0 and l = 0)").select(*by, "h", "k", "l", *(x.alias(n) for n, x in zip(("qx", "qy", "qz"), q)))
+    return at.withColumn("q", lin3.norm([F.col(n) for n in ("qx", "qy", "qz")])).where(F.col("q") <= qmax)
+
+
+def on_sphere(points: DataFrame, wavelength: float, tol: float) -> DataFrame:
+    """Points within ``tol`` of the sphere of reflection, and how far: ``exc``."""
+    return points.withColumn("exc", L.ewald_error([F.col(n) for n in ("qx", "qy", "qz")], wavelength)).where(F.abs("exc") < tol)
+
+
+QMAX = 0.0801234
+BASES = "(select distinct a, b, cast(c as double) as c from cells)"
+NEAR = f"(select *, sqrt(qx*qx+qy*qy+qz*qz) as q from (select a, b, c, h, k, l, h/a as qx, k/b as qy, l/c as qz from {BASES}, (select unnest(range(-7,8)) as h), (select unnest(range(-7,8)) as k), (select unnest(range(-7,8)) as l) where not (h=0 and k=0 and l=0)) where sqrt(qx*qx+qy*qy+qz*qz) <= {QMAX})"
+CELL_KEY = ["a", "b", "c"]
+
+
+def points(spark, sf_dir) -> DataFrame:
+    """Lattice points of every distinct cell of the table."""
+    c = view(spark, sf_dir, "cells").select("a", "b", F.col("c").cast("double").alias("c")).distinct()
+    zero = F.lit(0.0)
+    m = F.array(F.col("a"), zero, zero, zero, F.col("b"), zero, zero, zero, F.col("c"))
+    return reflections(c.withColumn("m", m), CELL_KEY, QMAX)
 
 
-def points(spark: SparkSession) -> DataFrame:
-    return inside(grid(spark, (20, 20, 10)), 79.0, 79.0, 38.0, 0.25)
+@query("prj38_lattice_points", f"select a, b, c, count(*) as n, cast(sum(abs(h)) as bigint) as h from {NEAR} group by a, b, c", "cells")
+def prj38(spark, sf_dir):
+    return points(spark, sf_dir).groupBy(*CELL_KEY).agg(F.count("*").alias("n"), F.sum(F.abs("h")).alias("h"))
 
 
-@query("prj38_lattice_points", f"select abs(h) as h, count(*) as n from {NEAR} group by 1")
-def prj38(spark, sf_dir):
-    return points(spark).groupBy(F.abs("h").cast("long").alias("h")).agg(F.count("*").alias("n"))
+FRAME_BASES = "(select distinct frame_id, ct, st from planted_q)"
 
 
-@query("flt10_ewald", f"select h, k, l, round(x, 9) as exc from (select *, qz + 0.65*q*q as x from {NEAR}) where abs(x) < 0.006")
+@query("flt10_ewald", f"select frame_id, count(*) as n, cast(sum(h*h+k*k) as bigint) as hk, round(sum(abs(x)), 6) as exc from (select *, qz + 0.65*(qx*qx+qy*qy+qz*qz) as x from (select frame_id, h, k, l, h/cast(79 as double)*ct - k/cast(79 as double)*st as qx, h/cast(79 as double)*st + k/cast(79 as double)*ct as qy, l/cast(38 as double) as qz from {FRAME_BASES}, (select unnest(range(-9,10)) as h), (select unnest(range(-9,10)) as k), (select unnest(range(-5,6)) as l) where not (h=0 and k=0 and l=0))) where qx*qx+qy*qy+qz*qz <= 0.11*0.11 and abs(x) < 0.0041 group by frame_id", "planted_q")
 def flt10(spark, sf_dir):
-    """Reflections near the sphere of reflection."""
-    p = points(spark).withColumn("exc", L.ewald_error([F.col(n) for n in ("qx", "qy", "qz")], 1.3))
-    return p.where(F.abs("exc") < 0.006).select(*(F.col(n).cast("long").alias(n) for n in "hkl"), F.round("exc", 9).alias("exc"))
+    """Reflections near the sphere of reflection, from every frame's own basis."""
+    from stillframe.operators.acceptance import planted
+
+    near = on_sphere(reflections(planted(spark, sf_dir).select("frame_id", "m").distinct(), ["frame_id"], 0.11), 1.3, 0.0041)
+    return near.groupBy("frame_id").agg(F.count("*").alias("n"), F.sum(F.col("h") * F.col("h") + F.col("k") * F.col("k")).cast("long").alias("hk"), F.round(F.sum(F.abs("exc")), 6).alias("exc"))
 
 
-@query("flt11_centring", f"select count(*) as p, count(*) filter ((h+k+l)%2=0) as i, count(*) filter ((h+k)%2=0 and (h+l)%2=0 and (k+l)%2=0) as f, count(*) filter ((h+k)%2=0) as c, count(*) filter ((k+l)%2=0) as a, count(*) filter ((h+l)%2=0) as b, count(*) filter ((-h+k+l)%3=0) as r from {NEAR}")
+@query("flt11_centring", f"select a, b, c, count(*) as p, count(*) filter ((h+k+l)%2=0) as i, count(*) filter ((h+k)%2=0 and (h+l)%2=0 and (k+l)%2=0) as f, count(*) filter ((h+k)%2=0) as cc, count(*) filter ((k+l)%2=0) as ca, count(*) filter ((h+l)%2=0) as cb, count(*) filter ((-h+k+l)%3=0) as r from {NEAR} group by a, b, c", "cells")
 def flt11(spark, sf_dir):
+    """Points of every cell that each centring leaves."""
     h, k, l = F.col("h"), F.col("k"), F.col("l")
-    return points(spark).agg(*(F.count_if(L.centering_allows(h, k, l, c)).alias(c.lower()) for c in "PIFCABR"))
+    names = {"P": "p", "I": "i", "F": "f", "C": "cc", "A": "ca", "B": "cb", "R": "r"}
+    return points(spark, sf_dir).groupBy(*CELL_KEY).agg(*(F.count_if(L.centering_allows(h, k, l, c)).alias(n) for c, n in names.items()))
 
 
-@query("agg07_theoretical_unique", f"select count(distinct greatest(abs(h),abs(k))*100000000 + least(abs(h),abs(k))*10000 + abs(l)) as n from {NEAR}")
+@query("agg07_theoretical_unique", f"select a, b, c, count(distinct abs(h)*100000000 + abs(k)*10000 + abs(l)) as n from {NEAR} group by a, b, c", "cells")
 def agg07(spark, sf_dir):
-    return points(spark).agg(F.count_distinct(unique_key(F.col("h"), F.col("k"), F.col("l"), "4/mmm")).alias("n"))
+    """Unique reflections of every cell to a resolution."""
+    return points(spark, sf_dir).groupBy(*CELL_KEY).agg(F.count_distinct(unique_key(F.col("h"), F.col("k"), F.col("l"), "mmm")).alias("n"))
 
 
-SHELLS = f"(select distinct round(q, 4) as r from {NEAR})"
+@query("prj37_shells", f"select a, b, c, count(distinct round(q, 5)) as shells from {NEAR} group by a, b, c", "cells")
+def prj37(spark, sf_dir):
+    """Distinct radii of every cell's lattice points."""
+    return points(spark, sf_dir).groupBy(*CELL_KEY).agg(F.count_distinct(F.round("q", 5)).alias("shells"))
 
 
-@query("prj37_shells", f"select r from {SHELLS}")
-def prj37(spark, sf_dir):
-    """Distinct radii of the lattice points."""
-    return points(spark).select(F.round("q", 4).alias("r")).distinct()
+#: The rings of one known cell, which peaks are compared with.
+SHELLS = "(select distinct round(q, 4) as r from (select sqrt(qx*qx+qy*qy+qz*qz) as q from (select h/cast(79 as double) as qx, k/cast(79 as double) as qy, l/cast(38 as double) as qz from (select unnest(range(-20,21)) as h) a, (select unnest(range(-20,21)) as k) b, (select unnest(range(-10,11)) as l) c where not (h=0 and k=0 and l=0))) where q <= 0.25)"
+
+
+def shells(spark: SparkSession) -> DataFrame:
+    return inside(grid(spark, (20, 20, 10)), 79.0, 79.0, 38.0, 0.25).select(F.round("q", 4).alias("r")).distinct()
 
 
 def nearest(left: DataFrame, x: str, right: DataFrame, y: str, step: float) -> DataFrame:
@@ -89,7 +127,7 @@ def join06(spark, sf_dir):
     from stillframe.plans.registry import table
 
     x = table(spark, sf_dir, "lineitem").select(((F.col("l_partkey") * 7 + F.col("l_suppkey") * 13) % 2500 / 10000.0).alias("x"))
-    m = nearest(x, "x", prj37(spark, sf_dir), "r", 0.0005)
+    m = nearest(x, "x", shells(spark), "r", 0.0005)
     return m.groupBy(F.floor(F.col("distance") * 20000).alias("bin")).agg(F.count("*").alias("n"))
 
 
@@ -98,7 +136,7 @@ def flt15(spark, sf_dir):
     from stillframe.plans.registry import table
 
     x = table(spark, sf_dir, "lineitem").select(((F.col("l_partkey") * 7 + F.col("l_suppkey") * 13) % 2500 / 10000.0).alias("x"))
-    return nearest(x, "x", prj37(spark, sf_dir), "r", 0.0005).agg(F.count("*").alias("n"), F.count_if(F.col("distance") < 0.0002).alias("on_ring"))
+    return nearest(x, "x", shells(spark), "r", 0.0005).agg(F.count("*").alias("n"), F.count_if(F.col("distance") < 0.0002).alias("on_ring"))
 
 
 @query("prj06_cell_round_trip", "select frame_id, hyp_id, round(a, 6) as a, round(b, 6) as b, round(c, 6) as c, cast(round(85 + hyp_id % 20, 6) as double) as al, cast(95 as double) as be, cast(round(100 + hyp_id % 7, 6) as double) as ga from cells", "cells")

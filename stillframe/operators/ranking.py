@@ -96,12 +96,12 @@ def win07(spark, sf_dir):
     return s.where("before is null or before <> outcome").select("ev", "outcome")
 
 
-@query("win08_local_maxima", "select ss, count(*) as n from (select *, lag(adu) over w as p, lead(adu) over w as q, max(adu) over (partition by ss) as top from image window w as (partition by ss order by fs)) where adu > p and adu > q and adu > 0.1*top group by ss", "image")
+@query("win08_local_maxima", "select frame, ss, count(*) as n from (select *, lag(adu) over w as p, lead(adu) over w as q, max(adu) over (partition by frame, ss) as top from frame_images window w as (partition by frame, ss order by fs)) where adu > p and adu > q and adu > 0.1*top group by frame, ss", "frame_images")
 def win08(spark, sf_dir):
-    """Local maxima of each row of an image above a tenth of its largest value."""
-    w = Window.partitionBy("ss").orderBy("fs")
-    i = view(spark, sf_dir, "image").withColumns({"p": F.lag("adu").over(w), "q": F.lead("adu").over(w), "top": F.max("adu").over(Window.partitionBy("ss"))})
-    return i.where("adu > p and adu > q and adu > 0.1*top").groupBy("ss").agg(F.count("*").alias("n"))
+    """Local maxima of each row of every frame above a tenth of the row's largest value."""
+    w = Window.partitionBy("frame", "ss").orderBy("fs")
+    i = view(spark, sf_dir, "frame_images").withColumns({"p": F.lag("adu").over(w), "q": F.lead("adu").over(w), "top": F.max("adu").over(Window.partitionBy("frame", "ss"))})
+    return i.where("adu > p and adu > q and adu > 0.1*top").groupBy("frame", "ss").agg(F.count("*").alias("n"))
 
 
 @query("win09_chunk_numbers", "select run_id, cast(chunk as bigint) as chunk, count(*) as n from (select run_id, sum(case when outcome = 'signup' then 1 else 0 end) over (partition by run_id order by ev) as chunk from frame_stream) group by run_id, chunk", "frame_stream")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stillframe.operators import acceptance, consensus, extras, files, frames, geometry, imaging, merge, perframe, planted, predict, ranking, reports, runs, settings, spectra, tracking  # noqa: F401  they register
+from stillframe.operators import acceptance, consensus, extras, files, frames, geometry, imaging, merge, perframe, planted, predict, prediction, ranking, reports, runs, settings, spectra, tracking  # noqa: F401  they register
 from stillframe.plans.registry import ORACLES, QUERIES
 
 

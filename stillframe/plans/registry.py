@@ -102,6 +102,12 @@ VIEWS = {
     "predictions": """
         select s_suppkey as frame, cast(a as int) as h, cast(b as int) as k, 0 as l, cast(8 + s_suppkey % 3 + 16*a as int) as css, cast(7 + s_suppkey % 2 + 16*b as int) as cfs
         from supplier, (select x.i as a, y.j as b from range(0, 5) as x(i), range(0, 5) as y(j)) t""",
+    "lattice_images": """
+        select frame, ss, fs, h, k, cast(10 + ((7*ss + 13*fs + 5*frame) % 5) + case when h*h+k*k > 0 and h*h+k*k <= 24 and fs = px and ss = py then 150 + (37*h*h + 11*k*k + frame) % 200 else 0 end as double) as adu
+        from (select *, cast(floor(64.5 + 900*(h*ct - k*st)/79) as int) as px, cast(floor(64.5 + 900*(h*st + k*ct)/79) as int) as py
+              from (select *, cast(round(79*(ct*(fs-64) + st*(ss-64))/cast(900 as double), 0) as int) as h, cast(round(79*(ct*(ss-64) - st*(fs-64))/cast(900 as double), 0) as int) as k
+                    from (select frame, cast(i // 128 as int) as ss, cast(i % 128 as int) as fs, (1-t*t)/(1+t*t) as ct, 2*t/(1+t*t) as st
+                          from (select s_suppkey as frame, cast(s_suppkey % 17 as double)/10 as t, i from supplier, range(0, 16384) as r(i)) f) g) a) b""",
     "image": """
         select ss, fs, cast(10 + ((7*ss + 13*fs) % 5) + case when ss % 16 = 8 and fs % 16 = 8 then 200 when ss % 16 = 8 and fs % 16 = 9 then 90 else 0 end as double) as adu
         from (select cast(i // 64 as int) as ss, cast(i % 64 as int) as fs from range(0, 4096) as r(i)) g""",
@@ -115,6 +121,7 @@ SPARK_VIEWS = VIEWS | {
                cast(element_at(embedding, 3*j+2) as double) as qy, cast(element_at(embedding, 3*j+3) as double) as qz
         from embeddings lateral view explode(sequence(0, 20)) t as j""",
     "frame_images": VIEWS["frame_images"].replace("i // 64", "floor(i / 64)").replace("range(0, 4096) as r(i)", "(select id as i from range(0, 4096)) r"),
+    "lattice_images": VIEWS["lattice_images"].replace("i // 128", "floor(i / 128)").replace("range(0, 16384) as r(i)", "(select id as i from range(0, 16384)) r"),
     "predictions": VIEWS["predictions"].replace("range(0, 5) as x(i), range(0, 5) as y(j)", "(select id as i from range(0, 5)) x, (select id as j from range(0, 5)) y"),
     "image": VIEWS["image"].replace("i // 64", "floor(i / 64)").replace("range(0, 4096) as r(i)", "(select id as i from range(0, 4096))"),
 }
