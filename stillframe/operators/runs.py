@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stillframe.functions import lattice as L
@@ -422,55 +422,92 @@ def agg32(spark, sf_dir):
     return n.select("frame", "n", F.round(a[0] - 1e-9, 2).alias("n00"), F.round(a[1], 3).alias("n01"), F.round(a[4] - 1e-9, 6).alias("n11"), F.round(b[0], 2).alias("b0"), F.round(b[1], 4).alias("b1"), F.round(b[2], 4).alias("b2"))
 
 
+def numbered(df: DataFrame, by: list[str], order: str, width: int) -> DataFrame:
+    """Adds ``_i``: 0, 1, 2... in the order of a whole number within each group, counted by ranges of
+    ``width`` of it: no task sorts a group, and what is looked at together is a row a range."""
+    r = df.withColumn("_range", F.floor(F.col(order) / width))
+    n = r.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(order)) - 1
+    return r.withColumn("_place", place).join(n.withColumn("_before", before).drop("_n"), [*by, "_range"]).withColumn("_i", F.col("_before") + F.col("_place")).drop("_range", "_place", "_before")
+
+
+def decayed(df: DataFrame, by: list[str], order: str, values: list[str], keep: float, block: int = 64) -> DataFrame:
+    """Adds, for each value, its sum over the group so far, older rows forgotten by 1 - ``keep`` a row.
+
+    A scan by blocks: rows weigh keep^-place in their block, so a running sum gives the sum within it;
+    what earlier blocks leave is the same sum over their totals, of which those count that have
+    not faded below 1e-18.
+    """
+    rows = numbered(df, by, order, 16 * block).withColumns({"_block": F.floor(F.col("_i") / block), "_at": F.col("_i") % block})
+    inside = Window.partitionBy(*by, "_block").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    fade = F.pow(F.lit(keep), F.col("_at"))
+    rows = rows.withColumns({f"_in_{v}": F.sum(F.col(v) / fade).over(inside) * fade for v in values})
+    whole = rows.groupBy(*by, "_block").agg(*(F.sum(F.col(v) * F.pow(F.lit(keep), block - 1 - F.col("_at"))).alias(f"_all_{v}") for v in values))
+    back = max(1, math.ceil(math.log(1e-18) / (block * math.log(keep))))
+    earlier = Window.partitionBy(*by).orderBy("_block")
+    left = {f"_left_{v}": sum((F.coalesce(F.lag(f"_all_{v}", k).over(earlier), F.lit(0.0)) * keep ** (block * (k - 1)) for k in range(1, back + 1)), F.lit(0.0)) for v in values}
+    carry = whole.withColumns(left).select(*by, "_block", *left)
+    out = rows.join(carry, [*by, "_block"])
+    return out.select(*df.columns, *((F.col(f"_in_{v}") + F.col(f"_left_{v}") * F.pow(F.lit(keep), F.col("_at") + 1)).alias(f"{v}_so_far") for v in values))
+
+
 @query("str21_live_geometry", f"with recursive f as (select frame % 4 as run, frame, row_number() over (partition by frame % 4 order by frame) as i, sum(wx) as a, sum(wx*rx) as b from (select *, case when abs(rx) <= 3 then 1 else 3/abs(rx) end as wx from {PAIRS}) group by frame), d as (select run, i, frame, a, b from f where i = 1 union all select f.run, f.i, f.frame, 0.9*d.a + f.a, 0.9*d.b + f.b from d join f on f.run = d.run and f.i = d.i + 1) select run, frame, round(b/a, 5) as shift from d", "points")
 def str21(spark, sf_dir):
     """The shift along fs after each frame of four runs, older frames forgotten by a tenth each: decaying
-    sums of the frames' own normal equations (a row a frame), the last 400 of the run in view."""
+    sums of the frames' own normal equations (a row a frame)."""
     p = geometry_pairs(spark, sf_dir)
     n = normal_equations(p.withColumns({"gfs": F.col("fs"), "gss": F.col("ss")}), ["frame"]).select((F.col("frame") % 4).alias("run"), "frame", (F.col("a")[4] - 1e-9).alias("a"), F.col("b")[1].alias("b"))
-    last = Window.partitionBy("run").orderBy("frame").rowsBetween(-400, 0)  # 0.9^400 is below 1e-18
-    s = n.withColumn("past", F.collect_list(F.struct("a", "b")).over(last))
-    fold = lambda c: F.aggregate("past", F.lit(0.0), lambda x, y: x * 0.9 + y[c])
-    return s.select("run", "frame", F.round(fold("b") / fold("a"), 5).alias("shift"))
+    s = decayed(n, ["run"], "frame", ["a", "b"], 0.9)
+    return s.select("run", "frame", F.round(F.col("b_so_far") / F.col("a_so_far"), 5).alias("shift"))
 
 
-def build_schedule(sizes: dict[str, int], scenes: list[dict], seed: int = 0, exhausted: str = "skip") -> list[tuple[str, int]]:
-    """(source, place in it) of every position of a scripted mixture.
+def schedule(spark: SparkSession, sizes: dict[str, int], scenes: list[dict], seed: int = 0, exhausted: str = "skip") -> DataFrame:
+    """(position, species, cursor) of a scripted mixture: which source each position takes and which of its
+    frames.
 
-    Each scene has a length, weights by source and hold (draws are kept for that many positions).
-    A source without frames left is not drawn (``skip``; no source left ends the scene), starts
-    again (``wrap``) or ends the run (``stop``).  Draws are seeded.
+    Each scene has a length, weights by source and hold (draws are kept for that many positions).  A source
+    without frames left is not drawn (``skip``; no source left ends the scene), starts again (``wrap``) or
+    ends the run (``stop``).  A draw is a hash of seed, scene and block, so positions are made in
+    executors; a source's cursor is its number of positions before, by ranges.  Where a source runs
+    out, the rest of the scene is drawn anew among the others: once a source and scene at most.
     """
-    import numpy as np
-
     if exhausted not in ("skip", "wrap", "stop"):
         raise ValueError(f"exhausted is skip, wrap or stop, not {exhausted!r}")
     unknown = sorted({n for s in scenes for n in s["weights"]} - set(sizes))
     if unknown:
         raise ValueError(f"no source {unknown[0]!r}")
-    rng = np.random.default_rng(seed)
-    at = dict.fromkeys(sizes, 0)
-    out: list[tuple[str, int]] = []
-    for scene in scenes:
-        now, hold = None, max(1, int(scene.get("hold", 1)))
-        for t in range(int(scene["length"])):
-            dry = now is not None and at[now] >= sizes[now]
-            if dry and exhausted == "stop":
-                return out
-            if dry and exhausted == "wrap":
-                at[now] = 0
-            if now is None or t % hold == 0 or dry and exhausted == "skip":
-                open_ = sorted(n for n, w in scene["weights"].items() if w > 0 and (exhausted == "wrap" or at[n] < sizes[n]))
-                if not open_:
-                    if exhausted == "stop":
-                        return out
-                    break
-                share = np.array([scene["weights"][n] for n in open_], dtype=float)
-                now = open_[int(rng.choice(len(open_), p=share / share.sum()))]
-                if at[now] >= sizes[now]:
-                    at[now] = 0
-            out.append((now, at[now]))
-            at[now] += 1
+    used, start, parts, over = dict.fromkeys(sizes, 0), 0, [], False
+    for k, scene in enumerate(scenes):
+        at, length, hold = 0, int(scene["length"]), max(1, int(scene.get("hold", 1)))
+        while at < length and not over:
+            open_ = sorted(n for n, w in scene["weights"].items() if w > 0 and sizes[n] and (exhausted == "wrap" or used[n] < sizes[n]))
+            if not open_:
+                over = exhausted == "stop"
+                break
+            total, below, drawn = sum(scene["weights"][n] for n in open_), 0.0, F.lit(open_[-1])
+            u = F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.floor(F.col("t") / hold)), F.lit(1 << 30)) / float(1 << 30)
+            for name in reversed(open_[:-1]):
+                below = sum(scene["weights"][n] for n in open_[: open_.index(name) + 1]) / total
+                drawn = F.when(u < below, name).otherwise(drawn)
+            seg = numbered(spark.range(at, length).select(F.col("id").alias("t"), drawn.alias("species")), ["species"], "t", 1 << 16)
+            end = length
+            if exhausted != "wrap":
+                room = F.coalesce(*(F.when(F.col("species") == n, F.lit(sizes[n] - used[n])) for n in open_))
+                first = seg.where(F.col("_i") >= room).agg(F.min("t")).first()[0]
+                end = length if first is None else first
+            taken = seg.where(F.col("t") < end)
+            before = F.coalesce(*(F.when(F.col("species") == n, F.lit(used[n])) for n in open_))
+            size = F.coalesce(*(F.when(F.col("species") == n, F.lit(sizes[n])) for n in open_))
+            parts.append(taken.select((F.col("t") + start).alias("position"), "species", ((F.col("_i") + before) % size).cast("long").alias("cursor")))
+            for r in taken.groupBy("species").agg(F.count("*").alias("n")).collect():  # a row a source
+                used[r["species"]] += r["n"]
+            at = end
+            over = exhausted == "stop" and end < length
+        start += at
+    out = parts[0] if parts else spark.createDataFrame([], "position long, species string, cursor long")
+    for more in parts[1:]:
+        out = out.unionByName(more)
     return out
 
 
@@ -482,8 +519,7 @@ def src20(spark, sf_dir):
     sizes = {r["species"]: r["n"] for r in s.groupBy("species").agg(F.count("*").alias("n")).collect()}
     most = min(sizes.values())
     scenes = [{"length": most // 4, "weights": {"a": 1.0}}, {"length": most, "weights": {"a": 0.5, "b": 0.5}, "hold": 4}, {"length": 4 * most, "weights": {"a": 0.1, "b": 0.9}}]
-    rows = [(i, n, c) for i, (n, c) in enumerate(build_schedule(sizes, scenes, seed=11))]
-    order = spark.createDataFrame(rows, "position long, species string, cursor long")
+    order = schedule(spark, sizes, scenes, seed=11)
     pool = s.withColumn("cursor", F.floor(F.col("ev") / 2)).select("species", "cursor", "n_peaks")
     met = order.join(pool, ["species", "cursor"])
     w = Window.partitionBy("species").orderBy("position")
