@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -171,16 +172,22 @@ def agg22(spark, sf_dir):
 
 
 class _Event(InputPartition):
-    def __init__(self, path: str, first: int, stop: int):
-        self.path, self.first, self.stop = path, first, stop
+    def __init__(self, path: str, first: int, stop: int, offset: int = 0, kind: str = "<f4"):
+        self.path, self.first, self.stop, self.offset, self.kind = path, first, stop, offset, kind
 
 
 class StackSource(DataSource):
-    """Raw image stacks: files of little-endian 32-bit readings, events behind each other.
+    """Image stacks: events behind each other, raw (little-endian 32-bit readings) or as .npy arrays.
 
     Options: path (files of a folder, by name), rows, columns, and optionally first and stop
-    (events of each file to read), peaks (rows above a level only) and per_task (events of a task).
-    A file whose size is no whole number of events, and an event outside a file, are errors.
+    (events of each file to read), peaks (rows above a level only), per_task (events of a task) and
+    bad (``error``, or ``skip`` for files that don't fit; ``stack_layouts`` lists them).
+
+    The layout of an array follows from its shape: (events, rows, columns); (events, panels, rows of a
+    panel, columns), whose panels stand below each other; or one event (rows, columns).
+
+    With the option ``filters`` filters on event, file and a least reading are taken over by the reader: only
+    those bytes are read.  It needs ``filters_go_down(spark)``.
     """
 
     @classmethod
@@ -191,7 +198,19 @@ class StackSource(DataSource):
         return "file string, event long, ss int, fs int, adu double"
 
     def reader(self, schema) -> DataSourceReader:
-        return StackReader(self.options)
+        # Spark refuses a reader that takes filters where they are not handed down
+        return FilteredStackReader(self.options) if self.options.get("filters", "false") == "true" else StackReader(self.options)
+
+
+def layout(shape: tuple[int, ...], rows: int, columns: int) -> int | None:
+    """Events of an array of a shape, or None if it holds no such images."""
+    if shape == (rows, columns):
+        return 1
+    if len(shape) == 3 and shape[1:] == (rows, columns):
+        return shape[0]
+    if len(shape) == 4 and shape[1] * shape[2] == rows and shape[3] == columns:
+        return shape[0]
+    return None
 
 
 class StackReader(DataSourceReader):
@@ -199,8 +218,12 @@ class StackReader(DataSourceReader):
         self.folder = options["path"]
         self.shape = int(options["rows"]), int(options["columns"])
         self.first, self.stop = int(options.get("first", 0)), options.get("stop")
-        self.level = float(options.get("peaks", "-inf"))
+        self.level, self.or_equal = float(options.get("peaks", "-inf")), False
         self.per_task = int(options.get("per_task", 16))
+        self.skip = options.get("bad", "error") == "skip"
+        self.events: set[int] | None = None
+        self.least, self.most = 0, None
+        self.names: set[str] | None = None
 
     def _files(self):
         from pyarrow import fs
@@ -208,34 +231,64 @@ class StackReader(DataSourceReader):
         uri = self.folder.replace("file:///", "/").replace("file:/", "/") if self.folder.startswith("file:/") else self.folder
         return fs.FileSystem.from_uri(uri)
 
-    def partitions(self) -> list[_Event]:
+    def layouts(self) -> list[tuple[str, int, int, str, str | None]]:
+        """(path, events, offset of the first, type, what is wrong) of every file."""
         from pyarrow import fs
 
         system, top = self._files()
-        size = 4 * self.shape[0] * self.shape[1]
         out = []
         for info in sorted(system.get_file_info(fs.FileSelector(top)), key=lambda i: i.path):
             if info.type != fs.FileType.File or info.base_name.startswith((".", "_")):
                 continue
-            events, rest = divmod(info.size, size)
-            if rest:
-                raise ValueError(f"{info.base_name}: {info.size} bytes are no whole number of events")
+            if info.base_name.endswith(".npy"):
+                with system.open_input_file(info.path) as f:
+                    version = np.lib.format.read_magic(f)
+                    read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+                    shape, by_columns, kind = read(f)
+                    offset = f.tell()
+                events = layout(shape, *self.shape)
+                wrong = f"an array of shape {shape}" if events is None else "columns first" if by_columns and len(shape) > 1 else None
+                out.append((info.path, events or 0, offset, kind.str, wrong))
+            else:
+                events, rest = divmod(info.size, 4 * self.shape[0] * self.shape[1])
+                out.append((info.path, events, 0, "<f4", f"{info.size} bytes are no whole number of events" if rest else None))
+        return out
+
+    def partitions(self) -> list[_Event]:
+        out = []
+        for path, events, offset, kind, wrong in self.layouts():
+            name = path.rsplit("/", 1)[-1]
+            if self.names is not None and name not in self.names:
+                continue
+            if wrong and self.skip:
+                continue
+            if wrong:
+                raise ValueError(f"{name}: {wrong}")
             stop = events if self.stop is None else int(self.stop)
             if stop > events:
-                raise ValueError(f"{info.base_name}: event {stop - 1} of {events}")
-            out += [_Event(info.path, a, min(a + self.per_task, stop)) for a in range(self.first, stop, self.per_task)]
+                raise ValueError(f"{name}: event {stop - 1} of {events}")
+            stop = stop if self.most is None else min(stop, self.most)
+            start = max(self.first, self.least)
+            if self.events is None:
+                runs = [(a, min(a + self.per_task, stop)) for a in range(start, stop, self.per_task)]
+            else:
+                runs = [(e, e + 1) for e in sorted(self.events) if start <= e < stop]
+            out += [_Event(path, a, b, offset, kind) for a, b in runs]
         return out
 
     def read(self, part: _Event) -> Iterator:
         import pyarrow as pa
 
+        if part is None:  # no event is asked for
+            return
         system, _ = self._files()
         h, w = self.shape
+        size = np.dtype(part.kind).itemsize * h * w
         with system.open_input_file(part.path) as f:
-            f.seek(4 * h * w * part.first)
+            f.seek(part.offset + size * part.first)
             for event in range(part.first, part.stop):
-                x = np.frombuffer(f.read(4 * h * w), "<f4")
-                at = np.flatnonzero(x > self.level)
+                x = np.frombuffer(f.read(size), part.kind)
+                at = np.flatnonzero(x >= self.level if self.or_equal else x > self.level)
                 n = len(at)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part.path.rsplit("/", 1)[-1]] * n, pa.string()), pa.array(np.full(n, event)), pa.array((at // w).astype(np.int32)), pa.array((at % w).astype(np.int32)), pa.array(x[at].astype(float))],
@@ -243,9 +296,48 @@ class StackReader(DataSourceReader):
                 )
 
 
-def write_stacks(pixels: DataFrame, folder: str, rows: int, columns: int, per_file: int = 8) -> int:
-    """Writes frames (frame, ss, fs, adu) as raw stacks of ``per_file`` events a file; the number of files.
-    Frames are numbered by their own order within files of consecutive numbers."""
+class FilteredStackReader(StackReader):
+    def pushFilters(self, filters: list) -> Iterator:
+        """Takes what says which events, files or readings; the others stay with Spark."""
+        from pyspark.sql import datasource as D
+
+        for f in filters:
+            column = f.attribute[0] if getattr(f, "attribute", None) else None
+            values = set(f.value) if isinstance(f, D.In) else {getattr(f, "value", None)}
+            if None in values:
+                yield f
+            elif column == "event" and isinstance(f, (D.EqualTo, D.In)):
+                self.events = values if self.events is None else self.events & values
+            elif column == "file" and isinstance(f, (D.EqualTo, D.In)):
+                self.names = values if self.names is None else self.names & values
+            elif column == "event" and isinstance(f, (D.GreaterThan, D.GreaterThanOrEqual)):
+                self.least = max(self.least, f.value + isinstance(f, D.GreaterThan))
+            elif column == "event" and isinstance(f, (D.LessThan, D.LessThanOrEqual)):
+                top = f.value + isinstance(f, D.LessThanOrEqual)
+                self.most = top if self.most is None else min(self.most, top)
+            elif column == "adu" and isinstance(f, D.GreaterThan) and f.value >= self.level:
+                self.level, self.or_equal = float(f.value), False
+            elif column == "adu" and isinstance(f, D.GreaterThanOrEqual) and f.value > self.level:
+                self.level, self.or_equal = float(f.value), True
+            else:
+                yield f
+
+
+def stack_layouts(spark: SparkSession, folder: str, rows: int, columns: int) -> DataFrame:
+    """(file, events, wrong): the files of a folder and why those that don't fit are skipped; a row a file."""
+    found = StackReader({"path": folder, "rows": rows, "columns": columns}).layouts()
+    return spark.createDataFrame([(p.rsplit("/", 1)[-1], n, wrong) for p, n, _, _, wrong in found], "file string, events long, wrong string")
+
+
+def filters_go_down(spark: SparkSession) -> None:
+    """Lets Spark hand filters to readers of this kind."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
+def write_stacks(pixels: DataFrame, folder: str, rows: int, columns: int, per_file: int = 8, panels: int | None = None) -> int:
+    """Writes frames (frame, ss, fs, adu) as stacks of ``per_file`` events a file; the number of files.
+    Frames are numbered by their own order within files of consecutive numbers.  Raw, or with
+    ``panels`` as .npy arrays (events, panels, rows, columns)."""
     from stillframe.plans.shared import put_file
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -255,7 +347,12 @@ def write_stacks(pixels: DataFrame, folder: str, rows: int, columns: int, per_fi
             image[g["ss"], g["fs"]] = g["adu"]
             out.append(image.tobytes())
         number = int(part["frame"].iloc[0] // per_file)
-        put_file(folder, f"run-{number:06d}.raw", b"".join(out))
+        if panels is None:
+            put_file(folder, f"run-{number:06d}.raw", b"".join(out))
+        else:
+            held = io.BytesIO()
+            np.save(held, np.frombuffer(b"".join(out), "<f4").reshape(-1, panels, rows // panels, columns))
+            put_file(folder, f"run-{number:06d}.npy", held.getvalue())
         return pd.DataFrame({"file": [number]})
 
     made = pixels.select("frame", "ss", "fs", "adu", F.floor(F.col("frame") / per_file).alias("_file")).groupBy("_file").applyInPandas(lambda p: run(p), "file long")
@@ -284,6 +381,18 @@ def src07(spark, sf_dir):
     return s.agg(F.max("event").cast("int").alias("event"), F.count("*").alias("n"), F.round(F.sum("adu"), 1).alias("total"))
 
 
+@query("src05_event_arrays", "select file, event, count(*) as n, max(adu) as top from (select 'run-' || lpad(cast(frame // 8 as varchar), 6, '0') || '.npy' as file, dense_rank() over (partition by frame // 8 order by frame) - 1 as event, adu from frame_images) where event in (1, 4) and adu > 60 group by file, event", "frame_images")
+def src05_arrays(spark, sf_dir):
+    """Arrays (events, panels, rows, columns): the layout from their shape, and two events and a least reading
+    that the reader is asked for (both are the feature)."""
+    folder = f"{shared_folder(spark)}/arrays"
+    write_stacks(images(spark, sf_dir), folder, WIDTH, WIDTH, panels=2)
+    spark.dataSource.register(StackSource)
+    filters_go_down(spark)
+    s = spark.read.format("image_stack").option("path", folder).option("rows", WIDTH).option("columns", WIDTH).option("filters", "true").load()
+    return s.where("event in (1, 4) and adu > 60").groupBy("file", "event").agg(F.count("*").alias("n"), F.max("adu").alias("top"))
+
+
 @query("src12_stream_of_events", "select cast(sum(case when adu > 60 then 1 else 0 end) as bigint) as pixels, count(distinct frame) as frames from frame_images", "frame_images")
 def src12(spark, sf_dir):
     """A scan that keeps hits only: the level is tested in the reader, before rows are made."""

@@ -68,7 +68,7 @@ def pip13(spark, sf_dir):
         vol, _ = fourier.volume(X.clean(q), 32)
         return {"centre": int(round(vol[16, 16, 16]))}
 
-    return of_frames(spark, sf_dir, fn, "centre long")
+    return of_frames(spark, sf_dir, fn, "centre long").drop("_share")
 
 
 def coarse_maxima(vol: np.ndarray, step: float, shortest: float, share: float = 0.05, most: int = 400, block: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +105,7 @@ def top07(spark, sf_dir):
         a, b = fourier.maxima(vol, step, 20.0, 0.1, 50), coarse_maxima(vol, step, 20.0, 0.1, 50)
         return {"same": len(a[0]) == len(b[0]) and bool(np.allclose(np.sort(a[1]), np.sort(b[1])))}
 
-    return of_frames(spark, sf_dir, fn, "same boolean")
+    return of_frames(spark, sf_dir, fn, "same boolean").drop("_share")
 
 
 @query("krn20_central_rays", twin("found"), "planted_q")
@@ -347,6 +347,25 @@ def snk04(spark, sf_dir):
     return back.agg(F.count("*").alias("n"), F.count_distinct(serial).alias("frames"))
 
 
+@query("snk04_committed_stream", f"select count(*) as n, count(distinct frame_id) as frames, true as in_order from {FRAMES}", "planted_q")
+def snk04_stream(spark, sf_dir):
+    """Chunks that arrive as files, through the committing sink in several micro-batches: each is there once,
+    and in order within its part."""
+    from stillframe.operators.files import results
+    from stillframe.plans.shared import shared_folder
+    from stillframe.sinks.stream import ChunkSink, read_committed
+
+    folder = shared_folder(spark)
+    chunks = sink.stream_chunks(results(spark, sf_dir)).select(F.col("serial").cast("long").alias("serial"), "value")
+    chunks.repartitionByRange(max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))), "serial").sortWithinPartitions("serial").write.parquet(f"{folder}/in")
+    spark.dataSource.register(ChunkSink)
+    arriving = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    arriving.writeStream.format("ordered_chunks").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    back = read_committed(spark, f"{folder}/out").withColumn("_at", F.monotonically_increasing_id())
+    before = F.lag("serial").over(Window.partitionBy("batch", "part").orderBy("_at"))  # a part is one task's rows
+    return back.withColumn("_before", before).agg(F.count("*").alias("n"), F.count_distinct("serial").alias("frames"), F.bool_and(F.coalesce(F.col("_before") < F.col("serial"), F.lit(True))).alias("in_order"))
+
+
 @query("snk09_event_records", "select event_type as outcome, count(*) as n, round(sum(value), 2) as value from events group by event_type")
 def snk09(spark, sf_dir):
     """Events as JSON records for a callback, read again."""
