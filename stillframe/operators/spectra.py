@@ -61,7 +61,7 @@ def src19(spark, sf_dir):
     return f.select("frame_id", "axis", near.alias("is_axis"), F.round("fringe", 5).alias("fringe"))
 
 
-@query("pip13_volume_centre", "select frame_id, least(count(*), 100) as centre, cast(null as varchar) as error from planted_q group by frame_id", "planted_q")
+@query("pip13_volume_centre", "select frame_id, count(*) as centre, cast(null as varchar) as error from planted_q where qx*qx+qy*qy+qz*qz > 1e-12 group by frame_id", "planted_q")
 def pip13(spark, sf_dir):
     """The middle of each frame's Fourier volume is its number of peaks."""
     def fn(q, m, frame):
