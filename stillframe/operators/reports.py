@@ -263,10 +263,19 @@ def win14(spark, sf_dir):
 
 def size_batches(frames: DataFrame, n: str = "n_peaks", size: int = 32) -> DataFrame:
     """``frames`` with ``bucket`` (sizes within a tenth of a doubling) and ``batch``: runs of
-    ``size`` frames of about one size, so that little of a batch is padding."""
-    b = frames.withColumn("bucket", F.floor(F.log2(F.greatest(F.col(n), F.lit(1)).cast("double")) * 10).cast("int"))
-    w = Window.partitionBy("bucket").orderBy(n, "frame_id")
-    return b.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
+    ``size`` frames of about one size, so that little of a batch is padding.
+
+    Frames are numbered by their size and ranges of their number: a size that a third of all
+    frames have is no one task's work.
+    """
+    b = frames.withColumn("bucket", F.floor(F.log2(F.greatest(F.col(n), F.lit(1)).cast("double")) * 10).cast("int")).withColumn("_range", F.floor(F.col("frame_id") / (1 << 16)))
+    key = ["bucket", n, "_range"]
+    held = b.groupBy(*key).agg(F.count("*").alias("_n"))
+    so_far = Window.partitionBy("bucket").orderBy(n, "_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = held.select(*key, F.coalesce(F.sum("_n").over(so_far), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("frame_id")) - 1
+    rows = b.withColumn("_place", place).join(starts, key)
+    return rows.withColumn("batch", F.floor((F.col("_before") + F.col("_place")) / size).cast("int")).drop("_range", "_place", "_before")
 
 
 @query("top10_size_batches", "select bucket, batch, count(*) as n, cast(max(n_peaks)*count(*) - sum(n_peaks) as bigint) as padding from (select *, cast(floor((row_number() over (partition by bucket order by n_peaks, frame_id) - 1)/32) as int) as batch from (select *, cast(floor(log2(cast(greatest(n_peaks,1) as double))*10) as int) as bucket from " + COUNTS + ")) group by bucket, batch", "planted_q")
