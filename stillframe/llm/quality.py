@@ -240,7 +240,7 @@ def judge(df: DataFrame, rules: list[Rule], doc_id: str = "doc_id", text: str =
     """One row per row: doc_id, the base statistics, base_failed and kept.
 
     A null or empty text has no words and so fails the base rule.  Repeated rows are
-    judged alike, each by itself.
+    judged alike, each by itself; an empty table gives an empty one.
     """
     stats = with_statistics(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "text", ["doc_id"])
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

@@ -76,7 +76,8 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: Colum
     Returns one row per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, and
     n_shared, n_live (distinct candidates of the document that are shared; owned and
     alive), owned_by_one (kind:start:end of the live ones).  Null texts are empty;
-    null owners or repositories count as one unnamed owner or repository.
+    null owners or repositories count as one unnamed owner or repository; repeated rows have
+    rows of their own and count once for their owner; an empty table gives an empty one.
 
     One pass over the text: its candidates are checkpointed without it.  Counts are
     pre-aggregated, so an example that a third of all rows hold is a few rows per task;

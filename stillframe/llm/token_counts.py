@@ -42,7 +42,8 @@ def token_count(path: str, text: str | Column = "text") -> Column:
 def with_token_counts(df: DataFrame, path: str, limit: int = 1024, text: str = "text") -> DataFrame:
     """Adds n_bytes (UTF-8), n_tokens and over_limit to ``df``, one row per row.
 
-    Columns of these names that ``df`` already has are replaced.  A map-only
+    Columns of these names that ``df`` already has are replaced.  A null text has no bytes and no
+    tokens; repeated rows are counted each; an empty table gives an empty one.  A map-only
     plan: no shuffle, one pass over the text.
     """
     text = F.col(f"`{text}`")

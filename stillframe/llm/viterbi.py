@@ -80,7 +80,7 @@ class Vocabulary:
 def stream(v: Vocabulary, text: str) -> Iterator[list[int]]:
     """Ids of a normal form, in runs that are final when they are given out.
 
-    Ties go to the path found first (the piece that starts earliest).
+    Ties go to the path found first (the piece that starts earliest).  An empty text has no runs.
     """
     n = len(text)
     best: dict[int, float] = {0: 0.0}
