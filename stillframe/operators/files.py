@@ -5,13 +5,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stillframe.functions import lattice as L
 from stillframe.functions import lin3
 from stillframe.operators.acceptance import COUNTS, INDEXED, MISS, Q, match_counts, planted
-from stillframe.operators.geometry import PICKED, with_panel
+from stillframe.operators.geometry import OVERLAP, PICKED, overlaps, with_panel
 from stillframe.plans.registry import query, table, view
 from stillframe.plans.shared import shared_folder
 from stillframe.sinks import text as sink
@@ -58,51 +58,40 @@ def src11(spark, sf_dir):
     return back.select("frame_id", F.col("m").isNull().alias("missing"), F.round(F.col("m")[0], 4).alias("m0"), F.round(F.col("m")[8], 4).alias("m8"))
 
 
-GEOMETRY = """clen = 0.1 ; metres
-res = 10000
-q0/min_fs = 0
-q0/max_fs = 511
-q0/min_ss = 0
-q0/max_ss = 511
-q0/corner_x = -512.5
-q0/corner_y = -512.5
-q0/fs = +1.0x
-q0/ss = y ; a bare sign is one
-badstop/min_fs = 3
-badstop/max_fs = 9
-q1/min_fs = 512
-q1/max_fs = 1023
-q1/min_ss = 0
-q1/max_ss = 511
-q1/corner_x = 0.5
-q1/corner_y = -512.5
-q1/fs = -0.5x +0.866y
-q1/ss = -0.866x -0.5y
-q1/res = 5000
-q1/dim0 = 2
-half/min_fs = 1
-"""
-
-
-def geometry_file(spark: SparkSession) -> str:
-    path = f"{shared_folder(spark)}/geometry"
-    spark.createDataFrame([(GEOMETRY,)], "value string").coalesce(1).write.text(path)
-    return path
-
-
-@query("src01_geometry", "select * from (values (0, 'q0', 511.0::double, 1.0::double, 0.0::double, 10000.0::double), (1, 'q1', 1023.0, -0.5, 0.866, 5000.0)) t(ord, panel, max_fs, fsx, fsy, res)")
+def geometry_texts(detectors: DataFrame) -> DataFrame:
+    """(det, text): a geometry text a detector, with two defaults for the resolution, own ones, a mask, and
+    panels without a bound."""
+    number = lambda c: F.format_string("%.3f", c)
+    keys = {n: F.format_string("%d", F.col(n).cast("long")) for n in ("min_fs", "max_fs", "min_ss")}
+    keys |= {n: number(F.col(n)) for n in ("corner_x", "corner_y")}
+    keys["max_ss"] = F.when(F.col("size") % 11 != 5, F.format_string("%d ; the last row", F.col("max_ss").cast("long")))
+    keys["fs"] = F.format_string("%.3fx %+.3fy", "fsx", "fsy")
+    keys["ss"] = F.when(F.col("size") % 2 == 0, "-x").otherwise("y")
+    keys["res"] = F.when(F.col("size") % 3 == 0, F.format_string("%d", 5000 + F.col("size")))
+    keys["dim0"] = F.when(F.col("size") % 4 < 2, "%")
+    keys["dim1"] = F.when(F.col("size") % 4 == 1, "ss")
+    lines = F.array_compact(F.array(*(F.concat(F.format_string("p%d/", "ord"), F.lit(f"{k} = "), v) for k, v in keys.items())))
+    block = F.concat(F.when(F.col("ord") == F.min("ord").over(Window.partitionBy("det", F.col("ord") < 8)), F.when(F.col("ord") < 8, F.format_string("res = %d\n", 4000 + 100 * (F.col("det") % 7))).otherwise(F.lit("res = 8000\n"))).otherwise(F.lit("")), F.array_join(lines, "\n"))
+    parts = detectors.select("det", "ord", block.alias("block")).groupBy("det").agg(F.array_sort(F.collect_list(F.struct("ord", "block"))).alias("b"))
+    return parts.select("det", F.concat(F.lit("clen = 0.1 ; metres\nbadstop/min_fs = 3\n"), F.array_join("b.block", "\n"), F.lit("\nbadstop/max_fs = 9\n")).alias("text"))
+
+
+@query("src01_geometry", "select det, cast(row_number() over (partition by det order by ord)-1 as int) as ord, concat('p', cast(ord as varchar)) as panel, max_fs, max_ss, corner_x, fsx, fsy, cast(case when size % 2 = 0 then -1 else 0 end as double) as ssx, cast(case when size % 3 = 0 then 5000 + size when ord < 8 then 4000 + 100*(det % 7) else 8000 end as double) as res, cast('0.1' as double) as clen from detectors where size % 11 <> 5", "detectors")
 def src01(spark, sf_dir):
-    """Panels of a geometry text: defaults, overrides, comments, masks and a block without
-    bounds, which is left out."""
-    return source.read_geometry(spark, geometry_file(spark)).select("ord", "panel", "max_fs", "fsx", "fsy", "res")
+    """Panels of every detector's geometry text: defaults by their place, overrides, comments, masks and
+    blocks without bounds, which are left out."""
+    panels = source.parse_geometry(geometry_texts(view(spark, sf_dir, "detectors")), ["det"])
+    zero = lambda n: (F.col(n) + 0.0).alias(n)
+    return panels.select("det", "ord", "panel", "max_fs", "max_ss", "corner_x", zero("fsx"), zero("fsy"), zero("ssx"), "res", "clen")
 
 
-@query("src02_geometry_dims", "select * from (values ('q0', 0), ('q1', 1)) t(panel, dims)")
+@query("src02_geometry_dims", "select det, concat('p', cast(ord as varchar)) as panel, cast(case size % 4 when 0 then 1 when 1 then 2 else 0 end as int) as dims, cast(case when size % 4 < 2 then 1 else 0 end as int) as event_dims from detectors where size % 11 <> 5", "detectors")
 def src02(spark, sf_dir):
-    """The second schema of a geometry: panels with their slab keys (dimN), from the same text."""
-    lines = spark.read.text(geometry_file(spark))
-    dims = lines.where(F.col("value").rlike(r"^\w+/dim\d+\s*=")).groupBy(F.substring_index("value", "/", 1).alias("panel")).agg(F.count("*").cast("int").alias("dims"))
-    return source.read_geometry(spark, geometry_file(spark)).select("panel").join(dims, "panel", "left").select("panel", F.coalesce("dims", F.lit(0)).alias("dims"))
+    """The second schema of the geometries: panels with the axes of their stored arrays, from the same
+    texts."""
+    texts = geometry_texts(view(spark, sf_dir, "detectors"))
+    axes = source.slab_axes(texts, ["det"])
+    return source.parse_geometry(texts, ["det"]).select("det", "panel").join(axes, ["det", "panel"], "left").select("det", "panel", *(F.coalesce(n, F.lit(0)).alias(n) for n in ("dims", "event_dims")))
 
 
 @query("src03_stream_peaks", f"select frame_id, count(*) as n, round(sum(round(qx*1000, 2)), 2) as fs, round(sum(round(qy*1000, 2)), 2) as ss from planted_q group by frame_id", "planted_q")
@@ -261,15 +250,33 @@ def prj25(spark, sf_dir):
     return p.groupBy((F.floor("ss") + 1200 * F.col("ord")).alias("slab_ss")).agg(F.count("*").alias("n"))
 
 
-@query("prj34_hermite_forms", "with i as (select unnest(range(1, 7)) as idx), g as (select idx, a, d, cast(idx/(a*d) as int) as e from i, (select unnest(range(1,7)) as a), (select unnest(range(1,7)) as d) where a <= idx and d <= idx and idx % (a*d) = 0) select idx, cast(sum(d*e*e) as bigint) as n from g group by idx".replace("with i as", "select * from (with i as") + ")")
-def prj34(spark, sf_dir):
-    """Sublattices of each index: all Hermite forms of the kernel, counted; the twin sums d e^2 over
-    the factorisations."""
+FORMS = """(select idx, count(*) as n, sum(x*x) as s1, sum(d*d + p*p) as s2, sum(e*e + q*q + r*r) as s3
+    from (select idx, x, d, cast(idx/(x*d) as int) as e from (select unnest(range(1, 7)) as idx), (select unnest(range(1, 7)) as x), (select unnest(range(1, 7)) as d) where x*d <= idx and idx % (x*d) = 0),
+         (select unnest(range(0, 6)) as p), (select unnest(range(0, 6)) as q), (select unnest(range(0, 6)) as r) where p < d and q < e and r < e group by idx)"""
+
+
+def sublattices(bases: DataFrame, by: list[str], most: int) -> DataFrame:
+    """by, idx, form, m: every sublattice of each basis (m, row by row, axes in columns) up to an index, each
+    once: its axes are the rows of a Hermite form times the basis's axes.  The forms are constants of the
+    plan, 178 of them to index six."""
     from stillframe.kernels.reduction import hermite_forms
 
-    rows = [(i, *map(int, h.ravel())) for i in range(1, 7) for h in hermite_forms(i)]
-    t = spark.createDataFrame(rows, "idx long, " + ", ".join(f"h{k} int" for k in range(9)))
-    return t.distinct().where(lin3.det([F.col(f"h{k}") for k in range(9)]) == F.col("idx")).groupBy("idx").agg(F.count("*").alias("n"))
+    forms = F.array(*(F.struct(F.lit(i).alias("idx"), F.array(*(F.lit(int(x)) for x in h.ravel())).alias("h")) for i in range(1, most + 1) for h in hermite_forms(i)))
+    rows = bases.select(*by, "m", F.posexplode(forms).alias("form", "f"))
+    axes = [[F.col("m")[3 * r + k] for r in range(3)] for k in range(3)]
+    new = lambda j, r: sum((F.col("f.h")[3 * j + k] * axes[k][r] for k in range(1, 3)), F.col("f.h")[3 * j] * axes[0][r])
+    return rows.select(*by, F.col("f.idx").alias("idx"), "form", F.array(*(new(j, r) for r in range(3) for j in range(3))).alias("m"))
+
+
+@query("prj34_hermite_forms", f"select hyp_id, cast(idx as int) as idx, n, round(n*idx*a*b*c, 2) as volume, round(s1*a*a + s2*b*b + s3*c*c, 2) as edges from cells, {FORMS}", "cells")
+def prj34(spark, sf_dir):
+    """Sublattices of every cell to index six: how many, their volumes and squared edges; the twin
+    counts forms by their factors."""
+    zero = F.lit(0.0)
+    c = view(spark, sf_dir, "cells").select("hyp_id", F.array("a", zero, zero, zero, "b", zero, zero, zero, F.col("c").cast("double")).alias("m"))
+    m = lin3.matrix("m")
+    s = sublattices(c, ["hyp_id"], 6).select("hyp_id", "idx", lin3.det(m).alias("v"), sum((lin3.dot(x, x) for x in lin3.columns(m)), zero).alias("e"))
+    return s.groupBy("hyp_id", "idx").agg(F.count("*").alias("n"), F.round(F.sum("v"), 2).alias("volume"), F.round(F.sum("e"), 2).alias("edges"))
 
 
 @query("flt04_matched", f"select frame_id, count(*) filter ({MISS} < 0.15) as strict, count(*) filter ({MISS} < 0.10) as tight, count(*) filter ({MISS} < 0.25) as loose from {INDEXED} group by frame_id", "planted_q")
@@ -286,14 +293,11 @@ def flt14(spark, sf_dir):
     return view(spark, sf_dir, "measurements").groupBy("frame").agg(F.count("*").alias("n"), F.count_if(i != 0.0).alias("kept"))
 
 
-@query("join09_rectangle_overlap", "select x.ord as left_ord, y.ord as right_ord, cast((least(x.max_fs,y.max_fs)-greatest(x.min_fs,y.min_fs)+1)*(least(x.max_ss,y.max_ss)-greatest(x.min_ss,y.min_ss)+1) as bigint) as area from panels x join panels y on x.ord < y.ord where x.min_fs <= y.max_fs and y.min_fs <= x.max_fs and x.min_ss <= y.max_ss and y.min_ss <= x.max_ss", "panels")
+@query("join09_rectangle_overlap", f"select x.det, x.ord as left_ord, y.ord as right_ord, cast((least(x.max_fs,y.max_fs)-greatest(x.min_fs,y.min_fs)+1)*(least(x.max_ss,y.max_ss)-greatest(x.min_ss,y.min_ss)+1) as bigint) as area from {OVERLAP}", "detectors")
 def join09(spark, sf_dir):
-    """Overlapping panels and the pixels they share (a small table with itself)."""
-    p = view(spark, sf_dir, "panels")
-    hit = F.expr("a.ord < b.ord and a.min_fs <= b.max_fs and b.min_fs <= a.max_fs and a.min_ss <= b.max_ss and b.min_ss <= a.max_ss")
-    both = p.alias("a").join(F.broadcast(p.alias("b")), hit)
-    area = F.expr("(least(a.max_fs,b.max_fs)-greatest(a.min_fs,b.min_fs)+1)*(least(a.max_ss,b.max_ss)-greatest(a.min_ss,b.min_ss)+1)").cast("long")
-    return both.select(F.col("a.ord").alias("left_ord"), F.col("b.ord").alias("right_ord"), area.alias("area"))
+    """Overlapping panels of each detector and the pixels they share."""
+    side = lambda n: F.expr(f"least(a.max_{n}, b.max_{n}) - greatest(a.min_{n}, b.min_{n}) + 1")
+    return overlaps(view(spark, sf_dir, "detectors"), ["det"]).select(F.col("a.det").alias("det"), F.col("a.ord").alias("left_ord"), F.col("b.ord").alias("right_ord"), (side("fs") * side("ss")).cast("long").alias("area"))
 
 
 @query("set04_residual", f"select frame_id, count(*) as n, round(sum(qx*qx+qy*qy+qz*qz), 6) as q2 from {INDEXED} where not {MISS} < 0.15 group by frame_id", "planted_q")
@@ -328,12 +332,12 @@ def calibrated(pixels: DataFrame, planes: DataFrame) -> DataFrame:
 STAGES = [(0, 10.0, 0.5), (1, 4.0, 12.0), (3, 2.0, 150.0)]
 
 
-@query("pip10_gain_stages", "select stage, count(*) as n, round(sum(case stage when 0 then (v-10)*0.5 when 1 then (v-4)*12 when 3 then (v-2)*150 end), 4) as kev from (select (ss+fs) % 4 as stage, cast(adu as int) as v from image) group by stage", "image")
+@query("pip10_gain_stages", "select frame, stage, count(*) as n, round(sum(case stage when 0 then (v-10)*0.5 when 1 then (v-4)*12 when 3 then (v-2)*150 end), 4) as kev from (select frame, (ss+fs) % 4 as stage, cast(cast(adu as int) as double) as v from frame_images) group by frame, stage", "frame_images")
 def pip10(spark, sf_dir):
-    """Readings with their gain stage in the upper bits, calibrated by a small table."""
-    i = view(spark, sf_dir, "image").withColumn("adu", F.col("adu").cast("int") + F.shiftleft((F.col("ss") + F.col("fs")) % 4, 14))
+    """Readings of every frame with their gain stage in the upper bits, calibrated by a small table."""
+    i = view(spark, sf_dir, "frame_images").withColumn("adu", F.col("adu").cast("int") + F.shiftleft((F.col("ss") + F.col("fs")) % 4, 14))
     planes = spark.createDataFrame(STAGES, "stage int, pedestal double, gain double")
-    return calibrated(i, planes).groupBy("stage").agg(F.count("*").alias("n"), F.round(F.sum("kev"), 4).alias("kev"))
+    return calibrated(i, planes).groupBy("frame", "stage").agg(F.count("*").alias("n"), F.round(F.sum("kev"), 4).alias("kev"))
 
 
 @query("exp11_scrambled_frames", "select frame_id, count(*) as n, round(sum(sqrt(qx*qx+qy*qy+qz*qz)), 4) as q, true as lost from planted_q group by frame_id", "planted_q")

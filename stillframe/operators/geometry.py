@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stillframe.functions import lattice as L
 from stillframe.functions import lin3
-from stillframe.plans.registry import query, view
+from stillframe.plans.registry import query, table, view
 
 
 def panel_rows(panels: DataFrame) -> list:
@@ -103,13 +103,22 @@ def prj03(spark, sf_dir):
     return project(v, panels, 0.1, 1.3).groupBy("ord").agg(F.count("*").alias("n"), F.round(F.sum("fs2"), 3).alias("fs"), F.round(F.sum("ss2"), 3).alias("ss"))
 
 
-@query("flt17_overlaps", "select a.ord as left_ord, b.ord as right_ord from panels a join panels b on a.ord < b.ord and a.min_fs <= b.max_fs and b.min_fs <= a.max_fs and a.min_ss <= b.max_ss and b.min_ss <= a.max_ss", "panels")
+def overlaps(panels: DataFrame, by: list[str]) -> DataFrame:
+    """Pairs (a, b) of panels of one detector, in their order, whose rectangles overlap: an equi join on the
+    detector, whose panels are at most some hundreds."""
+    a, b = panels.alias("a"), panels.alias("b")
+    same = [F.col(f"a.{n}") == F.col(f"b.{n}") for n in by]
+    meets = F.expr("a.ord < b.ord and a.min_fs <= b.max_fs and b.min_fs <= a.max_fs and a.min_ss <= b.max_ss and b.min_ss <= a.max_ss")
+    return a.join(b, [*same, meets])
+
+
+OVERLAP = "detectors x join detectors y on x.det = y.det and x.ord < y.ord where x.min_fs <= y.max_fs and y.min_fs <= x.max_fs and x.min_ss <= y.max_ss and y.min_ss <= x.max_ss"
+
+
+@query("flt17_overlaps", f"select x.det, x.ord as ord, count(*) as later from {OVERLAP} group by 1, 2", "detectors")
 def flt17(spark, sf_dir):
-    """Panels whose rectangles overlap (interval self-join of the small panel table)."""
-    p = view(spark, sf_dir, "panels")
-    a, b = p.alias("a"), F.broadcast(p.alias("b"))
-    hit = F.expr("a.ord < b.ord and a.min_fs <= b.max_fs and b.min_fs <= a.max_fs and a.min_ss <= b.max_ss and b.min_ss <= a.max_ss")
-    return a.join(b, hit).select(F.col("a.ord").alias("left_ord"), F.col("b.ord").alias("right_ord"))
+    """Panels of every detector that later ones overlap, so the detector has no slab without overlap."""
+    return overlaps(view(spark, sf_dir, "detectors"), ["det"]).groupBy("a.det", "a.ord").agg(F.count("*").alias("later"))
 
 
 @query("set02_slab_union", f"select slab_ss, count(*) as n from (select cast(floor(ss) as bigint) % 128 + 128*ord as slab_ss from {PICKED}) group by 1", "points panels")
@@ -134,6 +143,7 @@ def exp13(spark, sf_dir):
     return view(spark, sf_dir, "points").withColumn("r", F.row_number().over(w)).where("r <= 5").groupBy("frame").agg(F.count("*").alias("kept"))
 
 
-@query("prj28_wavelength", "select cast(k as int) as k, round(12398.419843320026/(8000+k), 9) as wavelength from (select unnest(range(0, 200)) as k)")
+@query("prj28_wavelength", "select event_id, round(12398.419843320026/(8000+value), 9) as wavelength from events")
 def prj28(spark, sf_dir):
-    return spark.range(200).select(F.col("id").cast("int").alias("k"), F.round(L.wavelength_of_energy((8000 + F.col("id")).cast("double")), 9).alias("wavelength"))
+    """Wavelengths of the events' photon energies."""
+    return table(spark, sf_dir, "events").select("event_id", F.round(L.wavelength_of_energy((8000 + F.col("value")).cast("double")), 9).alias("wavelength"))

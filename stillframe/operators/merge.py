@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stillframe.functions import lattice as L
+from stillframe.functions import lin3
 from stillframe.functions.symmetry import operators, unique_key
 from stillframe.plans.registry import query, view
 
@@ -219,30 +220,51 @@ def _register_keys() -> None:
 _register_keys()
 
 
-@query("prj17_group_orders", """with g as (select * from (values ('-1',0,0,0),('2/m',0,0,0),('mmm',0,0,0),('4/m',0,0,0),('4/mmm',0,0,0),('-3',1,0,0),('-3m',1,0,0),('6/m',1,0,0),('6/mmm',1,0,0),('m-3',0,1,0),('m-3m',0,1,0)) t(laue, hexagonal, cubic, x)),
-    m as (select a.v as a, b.v as b, c.v as c, d.v as d, e.v as e, f.v as f, p.v as p, q.v as q, r.v as r from (select unnest([-1,0,1]) as v) a, (select unnest([-1,0,1]) as v) b, (select unnest([-1,0,1]) as v) c, (select unnest([-1,0,1]) as v) d, (select unnest([-1,0,1]) as v) e, (select unnest([-1,0,1]) as v) f, (select unnest([-1,0,1]) as v) p, (select unnest([-1,0,1]) as v) q, (select unnest([-1,0,1]) as v) r),
-    cube as (select * from m where a*a+b*b+c*c = 1 and d*d+e*e+f*f = 1 and p*p+q*q+r*r = 1 and a*d+b*e+c*f = 0 and a*p+b*q+c*r = 0 and d*p+e*q+f*r = 0),
-    hexa as (select * from m where c=0 and f=0 and p=0 and q=0 and r*r=1 and a*a+a*d+d*d = 1 and b*b+b*e+e*e = 1 and 2*a*b+a*e+b*d+2*d*e = 1),
-    det as (select *, a*(e*r-f*q)-b*(d*r-f*p)+c*(d*q-e*p) as det, a+e+r as tr from cube)
-    select '-1' as laue, (select count(*) from cube where b=0 and c=0 and f=0 and a=e and e=r)::int as n
-    union all select '2/m', (select count(*) from cube where b=0 and c=0 and d=0 and f=0 and p=0 and q=0 and a=r)::int
-    union all select 'mmm', (select count(*) from cube where b=0 and c=0 and d=0 and f=0 and p=0 and q=0)::int
-    union all select '4/m', (select count(*) from cube where r*r=1 and a=e and b=-d)::int
-    union all select '4/mmm', (select count(*) from cube where r*r=1)::int
-    union all select '-3', (select count(*) from hexa where a*e-b*d = 1 and (a*a+b*b+d*d+e*e = 2 and a+e = 2 or a+e = -1) and r = 1)::int * 2
-    union all select '-3m', (select count(*) from hexa where (a*e-b*d)*r = 1 and (r = 1 and a+e in (2,-1) or r = -1 and (a = 1 and b = 0 or d = 0 and e = 1 or a = 0 and b = 1)))::int * 2
-    union all select '6/m', (select count(*) from hexa where a*e-b*d = 1)::int
-    union all select '6/mmm', (select count(*) from hexa)::int
-    union all select 'm-3', (select count(*) from cube where a*a=1 and e*e=1 and r*r=1 or b*b=1 and f*f=1 and p*p=1 or c*c=1 and d*d=1 and q*q=1)::int
-    union all select 'm-3m', (select count(*) from cube)::int""")
-def prj17(spark, sf_dir):
-    """Order of each class, counted from its closed operator table; the twin counts the
-    integer matrices that keep the metric and the class's axes."""
+def kept_operators(cells: DataFrame, by: list[str]) -> DataFrame:
+    """by, op, classes: the operators of all classes that leave each cell's reciprocal metric (g, nine entries)
+    as it is, and the classes each belongs to.  The operators are constants of the plan, at most 72 a cell."""
     from stillframe.functions.symmetry import CLASSES
 
-    rows = [(name, *m) for name in CLASSES for m in operators(name)]
-    t = spark.createDataFrame(rows, "laue string, " + ", ".join(f"m{i} int" for i in range(9)))
-    return t.distinct().groupBy("laue").agg(F.count("*").cast("int").alias("n"))
+    classes: dict[tuple, list[str]] = {}
+    for name in CLASSES:
+        for m in operators(name):
+            classes.setdefault(m, []).append(name)
+    table = F.array(*(F.struct(F.array(*(F.lit(x) for x in m)).alias("m"), F.array(*(F.lit(x) for x in names)).alias("classes")) for m, names in classes.items()))
+    rows = cells.select(*by, "g", F.posexplode(table).alias("op", "o"))
+    m, g = [F.col("o.m")[i] for i in range(9)], [F.col("g")[i] for i in range(9)]
+    scale = g[0] + g[4] + g[8]
+    same = F.lit(True)
+    for i in range(3):
+        for j in range(i, 3):
+            turned = sum((m[3 * r + i] * g[3 * r + s] * m[3 * s + j] for r in range(3) for s in range(3)), F.lit(0.0))
+            same = same & (F.abs(turned - g[3 * i + j]) < 1e-9 * scale)
+    return rows.where(same).select(*by, "op", F.col("o.classes").alias("classes"))
+
+
+def metric_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(hyp_id, kind, g): the reciprocal metric of every cell of the view."""
+    right = F.lit(90.0)
+    c = view(spark, sf_dir, "metrics")
+    inv = lin3.inverse(L.basis_of_cell(F.col("a"), F.col("b"), F.col("c"), right, F.col("be"), F.col("ga")))
+    c = c.select("hyp_id", "kind", F.array(*inv).alias("m"))
+    rows = [[F.col("m")[3 * r + k] for k in range(3)] for r in range(3)]
+    return c.select("hyp_id", "kind", F.array(*(lin3.dot(u, v) for u in rows for v in rows)).alias("g"))
+
+
+@query("prj17_group_orders", """, d as (select distinct kind, a, b, c, round(a*c*cos(radians(be)), 6) as ac, case when kind = 3 then -a*b/2 else 0 end as ab from metrics),
+    v as (select unnest([-1, 0, 1]) as x), w as (select x.x as x, y.x as y, z.x as z from v x, v y, v z),
+    k as (select d.*, x, y, z, x*x*d.a*d.a + y*y*d.b*d.b + z*z*d.c*d.c + 2*(x*z*ac + x*y*ab) as s from d, w),
+    n as (select p.kind, p.a, count(*) as n from k p join k q on p.kind = q.kind and p.a = q.a join k r on p.kind = r.kind and p.a = r.a
+          where abs(p.s - p.a*p.a) < 0.001 and abs(q.s - q.b*q.b) < 0.001 and abs(r.s - r.c*r.c) < 0.001
+            and abs(p.x*q.x*p.a*p.a + p.y*q.y*p.b*p.b + p.z*q.z*p.c*p.c + (p.x*q.z+p.z*q.x)*p.ac + (p.x*q.y+p.y*q.x)*p.ab - p.ab) < 0.001
+            and abs(p.x*r.x*p.a*p.a + p.y*r.y*p.b*p.b + p.z*r.z*p.c*p.c + (p.x*r.z+p.z*r.x)*p.ac + (p.x*r.y+p.y*r.x)*p.ab - p.ac) < 0.001
+            and abs(q.x*r.x*p.a*p.a + q.y*r.y*p.b*p.b + q.z*r.z*p.c*p.c + (q.x*r.z+q.z*r.x)*p.ac + (q.x*r.y+q.y*r.x)*p.ab) < 0.001
+          group by 1, 2)
+    select hyp_id, n from metrics join n using (kind, a)""", "metrics")
+def prj17(spark, sf_dir):
+    """Order of every cell's group: the operators of all classes that keep its reciprocal metric; the twin
+    counts all integer matrices that keep the metric of its axes."""
+    return kept_operators(metric_cells(spark, sf_dir), ["hyp_id"]).groupBy("hyp_id").agg(F.count("*").alias("n"))
 
 
 @registered("prj18_partiality", "select h, k, l, round(greatest(least(exp(-x*x/(2*s*s)), 1), 0.02), 6) as p from (select h, k, l, x, sqrt((q*0.001)*(q*0.001) + (q*q*0.65*0.002)*(q*q*0.65*0.002) + 1e-8) as s from (select distinct h, k, l, sqrt(cast(h*h+k*k as double)/6241 + cast(l*l as double)/1444) as q, cast(h+k+l as double)/10000 as x from measurements))")

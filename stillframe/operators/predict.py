@@ -168,24 +168,30 @@ def prj27(spark, sf_dir):
     return p.groupBy("unit").agg(F.round(F.sum(v), 6).alias("total"))
 
 
-def figure_of_merit(observed: DataFrame, calculated: DataFrame, lines: int = 20) -> DataFrame:
-    """M = Q_N / (2 max(mean |dQ|, 1e-4 Q_N) N_distinct) over the first ``lines`` lines."""
-    o = observed.orderBy("qo").limit(lines)
-    qn = o.agg(F.max("qo").alias("qn"))
-    m = nearest(o, "qo", calculated, "qc", 0.001).agg(F.avg("distance").alias("dq"))
-    n = calculated.crossJoin(F.broadcast(qn)).where("qc <= qn").agg(F.count_distinct(F.round("qc", 6)).alias("n"))
-    one = m.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(qn))  # one row each
-    return one.select(F.round(F.try_divide(F.col("qn"), 2 * F.greatest(F.col("dq"), 1e-4 * F.col("qn")) * F.col("n")), 6).alias("m20"), "n")
+def figure_of_merit(observed: DataFrame, calculated: DataFrame, by: list[str], lines: int = 20) -> DataFrame:
+    """by, m20, n: M = Q_N / (2 max(mean |dQ|, 1e-4 Q_N) N_distinct) over the first ``lines`` lines (the figure's
+    own number) of each value of ``by``.
+
+    ``observed`` has by and qo, ``calculated`` qc: the lines of one cell, some thousands at most, of which
+    one row a distinct line is counted.  A value of ``by`` without lines has no row.
+    """
+    first = Window.partitionBy(*by).orderBy("qo")
+    o = observed.withColumn("_line", F.row_number().over(first)).where(F.col("_line") <= lines)
+    m = nearest(o, "qo", calculated, "qc", 0.001).groupBy(*by).agg(F.max("qo").alias("qn"), F.avg("distance").alias("dq"))
+    all_lines = F.broadcast(calculated.groupBy(F.round("qc", 6).alias("r")).agg(F.min("qc").alias("qc")).agg(F.array_sort(F.collect_list("qc")).alias("_all")))  # one row
+    one = m.crossJoin(all_lines).withColumn("n", F.size(F.filter("_all", lambda x: x <= F.col("qn"))).cast("long"))
+    return one.select(*by, F.round(F.try_divide(F.col("qn"), 2 * F.greatest(F.col("dq"), 1e-4 * F.col("qn")) * F.col("n")), 4).alias("m20"), "n")
 
 
 CALC = "(select distinct (h*h+k*k)/cast(6241 as double) + l*l/cast(1444 as double) as qc from (select unnest(range(0,8)) as h) a, (select unnest(range(0,8)) as k) b, (select unnest(range(0,5)) as l) c where h+k+l > 0)"
-OBS = "(select qc + cast((h+k) as double)/100000 as qo from (select min(h) as h, min(k) as k, (h*h+k*k)/cast(6241 as double) + l*l/cast(1444 as double) as qc from (select unnest(range(0,4)) as h) a, (select unnest(range(0,4)) as k) b, (select unnest(range(0,3)) as l) c where h+k+l > 0 group by 3) order by qo limit 20)"
+OBS = "(select frame_id, qo from (select frame_id, qo, row_number() over (partition by frame_id order by qo) as r from (select distinct frame_id, round(qx*qx+qy*qy+qz*qz, 7) as qo from planted_q) where qo > 0.0001) where r <= 20)"
 
 
-@query("agg34_m20", f"with o as {OBS}, c as {CALC}, q as (select max(qo) as qn from o), d as (select avg(x) as dq from (select qo, min(abs(qo-qc)) as x from o, c group by qo)), n as (select count(distinct round(qc,6)) as n from c, q where qc <= qn) select round(qn/(2*greatest(dq, 0.0001*qn)*n), 6) as m20, n from q, d, n")
+@query("agg34_m20", f", o as {OBS}, c as {CALC}, d as (select frame_id, max(qo) as qn, avg(x) as dq from (select frame_id, qo, min(abs(qo-qc)) as x from o, c group by 1, 2) group by 1), n as (select frame_id, count(*) as n from d, (select min(qc) as qc from c group by round(qc, 6)) u where u.qc <= d.qn group by 1) select frame_id, round(qn/(2*greatest(dq, 0.0001*qn)*n), 4) as m20, n from d join n using (frame_id)", "planted_q")
 def agg34(spark, sf_dir):
+    """The figure of merit of the known cell on the first twenty lines of every frame."""
     g = grid(spark, (7, 7, 4)).where("h >= 0 and k >= 0 and l >= 0")
-    q = (F.col("h") ** 2 + F.col("k") ** 2) / 6241.0 + F.col("l") ** 2 / 1444.0
-    calc = g.select(q.alias("qc")).distinct()
-    few = g.where("h < 4 and k < 4 and l < 3").groupBy(q.alias("qc")).agg(F.min("h").alias("h"), F.min("k").alias("k"))
-    return figure_of_merit(few.select((F.col("qc") + (F.col("h") + F.col("k")) / 100000.0).alias("qo")), calc)
+    calc = g.select(((F.col("h") ** 2 + F.col("k") ** 2) / 6241.0 + F.col("l") ** 2 / 1444.0).alias("qc")).distinct()
+    q = [F.col(n) for n in ("qx", "qy", "qz")]
+    lines = view(spark, sf_dir, "planted_q").select("frame_id", F.round(lin3.dot(q, q), 7).alias("qo")).distinct().where("qo > 0.0001")
+    return figure_of_merit(lines, calc, ["frame_id"])

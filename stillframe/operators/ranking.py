@@ -254,16 +254,16 @@ def set06(spark, sf_dir):
     return view(spark, sf_dir, "measurements").select("h", "k", "l").distinct()
 
 
-@query("set07_subgroup", "select * from (values ('-1','mmm',true),('2/m','mmm',true),('4/m','mmm',false),('mmm','4/mmm',true),('-3','m-3',false),('mmm','m-3m',true)) t(sub, super, is_sub)")
+@query("set07_subgroup", "select hyp_id, laue from metrics join (values ('-1',0),('-1',1),('-1',2),('-1',3),('-1',4),('2/m',0),('2/m',1),('2/m',2),('2/m',4),('mmm',0),('mmm',1),('mmm',2),('4/m',1),('4/m',2),('4/mmm',1),('4/mmm',2),('m-3',2),('m-3m',2),('-3',3),('-3m',3),('6/m',3),('6/mmm',3)) t(laue, kind) using (kind)", "metrics")
 def set07(spark, sf_dir):
-    """Whether every operator of one group is in another (an empty anti join)."""
-    from stillframe.functions.symmetry import GENERATORS, operators
-
-    ops = spark.createDataFrame([(n, ",".join(map(str, m))) for n in GENERATORS for m in operators(n)], "laue string, op string")
-    ask = spark.createDataFrame([("-1", "mmm"), ("2/m", "mmm"), ("4/m", "mmm"), ("mmm", "4/mmm"), ("-3", "m-3"), ("mmm", "m-3m")], "sub string, super string")
-    need = ask.join(ops.withColumnRenamed("laue", "sub"), "sub")
-    missing = need.join(ops.withColumnRenamed("laue", "super"), ["super", "op"], "left_anti").select("sub", "super").distinct().withColumn("is_sub", F.lit(False))
-    return ask.join(missing, ["sub", "super"], "left").withColumn("is_sub", F.coalesce("is_sub", F.lit(True)))
+    """The classes that are subgroups of each cell's own group: all their operators are among those that
+    keep its metric."""
+    from stillframe.functions.symmetry import CLASSES, operators
+    from stillframe.operators.merge import kept_operators, metric_cells
+
+    order = F.create_map(*(x for n in CLASSES for x in (F.lit(n), F.lit(len(operators(n))))))
+    own = kept_operators(metric_cells(spark, sf_dir), ["hyp_id"]).select("hyp_id", F.explode("classes").alias("laue"))
+    return own.groupBy("hyp_id", "laue").agg(F.count("*").alias("n")).where(F.col("n") == order[F.col("laue")]).select("hyp_id", "laue")
 
 
 @query("set08_any_solved", "select frame_id from cells where a = 30 union select frame_id from cells where c > 74", "cells")

@@ -44,19 +44,19 @@ def src06(spark, sf_dir):
     return p.select(key.alias("file_id"), layout(override, 2 + key % 3, size % 9 == 4, F.when(key % 4 == 1, size % 5), size % 7, size % 3).alias("layout"))
 
 
-def panel_specs(panels: DataFrame) -> DataFrame:
-    """Panels in the form of the projection: shape, corner, directions, slab window."""
+def panel_specs(panels: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Panels (of the detectors ``by``) in the form of the projection: shape, corner, directions, slab window."""
     return panels.select(
-        "ord", (F.col("max_fs") - F.col("min_fs") + 1).cast("int").alias("n_fs"), (F.col("max_ss") - F.col("min_ss") + 1).cast("int").alias("n_ss"),
+        *by, "ord", (F.col("max_fs") - F.col("min_fs") + 1).cast("int").alias("n_fs"), (F.col("max_ss") - F.col("min_ss") + 1).cast("int").alias("n_ss"),
         F.array("corner_x", "corner_y").alias("corner"), F.array("min_ss", "max_ss", "min_fs", "max_fs").alias("window"),
     )
 
 
-@query("src10_panel_specs", "select ord, cast(max_fs-min_fs+1 as int) as n_fs, cast(max_ss-min_ss+1 as int) as n_ss, round(corner_x+corner_y, 6) as corner_sum, min_ss*1000000+max_ss*10000+min_fs*100+max_fs as window_key from panels", "panels")
+@query("src10_panel_specs", "select det, ord, cast(max_fs-min_fs+1 as int) as n_fs, cast(max_ss-min_ss+1 as int) as n_ss, round(corner_x+corner_y, 6) as corner_sum, min_ss*1000000+max_ss*10000+min_fs*100+max_fs as window_key from detectors", "detectors")
 def src10(spark, sf_dir):
-    s = panel_specs(view(spark, sf_dir, "panels"))
+    s = panel_specs(view(spark, sf_dir, "detectors"), ("det",))
     w = F.col("window")
-    return s.select("ord", "n_fs", "n_ss", F.round(F.col("corner")[0] + F.col("corner")[1], 6).alias("corner_sum"), (w[0] * 1000000 + w[1] * 10000 + w[2] * 100 + w[3]).alias("window_key"))
+    return s.select("det", "ord", "n_fs", "n_ss", F.round(F.col("corner")[0] + F.col("corner")[1], 6).alias("corner_sum"), (w[0] * 1000000 + w[1] * 10000 + w[2] * 100 + w[3]).alias("window_key"))
 
 
 def problems(panels: DataFrame) -> DataFrame:

@@ -150,12 +150,21 @@ def pip21(spark, sf_dir):
     return m.groupBy("frame_id").agg(F.count("*").alias("n"), F.round(F.sum(F.expr("xqx*xqx+xqy*xqy+xqz*xqz")), 5).alias("l1"), F.round(F.sum(F.expr("xqx*yqx+xqy*yqy+xqz*yqz")), 5).alias("dots"))
 
 
-@query("src15_pixel_coordinates", "select ord, cast((max_fs-min_fs+1)*(max_ss-min_ss+1) as bigint) as n, round((max_fs-min_fs+1)*(max_ss-min_ss+1)*(corner_x + (max_fs-min_fs)/2)/10000, 6) as x from panels", "panels")
+def pixel_coordinates(panels: DataFrame, by: list[str], res: float) -> DataFrame:
+    """by, ord, ss, fs, x, y: where each pixel of each panel lies, in metres."""
+    steps = lambda n: F.explode(F.sequence(F.lit(0), (F.col(f"max_{n}") - F.col(f"min_{n}")).cast("int")))
+    p = panels.withColumn("i", steps("fs")).withColumn("j", steps("ss"))
+    ssx, ssy = -F.col("fsy"), F.col("fsx")  # the second direction is the first, turned
+    x = (F.col("corner_x") + F.col("i") * F.col("fsx") + F.col("j") * ssx) / res
+    y = (F.col("corner_y") + F.col("i") * F.col("fsy") + F.col("j") * ssy) / res
+    return p.select(*by, "ord", (F.col("min_ss") + F.col("j")).alias("ss"), (F.col("min_fs") + F.col("i")).alias("fs"), x.alias("x"), y.alias("y"))
+
+
+@query("src15_pixel_coordinates", "select det, ord, cast(w*h as bigint) as n, round(w*h*(corner_x + (w-1)/2*fsx - (h-1)/2*fsy)/10000, 8) as x, round(w*h*(corner_y + (w-1)/2*fsy + (h-1)/2*fsx)/10000, 8) as y from (select *, max_fs-min_fs+1 as w, max_ss-min_ss+1 as h from detectors)", "detectors")
 def src15(spark, sf_dir):
-    """Coordinates of every pixel of every panel."""
-    p = view(spark, sf_dir, "panels")
-    rows = p.withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("max_fs") - F.col("min_fs")).cast("int")))).withColumn("j", F.explode(F.sequence(F.lit(0), (F.col("max_ss") - F.col("min_ss")).cast("int"))))
-    return rows.groupBy("ord").agg(F.count("*").alias("n"), F.round(F.sum((F.col("corner_x") + F.col("i")) / 10000), 6).alias("x"))
+    """Coordinates of every pixel of every panel of all detectors."""
+    rows = pixel_coordinates(view(spark, sf_dir, "detectors"), ["det"], 10000.0)
+    return rows.groupBy("det", "ord").agg(F.count("*").alias("n"), F.round(F.sum("x"), 8).alias("x"), F.round(F.sum("y"), 8).alias("y"))
 
 
 @query("set_signed_permutations", "select 24 as n")

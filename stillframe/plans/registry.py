@@ -82,6 +82,19 @@ VIEWS = {
         union all select 1, 512, 1023, 0, 511, cast('0.5' as double), cast('-512.5' as double)
         union all select 2, 0, 1023, 512, 1023, cast('-512.5' as double), cast('3.5' as double)
         union all select 3, 500, 520, 500, 520, cast('-10.5' as double), cast('-10.5' as double)""",
+    "detectors": """
+        select cast(floor(p_partkey/16) as bigint) as det, cast(p_partkey % 16 as int) as ord,
+               cast((p_partkey*37) % 96 as double) as min_fs, cast((p_partkey*37) % 96 + p_size % 24 as double) as max_fs,
+               cast((p_partkey*53) % 80 as double) as min_ss, cast((p_partkey*53) % 80 + p_size % 17 as double) as max_ss,
+               cast(p_size as double)/4 - 60 as corner_x, cast(p_partkey % 100 as double)/8 - 30 as corner_y,
+               cast(p_size % 9 - 4 as double)/8 as fsx, cast(p_partkey % 5 - 2 as double)/4 as fsy, p_size as size
+        from part""",
+    "metrics": """
+        select p_partkey as hyp_id, p_size % 5 as kind, cast(30 + p_partkey % 40 as double) as a,
+               cast(30 + p_partkey % 40 + case when p_size % 5 in (1, 2, 3) then 0 else 13 end as double) as b,
+               cast(30 + p_partkey % 40 + case when p_size % 5 = 2 then 0 else 29 end as double) as c,
+               cast(case when p_size % 5 = 4 then 100 else 90 end as double) as be, cast(case when p_size % 5 = 3 then 120 else 90 end as double) as ga
+        from part""",
     "frame_stream": """
         select event_id as ev, user_id as run_id, event_type as outcome,
                cast(floor(value) as bigint) as n_peaks, case when floor(value) >= 6 then 1 else 0 end as hit

@@ -6,7 +6,7 @@ record is one block and large files split over tasks without a running counter.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNK_BEGIN, CHUNK_END = "----- Begin chunk -----", "----- End chunk -----"
@@ -21,43 +21,62 @@ def _axis(term: Column, axis: str) -> Column:
     return F.when(F.contains(flat, F.lit(axis)), sign.try_cast("double")).otherwise(F.lit(0.0))
 
 
-def read_geometry(spark: SparkSession, path: str) -> DataFrame:
-    """Panels of a geometry file: ord, panel, bounds, corner, fs and ss directions, res,
-    clen, coffset.
+def geometry_pairs(texts: DataFrame, by: list[str], text: str) -> DataFrame:
+    """by, at, k, v: the ``key = value`` lines of every text, without comments behind ``;``."""
+    lines = texts.select(*by, F.posexplode(F.split(text, "\n")).alias("at", "line"))
+    body = F.trim(F.regexp_replace("line", ";.*$", ""))
+    pairs = lines.select(*by, "at", body.alias("b")).where(F.contains("b", F.lit("=")))
+    return pairs.select(*by, "at", F.trim(F.substring_index("b", "=", 1)).alias("k"), F.trim(F.regexp_replace("b", r"^[^=]*=", "")).alias("v"))
+
 
-    ``key = value`` lines, comments behind ``;``.  Keys without a panel are defaults for
-    panels that come after them; blocks named ``bad...`` and blocks without a bound, a
-    corner or directions are left out.  A panel without a resolution is an error that
-    names it.
+def parse_geometry(texts: DataFrame, by: list[str], text: str = "text") -> DataFrame:
+    """Panels of geometry texts, a text for each value of ``by`` (a run's streams carry their own): by, ord,
+    panel, bounds, corner, fs and ss directions, res, clen, coffset.
+
+    Keys without a panel are defaults for panels that come after them; blocks named ``bad...`` and
+    blocks without a bound, a corner or directions are left out.  A panel without a resolution is an
+    error that names it.  A null or empty text has no panels.  A text is grouped by itself, so the work
+    is dealt by ``by``; its panels are at most some hundreds.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "line"))
-    body = F.trim(F.regexp_replace("line", ";.*$", ""))
-    pair = lines.select("at", body.alias("b")).where(F.contains("b", F.lit("="))).select("at", F.trim(F.substring_index("b", "=", 1)).alias("k"), F.trim(F.regexp_replace("b", r"^[^=]*=", "")).alias("v"))
-    rows = pair.withColumns({"panel": F.when(F.contains("k", F.lit("/")), F.substring_index("k", "/", 1)), "key": F.substring_index("k", "/", -1)})
-    own = rows.where("panel is not null and not startswith(panel, 'bad') and not startswith(panel, 'rigid') and not startswith(panel, 'group')")
-    last = lambda df, by, key: F.max_by(F.when(df["key"] == key, df["v"]), F.when(df["key"] == key, df["at"]))
+    rows = geometry_pairs(texts, by, text).withColumns({"panel": F.when(F.contains("k", F.lit("/")), F.substring_index("k", "/", 1)), "key": F.substring_index("k", "/", -1)})
+    rows = rows.where("panel is null or not (startswith(panel, 'bad') or startswith(panel, 'rigid') or startswith(panel, 'group'))")
+    last = lambda key: F.max_by(F.when(F.col("key") == key, F.col("v")), F.when(F.col("key") == key, F.col("at")))
     names = ["min_fs", "max_fs", "min_ss", "max_ss", "corner_x", "corner_y", "res", "clen", "coffset", "fs", "ss"]
-    panels = own.groupBy("panel").agg(F.min("at").alias("_first"), *(last(own, "panel", n).alias(n) for n in names))
-    common = rows.where("panel is null and key in ('res', 'clen', 'coffset')")
-    defaults = common.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("all"))
-    for key in ("res", "clen", "coffset"):
-        d = F.broadcast(defaults.where(F.col("key") == key).select(F.col("all").alias(f"_{key}")))  # one row
-        panels = panels.join(d, how="left")
-        before = F.filter(F.coalesce(f"_{key}", F.array().cast("array<struct<at:int,v:string>>")), lambda x: x["at"] < F.col("_first"))
-        panels = panels.withColumn(key, F.coalesce(key, F.element_at(F.when(F.size(before) > 0, before), -1)["v"]))
-    full = panels.where("min_fs is not null and max_fs is not null and min_ss is not null and max_ss is not null and corner_x is not null and corner_y is not null and fs is not null and ss is not null")
+    common = names[6:9]
+    # defaults and panels come from one grouping: the rows without a panel are the text's own group
+    groups = rows.groupBy(*by, "panel").agg(
+        F.min("at").alias("_first"), *(last(n).alias(n) for n in names),
+        *(F.array_sort(F.collect_list(F.when(F.col("panel").isNull() & (F.col("key") == n), F.struct("at", "v")))).alias(f"_{n}") for n in common),
+    )
+    text_rows = Window.partitionBy(*by)
+    for n in common:
+        given = F.max(F.when(F.col("panel").isNull(), F.col(f"_{n}"))).over(text_rows)
+        groups = groups.withColumn(f"_{n}", F.filter(F.coalesce(given, F.array().cast("array<struct<at:int,v:string>>")), lambda x: x["at"] < F.col("_first")))
+        groups = groups.withColumn(n, F.coalesce(n, F.get(f"_{n}", F.size(f"_{n}") - 1)["v"]))
+    full = groups.where("panel is not null and min_fs is not null and max_fs is not null and min_ss is not null and max_ss is not null and corner_x is not null and corner_y is not null and fs is not null and ss is not null")
     value = {n: F.col(n).try_cast("double") for n in names[:9]}
     value["res"] = F.coalesce(value["res"], F.raise_error(F.concat(F.lit("no resolution for panel "), F.col("panel"))).cast("double"))
-    from pyspark.sql import Window
-
-    order = Window.orderBy("_first")  # panels of one detector
+    order = text_rows.orderBy("_first")  # panels of one detector
     return full.select(
-        (F.row_number().over(order) - 1).alias("ord"), "panel", *(value[n].alias(n) for n in ("min_fs", "max_fs", "min_ss", "max_ss", "corner_x", "corner_y")),
+        *by, (F.row_number().over(order) - 1).alias("ord"), "panel", *(value[n].alias(n) for n in ("min_fs", "max_fs", "min_ss", "max_ss", "corner_x", "corner_y")),
         *(_axis(F.col(d), a).alias(f"{d}{a}") for d in ("fs", "ss") for a in "xyz"),
         value["res"].alias("res"), value["clen"].alias("clen"), F.coalesce(value["coffset"], F.lit(0.0)).alias("coffset"),
     )
 
 
+def read_geometry(spark: SparkSession, path: str) -> DataFrame:
+    """Panels of one geometry file (``parse_geometry``)."""
+    text = spark.read.text(path, wholetext=True).select(F.lit(0).alias("_file"), "value")
+    return parse_geometry(text, ["_file"], "value").drop("_file")
+
+
+def slab_axes(texts: DataFrame, by: list[str], text: str = "text") -> DataFrame:
+    """by, panel, dims, event_dims: how many axes of the stored array (``dimN``) each panel names, and how
+    many of them are the event's (``%``)."""
+    rows = geometry_pairs(texts, by, text).where(F.col("k").rlike(r"^(?!bad|rigid|group)[^/]+/dim\d+$"))
+    return rows.groupBy(*by, F.substring_index("k", "/", 1).alias("panel")).agg(F.count_distinct("k").cast("int").alias("dims"), F.count_if(F.col("v") == "%").cast("int").alias("event_dims"))
+
+
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """One row per chunk of stream text: image, event, and its body."""
     raw = spark.read.option("lineSep", CHUNK_BEGIN).text(path)
