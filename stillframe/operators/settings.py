@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from itertools import permutations, product
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -167,16 +166,12 @@ def src15(spark, sf_dir):
     return rows.groupBy("det", "ord").agg(F.count("*").alias("n"), F.round(F.sum("x"), 8).alias("x"), F.round(F.sum("y"), 8).alias("y"))
 
 
-@query("set_signed_permutations", "select 24 as n")
+@query("set_signed_permutations", "select hyp_id, cast(24 as bigint) as n, cast(4*case when a = b and b = c then 6 when a = b or b = c or a = c then 2 else 1 end as bigint) as ascending from metrics", "metrics")
 def signed_permutations(spark, sf_dir):
-    """Proper signed permutations of the axes, counted from a generated table."""
-    rows = []
-    for p in permutations(range(3)):
-        for s in product((1, -1), repeat=3):
-            m = np.zeros((3, 3), dtype=int)
-            for r, c in enumerate(p):
-                m[r, c] = s[r]
-            rows.append(tuple(int(x) for x in m.ravel()))
-    t = spark.createDataFrame(rows, ", ".join(f"m{i} int" for i in range(9)))
-    d = lin3.det([F.col(f"m{i}") for i in range(9)])
-    return t.where(d == 1).agg(F.count("*").cast("int").alias("n"))
+    """Settings of every cell by proper signed permutations of its axes, and those whose axes ascend.  The 48
+    permutations are constants of the plan."""
+    every = F.array(*(F.array(*(F.lit(s[r] if p[r] == k else 0) for r in range(3) for k in range(3))) for p in PERMUTATIONS for s in product((1, -1), repeat=3)))
+    rows = view(spark, sf_dir, "metrics").select("hyp_id", "a", "b", "c", F.explode(every).alias("m"))
+    m, axes = lin3.matrix("m"), [F.col(n) for n in "abc"]
+    x, y, z = (F.abs(lin3.dot(m[3 * r : 3 * r + 3], axes)) for r in range(3))
+    return rows.where(lin3.det(m) == 1).groupBy("hyp_id").agg(F.count("*").alias("n"), F.count_if((x <= y) & (y <= z)).alias("ascending"))
