@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,10 +51,12 @@ def with_panel(points: DataFrame, panels: DataFrame, outer: bool = False) -> Dat
 
 
 def vectors(points: DataFrame, panels: DataFrame, clen: float, wavelength: float, outer: bool = False) -> DataFrame:
+    """Points with their vectors: panels along the axes, 10,000 pixels a metre.  Steps are rounded in the
+    order that the twins write them in: points on a panel's edge come back to that edge."""
     p = with_panel(points, panels, outer)
-    spec = {n: F.col(n) for n in ("min_fs", "min_ss", "corner_x", "corner_y")} | {"fsx": F.lit(1.0), "fsy": F.lit(0.0), "ssx": F.lit(0.0), "ssy": F.lit(1.0), "res": F.lit(10000.0)}
-    q = L.peaks_to_q(F.col("fs"), F.col("ss"), spec, F.lit(clen), F.lit(wavelength))
-    return p.withColumns(dict(zip(("qx", "qy", "qz"), q)))
+    x, y = (F.col("corner_x") + F.col("fs") - F.col("min_fs")) / 10000.0, (F.col("corner_y") + F.col("ss") - F.col("min_ss")) / 10000.0
+    r = F.sqrt(x * x + y * y + float(Decimal(str(clen)) ** 2))
+    return p.withColumns({"qx": x / r / wavelength, "qy": y / r / wavelength, "qz": (clen / r - 1) / wavelength})
 
 
 PICK = "(select p.*, n.ord, n.min_fs, n.min_ss, n.corner_x, n.corner_y, row_number() over (partition by ok, ln, pk, frame, fs, ss order by n.ord) as r from (select row_number() over () as rid, * from points) p join panels n on floor(fs) between min_fs and max_fs and floor(ss) between min_ss and max_ss)"
@@ -84,16 +88,17 @@ def project(q: DataFrame, panels: DataFrame, clen: float, wavelength: float) ->
     rows = panel_rows(panels)
     # the ray's plane coordinates, the length of the ray cancels
     z = wavelength * F.col("qz") + 1
-    scale = F.try_divide(F.lit(wavelength * clen * 10000), z)
+    at = lambda n: F.try_divide(wavelength * F.col(n), z) * clen * 10000.0
     # rows of one keep filters below from copying what makes the vectors
-    ray = F.struct((F.col("qx") * scale).alias("x"), (F.col("qy") * scale).alias("y"), z.alias("z"))
+    ray = F.struct(at("qx").alias("x"), at("qy").alias("y"), z.alias("z"))
     rays = q.withColumn("_ray", F.explode(F.array(ray))).where("_ray.z > 1e-6")
-    width = lambda r, a: r[f"max_{a}"] - r[f"min_{a}"] + 1
     x, y = F.col("_ray.x"), F.col("_ray.y")
-    hit = [(x >= r["corner_x"]) & (x < r["corner_x"] + width(r, "fs")) & (y >= r["corner_y"]) & (y < r["corner_y"] + width(r, "ss")) for r in rows]
+    on = lambda v, r, a, corner: (v - r[corner] + r[f"min_{a}"] >= r[f"min_{a}"]) & (v - r[corner] + r[f"min_{a}"] < r[f"max_{a}"] + 1)
+    hit = [on(x, r, "fs", "corner_x") & on(y, r, "ss", "corner_y") for r in rows]
     placed = rays.withColumn("_place", first_of(hit)).where("_place is not null")
-    shift = {n: pick([r[a] - r[b] for r in rows], "double", F.col("_place")) for n, a, b in (("_dx", "min_fs", "corner_x"), ("_dy", "min_ss", "corner_y"))}
-    return placed.withColumns(shift).select(*q.columns, pick([r["ord"] for r in rows], "int", F.col("_place")).alias("ord"), (x + F.col("_dx")).alias("fs2"), (y + F.col("_dy")).alias("ss2"))
+    of = lambda n: pick([r[n] for r in rows], "double", F.col("_place"))
+    pixel = {"fs2": x - of("corner_x") + of("min_fs"), "ss2": y - of("corner_y") + of("min_ss")}
+    return placed.withColumns(pixel).select(*q.columns, pick([r["ord"] for r in rows], "int", F.col("_place")).alias("ord"), "fs2", "ss2")
 
 
 @query("prj03_project_q", f"select cast(ord as int) as ord, count(*) as n, round(sum(fs), 3) as fs, round(sum(ss), 3) as ss from (select n.ord, x-corner_x+min_fs as fs, y-corner_y+min_ss as ss, row_number() over (partition by rid order by n.ord) as r from (select row_number() over () as rid, 1.3*qx/(1.3*qz+1)*0.1*10000 as x, 1.3*qy/(1.3*qz+1)*0.1*10000 as y from {QSQL}) q join panels n on x-corner_x+min_fs >= min_fs and x-corner_x+min_fs < max_fs+1 and y-corner_y+min_ss >= min_ss and y-corner_y+min_ss < max_ss+1) where r = 1 group by ord", "points panels")
