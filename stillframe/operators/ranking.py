@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,11 +177,69 @@ def str22(spark, sf_dir):
 
 @query("join14_triplets", "select x.frame_id, count(*) as n from cells x join cells y on x.frame_id = y.frame_id and x.hyp_id < y.hyp_id join cells z on z.frame_id = y.frame_id and y.hyp_id < z.hyp_id where abs(x.a*y.b*z.c) >= 0.1*(x.a+x.b)*(y.b+y.c)*z.c group by x.frame_id", "cells")
 def join14(spark, sf_dir):
-    """Triplets of a frame's candidates with enough volume: equi joins on the frame."""
+    """Triplets of a frame's candidates with enough volume, counted by their values."""
     c = view(spark, sf_dir, "cells").withColumn("c", F.col("c").cast("double"))
-    x, y, z = (c.select("frame_id", *(F.col(n).alias(f"{t}_{n}") for n in ("hyp_id", "a", "b", "c"))) for t in "xyz")
-    p = x.join(y, "frame_id").where("x_hyp_id < y_hyp_id").join(z, "frame_id").where("y_hyp_id < z_hyp_id")
-    return p.where("abs(x_a*y_b*z_c) >= 0.1*(x_a+x_b)*(y_b+y_c)*z_c").groupBy("frame_id").agg(F.count("*").alias("n"))
+
+    def enough(xa, xb, yb, yc, zc):
+        return np.abs(xa * yb * zc) >= 0.1 * (xa + xb) * (yb + yc) * zc
+
+    return ordered_triplets(c, "frame_id", "hyp_id", ["a", "b"], ["b", "c"], ["c"], enough)
+
+
+def ordered_triplets(rows: DataFrame, by: str, order: str, first: list[str], middle: list[str], last: list[str], test, width: int = 1 << 16) -> DataFrame:
+    """by, n: triplets of a group's rows in the order of a whole number that pass ``test``, which sees the columns
+    ``first`` of the first row, ``middle`` of the second and ``last`` of the third (numpy arrays).
+
+    No triplet is made.  A middle row has so many rows of each distinct value of ``first`` before it and of
+    ``last`` behind it; the test is asked once for each combination of distinct values.  Rows are dealt by ranges
+    of ``width`` of the order; a task sees one range of one group and how many of each value come before and
+    after the range.  Work grows with rows times distinct values, which is cubic only if all values differ.
+    Rows of equal place form no triplet; groups without one have no row.
+    """
+    names = list(dict.fromkeys([*first, *middle, *last]))
+    own = rows.select(by, order, *names, F.floor(F.col(order) / width).alias("_range"))
+    ranges = own.select(by, "_range").distinct()
+
+    def carried(columns: list[str], kind: int) -> DataFrame:
+        """How many rows of each value lie in the ranges before (1) or after (2) each of the group's ranges."""
+        n = own.groupBy(by, "_range", *columns).agg(F.count("*").alias("_n"))
+        values = n.select(by, *columns).distinct()
+        w = Window.partitionBy(by, *columns).orderBy(F.col("_range") if kind == 1 else F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+        keys = [by, "_range", *columns]
+        full = ranges.join(values, by).join(n.withColumnsRenamed({c: f"_{i}" for i, c in enumerate(keys)}), F.expr(" and ".join(f"`{c}` <=> `_{i}`" for i, c in enumerate(keys))), "left")
+        return full.select(*keys, F.sum(F.coalesce("_n", F.lit(0))).over(w).alias("_n")).where("_n > 0").select(by, "_range", *(F.col(c) if c in columns else F.lit(None).cast("double").alias(c) for c in names), F.lit(None).cast("long").alias(order), "_n", F.lit(kind).alias("_kind"))
+
+    mine = own.select(by, "_range", *names, F.col(order).cast("long").alias(order), F.lit(1).cast("long").alias("_n"), F.lit(0).alias("_kind"))
+    parts = mine.unionByName(carried(first, 1)).unionByName(carried(last, 2))
+
+    def classes(own: pd.DataFrame, more: pd.DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct values, the class of each own row, and how many of each class are carried."""
+        both = pd.concat([own[columns], more[columns]]).to_numpy(float)
+        values, at = np.unique(both, axis=0, return_inverse=True)
+        at = at.reshape(-1)
+        return values, at[: len(own)], np.bincount(at[len(own) :], weights=more["_n"].to_numpy(float), minlength=len(values)).astype(np.int64)
+
+    def count(part: pd.DataFrame) -> pd.DataFrame:
+        mine = part[part["_kind"] == 0].sort_values(order)
+        none = part[:0]
+        x, x_at, before = classes(mine, part[part["_kind"] == 1], first)
+        z, z_at, after = classes(mine, part[part["_kind"] == 2], last)
+        y, y_at, _ = classes(mine, none, middle)
+        place = mine[order].to_numpy()
+        low, high = np.searchsorted(place, place, "left"), np.searchsorted(place, place, "right")
+        total = 0
+        for v in range(len(y)):
+            ok = np.broadcast_to(test(*(c[:, None] for c in x.T), *y[v], *(c[None, :] for c in z.T)), (len(x), len(z))).astype(np.int64)
+            mid = np.flatnonzero(y_at == v)
+            # own rows of each class before and behind each middle row
+            xs = before + np.array([np.bincount(x_at[: low[i]], minlength=len(x)) for i in mid])
+            zs = after + np.array([np.bincount(z_at[high[i] :], minlength=len(z)) for i in mid])
+            total += int(((xs @ ok) * zs).sum())
+        return pd.DataFrame({by: [part[by].iloc[0]], "n": [total]})
+
+    kind = rows.schema[by].dataType.simpleString()
+    got = parts.groupBy(by, "_range").applyInPandas(count, f"{by} {kind}, n long")
+    return got.groupBy(by).agg(F.sum("n").alias("n")).where("n > 0")
 
 
 PAIRS = "(select x.frame_id, y.qx-x.qx as dx, y.qy-x.qy as dy, y.qz-x.qz as dz, x.qx*y.qx+x.qy*y.qy+x.qz*y.qz as dot from peaks_q x join peaks_q y on x.frame_id = y.frame_id and x.peak_id < y.peak_id)"
@@ -348,14 +410,21 @@ def agg33(spark, sf_dir):
     return stream_rows(spark, sf_dir).agg(F.count("*").alias("n"), F.sum("hit").alias("hits"), F.round(F.avg(F.col("n_peaks").cast("double")), 6).alias("mean_peaks"), F.count_distinct("run_id").alias("runs"))
 
 
+def log_factorial(n: Column) -> Column:
+    """ln n!: of the number itself up to 20, then Stirling's series, whose rest is below 1e-15 there."""
+    x = n.cast("double")
+    series = x * F.ln(x) - x + F.ln(2 * math.pi * x) / 2 + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+    return F.when(n <= 20, F.ln(F.factorial(n.cast("int")).cast("double"))).otherwise(series)
+
+
 @query("agg35_mcnemar", "with recursive n as (select count(*) filter (n_peaks % 2 = 0 and n_peaks % 3 <> 0) as b, count(*) filter (n_peaks % 2 <> 0 and n_peaks % 3 = 0) as c from frame_stream), t as (select 0 as k, pow(cast(0.5 as double), b+c) as p, b+c as m, least(b,c) as lo from n union all select k+1, p*(m-k)/(k+1), m, lo from t where k < lo) select max(m) as discordant, round(least(2*sum(p), 1), 6) as p from t", "frame_stream")
 def agg35(spark, sf_dir):
-    """Exact test on discordant pairs: binomial terms generated as rows."""
+    """Exact test on discordant pairs: a row a binomial term, each from logarithms of factorials."""
     s = stream_rows(spark, sf_dir)
     x, y = F.col("n_peaks") % 2 == 0, F.col("n_peaks") % 3 == 0
-    n = s.agg(F.count_if(x & ~y).alias("b"), F.count_if(~x & y).alias("c")).withColumn("m", F.col("b") + F.col("c"))
-    k = n.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.least("b", "c"))))
-    # log of the binomial coefficient as a sum over its factors
-    lc = F.aggregate(F.when(F.col("k") > 0, F.sequence(F.lit(1).cast("long"), F.col("k"))).otherwise(F.array().cast("array<bigint>")), F.lit(0.0), lambda a, i: a + F.ln((F.col("m") - F.col("k") + i) / i))
-    p = F.exp(lc + F.col("m") * F.ln(F.lit(0.5)))
-    return k.agg(F.max("m").alias("discordant"), F.round(F.least(2 * F.sum(p), F.lit(1.0)), 6).alias("p"))
+    b, c = s.agg(F.count_if(x & ~y), F.count_if(~x & y)).first()  # two numbers
+    m = F.lit(b + c)
+    k = F.col("id")
+    terms = spark.range(min(b, c) + 1)
+    p = F.exp(log_factorial(m) - log_factorial(k) - log_factorial(m - k) + m * F.ln(F.lit(0.5)))
+    return terms.agg(F.max(m).alias("discordant"), F.round(F.least(2 * F.sum(p), F.lit(1.0)), 6).alias("p"))

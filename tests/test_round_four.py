@@ -49,3 +49,37 @@ def test_exact_shares(spark):
     rows = spark.createDataFrame([(k, 28 * k // 100) for k in n], "n long, k long")
     assert rows.where(F.col("k") >= L.part(0.28, F.col("n"))).count() == len(n)
     assert rows.where(F.col("k") - 1 >= L.part(0.28, F.col("n"))).count() == 0
+
+
+def test_triplets_are_counted_not_made(spark, small):
+    """A frame of some thousand candidates in many ranges; rows of one place make no triplet."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from stillframe.operators.ranking import ordered_triplets
+
+    small("join14_triplets", part="select * replace (p_partkey * 977 as p_partkey) from {} where p_partkey % 120 in (7, 31)")
+    r = random.Random(5)
+    rows = [(g, r.randrange(-40, 40), r.choice([1.0, 2.0, 3.5]), r.choice([1.0, 4.0])) for g in (1, 2) for _ in range(60)]
+    want = {g: sum(a[2] * b[3] > c[2] for a in part for b in part if a[1] < b[1] for c in part if b[1] < c[1]) for g in (1, 2) for part in [[x for x in rows if x[0] == g]]}
+    df = spark.createDataFrame(rows, "g long, o long, u double, v double")
+    got = ordered_triplets(df, "g", "o", ["u"], ["v"], ["u"], lambda a, b, c: a * b > c, width=7)
+    assert {x.g: x.n for x in got.collect()} == want
+    assert got.where(F.col("n") > 0).count() == 2
+
+
+def test_binomial_terms_by_logarithms(spark, small):
+    """Every term of a large test, and a small one."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    from stillframe.operators.ranking import log_factorial
+
+    got = spark.createDataFrame([(n,) for n in (0, 1, 5, 20, 21, 22, 1000, 3_000_000)], "n long").select("n", log_factorial(F.col("n")).alias("v"))
+    for row in got.collect():
+        assert math.isclose(row.v, math.lgamma(row.n + 1), rel_tol=1e-14, abs_tol=1e-14)
+    ((discordant, p),) = small("agg35_mcnemar", events="select * replace (case when event_id < 18 then 2 else 3 end as value) from {} where event_id < 40")
+    assert discordant == 40 and 0.6 < p < 0.7
+    small("agg35_mcnemar", events="select * from {}")
