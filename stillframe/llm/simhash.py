@@ -32,6 +32,15 @@ HEAVY = 16_384
 ROWS_PER_TASK = 1_000_000
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have (unsigned)."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str, width: int = 3) -> int:
     """64-bit SimHash of a text's word shingles, repeats included (unsigned)."""
     import xxhash
@@ -48,11 +57,7 @@ def fingerprint(text: str, width: int = 3) -> int:
         starts = [0, *(e + 1 for e in ends[: n - 1])]
         shingles = map(joined.__getitem__, map(slice, starts, ends[width - 1 :]))
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), dtype="<u8", count=n)
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    return majority(hashes)
 
 
 def with_fingerprints(df: DataFrame, columns: list[str], text: str = "text", width: int = 3) -> DataFrame:
@@ -372,9 +377,9 @@ _MULTIPLIERS = _multipliers()
 
 
 def with_sketches(df: DataFrame, columns: list[str], text: str, width: int) -> DataFrame:
-    """``columns`` of ``df``, sketch and node (a hash of the shingle set)."""
+    """``columns`` of ``df``, sketch, node (a hash of the shingle set) and _fp (the set's SimHash)."""
     plain = df.select(*columns, text_or_empty(text).alias("_text"))
-    schema = plain.drop("_text").schema.add("sketch", "binary").add("node", "long")
+    schema = plain.drop("_text").schema.add("sketch", "binary").add("node", "long").add("_fp", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -382,10 +387,10 @@ def with_sketches(df: DataFrame, columns: list[str], text: str, width: int) -> D
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             sets = (shingles(texts[i].as_py().encode().lower().split(), width) for i in range(len(texts)))
-            made = [(sketch(h), xxhash.xxh64_intdigest(h.tobytes())) for h in sets]
-            nodes = np.array([n for _, n in made], dtype=np.uint64).view(np.int64)
+            made = [(sketch(h), xxhash.xxh64_intdigest(h.tobytes()), majority(h)) for h in sets]
+            nodes, fps = (np.array([m[k] for m in made], dtype=np.uint64).view(np.int64) for k in (1, 2))
             cols = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([s for s, _ in made], pa.binary()), pa.array(nodes)], names=[*columns, "sketch", "node"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([m[0] for m in made], pa.binary()), pa.array(nodes), pa.array(fps)], names=[*columns, "sketch", "node", "_fp"])
 
     return plain.mapInArrow(run, schema)
 
@@ -483,6 +488,18 @@ def sketch_links(nodes: DataFrame, similar: float, heavy: int = HEAVY_BAND) -> D
     return dealt.repartition(tasks, "band", "i", "j").mapInArrow(run, "a long, b long")
 
 
+def fingerprint_links(nodes: DataFrame, bits: int = 3) -> DataFrame:
+    """Edges (a, b) over ``nodes`` (node, _fp) with the components of all pairs whose fingerprints differ in at
+    most ``bits`` bits: a fingerprint's first node stands for it, the others link to that one."""
+    first = checkpoint(nodes.groupBy("_fp").agg(F.min("node").alias("_first"), F.count("*").alias("n")))
+    near = links(first.select("_fp"), first.count(), bits)
+    ends = [first.select(F.col("_fp").alias(c), F.col("_first").alias(f"_{c}")) for c in "ab"]
+    apart = near.join(ends[0], "a").join(ends[1], "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    # equal fingerprints of different sets are few: those of a fingerprint with several nodes
+    equal = nodes.join(first.where("n > 1"), "_fp").where("node <> _first").select(F.col("_first").alias("a"), F.col("node").alias("b"))
+    return apart.unionByName(equal)
+
+
 def set_links(sets: DataFrame, similar: float, heavy: int = HEAVY_SETS) -> DataFrame:
     """Edges (a, b) with the components of all pairs of one ``root`` whose shingle sets have a
     Jaccard similarity of ``similar`` or more; sets: node, root, set (materialised)."""
@@ -537,22 +554,24 @@ def with_sets(df: DataFrame, columns: list[str], text: str, width: int) -> DataF
     return plain.mapInArrow(run, plain.drop("_text").schema.add("set", "binary"))
 
 
-def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similar: float = SIMILAR, heavy: int | None = None) -> DataFrame:
+def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similar: float = SIMILAR, heavy: int | None = None, bits: int = 3) -> DataFrame:
     """The rows of ``df`` with one document of each group of near copies: the one of the
     smallest id (null ids last), then of the smallest row hash.
 
     Documents link if the Jaccard similarity of their sets of ``width``-word shingles (as
-    64-bit hashes) is ``similar`` or more, and a group is what links connect.  Sketches
-    only say which documents may link: those that agree in a band of min-hashes, with
-    slack; within what these connect, the sets themselves are compared.  Null texts
-    count as empty; texts without words are one group; repeated rows count once.
+    64-bit hashes) is ``similar`` or more, and a group is what links connect.  SimHash says
+    which documents may link: fingerprints of the sets that differ in at most ``bits`` bits,
+    found by anchors.  That leaves out most pairs near ``similar``, so documents that agree in
+    a band of min-hashes, with slack, may link too; within what both connect, the sets
+    themselves are compared.  Null texts count as empty; texts without words are one group;
+    repeated rows count once.
     """
     plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))  # own names cannot clash
     ids, texts = (F.col(f"c{df.columns.index(n)}") for n in (doc_id, text))
     keyed = plain.select("*", *row_key(*(F.col(c) for c in plain.columns)))
     marks = checkpoint(with_sketches(keyed.select(ids.alias("_id"), texts.alias("_t"), "_k1", "_k2"), ["_id", "_k1", "_k2"], "_t", width))
-    nodes = checkpoint(marks.groupBy("node").agg(F.min("sketch").alias("sketch"), F.min(F.struct("_k1", "_k2")).alias("row")))
-    may = components(sketch_links(nodes, similar, heavy or HEAVY_BAND))
+    nodes = checkpoint(marks.groupBy("node").agg(F.min("sketch").alias("sketch"), F.min("_fp").alias("_fp"), F.min(F.struct("_k1", "_k2")).alias("row")))
+    may = components(fingerprint_links(nodes, bits).unionByName(sketch_links(nodes, similar, heavy or HEAVY_BAND)))
     rows = nodes.join(may, "node").select("node", "root", F.col("row._k1").alias("_k1"), F.col("row._k2").alias("_k2"))
     sets = checkpoint(with_sets(keyed.select("_k1", "_k2", texts.alias("_t")).join(rows, ["_k1", "_k2"]), ["node", "root"], "_t", width))
     roots = components(set_links(sets, similar, heavy or HEAVY_SETS))

@@ -63,3 +63,14 @@ def test_hot_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(S, "HOT_ROWS", 5)
     assert sorted(map(tuple, S.near_duplicates(docs).collect())) == want
     assert S.near_duplicates(docs.where(F.col("doc_id") < 60)).agg(F.max("component_id")).first()[0] == 0
+
+
+def test_keep_one_goes_by_simhash(spark, monkeypatch):
+    """Fingerprints bring long near copies together by themselves, without a band of min-hashes."""
+    from stillframe.llm import simhash as S
+
+    monkeypatch.setattr(S, "sketch_links", lambda nodes, *_: nodes.select(*(nodes["node"].alias(c) for c in "ab")).limit(0))
+    words = [f"word{i}" for i in range(2000)]
+    texts = [" ".join(words), " ".join([*words[:1999], "other"]), "something else of six words or more"]
+    rows = S.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in rows) == [0, 2]
