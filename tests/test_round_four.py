@@ -83,3 +83,28 @@ def test_binomial_terms_by_logarithms(spark, small):
     ((discordant, p),) = small("agg35_mcnemar", events="select * replace (case when event_id < 18 then 2 else 3 end as value) from {} where event_id < 40")
     assert discordant == 40 and 0.6 < p < 0.7
     small("agg35_mcnemar", events="select * from {}")
+
+
+def test_fourier_search_says_every_frame(small):
+    """A row a frame, not two counts; and the maxima of a volume against all 27 neighbours."""
+    import numpy as np
+
+    from stillframe.kernels import fourier
+
+    rows = small("krn16_fourier_search", lineitem="select * from {} where l_suppkey in (9, 11, 12, 24)")
+    assert len(rows) == 4
+    vol = np.random.default_rng(1).integers(0, 9, (16, 16, 16)).astype(float)
+    p = np.pad(vol, 1, constant_values=-1)
+    top = np.max([p[i : i + 16, j : j + 16, k : k + 16] for i, j, k in np.ndindex(3, 3, 3)], axis=0)
+    v, h = fourier.maxima(vol, 1.0, 0.0, 0.05, 10_000)
+    want = np.argwhere((vol == top) & (vol > 0.05 * vol.max())) - 8
+    assert sorted(map(tuple, v)) == sorted(map(tuple, want))
+    q = np.random.default_rng(2).normal(size=(40, 3)) / 50
+    whole, _ = fourier.volume(q, 32)
+    assert np.allclose(whole[1:, 1:, 1:], whole[1:, 1:, 1:][::-1, ::-1, ::-1])
+
+
+def test_halved_axis_of_blurred_frames(small):
+    """Peaks that the doubled cell meets by chance do not keep its axis doubled."""
+    rows = small("krn07_primitive", lineitem="select * from {} where l_suppkey in (180, 697, 962)")
+    assert len(rows) == 3
