@@ -108,3 +108,13 @@ def test_halved_axis_of_blurred_frames(small):
     """Peaks that the doubled cell meets by chance do not keep its axis doubled."""
     rows = small("krn07_primitive", lineitem="select * from {} where l_suppkey in (180, 697, 962)")
     assert len(rows) == 3
+
+
+def test_seeds_of_dense_frames(small):
+    """A frame ten times denser has its clusters' nodes too."""
+    assert len(small("krn09_cluster_seeds", lineitem="select * from {} where l_suppkey % 17 in (0, 4)")) == 2
+
+
+def test_points_on_an_edge_come_back_to_their_panel(small):
+    """Projected points of panels' edges, rounded as the SQL rounds them."""
+    small("prj03_project_q", lineitem="select * from {} where abs((l_extendedprice*3.1 + l_quantity*11.7) % 1100 - 512) < 1e-6 or abs((l_extendedprice*7.3) % 1100 - 512) < 1e-6")
