@@ -104,9 +104,14 @@ def is_subgroup(small: str, large: str) -> bool:
 
 
 def unique_key(h: Column, k: Column, l: Column, laue: str) -> Column:
-    """The largest h 1e8 + k 1e4 + l among the equivalents of a reflection, as a long."""
-    keys = []
+    """The largest h 1e8 + k 1e4 + l among the equivalents of a reflection, as a long.
+
+    An operator's key is a sum of three products.  Each class has the inversion, so that the larger key of
+    an operator and its opposite is the absolute value of either: half of them are written out."""
+    keys, seen = [], set()
     for m in operators(laue):
-        e = [m[3 * r] * h + m[3 * r + 1] * k + m[3 * r + 2] * l for r in range(3)]
-        keys.append(e[0].cast("long") * 100_000_000 + e[1].cast("long") * 10_000 + e[2].cast("long"))
-    return F.greatest(*keys)
+        if tuple(-x for x in m) not in seen:
+            seen.add(m)
+            a, b, c = (m[i] * 100_000_000 + m[3 + i] * 10_000 + m[6 + i] for i in range(3))
+            keys.append(F.abs(h.cast("long") * a + k.cast("long") * b + l.cast("long") * c))
+    return F.greatest(*keys) if len(keys) > 1 else keys[0]

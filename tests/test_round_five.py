@@ -50,3 +50,19 @@ def test_boxes_by_tiles(spark):
             assert means[key] == pytest.approx(statistics.mean(kept))
         else:
             assert means[key] is None
+
+
+def test_keys_are_short_and_the_same(spark):
+    """Half of a class's operators, three products each; equal to the largest of all equivalents."""
+    from stillframe.functions.symmetry import GENERATORS, operators, unique_key
+
+    r = random.Random(2)
+    rows = [tuple(r.randrange(-40, 41) for _ in "hkl") for _ in range(60)] + [(None, 1, 2), (0, 0, 0)]
+    df = spark.createDataFrame(rows, "h int, k int, l int")
+    for laue in GENERATORS:
+        key = unique_key(F.col("h"), F.col("k"), F.col("l"), laue)
+        assert str(key).count("*") <= 3 * len(operators(laue)) / 2
+        got = {(x.h, x.k, x.l): x.key for x in df.select("*", key.alias("key")).collect()}
+        for q, value in got.items():
+            each = [] if None in q else [sum(sum(m[3 * i + j] * q[j] for j in range(3)) * s for i, s in enumerate((100_000_000, 10_000, 1))) for m in operators(laue)]
+            assert value == max(each, default=None)
