@@ -52,6 +52,14 @@ def test_boxes_by_tiles(spark):
             assert means[key] is None
 
 
+def test_pairs_of_cells_are_counted(spark, small):  # noqa: F811
+    """Frames of many hypotheses of few cells, some of them twice: pairs are products of counts."""
+    rows = "select * replace (p_partkey % 9 * 120 + 7 as p_partkey, p_size % 3 + 1 as p_size) from {} where p_partkey < 200 union all select * replace (p_partkey * 120 + 9 as p_partkey) from {} where p_partkey < 40"
+    assert len(small("flt08_same_lattice_pairs", part=rows)) == 2
+    df = catalog.queries()["flt08_same_lattice_pairs"](spark, SF)
+    assert "hyp_id < " not in plan(df) and "hyp_id#" not in "".join(x for x in plan(df).splitlines() if "Join Inner" in x and "< hyp_id" in x)
+
+
 def test_keys_are_short_and_the_same(spark):
     """Half of a class's operators, three products each; equal to the largest of all equivalents."""
     from stillframe.functions.symmetry import GENERATORS, operators, unique_key
