@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -241,6 +243,13 @@ def kept_operators(cells: DataFrame, by: list[str]) -> DataFrame:
     return rows.where(same).select(*by, "op", F.col("o.classes").alias("classes"))
 
 
+def by_metric(cells: DataFrame, fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The cells with what ``fn`` makes of the kept operators (metric, op, classes): worked out once for each
+    distinct metric, not for each cell that has it."""
+    metrics = cells.select(F.col("g").alias("metric"), "g").distinct()
+    return cells.join(fn(kept_operators(metrics, ["metric"])), F.col("g") == F.col("metric")).drop("metric")
+
+
 def metric_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(hyp_id, kind, g): the reciprocal metric of every cell of the view."""
     right = F.lit(90.0)
@@ -264,7 +273,7 @@ def metric_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prj17(spark, sf_dir):
     """Order of every cell's group: the operators of all classes that keep its reciprocal metric; the twin
     counts all integer matrices that keep the metric of its axes."""
-    return kept_operators(metric_cells(spark, sf_dir), ["hyp_id"]).groupBy("hyp_id").agg(F.count("*").alias("n"))
+    return by_metric(metric_cells(spark, sf_dir), lambda kept: kept.groupBy("metric").agg(F.count("*").alias("n"))).select("hyp_id", "n")
 
 
 @registered("prj18_partiality", "select h, k, l, round(greatest(least(exp(-x*x/(2*s*s)), 1), 0.02), 6) as p from (select h, k, l, x, sqrt((q*0.001)*(q*0.001) + (q*q*0.65*0.002)*(q*q*0.65*0.002) + 1e-8) as s from (select distinct h, k, l, sqrt(cast(h*h+k*k as double)/6241 + cast(l*l as double)/1444) as q, cast(h+k+l as double)/10000 as x from measurements))")

@@ -321,11 +321,14 @@ def set07(spark, sf_dir):
     """The classes that are subgroups of each cell's own group: all their operators are among those that
     keep its metric."""
     from stillframe.functions.symmetry import CLASSES, operators
-    from stillframe.operators.merge import kept_operators, metric_cells
+    from stillframe.operators.merge import by_metric, metric_cells
 
     order = F.create_map(*(x for n in CLASSES for x in (F.lit(n), F.lit(len(operators(n))))))
-    own = kept_operators(metric_cells(spark, sf_dir), ["hyp_id"]).select("hyp_id", F.explode("classes").alias("laue"))
-    return own.groupBy("hyp_id", "laue").agg(F.count("*").alias("n")).where(F.col("n") == order[F.col("laue")]).select("hyp_id", "laue")
+    def subgroups(kept: DataFrame) -> DataFrame:
+        own = kept.select("metric", F.explode("classes").alias("laue")).groupBy("metric", "laue").agg(F.count("*").alias("n"))
+        return own.where(F.col("n") == order[F.col("laue")]).drop("n")
+
+    return by_metric(metric_cells(spark, sf_dir), subgroups).select("hyp_id", "laue")
 
 
 @query("set08_any_solved", "select frame_id from cells where a = 30 union select frame_id from cells where c > 74", "cells")

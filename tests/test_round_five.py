@@ -74,3 +74,13 @@ def test_keys_are_short_and_the_same(spark):
         for q, value in got.items():
             each = [] if None in q else [sum(sum(m[3 * i + j] * q[j] for j in range(3)) * s for i, s in enumerate((100_000_000, 10_000, 1))) for m in operators(laue)]
             assert value == max(each, default=None)
+
+
+@pytest.mark.parametrize("name", ["prj17_group_orders", "set07_subgroup"])
+def test_operators_once_a_metric(spark, small, name):  # noqa: F811
+    """Cells of one metric are one row when the operators are tried, and each has its rows, twice if it is there twice."""
+    rows = "select * from {} where p_partkey < 30 union all select * from {} where p_partkey = 7"
+    small(name, part=rows)
+    text = plan(catalog.queries()[name](spark, SF)).splitlines()
+    tried = next(i for i, line in enumerate(text) if "Generate posexplode" in line)
+    assert any("Aggregate" in line for line in text[tried:])
