@@ -84,3 +84,14 @@ def test_operators_once_a_metric(spark, small, name):  # noqa: F811
     text = plan(catalog.queries()[name](spark, SF)).splitlines()
     tried = next(i for i, line in enumerate(text) if "Generate posexplode" in line)
     assert any("Aggregate" in line for line in text[tried:])
+
+
+def test_tasks_follow_the_pixels(spark, monkeypatch):
+    """More rows are more tasks where frames are many bytes, so that a task's memory does not grow with the input."""
+    from stillframe.operators import frames
+
+    few = catalog.queries()["krn23_find_peaks"](spark, SF).rdd.getNumPartitions()
+    monkeypatch.setattr(frames, "ROOM", 500)
+    df = catalog.queries()["krn23_find_peaks"](spark, SF)
+    n = frames.images(spark, SF).count()
+    assert few < n // 500 < df.rdd.getNumPartitions()
