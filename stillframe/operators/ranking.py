@@ -44,11 +44,15 @@ VOXELS = "(select frame_id, x, y, z, f, row_number() over (partition by frame_id
 
 
 def one_per_voxel(df: DataFrame, value: str, size: float, least: float) -> DataFrame:
-    """Sign-canonical vectors of at least a length; the best of each voxel."""
+    """Sign-canonical vectors of at least a length; the best of each voxel.
+
+    The length is ranked first and tested with the rank: a filter below the window would be evaluated on the
+    scan, with the whole expression of each coordinate copied into it for every time it is named."""
     s = F.when(F.col("x") < 0, -1.0).otherwise(1.0)
-    v = df.withColumns({n: s * F.col(n) for n in "xyz"}).where(lin3.norm([F.col(n) for n in "xyz"]) >= least)
-    w = Window.partitionBy("frame_id", *(F.rint(F.col(n) / size) + F.lit(0.0) for n in "xyz")).orderBy(F.desc(value), "x", "y", "z")
-    return v.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    long = lin3.norm([F.col(n) for n in "xyz"]) >= least
+    v = df.repartition("frame_id").withColumns({n: s * F.col(n) for n in "xyz"} | {"_long": F.coalesce(long, F.lit(False))})
+    w = Window.partitionBy("frame_id", *(F.rint(F.col(n) / size) + F.lit(0.0) for n in "xyz")).orderBy(F.desc("_long"), F.desc(value), "x", "y", "z")
+    return v.withColumn("_r", F.row_number().over(w)).where("_r = 1 and _long").drop("_r", "_long")
 
 
 def _vectors(spark, sf_dir) -> DataFrame:
