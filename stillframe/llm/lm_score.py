@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stillframe.llm.common import Files, bundle, checkpoint, pack, pack_sorted, row_key, shared_folder, shuffle_parts, text_or_empty, unbundle, unpack, unpack_sorted
+from stillframe.llm.common import Files, bundle, checkpoint, pack, pack_sorted, row_key, shuffles_go, shared_folder, shuffle_parts, text_or_empty, unbundle, unpack, unpack_sorted
 
 #: Text bytes of a chunk of documents.
 CHUNK_BYTES = 12 << 20
@@ -140,12 +140,14 @@ def notes(rows: list[tuple]) -> pa.Table:
 
 
 def requests(chunk: int, buckets: int, keys: np.ndarray, *values: np.ndarray) -> pa.Table:
-    """Notes that ask for the sums of ``values`` over all chunks, for distinct keys."""
+    """Notes that ask for the sums of ``values`` over all chunks, for distinct keys; a bucket's note holds
+    its keys divided by the number of buckets."""
     order, bucket = in_buckets(keys, buckets)
     keys, values = keys[order], [v[order] for v in values]
     # a chunk that has nothing to ask asks for nothing, so that it stays in the round
     runs = list(_runs(bucket)) or [(0, 0, 0)]
-    return notes([(chunk, b, pack_sorted(keys[i:j]), *(pack(v[i:j]) for v in values), *[None] * (2 - len(values)), 0, 0) for b, i, j in runs])
+    # keys of a bucket have the same remainder, so they are told apart by their quotients, which are shorter
+    return notes([(chunk, b, pack_sorted(keys[i:j] // np.uint64(buckets)), *(pack(v[i:j]) for v in values), *[None] * (2 - len(values)), 0, 0) for b, i, j in runs])
 
 
 def _same_bytes(cells: list[bytes]) -> tuple[pa.Array, list[int]]:
@@ -430,7 +432,8 @@ def score(df: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "
 
     placed = docs.withColumns(dict(zip(("_k1", "_k2"), row_key(F.col("doc_id"), F.col("text")))))
     placed = placed.sortWithinPartitions("_k1", "_k2", "held").select("doc_id", "held", "text")
-    told = checkpoint(placed.mapInArrow(cut, NOTE).groupBy("bucket").applyInArrow(add_words, NOTE))
+    with shuffles_go(spark):
+        told = checkpoint(placed.mapInArrow(cut, NOTE).groupBy("bucket").applyInArrow(add_words, NOTE))
     sums = told.where("chunk < 0").agg(F.sum("total"), F.sum("distinct")).first()
     corpus.total, corpus.distinct = sums[0] or 0, sums[1] or 0
 
@@ -454,8 +457,10 @@ def score(df: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "
     level, n_states = 1, 0
     while n_bytes:
         grams, contexts = asking(level)
-        counted = each(each(told.where("chunk >= 0"), "chunk", grams), "bucket", add_grams)
-        told = checkpoint(each(each(counted, "chunk", contexts), "bucket", add_contexts))
+        with shuffles_go(spark):
+            # the grams' shuffle is the largest, and gone before the next ones
+            counted = checkpoint(each(each(told.where("chunk >= 0"), "chunk", grams), "bucket", add_grams))
+            told = checkpoint(each(each(counted, "chunk", contexts), "bucket", add_contexts))
         found = told.where("chunk < 0").agg(F.sum("total")).first()[0] or 0
         for name in ("alive", "seen"):
             files.drop(f"{name}{level - 1}")
