@@ -44,3 +44,12 @@ def test_keys_of_a_bucket_are_quotients():
         got = M.answers(told.filter(M.pc.equal(told["chunk"], i)), keys, buckets)
         want = [sum(int(n[np.searchsorted(k, x)]) for k, n in zip(chunks, counts) if x in set(k.tolist())) for x in keys[:60]]
         assert got[:60].tolist() == want
+
+
+def test_scores_reach_their_own_threshold():
+    """A kind's threshold is one of its scores as a probability; rounding kept that score below it."""
+    from stillframe.llm.pii import least_logit
+
+    scores = np.r_[np.linspace(-6, 27, 5000), 5.549076034703404, 40.0]
+    bounds = np.array([least_logit(float(p)) for p in 1 / (1 + np.exp(-scores))])
+    assert (bounds <= scores).all() and (scores - bounds)[scores < 20].max() < 1e-6
